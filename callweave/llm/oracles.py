@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from callweave.llm import quality
+from callweave.llm import quality, url_filter
 
 WS = "\\x20\\x09-\\x0D"
 
@@ -66,3 +66,95 @@ with raw as (
     join picked t on v.lang is not distinct from t.lang and v.source is not distinct from t.source
 )
 {tail}"""
+
+
+def _rest(url: str) -> str:
+    return f"(case when instr({url}, '://') > 0 then substr({url}, instr({url}, '://') + 3) else '' end)"
+
+
+def _host(url: str) -> str:
+    return f"coalesce(translate(regexp_extract({_rest(url)}, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
+
+
+def _path(url: str) -> str:
+    return f"coalesce(regexp_extract({_rest(url)}, '^[^/?#]*([^?#]*)', 1), '')"
+
+
+def _node(url: str) -> str:
+    return f"(case when {_host(url)} <> '' then {_host(url)} || regexp_extract({_rest(url)}, '^[^/?#]*([^#]*)', 1) end)"
+
+
+def url_filter_sql() -> str:
+    rules = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in url_filter.RULES)
+    quoted = {k: getattr(url_filter, k).replace("'", "''") for k in ("CANONICAL_TAG", "HREF", "REFRESH_TAG", "REFRESH_URL")}
+    best = lambda source: f"(select arg_max({{'rule': r.rule, 'verdict': r.verdict}}, (length(r.rule), r.verdict = 'allow', r.rule)) from rules r where ({source}.host = r.host or {source}.host like '%.' || r.host) and starts_with({source}.path, r.path))"
+    return f"""
+with recursive rules(verdict, rule, host, path) as (values {rules}),
+links as (
+    select url, unnest([regexp_extract(regexp_extract(html, '{quoted["CANONICAL_TAG"]}', 1), '{quoted["HREF"]}', 1),
+        regexp_extract(regexp_extract(html, '{quoted["REFRESH_TAG"]}', 1), '{quoted["REFRESH_URL"]}', 1)]) as link
+    from pages
+), absolute as (
+    select url, case when instr(link, '://') > 0 then link
+        when starts_with(link, '//') then regexp_extract(url, '^([^:/?#]*)://', 1) || ':' || link
+        when starts_with(link, '/') then regexp_extract(url, '^([^:/?#]*)://', 1) || '://' || {_host("url")} || link
+        else regexp_extract(url, '^([^:/?#]*)://', 1) || '://' || {_host("url")} || regexp_replace(case when {_path("url")} = '' then '/' else {_path("url")} end, '[^/]*$', '') || link end as target
+    from links where link <> ''
+), edges as (
+    select {_node("url")} as a, {_node("target")} as b from absolute
+), pairs as (
+    select a, b from edges where a is not null and b is not null union select b, a from edges where a is not null and b is not null
+), reach(node, other) as (
+    select a, a from pairs union select r.node, b.b from reach r join pairs b on r.other = b.a
+), parts as (
+    select other, regexp_extract(other, '^([^/?#]*)', 1) as host, regexp_extract(other, '^[^/?#]*([^?#]*)', 1) as path from (select distinct other from reach)
+), votes as (
+    select r.node, bool_or(v.verdict = 'allow') as allowed, bool_or(v.verdict = 'block') as blocked
+    from reach r join (select p.other, {best("p")}.verdict as verdict from parts p) v on r.other = v.other group by r.node
+), said as (
+    select node, case when allowed then 'allow' when blocked then 'block' end as component_verdict from votes
+), plain as (
+    select page_id, {_host("url")} as host, {_path("url")} as path, {_node("url")} as node from pages
+), judged as (
+    select p.*, {best("p")} as best from plain p
+)
+select j.page_id, j.host, j.path, j.best.rule as rule, coalesce(j.best.verdict, s.component_verdict, 'allow') as verdict, s.component_verdict
+from judged j left join said s on j.node = s.node"""
+
+
+CHAT = f"""
+with recursive base as (
+    select row_number() over () as rid, conv_id, turn, role, coalesce("text", '') as tx from conversations
+), raw_lines as (
+    select rid, conv_id, turn, unnest(ls) as raw, unnest(range(1, len(ls) + 1)) as i from (select *, string_split(tx, chr(10)) as ls from base)
+), levelled as (
+    select *, length(replace(replace(regexp_extract(raw, '^((?:[ \t]*>)*)', 1), ' ', ''), chr(9), '')) as level,
+        regexp_replace(raw, '^(?:[ \t]*>)+[ \t]?', '') as line from raw_lines
+), filled as (
+    select *, regexp_matches(line, '[^{WS}]') as filled from levelled
+), begun as (
+    select *, filled and (i = 1 or not lag(filled) over w or lag(level) over w <> level) as start from filled window w as (partition by rid order by i)
+), runs as (
+    select *, sum(start::int) over (partition by rid order by i) as run from begun
+), said as (
+    select conv_id, turn, level, passage from (
+        select rid, run, any_value(conv_id) as conv_id, any_value(turn) as turn, any_value(level) as level,
+            trim(regexp_replace(translate(string_agg(line, ' ' order by i), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[{WS}]+', ' ', 'g')) as passage
+        from runs where filled group by rid, run
+    ) where conv_id is not null and turn is not null
+), firsts as (
+    select conv_id, passage, min(turn) as origin from said where level = 0 group by all
+), replies as (
+    select q.conv_id, q.turn, count(*) as n_quotes, count(case when f.origin < q.turn then 1 end) as n_linked, max(case when f.origin < q.turn then f.origin end) as parent_turn
+    from said q left join firsts f on q.conv_id = f.conv_id and q.passage = f.passage where q.level > 0 group by q.conv_id, q.turn
+), ups(conv_id, turn, up, depth) as (
+    select conv_id, turn, parent_turn, 1 from replies where parent_turn is not null
+    union all
+    select u.conv_id, u.turn, r.parent_turn, u.depth + 1 from ups u join replies r on r.conv_id = u.conv_id and r.turn = u.up where r.parent_turn is not null
+), roots as (
+    select conv_id, turn, arg_max(up, depth) as up, max(depth) as depth from ups group by conv_id, turn
+)
+select b.conv_id, b.turn, b.role,
+    regexp_replace(array_to_string(list_filter(string_split(tx, chr(10)), lambda x: not regexp_matches(x, '^[ \t]*>')), chr(10)), '^[{WS}]+|[{WS}]+$', '', 'g') as "text",
+    coalesce(r.n_quotes, 0)::bigint as n_quotes, coalesce(r.n_linked, 0)::bigint as n_linked, r.parent_turn, coalesce(o.up, b.turn) as root_turn, coalesce(o.depth, 0)::bigint as depth
+from base b left join replies r on b.conv_id = r.conv_id and b.turn = r.turn left join roots o on b.conv_id = o.conv_id and b.turn = o.turn"""

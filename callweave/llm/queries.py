@@ -5,19 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import oracles, quality
+from callweave.llm import chat, oracles, quality, url_filter
 from callweave.llm.common import table
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judged(table(spark, sf_dir, "documents"), [F.col("doc_id")])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.linked(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
+    "op2_url_filters": op2_url_filters,
     "op8_quality_rules": op8_quality_rules,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 
 ORACLE_SQL = {
+    "op2_url_filters": oracles.url_filter_sql(),
+    "op10_chat_formatting": oracles.CHAT,
     "op8_quality_rules": oracles.quality_sql(),
 }
