@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import chat, oracles, quality, url_filter
+from callweave.llm import bpe, chat, media, oracles, quality, token_count, url_filter
 from callweave.llm.common import table
 
 
@@ -13,18 +14,33 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"))
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judged(table(spark, sf_dir, "documents"), [F.col("doc_id")])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.linked(table(spark, sf_dir, "conversations"))
 
 
 QUERIES = {
     "op2_url_filters": op2_url_filters,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op7_media_columns": op7_media_columns,
     "op8_quality_rules": op8_quality_rules,
+    "op9_token_counts": op9_token_counts,
     "op10_chat_formatting": op10_chat_formatting,
 }
 
