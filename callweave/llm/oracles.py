@@ -158,3 +158,19 @@ select b.conv_id, b.turn, b.role,
     regexp_replace(array_to_string(list_filter(string_split(tx, chr(10)), lambda x: not regexp_matches(x, '^[ \t]*>')), chr(10)), '^[{WS}]+|[{WS}]+$', '', 'g') as "text",
     coalesce(r.n_quotes, 0)::bigint as n_quotes, coalesce(r.n_linked, 0)::bigint as n_linked, r.parent_turn, coalesce(o.up, b.turn) as root_turn, coalesce(o.depth, 0)::bigint as depth
 from base b left join replies r on b.conv_id = r.conv_id and b.turn = r.turn left join roots o on b.conv_id = o.conv_id and b.turn = o.turn"""
+
+
+WARC = """
+with payloads as (
+    select page_id, strlen(html)::bigint as n, sha1(html) as x from (select page_id, coalesce(html, '') as html from pages)
+), kept as (
+    select *, max(page_id) over (partition by x, n) as keeper,
+        array_to_string(list_transform(string_split(x, ''), lambda c: lpad(bin(instr('0123456789abcdef', c) - 1), 4, '0')), '') as bits
+    from payloads
+)
+select page_id, n as payload_bytes,
+    array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+        (1 + 16 * bits[5 * i + 1]::int + 8 * bits[5 * i + 2]::int + 4 * bits[5 * i + 3]::int + 2 * bits[5 * i + 4]::int + bits[5 * i + 5]::int)::int]), '') as payload_digest,
+    case when page_id < keeper then 'revisit' else 'response' end as record_type,
+    case when page_id < keeper then keeper end as refers_to
+from kept"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import bpe, chat, media, oracles, quality, token_count, url_filter
+from callweave.llm import bpe, chat, media, oracles, packing, quality, token_count, url_filter, warc
 from callweave.llm.common import table
 
 
@@ -14,6 +14,19 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"))
 
 
+def tokenizer_files() -> tuple[str, str, str]:
+    """The rank file, the vocabulary file and the pattern of the 50k byte-level vocabulary."""
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_files())
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -37,6 +50,8 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_url_filters": op2_url_filters,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_warc": op4_warc,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_media_columns": op7_media_columns,
     "op8_quality_rules": op8_quality_rules,
@@ -47,5 +62,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_url_filters": oracles.url_filter_sql(),
     "op10_chat_formatting": oracles.CHAT,
+    "op4_warc": oracles.WARC,
     "op8_quality_rules": oracles.quality_sql(),
 }
