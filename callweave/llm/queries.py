@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import bpe, chat, media, oracles, packing, quality, token_count, url_filter, warc
+from callweave.llm import bpe, chat, media, oracles, packing, quality, token_count, toxicity, url_filter, warc
 from callweave.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op2_url_filters": op2_url_filters,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_warc": op4_warc,
+    "op5_toxicity": op5_toxicity,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_media_columns": op7_media_columns,
     "op8_quality_rules": op8_quality_rules,
