@@ -39,8 +39,8 @@ CLASSES = 64
 #: What a written character may stand for besides itself.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "¡": "i"}
 MASK, SEPARATORS = "*", ".-_·'~`,"
-#: Costs in nats: a stand-in, a masked letter, a separator left out, a repeated letter left out, one of two equal letters left out, a mark at the word's end.
-COST = {"leet": 1.0, "mask": 4.0, "separator": 1.5, "repeat": 0.5, "double": 2.0, "edge": 1.0}
+#: Costs in nats: a stand-in, a masked letter, a separator left out, a repeated letter left out, one of two equal letters left out, a mark left out at the word's end, one left out within.
+COST = {"leet": 1.0, "mask": 4.0, "separator": 1.5, "repeat": 0.5, "double": 2.0, "edge": 1.0, "mark": 4.0}
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
@@ -140,7 +140,7 @@ class Restorer:
                     for x in LEET[c]:
                         options += [(x * min(k, 2), COST["leet"] * min(k, 2)), *([(x, COST["leet"] + COST["repeat"])] if k > 1 else [])]
                 if c in SEPARATORS or c == MASK or c in "!$@|+":
-                    options.append(("", COST["separator"] if 0 < i and j < n else COST["edge"]))
+                    options.append(("", COST["edge"] if i == 0 or j == n else COST["separator" if c in SEPARATORS else "mark"]))
                 if c == MASK and k == 1:
                     options += [(x, COST["mask"]) for x in LETTERS]
             out.append(options)
