@@ -66,7 +66,7 @@ def read_tree(spark: SparkSession, root: str, rules: list[str] = ()) -> DataFram
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = F.regexp_replace(F.lit(root.rstrip("/")), "^[a-z]+:/*", "/")
     rel = F.regexp_replace(F.substring(F.regexp_replace("path", "^[a-z]+:/*", "/"), F.length(base) + 2, F.lit(1 << 30)), "^/+", "")
-    skip = rel.rlike(r"(^|/)(\.[^/]*|" + "|".join(SKIPPED) + ")/")
+    skip = F.col("path").rlike(r"(^|/)(\.[^/]*|" + "|".join(SKIPPED) + ")/")
     files = raw.select(rel.alias("path"), "content").where(~skip & language("path").isNotNull() & ~ignored(F.col("path"), list(rules)))
     text = F.decode("content", "UTF-8")
     return files.select("path", language("path").alias("lang"), text.alias("text"), F.sha1("content").alias("hash")).select("*", (F.regexp_count("text", F.lit("\n")) + 1).alias("lines"), admission(F.col("text")).alias("admission"))
