@@ -10,8 +10,11 @@ from pyspark.sql import types as T
 SCHEMA_VERSION = 1
 
 
+KINDS = {"string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "array<string>": T.ArrayType(T.StringType())}
+
+
 def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+    return T.StructType([T.StructField(name, KINDS[kind]) for name, kind in (x.split() for x in ddl.split(", "))])
 
 
 TABLES = {
