@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from callweave.llm.common import Scratch
 from callweave.llm.components import components
 
-CELLS, PARTS, CENTERS, ROUNDS, CACHE = 1 << 18, 64, 3, 3, 400_000
+CELLS, PARTS, CENTERS, ROUNDS, CACHE = 1 << 18, 64, 3, 2, 400_000
 #: Cells of the node filter that spares most texts the verification's shuffle.
 NODE_CELLS = 1 << 18
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -133,6 +133,11 @@ def _passes(percent: int, n: str, pos: str, m: str, other: str) -> Column:
     return F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) and {100 + percent} * (1 + least({n} - {pos} - 1, {m} - {other} - 1)) >= {percent} * ({n} + {m})")
 
 
+def _may_overlap(percent: int, n: str, parts: str, m: str, other: str) -> Column:
+    """Suffix filter: the overlap is at most what the hash ranges' counts have in common."""
+    return F.expr(f"{100 + percent} * aggregate(zip_with({parts}, {other}, (x, y) -> least(x, y)), 0L, (s, x) -> s + x) >= {percent} * ({n} + {m})")
+
+
 class Join:
     def __init__(self, docs: DataFrame, n: int, percent: int, scratch: Scratch) -> None:
         self.docs, self.n, self.percent, self.scratch = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), n, percent, scratch
@@ -144,13 +149,14 @@ class Join:
         """``node, component`` of the classes that link with another."""
         save, drop = self.scratch.save, self.scratch.drop
         posts = self.classes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-        shared = posts.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-        rows = save(posts.join(shared, "token").select("token", "node", F.col("n").cast("int").alias("n"), "pos"))
-        labels = None
-        for number in range(ROUNDS + 1):
+        shared = posts.groupBy("token").agg(F.count("*").cast("int").alias("sets")).where("sets > 1")
+        rows = save(posts.join(shared, "token").select("token", "node", F.col("n").cast("int").alias("n"), "pos", "sets"))
+        labels, stars = None, ROUNDS
+        while stars >= 0:
             labelled = self._labelled(rows, labels)
-            pairs = self._stars(labelled, number) if number < ROUNDS else self._across(labelled)
-            found = self._verified(pairs)
+            found = self._verified(self._stars(labelled, stars) if stars else self._across(labelled))
+            rows = rows.where("sets > 2") if stars else rows  # a star of two is their one pair
+            stars = stars - 1 if found is not None or not stars else 0  # stars that find nothing more leave the rest to the last round
             if found is None:
                 continue
             self.links = found if self.links is None else save(self.links.unionByName(found))
@@ -169,7 +175,9 @@ class Join:
 
     def _stars(self, rows: DataFrame, number: int) -> DataFrame:
         me = F.struct("node", "n", "pos", "component")
-        centers = rows.groupBy("token").agg(*[F.min_by(me, F.xxhash64(F.lit(number * CENTERS + k), "node")).alias(f"c{k}") for k in range(CENTERS)])
+        # Few rare shingles before a shared one mean few edits: such sets are near many others. Chance varies the choice by round.
+        chance = lambda k: (F.pmod(F.xxhash64(F.lit(number * CENTERS + k), "node"), F.lit(1 << 20)) + (1 << 20)) * (F.col("pos") + 1)
+        centers = rows.groupBy("token").agg(*[F.min_by(me, F.struct(chance(k), "node")).alias(f"c{k}") for k in range(CENTERS)])
         each = rows.join(centers, "token").select("*", F.explode(F.array_distinct(F.array(*[f"c{k}" for k in range(CENTERS)]))).alias("c"))
         near = each.where("component <> c.component").where(_passes(self.percent, "n", "pos", "c.n", "c.pos"))
         return near.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"))
@@ -178,19 +186,20 @@ class Join:
         """All pairs across components: each set outside its shingle's largest component with every set of another one."""
         sizes = rows.groupBy("token", "component").agg(F.count("*").alias("size"))
         largest = sizes.groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("largest"))
-        minor = rows.join(largest, "token").where("component <> largest").select("token", *[F.col(c).alias(f"m_{c}") for c in ("node", "n", "pos", "component")])
-        met = minor.join(rows, (minor["token"] == rows["token"]) & (F.col("m_component") != F.col("component")) & _passes(self.percent, "n", "pos", "m_n", "m_pos"))
+        rows = self.scratch.save(rows.join(self.classes.select("node", "parts"), "node"))
+        minor = rows.join(largest, "token").where("component <> largest").select("token", *[F.col(c).alias(f"m_{c}") for c in ("node", "n", "pos", "component", "parts")])
+        near = (F.col("m_component") != F.col("component")) & _passes(self.percent, "n", "pos", "m_n", "m_pos") & _may_overlap(self.percent, "n", "parts", "m_n", "m_parts")
+        met = minor.join(rows, (minor["token"] == rows["token"]) & near)
         return met.select(F.least("node", "m_node").alias("a"), F.greatest("node", "m_node").alias("b"))
 
     def _verified(self, pairs: DataFrame) -> DataFrame | None:
-        """Those of ``pairs`` that link; None if no pair is new. Suffix filter first, then the sets themselves, once a pair."""
+        """Those of ``pairs`` that link; None if no new one does. Suffix filter first, then the sets themselves, once a pair."""
         save = self.scratch.save
         pairs = pairs.distinct()
         if self.done is not None:
             pairs = pairs.join(self.done, ["a", "b"], "left_anti")
         side = lambda x: self.classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("parts").alias(f"p{x}"))
-        bounded = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("most", F.expr("aggregate(zip_with(pa, pb, (x, y) -> least(x, y)), 0L, (s, x) -> s + x)"))
-        new = save(bounded.where(f"{100 + self.percent} * most >= {self.percent} * (na + nb)").select("a", "b", "na", "nb"))
+        new = save(pairs.join(side("a"), "a").join(side("b"), "b").where(_may_overlap(self.percent, "na", "pa", "nb", "pb")).select("a", "b", "na", "nb"))
         if new.isEmpty():
             return None
         self.done = new.select("a", "b") if self.done is None else save(self.done.unionByName(new.select("a", "b")))
@@ -200,7 +209,7 @@ class Join:
         counted = new.join(one, "a").join(two, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("i"))
         links = save(counted.where(f"100 * i >= {self.percent} * (na + nb - i)").select("a", "b").distinct())
         self.scratch.drop(sets)
-        return links
+        return None if links.isEmpty() else links
 
     def _sets(self, nodes: DataFrame) -> DataFrame:
         """``node, s``: the sets of some documents. A filter of fixed size on hash cells keeps most other texts from the join's shuffle."""
