@@ -201,9 +201,10 @@ class Marked(dict):
     def __init__(self, restorer: Restorer, weights: dict[str, float] | None) -> None:
         super().__init__()
         self.restorer, self.weights = restorer, weights
+        self.most = CACHE // 8 if weights is None else CACHE  # features take more room than a number
 
     def __missing__(self, word: str):
-        if len(self) >= CACHE:
+        if len(self) >= self.most:
             self.clear()
         found = features(self.restorer.restore(self.restorer.plain(word)))
         out = self[word] = found if self.weights is None else max((self.weights.get(f, 0.0) for f in found), default=0.0)
@@ -243,7 +244,7 @@ def fitted(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample: int =
                 own.add("")
                 for f in own:
                     seen.setdefault(f, [0] * 4)[side] += 1
-                if len(seen) > CACHE:
+                if len(seen) > CACHE // 2:
                     yield _counts(seen)
                     seen = {}
         yield _counts(seen)
