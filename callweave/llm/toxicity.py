@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE, MAX_FEATURES, LEAST_RATIO, THRESHOLD, CACHE = 10_000, 50_000, 5.0, 0.7, 400_000
-RIDGE = 1.0
+RIDGE, CAUTION = 1.0, 8
 CLASSES = 64
 #: What a written character may stand for besides itself.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "¡": "i"}
@@ -43,6 +43,8 @@ MASK, SEPARATORS = "*", ".-_·'~`,"
 COST = {"leet": 1.0, "mask": 4.0, "separator": 1.5, "repeat": 0.5, "double": 2.0, "edge": 1.0, "mark": 4.0}
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: Feature to log odds, and to log odds as if CAUTION more clean documents had it.
+Weights = dict[str, tuple[float, float]]
 
 
 def _classes() -> np.ndarray:
@@ -196,9 +198,9 @@ def features(word: str) -> tuple[str, ...]:
 
 
 class Marked(dict):
-    """Word as written to its features, or with weights to its evidence: 0 for almost all words."""
+    """Word as written to its features, or with weights to its evidence: none for almost all words."""
 
-    def __init__(self, restorer: Restorer, weights: dict[str, float] | None) -> None:
+    def __init__(self, restorer: Restorer, weights: Weights | None) -> None:
         super().__init__()
         self.restorer, self.weights = restorer, weights
         self.most = CACHE // 8 if weights is None else CACHE  # features take more room than a number
@@ -207,27 +209,30 @@ class Marked(dict):
         if len(self) >= self.most:
             self.clear()
         found = features(self.restorer.restore(self.restorer.plain(word)))
-        out = self[word] = found if self.weights is None else max((self.weights.get(f, 0.0) for f in found), default=0.0)
-        return out
+        if self.weights is not None:
+            known = [x for f in found if (x := self.weights.get(f))]
+            found = (max(w for w, _ in known), self.weights.get(found[0], (0.0, -math.inf))[1]) if known else ()
+        self[word] = found
+        return found
 
     def summary(self, text: str | None) -> list[float]:
-        """The three strongest words' evidence, all words' together, and the number of distinct words."""
+        """The three strongest words' evidence, all words' together, the number of distinct words; last, apart, the largest cautious log odds of a whole word."""
         words = self.restorer.words(text) if text else ()
         found = sorted((e for w in words if (e := self[w])), reverse=True)
-        return [*(found + [0.0] * 3)[:3], math.log1p(sum(found)), math.log1p(len(words))]
+        return [*([w for w, _ in found] + [0.0] * 3)[:3], math.log1p(sum(w for w, _ in found)), math.log1p(len(words)), max((v for _, v in found), default=-math.inf)]
 
 
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample: int = SAMPLE) -> tuple[dict[str, float], list[float]]:
-    """Feature weights and the regression's coefficients (the intercept first), from labelled documents that aren't held out."""
+def fitted(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample: int = SAMPLE) -> tuple[Weights, list[float], float]:
+    """Feature weights, the regression's coefficients (the intercept first) and the prior's log odds, from labelled documents that aren't held out."""
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n = {bool(t): c for t, c in known.groupBy(F.col("toxic") > 0).count().collect()}
     prior = math.log((n.get(True, 0) + 0.5) / (n.get(False, 0) + 0.5))
     if not n.get(True) or not n.get(False):
-        return {}, [prior]
+        return {}, [prior], prior
     part = lambda cond: known.where(cond).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = part("toxic > 0").unionByName(part("toxic <= 0")).select(F.col("doc_id").alias("k"), (F.col("toxic") > 0).cast("int").alias("toxic"), F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(2)).cast("int").alias("fold"))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("k")).select("toxic", "fold", "text")
@@ -253,7 +258,7 @@ def fitted(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample: int =
     every = counts.where("f = ''").first()
     if not every:  # no labelled document is there
         counts.unpersist()
-        return {}, [prior]
+        return {}, [prior], prior
     kinds = counts.count()
     folds = [_weights(counts, F.col(f"t{i}"), F.col(f"c{i}"), every[f"t{i}"], every[f"c{i}"], kinds) for i in (0, 1)]
     weights = _weights(counts, F.col("t0") + F.col("t1"), F.col("c0") + F.col("c1"), every["t0"] + every["t1"], every["c0"] + every["c1"], kinds)
@@ -264,17 +269,17 @@ def fitted(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample: int =
         restorer = Restorer(shared.value)
         by_fold = [Marked(restorer, crossed.value[1]), Marked(restorer, crossed.value[0])]
         for b in batches:
-            made = [by_fold[f.as_py()].summary(t.as_py()) for _, f, t in zip(*b.columns, strict=True)]
+            made = [by_fold[f.as_py()].summary(t.as_py())[:-1] for _, f, t in zip(*b.columns, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.float64()))], ["toxic", "x"])
 
     seen = rows.mapInArrow(summarise, "toxic int, x array<double>").toPandas()  # at most twice the sample
     y = seen["toxic"].to_numpy(float)
     if not 0 < y.sum() < len(y):
-        return {}, [prior]
+        return {}, [prior], prior
     order = np.lexsort((*np.array(seen["x"].tolist()).T, y))  # one order on every run
     coefficients = regression(np.array(seen["x"].tolist())[order], y[order])
     coefficients[0] += prior - math.log(y.sum() / (len(y) - y.sum()))
-    return weights, coefficients
+    return weights, coefficients, prior
 
 
 def regression(x: np.ndarray, y: np.ndarray, steps: int = 30) -> list[float]:
@@ -291,7 +296,7 @@ def regression(x: np.ndarray, y: np.ndarray, steps: int = 30) -> list[float]:
     return w.tolist()
 
 
-def _weights(counts: DataFrame, t: Column, c: Column, toxic: int, clean: int, kinds: int) -> dict[str, float]:
+def _weights(counts: DataFrame, t: Column, c: Column, toxic: int, clean: int, kinds: int) -> Weights:
     """Log odds of the features that hold more than chance would among so many kinds."""
     if not toxic or not clean:
         return {}
@@ -299,26 +304,31 @@ def _weights(counts: DataFrame, t: Column, c: Column, toxic: int, clean: int, ki
     odds = F.log((t + 0.5) / (toxic + 1)) - F.log((c + 0.5) / (clean + 1))
     # twice the log-likelihood ratio of the feature's own toxic share against the sample's
     g2 = 2 * (t * F.log(t / (t + c) / share) + F.when(c > 0, c * F.log(c / (t + c) / (1 - share))).otherwise(0.0))
-    strong = counts.where(t > 0).where("f <> ''").select("f", odds.alias("w"), g2.alias("g")).where((F.col("w") >= math.log(LEAST_RATIO)) & (F.col("g") >= 2 * math.log(max(kinds, 2))))
-    return {r["f"]: r["w"] for r in strong.orderBy(F.desc("g"), "f").limit(MAX_FEATURES).collect()}
+    strong = counts.where(t > 0).where("f <> ''").select("f", odds.alias("w"), g2.alias("g"), (F.log((t + 0.5) / (toxic + 1)) - F.log((c + CAUTION) / (clean + CAUTION))).alias("v")).where((F.col("w") >= math.log(LEAST_RATIO)) & (F.col("g") >= 2 * math.log(max(kinds, 2))))
+    return {r["f"]: (r["w"], r["v"]) for r in strong.orderBy(F.desc("g"), "f").limit(MAX_FEATURES).collect()}
 
 
 def _counts(seen: dict[str, list[int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *[pa.array([x[i] for x in seen.values()], pa.int64()) for i in range(4)]], ["f", "t0", "c0", "t1", "c1"])
 
 
+def logit(summary: list[float], coefficients: list[float], prior: float) -> float:
+    """The regression's, or that of the surest single word if it says more: one slur in a long text is enough."""
+    *x, surest = summary
+    return max(coefficients[0] + sum(a * b for a, b in zip(coefficients[1:], x, strict=False)), prior + surest)
+
+
 def scorer(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     """A pandas UDF from text to probability, with the model fitted on ``docs`` and ``labels``."""
     model = language_model(docs)
-    weights, coefficients = fitted(docs, labels, model, sample)
-    shared = docs.sparkSession.sparkContext.broadcast((model, weights, coefficients))
+    shared = docs.sparkSession.sparkContext.broadcast((model, *fitted(docs, labels, model, sample)))
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model, weights, (intercept, *slopes) = shared.value
+        model, weights, coefficients, prior = shared.value
         marked = Marked(Restorer(model), weights)
         for texts in batches:
-            logits = (intercept + sum(a * b for a, b in zip(slopes, marked.summary(t), strict=False)) for t in texts)
+            logits = (logit(marked.summary(t), coefficients, prior) for t in texts)
             yield pd.Series([1 / (1 + math.exp(-max(-500.0, min(500.0, x)))) for x in logits], dtype=float)
 
     return score
