@@ -15,7 +15,6 @@ Null and empty texts count 0. A long text without blanks is one word and takes t
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -25,7 +24,6 @@ from pyspark.sql import DataFrame
 
 CACHE, UNKNOWN_PENALTY = 300_000, 10.0
 META = "▁"
-WORDS = re.compile(f"{META}[^{META}]*|[^{META}]+")
 
 
 def vocabulary(path: str) -> tuple[list[tuple[str, float]], int]:
@@ -37,7 +35,7 @@ def vocabulary(path: str) -> tuple[list[tuple[str, float]], int]:
 
 
 class Counter(dict):
-    """Word to its number of pieces."""
+    """Word, without the meta symbol before it, to its number of pieces."""
 
     def __init__(self, pieces: list[tuple[str, float]], unknown: int, byte_fallback: bool) -> None:
         super().__init__()
@@ -52,42 +50,47 @@ class Counter(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= CACHE:
             self.clear()
-        out = self[word] = self.count(word)
+        out = self[word] = self.count(META + word)
         return out
 
     def count(self, word: str) -> int:
-        """Best paths from left to right; ``tail`` is the unknown characters' bytes (or a mark) at a path's end."""
+        """Best paths from left to right, in one walk over the matches: by their ends, and of one end the longer first."""
         n = len(word)
-        ends: list[list[tuple[int, float, bool]]] = [[] for _ in range(n)]
-        for last, entry in self.automaton.iter(word):
-            ends[last].append(entry)
         score, pieces, unknown = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        single = [False] * n
-        for last in range(n):
-            single[last] = any(length == 1 for length, _, _ in ends[last])
-        for last in range(n):
-            best, start, is_unknown = None, 0, False
-            for length, s, u in sorted(ends[last], reverse=True):  # longer pieces start earlier and come first
-                x = score[last + 1 - length] + s
-                if best is None or x > best:
-                    best, start, is_unknown = x, last + 1 - length, u
-            if not single[last] and (best is None or score[last] + self.unknown_score > best):
-                best, start, is_unknown = score[last] + self.unknown_score, last, True
-            score[last + 1], unknown[last + 1] = best, is_unknown
-            if is_unknown and self.bytes_known:
-                add = len(word[start : last + 1].encode())
-            else:
-                add = int(not (is_unknown and start > 0 and unknown[start]))
-            pieces[last + 1] = pieces[start] + add
+        here, best, start, is_unknown, single = 0, None, 0, False, False
+        for last, (length, s, u) in self.automaton.iter(word):
+            while here < last:  # what ends before is complete
+                self._close(word, here, best, start, is_unknown, single, score, pieces, unknown)
+                here, best, is_unknown, single = here + 1, None, False, False
+            x = score[last + 1 - length] + s
+            if best is None or x > best:
+                best, start, is_unknown = x, last + 1 - length, u
+            if length == 1:
+                single = True
+        while here < n:
+            self._close(word, here, best, start, is_unknown, single, score, pieces, unknown)
+            here, best, is_unknown, single = here + 1, None, False, False
         return pieces[n]
 
+    def _close(self, word: str, last: int, best: float | None, start: int, is_unknown: bool, single: bool, score: list[float], pieces: list[int], unknown: list[bool]) -> None:
+        """Settles the best path to the end of character ``last``."""
+        if not single and (best is None or score[last] + self.unknown_score > best):
+            best, start, is_unknown = score[last] + self.unknown_score, last, True
+        score[last + 1] = best
+        if not is_unknown:
+            pieces[last + 1] = pieces[start] + 1
+            return
+        unknown[last + 1] = True
+        if self.bytes_known:
+            pieces[last + 1] = pieces[start] + len(word[start : last + 1].encode())
+        else:
+            pieces[last + 1] = pieces[start] + (not (start > 0 and unknown[start]))
+
     def total(self, text: str) -> int:
         if not text:
             return 0
         marked = text.replace(" ", META)
-        if not marked.startswith(META):
-            marked = META + marked
-        return sum(map(self.__getitem__, WORDS.findall(marked)))
+        return sum(map(self.__getitem__, marked.removeprefix(META).split(META)))
 
 
 @cache
