@@ -34,11 +34,11 @@ def write(tables: dict[str, DataFrame], folder: str, repo_id: str) -> None:
 
 
 def read(spark: SparkSession, folder: str, repo_id: str | None = None) -> dict[str, DataFrame]:
-    """The stored facts of one repository or all; a folder of another schema version has none."""
+    """The stored facts of one repository, without ``repo_id``, or of all; a folder of another schema version has none."""
     out = {}
     for name in NAMES:
         df = spark.read.schema(TABLES[name]).parquet(f"{folder}/v{SCHEMA_VERSION}/{name}")
-        out[name] = df.where(F.col("repo_id") == repo_id) if repo_id else df
+        out[name] = df.where(F.col("repo_id") == repo_id).drop("repo_id") if repo_id else df
     return out
 
 
