@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from callweave.extract.java import extract_java
 from callweave.extract.rows import Found
+from callweave.extract.ruby import extract_ruby
 
-EXTRACTORS: dict[str, Callable[[str, str], Found]] = {"java": extract_java}
+EXTRACTORS: dict[str, Callable[[str, str], Found]] = {"java": extract_java, "ruby": extract_ruby}
 
 _LISTS = ("params", "modifiers", "annotations", "supertypes", "arg_types", "str_args")
 COLUMNS = {

@@ -1,4 +1,4 @@
-"""Java call resolution as joins: names to types, receivers to types, calls to members, and a reason for each call without an edge.
+"""Java and Ruby call resolution as joins: names to types, receivers to types, calls to members, and a reason for each call without an edge.
 
 Every rule is a set of candidates with a priority; the first that holds wins (``min_by``). A rule may block: an explicit import
 of a foreign type ends the search with no type. Calls on calls and locals typed by calls are resolved in passes, each over
@@ -210,3 +210,103 @@ class Java:
         )
         out = known.select(F.col("id").alias("ref_id"), reason.alias("reason"), F.when(reason.startswith("external"), 1).otherwise(0).alias("external"), F.when(reason.startswith("external:"), F.coalesce("owner", F.when(bare, F.col("static_owner")))).alias("owner"))
         return self.scratch.save(out)
+
+
+#: What the language gives every object.
+KERNEL = ["puts", "print", "p", "pp", "raise", "require", "require_relative", "loop", "lambda", "proc", "rand", "sleep", "format", "sprintf", "printf", "catch", "throw", "freeze", "frozen?", "tap", "then", "send", "public_send", "respond_to?", "instance_variable_get", "instance_variable_set", "is_a?", "kind_of?", "nil?", "dup", "clone", "to_s", "inspect", "hash", "object_id", "block_given?", "binding", "exit", "abort", "at_exit", "warn", "gets", "open", "system", "Array", "Integer", "Float", "String"]
+
+
+class Ruby:
+    """Ruby call resolution: constants and typed receivers first, then names declared once. Bare words that name nothing are dropped, not missed."""
+
+    def __init__(self, symbols: DataFrame, locals_: DataFrame, refs: DataFrame) -> None:
+        self.scratch = Scratch(symbols.sparkSession)
+        self.symbols, self.locals, self.refs = symbols, locals_, refs
+        save = self.scratch.save
+        self.types = save(types_view(symbols))
+        said = self.types.select("fqn", F.posexplode("supertypes").alias("at", "name")).withColumn("key", F.xxhash64("fqn", "name"))
+        self.parents = save(said.join(self.named(said.select("key", F.col("fqn").alias("container"), "name")), "key").where("type <> fqn").groupBy("fqn", F.col("type").alias("parent")).agg(F.min("at").alias("at")))
+        self.chain = Java._chain(self)
+        self.members = save(symbols.where(F.col("kind").isin("method", "class_method")).select(F.col("container_fqn").alias("ancestor"), F.col("name"), F.col("id").alias("target"), F.col("kind").alias("member_kind"), F.col("type_name").alias("returns")))
+
+    def named(self, wanted: DataFrame) -> DataFrame:
+        """``key, type``: a constant as its scopes see it, the innermost first, then a simple name declared once."""
+        asked = wanted.where("name is not null").select("key", "container", F.regexp_replace("name", "^::", "").alias("name")).distinct()
+        own = self.types.select("fqn")
+        unique = own.groupBy(F.element_at(F.split("fqn", "::"), -1).alias("name")).agg(F.count("*").alias("n"), F.min("fqn").alias("fqn")).where("n = 1").select("name", "fqn")
+        parts = F.split("container", "::")
+        scoped = asked.where("container is not null").select("key", "name", parts.alias("parts"), F.explode(F.sequence(F.lit(1), F.size(parts))).alias("k")).select("key", F.concat(F.array_join(F.slice("parts", 1, F.col("k")), "::"), F.lit("::"), "name").alias("fqn"), (F.lit(200) - F.col("k")).alias("priority")).join(own, "fqn")
+        exact = asked.join(own.withColumnRenamed("fqn", "name"), "name").select("key", F.col("name").alias("fqn"), F.lit(300).alias("priority"))
+        simple = asked.join(unique, "name").select("key", "fqn", F.lit(400).alias("priority"))
+        every = exact.unionByName(scoped.select("key", "fqn", "priority")).unionByName(simple)
+        return every.groupBy("key").agg(F.min(F.struct("priority", "fqn"))["fqn"].alias("type"))
+
+    def found(self, calls: DataFrame) -> DataFrame:
+        """``id`` to the nearest member of the type; methods of the wanted kind before others."""
+        met = calls.join(self.chain.withColumnRenamed("fqn", "type"), "type").join(self.members, ["ancestor", "name"])
+        rank = F.when(F.col("member_kind") == F.col("wanted"), 0).otherwise(1)
+        return met.groupBy("id").agg(F.min(F.struct(rank.alias("r"), "path", "target", "returns", "ancestor")).alias("m")).select("id", "m.target", "m.returns", F.col("m.ancestor").alias("declared_by"))
+
+    def resolved(self) -> tuple[DataFrame, DataFrame]:
+        save = self.scratch.save
+        inside = self.symbols.select(F.col("id").alias("from_symbol_id"), F.when(F.col("kind").isin("class", "module"), F.col("fqn")).otherwise(F.col("container_fqn")).alias("container"), F.col("kind").alias("own_kind"))
+        calls = save(self.refs.where("kind <> 'annotation'").join(inside, "from_symbol_id", "left"))
+        made = calls.where("kind = 'new'").withColumn("key", F.col("id"))
+        new_types = save(made.join(self.named(made.select("key", "container", "name")), "key").select("id", "from_symbol_id", "line", "type"))
+        open_ = calls.where("kind <> 'new'").select("id", "from_symbol_id", "container", "own_kind", "name", "receiver", "receiver_ref_id")
+        own = open_.where("(receiver is null or receiver = 'self') and container is not null").select("id", "name", F.col("container").alias("type"), F.when(F.col("own_kind").isin("class_method", "class", "module"), "class_method").otherwise("method").alias("wanted"))
+        const = open_.where(F.col("receiver").rlike("^[A-Z]")).withColumn("key", F.col("id"))
+        const = const.join(self.named(const.select("key", "container", F.col("receiver").alias("name"))), "key").select("id", "name", "type", F.lit("class_method").alias("wanted"))
+        typed = self.locals.where("type_name is not null").groupBy("scope_symbol_id", "name").agg(F.min("type_name").alias("declared"))
+        local = open_.join(typed.select(F.col("scope_symbol_id").alias("from_symbol_id"), F.col("name").alias("receiver"), "declared"), ["from_symbol_id", "receiver"]).withColumn("key", F.col("id"))
+        local = local.join(self.named(local.select("key", "container", F.col("declared").alias("name"))), "key").select("id", "name", "type", F.lit("method").alias("wanted"))
+        receivers = save(own.unionByName(const).unionByName(local).dropDuplicates(["id"]))
+        targets = save(self.found(receivers))
+        for _ in range(PASSES):
+            returned = targets.where("returns is not null").select(F.col("id").alias("key"), F.col("declared_by").alias("container"), F.col("returns").alias("name"))
+            results = returned.join(self.named(returned), "key").select(F.col("key").alias("receiver_ref_id"), "type").unionByName(new_types.select(F.col("id").alias("receiver_ref_id"), "type"))
+            by_reader = open_.where("receiver_ref_id is null and receiver is not null").join(self.members.where("returns is not null").select(F.col("ancestor").alias("container"), F.col("name").alias("receiver"), "returns"), ["container", "receiver"]).withColumn("key", F.col("id"))
+            by_reader = by_reader.join(self.named(by_reader.select("key", "container", F.col("returns").alias("name"))), "key").select("id", "name", "type")
+            more = open_.join(results, "receiver_ref_id").select("id", "name", "type").unionByName(by_reader).withColumn("wanted", F.lit("method")).join(receivers.select("id"), "id", "left_anti").dropDuplicates(["id"])
+            more = save(more)
+            if more.isEmpty():
+                break
+            receivers = save(receivers.unionByName(more))
+            targets = save(self.found(receivers))
+        return self._outcome(calls, new_types, receivers, targets)
+
+    def _outcome(self, calls: DataFrame, new_types: DataFrame, receivers: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+        at = calls.where("from_symbol_id is not null").select("id", "from_symbol_id", "line", "name", "kind", "receiver", "receiver_ref_id")
+        columns = lambda rows, kind, confidence, via, seq: rows.select("from_symbol_id", "to_symbol_id", F.lit(kind).alias("kind"), F.lit(confidence).alias("confidence"), F.lit(via).alias("via"), "line", F.lit(seq).alias("seq"))
+        types = self.types.select(F.col("fqn").alias("type"), F.col("symbol_id").alias("to_symbol_id"), "kind")
+        declared = self.parents.join(types.select(F.col("type").alias("fqn"), F.col("to_symbol_id").alias("from_symbol_id")), "fqn").join(types.withColumnRenamed("type", "parent"), "parent").withColumn("line", F.lit(0))
+        inherits = columns(declared.where("kind = 'class'"), "extends", 1.0, "declaration", 0).unionByName(columns(declared.where("kind = 'module'"), "includes", 1.0, "declaration", 0))
+        made = columns(new_types.where("from_symbol_id is not null").join(types.drop("kind"), "type"), "instantiates", 1.0, "direct", 1)
+        built = self.found(new_types.withColumn("name", F.lit("initialize")).withColumn("wanted", F.lit("method")).select("id", "name", "type", "wanted"))
+        constructed = columns(at.join(built, "id").withColumnRenamed("target", "to_symbol_id"), "calls", 1.0, "constructor", 2)
+        hit = at.join(targets, "id")
+        direct = columns(hit.withColumnRenamed("target", "to_symbol_id"), "calls", 1.0, "direct", 3)
+        below = self.parents.join(self.types.where("kind = 'module'").select(F.col("fqn").alias("parent")), "parent").select(F.col("parent").alias("declared_by"), F.col("fqn").alias("ancestor"))
+        fan = columns(hit.select("from_symbol_id", "line", "name", "declared_by").join(below, "declared_by").join(self.members.select("ancestor", "name", F.col("target").alias("to_symbol_id")), ["ancestor", "name"]), "calls", 0.7, "module->includer", 4)
+        rest = at.where("kind = 'call' and receiver is not null and receiver <> 'self'").join(targets.select("id"), "id", "left_anti").join(receivers.select("id"), "id", "left_anti").where(~F.col("receiver").rlike("^[A-Z]"))
+        pool = rest.join(self.members.where("member_kind = 'method'").select("name", "target"), "name").groupBy("id", "from_symbol_id", "line").agg(F.count("*").alias("n"), F.min("target").alias("to_symbol_id"))
+        unique = columns(pool.where("n = 1"), "calls", 0.4, "unique-name", 5)
+        every = inherits.unionByName(made).unionByName(constructed).unionByName(direct).unionByName(fan).unionByName(unique)
+        edges = self.scratch.save(first_written(every, ["from_symbol_id", "to_symbol_id", "kind", "line"], "seq").drop("seq"))
+        linked = targets.select("id").unionByName(new_types.select("id")).unionByName(pool.where("n = 1").select("id")).distinct()
+        open_ = calls.where("kind <> 'ident_call'").join(linked, "id", "left_anti")  # a bare word without a declaration is a variable
+        names = self.symbols.select("name").distinct().withColumn("declared", F.lit(True))
+        known = open_.join(names, "name", "left").join(receivers.select("id", "type"), "id", "left").join(pool.select("id", "n"), "id", "left")
+        constant = F.coalesce(F.regexp_extract("receiver", "^([A-Z]\\w*)", 1), F.when(F.col("kind") == "new", F.col("name")), F.lit(""))
+        reason = (
+            F.when(F.col("from_symbol_id").isNull(), "no-enclosing-symbol")
+            .when((constant != "") & F.col("type").isNull(), F.concat(F.lit("external:"), constant))
+            .when(F.col("name").isin(*KERNEL), "external:Kernel")
+            .when(F.col("declared").isNull(), "external:not-in-project")
+            .when(F.col("receiver") == "(...)", "complex-receiver-chain")
+            .when(F.col("receiver").isNull(), "external:not-reachable-from-scope")
+            .when(F.col("n") > 1, "ambiguous-name")
+            .otherwise("unknown-method")
+        )
+        unresolved = known.select(F.col("id").alias("ref_id"), reason.alias("reason"), reason.startswith("external").cast("int").alias("external"), F.when(reason.startswith("external:") & ~reason.isin("external:not-in-project", "external:not-reachable-from-scope"), F.regexp_replace(reason, "^external:", "")).alias("owner"))
+        return edges, self.scratch.save(unresolved)

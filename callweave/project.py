@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from callweave.extract import facts, raw_facts
 from callweave.operators.relations import types_view
-from callweave.operators.resolve import Java
+from callweave.operators.resolve import Java, Ruby
 from callweave.plans.scratch import Scratch
 from callweave.schema import SCHEMA_VERSION, TABLES
 from callweave.sources.files import read_tree
 
+RESOLVERS = {
+    "java": lambda f: Java(f["files"], f["symbols"], f["imports"], f["locals"], f["refs"]).resolved(),
+    "ruby": lambda f: Ruby(f["symbols"], f["locals"], f["refs"]).resolved(),
+}
 NAMES = ["files", "symbols", "types", "imports", "locals", "refs", "edges", "unresolved"]
 
 
@@ -21,7 +28,16 @@ def index(spark: SparkSession, root: str, rules: list[str] = ()) -> dict[str, Da
     files = scratch.save(read_tree(spark, root, list(rules)).where("admission = 'ok'"))
     out = facts(files, scratch.save(raw_facts(files)))
     out["types"] = types_view(out["symbols"])
-    out["edges"], out["unresolved"] = Java(out["files"], out["symbols"], out["imports"], out["locals"], out["refs"]).resolved()
+    edges, unresolved = [], []
+    for lang, resolver in RESOLVERS.items():  # languages don't see each other's names
+        if files.where(F.col("lang") == lang).isEmpty():
+            continue
+        own = out["files"].where(F.col("lang") == lang)
+        part = {n: out[n].join(own.select(F.col("id").alias("file_id")), "file_id", "left_semi") for n in ("symbols", "imports", "locals", "refs")}
+        for rows, made in zip((edges, unresolved), resolver(part | {"files": own}), strict=True):
+            rows.append(made)
+    out["edges"] = reduce(DataFrame.unionByName, edges) if edges else spark.createDataFrame([], T.StructType([f for f in TABLES["edges"].fields if f.name != "repo_id"]))
+    out["unresolved"] = reduce(DataFrame.unionByName, unresolved) if unresolved else spark.createDataFrame([], T.StructType([f for f in TABLES["unresolved"].fields if f.name != "repo_id"]))
     return out
 
 
