@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from callweave.llm.common import Scratch
 from callweave.llm.components import components
 
-CELLS, PARTS, CENTERS, ROUNDS, CACHE = 1 << 18, 64, 3, 2, 400_000
+CELLS, PARTS, CENTERS, ROUNDS, CACHE = 1 << 18, 64, 3, 2, 150_000
 #: Cells of the node filter that spares most texts the verification's shuffle.
 NODE_CELLS = 1 << 18
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, MAX_FEATURES, LEAST_RATIO, THRESHOLD, CACHE = 10_000, 50_000, 5.0, 0.7, 400_000
+SAMPLE, MAX_FEATURES, LEAST_RATIO, THRESHOLD, CACHE = 10_000, 50_000, 5.0, 0.7, 250_000
 RIDGE, CAUTION = 1.0, 8
 CLASSES = 64
 #: What a written character may stand for besides itself.
