@@ -14,6 +14,7 @@ from callweave.operators.resolve import Java, Ruby
 from callweave.plans.scratch import Scratch
 from callweave.schema import SCHEMA_VERSION, TABLES
 from callweave.sources.files import read_tree
+from callweave.streaming.sync import compared
 
 RESOLVERS = {
     "java": lambda f: Java(f["files"], f["symbols"], f["imports"], f["locals"], f["refs"]).resolved(),
@@ -22,25 +23,60 @@ RESOLVERS = {
 NAMES = ["files", "symbols", "types", "imports", "locals", "refs", "edges", "unresolved"]
 
 
+EXTRACTED = ["symbols", "imports", "locals", "refs"]
+
+
+def _empty(spark: SparkSession, name: str) -> DataFrame:
+    return spark.createDataFrame([], T.StructType([f for f in TABLES[name].fields if f.name != "repo_id"]))
+
+
 def index(spark: SparkSession, root: str, rules: list[str] = ()) -> dict[str, DataFrame]:
     """Reads, extracts and resolves every admitted file under ``root``."""
     scratch = Scratch(spark)
     files = scratch.save(read_tree(spark, root, list(rules)).where("admission = 'ok'"))
-    out = facts(files, scratch.save(raw_facts(files)))
+    return _resolved(spark, facts(files, scratch.save(raw_facts(files))))
+
+
+def _resolved(spark: SparkSession, out: dict[str, DataFrame]) -> dict[str, DataFrame]:
     out["types"] = types_view(out["symbols"])
     edges, unresolved = [], []
     for lang, resolver in RESOLVERS.items():  # languages don't see each other's names
-        if files.where(F.col("lang") == lang).isEmpty():
-            continue
         own = out["files"].where(F.col("lang") == lang)
-        part = {n: out[n].join(own.select(F.col("id").alias("file_id")), "file_id", "left_semi") for n in ("symbols", "imports", "locals", "refs")}
+        if own.isEmpty():
+            continue
+        part = {n: out[n].join(own.select(F.col("id").alias("file_id")), "file_id", "left_semi") for n in EXTRACTED}
         for rows, made in zip((edges, unresolved), resolver(part | {"files": own}), strict=True):
             rows.append(made)
-    out["edges"] = reduce(DataFrame.unionByName, edges) if edges else spark.createDataFrame([], T.StructType([f for f in TABLES["edges"].fields if f.name != "repo_id"]))
-    out["unresolved"] = reduce(DataFrame.unionByName, unresolved) if unresolved else spark.createDataFrame([], T.StructType([f for f in TABLES["unresolved"].fields if f.name != "repo_id"]))
+    out["edges"] = reduce(DataFrame.unionByName, edges) if edges else _empty(spark, "edges")
+    out["unresolved"] = reduce(DataFrame.unionByName, unresolved) if unresolved else _empty(spark, "unresolved")
     return out
 
 
+def sync(spark: SparkSession, root: str, folder: str, repo_id: str, rules: list[str] = ()) -> dict[str, int]:
+    """Brings a stored repository in step with its tree: only new and changed files are read again, gone ones lose their facts.
+
+    Ids follow from path and place, so facts of unchanged files stay as stored. Resolution runs anew over all facts, since a new
+    declaration may change what any call means. Returns the number of files of each status; nothing is written if none changed.
+    """
+    scratch = Scratch(spark)
+    listed = read_tree(spark, root, list(rules)).where("admission = 'ok'")
+    stored = read(spark, folder, repo_id)
+    status = scratch.save(compared(stored["files"], listed))
+    counts = {r["status"]: r["n"] for r in status.groupBy("status").agg(F.count("*").alias("n")).collect()}
+    if set(counts) <= {"unchanged"}:
+        return counts
+    kept = status.where("status = 'unchanged'").select("path")
+    same = scratch.save(stored["files"].join(kept, "path", "left_semi"))
+    files = scratch.save(listed.join(status.where("status in ('added', 'changed')").select("path"), "path", "left_semi"))
+    fresh = facts(files, scratch.save(raw_facts(files)))
+    out = {"files": scratch.save(same.select(fresh["files"].columns).unionByName(fresh["files"]))}
+    for name in EXTRACTED:
+        old = stored[name].join(same.select(F.col("id").alias("file_id")), "file_id", "left_semi")
+        out[name] = scratch.save(old.select(fresh[name].columns).unionByName(fresh[name]))
+    write({n: scratch.save(df) for n, df in _resolved(spark, out).items()}, folder, repo_id)
+    return counts
+
+
 def write(tables: dict[str, DataFrame], folder: str, repo_id: str) -> None:
     """Stores a repository's facts: one partition a repository in each table, replaced as a whole; the schema version is in the path."""
     for name, df in tables.items():
