@@ -141,8 +141,10 @@ def _may_overlap(percent: int, n: str, parts: str, m: str, other: str) -> Column
 class Join:
     def __init__(self, docs: DataFrame, n: int, percent: int, scratch: Scratch) -> None:
         self.docs, self.n, self.percent, self.scratch = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), n, percent, scratch
-        self.rows = scratch.save(signatures(self.docs, n, percent, cell_counts(self.docs, n)))
-        self.classes = scratch.save(self.rows.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts")))
+        wide = scratch.save(signatures(self.docs, n, percent, cell_counts(self.docs, n)))
+        self.classes = scratch.save(wide.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts")))
+        self.rows = scratch.save(wide.select("doc_id", "n", "d1", "d2"))
+        scratch.drop(wide)
         self.links = self.done = None
 
     def components(self) -> DataFrame | None:
@@ -156,6 +158,7 @@ class Join:
             labelled = self._labelled(rows, labels)
             found = self._verified(self._stars(labelled, stars) if stars else self._across(labelled))
             rows = rows.where("sets > 2") if stars else rows  # a star of two is their one pair
+            drop(labelled)
             stars = stars - 1 if found is not None or not stars else 0  # stars that find nothing more leave the rest to the last round
             if found is None:
                 continue
