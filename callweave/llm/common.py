@@ -1,13 +1,14 @@
-"""What the operators share: table reading and tables cut from their lineage."""
+"""What the operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callweave.plans.scratch import Scratch, shared_dir
+
+__all__ = ["SPACE", "Scratch", "ascii_lower", "shared_dir", "table"]
+
 #: The white space of the contracts: blank and the control characters 9 to 13.
 SPACE = "\\x20\\x09-\\x0D"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -20,41 +21,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z alone, unlike ``lower``."""
     return F.translate(c, UPPER, LOWER)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` where the cluster names one."""
-    if named := spark.conf.get("spark.checkpoint.dir", None):
-        return named
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="callweave-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-class Scratch:
-    """Tables written to the shared folder, so that a lost executor costs no recomputation of what lies before.
-
-    ``save`` writes and rereads a frame; ``drop`` deletes one that nothing reads any more.
-    """
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.root, self.paths = spark, f"{shared_dir(spark).rstrip('/')}/callweave-{uuid.uuid4().hex}", {}
-
-    def path(self) -> str:
-        return f"{self.root}/{uuid.uuid4().hex}"
-
-    def save(self, df: DataFrame) -> DataFrame:
-        df.write.parquet(path := self.path())
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = (out, path)
-        return out
-
-    def drop(self, *frames: DataFrame) -> None:
-        for df in frames:
-            if id(df) in self.paths:
-                self.delete(self.paths.pop(id(df))[1])
-
-    def delete(self, path: str) -> None:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
