@@ -40,7 +40,7 @@ VIEWS = {
             case l_linenumber when 1 then 'direct' when 2 then 'constructor' when 3 then 'unique-name' when 4 then 'interface->impl' when 5 then 'binding:http' when 6 then 'name-convention' else 'declaration' end as via,
             case when l_linenumber = 7 then null else cast(l_quantity * 10 + l_linenumber as int) end as line,
             concat(lpad(cast(l_orderkey as string), 12, '0'), lpad(cast(l_suppkey as string), 12, '0'), lpad(cast(cast(round(l_extendedprice * 100) as bigint) as string), 14, '0'), lpad(cast(cast(round(l_tax * 100) as bigint) as string), 4, '0')) as seq
-        from {lineitem} where l_quantity <= 3""",
+        from {lineitem}""",
     "refs": """
         select e.event_id as id, cast(e.user_id % (select count(*) from {supplier}) as bigint) as file_id, case when e.event_id % 17 = 0 then null else cast(e.event_id * 13 % (select count(*) from {part}) as bigint) end as from_symbol_id,
             replace(p.p_name, ' ', '_') as name, case when e.k % 3 = 0 then null else concat('r', cast(e.k % 5 as string)) end as receiver, cast(e.k % 5 as int) as arity,
@@ -52,13 +52,13 @@ VIEWS = {
             case k % 8 when 0 then 'ambiguous-name' when 1 then 'complex-receiver-chain' when 2 then 'no-such-method-on:T' when 3 then 'unknown-method' when 4 then 'external:not-in-project' when 5 then 'external:not-reachable-from-scope' when 6 then 'external:jdk-runtime' else null end as reason,
             case when k % 8 in (4, 5, 6) then 1 when k % 8 = 7 and user_id % 2 = 0 then 1 else 0 end as external,
             case when k % 8 = 6 then 'jdk-runtime' when k % 8 = 7 and user_id % 2 = 0 then concat('lib', cast(user_id % 7 as string)) end as owner
-        from (select *, cast(regexp_extract(props, '[0-9]+', 0) as int) as k from {events}) e where user_id % 3 <> 0""",
+        from (select *, cast(regexp_extract(props, '[0-9]+', 0) as int) as k from {events}) e""",
     "bindings": """
         select event_id as id, cast(user_id % (select count(*) from {supplier}) as bigint) as file_id, case when event_id % 13 = 0 then null else cast(event_id * 11 % (select count(*) from {part}) as bigint) end as symbol_id,
             case user_id % 3 when 0 then 'http' when 1 then 'kafka' else 'sqs' end as plugin, case when event_type in ('purchase', 'signup') then 'provider' else 'consumer' end as role,
             case when user_id % 3 = 0 then concat(case k % 4 when 0 then 'ANY' when 1 then 'POST' else 'GET' end, ' /p/', cast(k - k % 2 as string)) else concat('topic-', cast(k as string)) end as key,
             cast(event_id % 300 as int) as line, props as detail, concat('repo', cast(user_id % 4 as string)) as repo_id
-        from (select *, cast(regexp_extract(props, '[0-9]+', 0) as int) as k from {events}) e where event_id % 10 = 3""",
+        from (select *, cast(regexp_extract(props, '[0-9]+', 0) as int) as k from {events}) e""",
     "imports": """
         select cast(c_custkey as bigint) as id, cast(c_custkey % (select count(*) from {supplier}) as bigint) as file_id,
             concat(case when c_nationkey % 2 = 0 then concat('Brand#', cast(1 + c_custkey % 25 as string), '.T', cast(c_nationkey % 10 as string)) else concat('org.', lower(c_mktsegment), '.n', cast(c_nationkey as string), '.X') end) as fqn,
