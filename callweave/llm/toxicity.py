@@ -4,6 +4,9 @@ Words written to escape a filter (l33t letters, stre-e-etched or s p a c e d one
 what each character may stand for. A Viterbi search finds the reading that a character trigram
 model of the corpus likes best, net of the channel's costs, and the restored words are scored.
 
+Between single characters that stand apart the lattice carries a blank too, so that whole sentences
+written so, of any length and with marks, are read as words.
+
 1. ``language_model``: trigram counts of 64 character classes over every whole text, summed within
    tasks and then across them: a table of fixed size (64 cubed at most).
 2. ``fitted``: for each feature (a restored word, its beginnings of 3 to 8 letters and its ends) the number of toxic
@@ -25,7 +28,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,8 +42,14 @@ CLASSES = 64
 #: What a written character may stand for besides itself.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "¡": "i"}
 MASK, SEPARATORS = "*", ".-_·'~`,"
+#: Left out at the ends of a character that stands apart.
+MARKS = ".,;:!?\"'()[]{}«»¿¡…|*#%&<>=/\\-_·~`"
 #: Costs in nats: a stand-in, a masked letter, a separator left out, a repeated letter left out, one of two equal letters left out, a mark left out at the word's end, one left out within.
 COST = {"leet": 1.0, "mask": 4.0, "separator": 1.5, "repeat": 0.5, "double": 2.0, "edge": 1.0, "mark": 4.0}
+#: What a word's end costs between characters that stand equally far apart: read at each price (a bonus first), as the model knows neither every word nor every join.
+BREAKS = (-2.0, 0.0, 2.0)
+#: The longest word with features.
+LONGEST = 40
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Feature to log odds, and to log odds as if CAUTION more clean documents had it.
@@ -113,9 +122,11 @@ class Restorer:
     TAIL = re.compile(r"(?:([^\w\s])\1{2,}|[!?.,;:)\]}\"'»…|]+)+$")
     HEAD = re.compile(r"^[\"'(\[{«¿.,;:*#%&|<>=/\\-]+")
     RUN = re.compile(r"([^\W\d_])\1\1")
+    TOKEN = re.compile(r"\S+")
 
     def __init__(self, model: np.ndarray) -> None:
         self.model = model.tolist()
+        self.short: dict[tuple[str, tuple[bool, ...]], set[str]] = {}
 
     def plain(self, word: str) -> str:
         """Lower case, without marks at its ends."""
@@ -153,10 +164,14 @@ class Restorer:
         """The best reading of ``word`` (lower case), or itself if nothing in it is suspicious."""
         if not self.suspicious(word):
             return word
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        return self.read(self.lattice(word))
+
+    def read(self, lattice: Iterable[list[tuple[str, float]]]) -> str:
+        """The reading of ``lattice`` that the model likes best."""
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         last = len(TABLE) - 1
-        for options in self.lattice(word):
-            step: dict[tuple[int, int], tuple[float, str]] = {}
+        for options in lattice:
+            step: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (score, said) in best.items():
                 for text, cost in options:
                     x, y, s = a, b, score - cost
@@ -166,23 +181,73 @@ class Restorer:
                         x, y = y, c
                     old = step.get((x, y))
                     if old is None or s > old[0]:
-                        step[x, y] = (s, said + text)
+                        step[x, y] = (s, (said, text) if text else said)
             best = step
-        return max(((s + self.model[a][b][0], said) for (a, b), (s, said) in best.items()), key=lambda r: r[0])[1]
+        said = max(((s + self.model[a][b][0], said) for (a, b), (s, said) in best.items()), key=lambda r: r[0])[1]
+        out = []
+        while said:
+            said, text = said
+            out.append(text)
+        return "".join(reversed(out))
+
+    def spaced(self, chars: str, gaps: list[int]) -> set[str]:
+        """The words of ``chars``, written apart, at each price of ``BREAKS``; gaps wider than the least (``gaps``: before each but the first) are likelier to end words."""
+        chars = "".join(c if len(c.lower()) > 1 else c.lower() for c in chars)
+        wide = tuple(g > min(gaps) for g in gaps)
+        if (found := self.short.get((chars, wide))) is None:
+            found = {w for cost in BREAKS for w in self.read(self.apart(chars, wide, cost)).split()}
+            if len(chars) <= 8:
+                if len(self.short) >= CACHE // 8:
+                    self.short.clear()
+                self.short[chars, wide] = found
+        return found
+
+    def apart(self, chars: str, wide: tuple[bool, ...], cost: float) -> Iterator[list[tuple[str, float]]]:
+        """The lattice of ``chars`` with the gaps between them; equal letters in a row as in ``lattice``."""
+        n, i = len(chars), 0
+        narrow, broad = [("", 0.0), (" ", COST["mark"] if any(wide) else cost)], [("", COST["separator"]), (" ", 0.0)]
+        while i < n:
+            j = i + 1
+            while j < n and chars[j] == chars[i] and chars[i].isalpha() and not wide[j - 1]:
+                j += 1
+            if i:
+                yield broad if wide[i - 1] else narrow
+            c, k = chars[i], j - i
+            yield self.lattice(c)[0]
+            if k > 1:
+                yield narrow
+                yield [(c, 0.0), ("", COST["double"])] if k == 2 else [(c, COST["repeat"]), ("", 0.0)]
+            i = j
 
     def words(self, text: str) -> set[str]:
-        """The text's distinct words as written, and each run of four or more single characters joined into one."""
+        """The text's distinct words as written, what ``spaced`` reads in characters that stand apart and in words too long for features, and each run of four or more single characters joined into one."""
         tokens = text.split()
         out = set(tokens)
-        if sum(len(w) == 1 for w in out) > 1 or len(out) < len(tokens):
+        odd = [w for w in out if len(w) > 4 and (len(w) > LONGEST or w[1] in SEPARATORS and w[3] in SEPARATORS)]
+        if sum(len(w) == 1 or len(w.strip(MARKS)) == 1 for w in out) > 1 or len(out) < len(tokens):
             run: list[str] = []
-            for w in (*tokens, "  "):
-                if len(w) == 1:
-                    run.append(w)
-                else:
+            gaps: list[int] = []
+            end = 0
+            for m in (*self.TOKEN.finditer(text), None):
+                w = m[0] if m else ""
+                single = w if len(w) == 1 else w.strip(MARKS)
+                if len(single) == 1:
+                    if run:
+                        gaps.append(m.start() - end)
+                    run.append(single)
+                    end = m.end()
+                elif run:
                     if len(run) >= 4:
                         out.add("".join(run))
-                    run = []
+                    if sum(c.isalpha() for c in run) > 1:
+                        out.update(self.spaced("".join(run), gaps))
+                    run, gaps = [], []
+        for w in odd:
+            bare = w.strip(MARKS)
+            spelled = len(bare) > 4 and all(c in SEPARATORS for c in bare[1::2])
+            if sum(c.isalpha() for c in bare) > 1 and (spelled or len(bare) > LONGEST):
+                chars = bare[::2] if spelled else bare
+                out.update(self.spaced(chars, [1] * (len(chars) - 1)))
         return out
 
     def text(self, text: str) -> str:
@@ -192,7 +257,7 @@ class Restorer:
 
 def features(word: str) -> tuple[str, ...]:
     n = len(word)
-    if n < 3 or n > 40:
+    if n < 3 or n > LONGEST:
         return ()
     return ("=" + word, *("<" + word[:k] for k in range(3, min(n, 9))), *(">" + word[-k:] for k in (5, 6) if n > k))
 

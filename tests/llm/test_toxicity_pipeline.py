@@ -103,6 +103,31 @@ def test_obfuscated_texts_are_found(spark, tables):
     assert got == {10**6: 1, 10**6 + 1: 1, 10**6 + 2: 1, 10**6 + 3: 1, 10**6 + 9: 0}
 
 
+SPACED = [
+    "t h e i d i o t o f t h e a n d i n t h a t s t u p i d i s w i t h a n i d i o t o f t h e s t u p i d",
+    "t h e   i d i o t   o f   t h e   a n d   i n   t h a t   s t u p i d   w i t h   a n   i d i o t   o f   t h e",
+    "t, h. e i! d i o t, o f t h e a n d i n t h a t s t u p i d i s w i t h a n i d 1 o t, o f t h e s t u p i d !",
+    "t.h.e.i.d.i.o.t.o.f.t.h.e.a.n.d.i.n.t.h.a.t.s.t.u.p.i.d.i.s.w.i.t.h.a.n.i.d.i.o.t",
+]
+
+
+@pytest.mark.parametrize("text", SPACED)
+def test_spaced_sentences_are_read_as_words(model, text):
+    assert {"idiot", "stupid"} <= toxicity.Restorer(model).words(text)
+
+
+def test_long_spaced_text_is_read(model):
+    assert "idiot" in toxicity.Restorer(model).words(" ".join("theidiotofthe" * 200))
+
+
+def test_spaced_toxic_sentences_are_found(spark, tables):
+    docs, labels = tables
+    clean = ["t h e a n d i n t h a t w i t h a n i s o f t h e a n d i n t h a t w i t h a n i s", "the a b c of the"]
+    extra = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate([*SPACED, *clean])], "doc_id long, text string")
+    got = {r["doc_id"] - 10**6: r["predicted"] for r in toxicity.scored(docs.select("doc_id", "text").unionByName(extra), labels).where("doc_id >= 1000000").collect()}
+    assert got == {0: 1, 1: 1, 2: 1, 3: 1, 4: 0, 5: 0}
+
+
 def test_no_labels_nulls_and_empty(spark):
     docs = spark.createDataFrame([(1, None, "x"), (None, "", "y"), (2, "a b c", "z"), (2, "a b c", "z")], "doc_id long, text string, score string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
