@@ -6,7 +6,8 @@ component over redirect (meta refresh) and canonical-link edges found in the pag
 allow anywhere in the component takes precedence over blocks, which take precedence over the
 default, allow. A rule of a url's own is never overridden.
 
-A node is a url without scheme and fragment, host in lower case, so two pages of one url are one
+Every canonical and refresh tag of a page counts; addresses have their character references read.
+A node is a url without scheme, fragment and dot segments, host in lower case, so two pages of one url are one
 node; link targets outside the table are nodes too and are judged by the rules. All of it is
 DataFrame operations. Only rows that carry a link reach the component search; one
 decision per node meets the pages in an equi-join that Spark may broadcast or split by size.
@@ -32,6 +33,11 @@ CANONICAL_TAG = r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)"
 HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 REFRESH_TAG = r"(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)"
 REFRESH_URL = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
+#: Any link tag, and a rel that has ``canonical`` among its words.
+LINK_TAG = r"(?is)(<link\b[^>]*>)"
+CANONICAL_REL = r"(?is)\brel\s*=\s*(?:\"(?:[^\"]*\s)?canonical(?:\s[^\"]*)?\"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical(?=[\s/>]))"
+#: Character references by name that addresses have; others are numbers or stay.
+ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "sol": "/", "colon": ":", "quest": "?", "num": "#", "equals": "=", "period": ".", "percnt": "%", "commat": "@", "lowbar": "_", "comma": ",", "semi": ";", "plus": "+"}
 
 
 def _rest(url: Column) -> Column:
@@ -50,7 +56,32 @@ def path(url: Column) -> Column:
 def node(url: Column) -> Column:
     """The alias key; null without a host."""
     h = host(url)
-    return F.when(h != "", F.concat(h, F.regexp_extract(_rest(url), "^[^/?#]*([^#]*)", 1)))
+    return F.when(h != "", F.concat(h, _undotted(path(url)), F.regexp_extract(_rest(url), "^[^?#]*([^#]*)", 1)))
+
+
+def _undotted(p: Column) -> Column:
+    """A path without ``.`` and ``..`` segments."""
+    parts = F.split(p, "/")
+    step = lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.expr("cast(array() as array<string>)"), step)
+    ended = F.when(p.rlike(r"/\.\.?$"), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(p.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(ended, "/"))).otherwise(p)
+
+
+def _unescaped(s: Column) -> Column:
+    """``s`` with its HTML character references read, each once."""
+
+    def read(x: Column) -> Column:
+        name = F.regexp_extract(x, "^&([A-Za-z]+);$", 1)
+        number = F.regexp_extract(x, "^&#([0-9]{1,7});$", 1)
+        hexed = F.regexp_extract(x, "^&#[xX]([0-9A-Fa-f]{1,6});$", 1)
+        point = F.when(number != "", number.cast("bigint")).when(hexed != "", F.conv(hexed, 16, 10).cast("bigint"))
+        known = F.create_map(*[F.lit(v) for pair in ENTITIES.items() for v in pair])
+        char = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+        return F.when(point.between(1, 0xD7FF) | point.between(0xE000, 0x10FFFF), char).otherwise(F.coalesce(F.try_element_at(known, name), x))
+
+    pieces = F.regexp_extract_all(s, F.lit("(&#?[0-9A-Za-z]+;|[^&]+|&)"), F.lit(1))
+    return F.when(F.instr(s, "&") > 0, F.array_join(F.transform(pieces, read), "")).otherwise(s)
 
 
 def _best(h: Column, p: Column, rules: list[tuple[str, str]]) -> Column:
@@ -63,21 +94,25 @@ def _best(h: Column, p: Column, rules: list[tuple[str, str]]) -> Column:
 
 
 def _absolute(link: Column, url: Column) -> Column:
-    """``link`` as seen from ``url``: absolute, of the same scheme, of the same host, or beside the page."""
+    """``link`` as seen from ``url``: absolute, of the same scheme, of the same host, of the same path, or beside the page."""
     scheme = F.regexp_extract(url, "^([^:/?#]*)://", 1)
     top = F.concat(scheme, F.lit("://"), host(url))
     return (
-        F.when(F.instr(link, "://") > 0, link)
+        F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+        .when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
         .when(F.startswith(link, F.lit("//")), F.concat(scheme, F.lit(":"), link))
         .when(F.startswith(link, F.lit("/")), F.concat(top, link))
+        .when(F.startswith(link, F.lit("?")) | F.startswith(link, F.lit("#")), F.concat(top, path(url), link))
         .otherwise(F.concat(top, F.regexp_replace(F.when(path(url) == "", "/").otherwise(path(url)), "[^/]*$", ""), link))
     )
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """``(a, b)``: the nodes of each page and of its canonical and redirect targets."""
-    found = pages.select("url", F.array(F.regexp_extract(F.regexp_extract("html", CANONICAL_TAG, 1), HREF, 1), F.regexp_extract(F.regexp_extract("html", REFRESH_TAG, 1), REFRESH_URL, 1)).alias("links"))
-    each = found.where("links[0] <> '' or links[1] <> ''").select("url", F.explode("links").alias("link")).where("link <> ''")
+    """``(a, b)``: the nodes of each page and of all its canonical and redirect targets."""
+    canonical = F.transform(F.filter(F.regexp_extract_all("html", F.lit(LINK_TAG), F.lit(1)), lambda t: t.rlike(CANONICAL_REL)), lambda t: F.regexp_extract(t, HREF, 1))
+    refresh = F.transform(F.regexp_extract_all("html", F.lit(REFRESH_TAG), F.lit(1)), lambda t: F.regexp_extract(t, REFRESH_URL, 1))
+    found = pages.select("url", F.filter(F.concat(canonical, refresh), lambda x: x != "").alias("links")).where("size(links) > 0")
+    each = found.select("url", F.explode("links").alias("link")).select("url", _unescaped(F.col("link")).alias("link"))
     return each.select(node(F.col("url")).alias("a"), node(_absolute(F.col("link"), F.col("url"))).alias("b")).where("a is not null and b is not null")
 
 

@@ -65,6 +65,30 @@ def test_long_alias_chain(spark):
     assert [r["verdict"] for r in got] == ["block"]
 
 
+LINKS = [
+    ('<link rel=canonical href=""><link rel="canonical" href="http://a.x/1"><link rel=canonical href="http://a.x/2">', ["a.x/1", "a.x/2"]),
+    ('<meta http-equiv="refresh" content="5"><meta http-equiv="refresh" content="0; url=http://a.x/3">', ["a.x/3"]),
+    ('<link rel="alternate canonical" href="/k">', ["p.x/k"]),
+    ('<link rel="noncanonical" href="/k"><link rel="stylesheet" href="canonical">', []),
+    ('<link rel="canonical" href="http://a.x/p?a=1&amp;b=2&#38;c=3&#x26;d=&amp;lt;&#233;&nope;">', ["a.x/p?a=1&b=2&c=3&d=&lt;é&nope;"]),
+    ('<link rel="canonical" href="../c/./d"><link rel=canonical href="./e">', ["p.x/a/c/d", "p.x/a/b/e"]),
+    ('<link rel="canonical" href="../../../../f/.."><link rel=canonical href="?q=http://z.x/">', ["p.x/", "p.x/a/b/page?q=http://z.x/"]),
+    ('<link rel="canonical" href="mailto:x@y.z">', []),
+]
+
+
+def test_all_links_of_a_page(spark):
+    for html, want in LINKS:
+        pages = spark.createDataFrame([("http://p.x/a/b/page", html)], "url string, html string")
+        assert sorted(tuple(r) for r in url_filter.link_edges(pages).collect()) == sorted(("p.x/a/b/page", b) for b in want), html
+
+
+def test_block_reaches_every_alias(spark):
+    rows = [(1, "http://p.x/1", '<link rel=canonical href="http://q.x/2"><link rel="canonical" href="http://r.x/3?a=1&amp;b=2">'), (2, "http://r.x/3?a=1&b=2", '<meta http-equiv=refresh content="0; url=http://bad.org/x/../es/1">')]
+    got = url_filter.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).select("verdict").collect()
+    assert [r["verdict"] for r in got] == ["block", "block"]
+
+
 def test_url_empty(spark):
     assert url_filter.judged(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
