@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` where the cluster names one; a temporary folder of this session's where none is set."""
+    """``spark.checkpoint.dir`` where the cluster names one, or the folder set on the context; with a local master alone, else a temporary folder of this session's.
+
+    A driver's temporary folder is of no use to executors on other machines, so a cluster without a shared folder is an error.
+    """
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="callweave-"))
     return context._jsc.sc().getCheckpointDir().get()
 
