@@ -11,7 +11,7 @@ def quality_sql(docs: str = "documents", keys: str = "doc_id", tail: str = "sele
     """Restates the measures, the bucketed quantiles and the rules over a table or subquery ``docs``."""
     names = ["symbols", "duplicates", "repeats", "capitals"]
     limits = " ".join(f"when '{n}' then {quality.GAPS[n]}" for n in names)
-    pick = ", ".join(f"max(case when g.measure = '{n}' then case when g.total >= {quality.MIN_GROUP} then g.top when l.total >= {quality.MIN_GROUP} then l.top else a.top end end) as top_{n}" for n in names)
+    pick = ", ".join(f"max(case when g.measure = '{n}' then case when g.total >= {quality.MIN_GROUP} then least(g.top, {quality.ROOF} * l.top) else l.top end end) as top_{n}" for n in names)
     within = " and ".join(f"v.{n} <= t.top_{n}" for n in names)
     return f"""
 with raw as (
@@ -55,10 +55,11 @@ with raw as (
     from ranked group by level, lang, source, measure
 ), tops as (
     select *, q75 + greatest({quality.SPREAD} * (q75 - q25), case measure {limits} end) as top from fences
+), languages as (
+    select l.lang, l.measure, case when l.total >= {quality.MIN_GROUP} then least(l.top, {quality.ROOF} * a.top) else a.top end as top
+    from tops l join tops a on a.level = 0 and l.measure = a.measure where l.level = 1
 ), picked as (
-    select g.lang, g.source, {pick} from tops g
-    join tops l on l.level = 1 and g.lang is not distinct from l.lang and g.measure = l.measure
-    join tops a on a.level = 0 and g.measure = a.measure
+    select g.lang, g.source, {pick} from tops g join languages l on g.lang is not distinct from l.lang and g.measure = l.measure
     where g.level = 2 group by g.lang, g.source
 ), judged as (
     select v.*, base_failed, not base_failed and {within} as kept

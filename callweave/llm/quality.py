@@ -5,14 +5,18 @@ log-linear histogram whose bucket is the number itself below 64 and its six lead
 above, so that any value is known to 1/32 and a sketch has some hundreds of buckets at most.
 Sketches of (language, source) merge into those of a language and of all documents, which
 stand in where a group has fewer than ``min_group`` documents. A document fails the adaptive
-rules when a measure lies beyond ``q75 + max(spread * (q75 - q25), gap)`` of its group.
+rules when a measure lies beyond the fence of its group: ``q75 + max(spread * (q75 - q25), gap)``, but at most
+``ROOF`` times the fence of the group's language, and a language's at most ``ROOF`` times that of all documents,
+so that a source mostly of junk doesn't set its own standard. The gaps are what a measure must differ by
+to matter; they decide where a measure is nearly always 0 in a group, as its quartiles say nothing then.
 
 Everything is DataFrame operations. The sketch is a partial aggregate, so a source with a
 third of all rows is merged map-side, and the thresholds (one row a group) meet the measures in
 a plain equi-join, broadcast or split by Spark as their size has it.
 
 Null text counts as no words (base rules fail); null language and source are groups of their
-own; repeated rows are judged alike; an empty table gives an empty one.
+own; repeated rows are judged alike; an empty table gives an empty one. Whole texts are measured, of any length: a
+row's words and windows stand in memory at once. Other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -26,7 +30,8 @@ WORD = f"[^{SPACE}]+"
 BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 #: Measures in thousandths, and how far beyond its group's upper quartile each may lie at least.
-GAPS = {"symbols": 60, "duplicates": 400, "repeats": 250, "capitals": 250}
+GAPS = {"symbols": 40, "duplicates": 250, "repeats": 150, "capitals": 15}
+ROOF = 2
 MIN_GROUP, SPREAD, MIN_WORDS, MAX_REPEAT_PERCENT = 50, 3, 20, 30
 WINDOW = 8
 
@@ -92,10 +97,12 @@ def thresholds(values: DataFrame, names: list[str], min_group: int, spread: int,
         ), tops as (
             select *, q75 + greatest({spread} * (q75 - q25), case measure {limits} end) as top from fences
         )
-        select g.lang, g.source, {", ".join(f"max(case when g.measure = '{n}' then case when g.total >= {min_group} then g.top when l.total >= {min_group} then l.top else a.top end end) as top_{n}" for n in names)}
-        from tops g
-        join tops l on l.level = 1 and g.lang <=> l.lang and g.measure = l.measure
-        join tops a on a.level = 0 and g.measure = a.measure
+        , languages as (
+            select l.lang, l.measure, case when l.total >= {min_group} then least(l.top, {ROOF} * a.top) else a.top end as top
+            from tops l join tops a on a.level = 0 and l.measure = a.measure where l.level = 1
+        )
+        select g.lang, g.source, {", ".join(f"max(case when g.measure = '{n}' then case when g.total >= {min_group} then least(g.top, {ROOF} * l.top) else l.top end end) as top_{n}" for n in names)}
+        from tops g join languages l on g.lang <=> l.lang and g.measure = l.measure
         where g.level = 2 group by g.lang, g.source"""
     return values.sparkSession.sql(sql, cells=cells)
 
