@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star steps, in DataFrame operations alone.
 
 Each step is one pre-aggregated minimum per node and one join, so a node with very many
-neighbours is an ordinary skewed join that adaptive execution splits; no group is gathered.
+neighbours is a join whose rows are dealt by a salt; no group is gathered.
 The edges of every step are written to the shared folder.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import Scratch
+from callweave.llm.common import Scratch, dealt, repeated
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -43,7 +43,7 @@ def _mark(edges: DataFrame) -> tuple:
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Large: every greater neighbour of u gets the least of u's neighbours and u. Small: the same for lesser ones and u itself (edges u > v)."""
     least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = edges.join(least, "u")
+    joined = dealt(edges, "v").join(repeated(least), ["u", "salt"])
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

@@ -9,11 +9,13 @@ identity, those that round items above half (for every threshold), and the round
 k parts. A group whose number of bins meets the bound is certified: no packing of its
 pieces is better. Groups with a gap give up the bins that aren't full; these pieces are exchanged
 between the groups (dealt anew by another hash) and packed again, for as long as that saves
-bins and at most ``ROUNDS`` times. The last, least filled bins of certified groups join the
+bins. The last, least filled bins of certified groups join the
 exchange, so groups cost no bins of their own.
 
 Token ids equal those of the tokenizers library for the given vocabulary, specials in the text
-included; they come from the same merges in tiktoken's core, which takes a fifth of the time.
+included; they come from the same merges in tiktoken's core, which takes a fifth of the time. That core's pattern
+engine gives up on very long runs of white space, so these are cut out by the pattern's own rule and encoded whole
+(``Ids``): texts of any length and kind are encoded.
 
 Null text is an empty document (its end token alone). Null ids and repeated rows are pieces like others:
 each row is packed. An empty table gives an empty one.
@@ -29,19 +31,27 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callweave.llm.common import Scratch
 
-LENGTH, END, GROUP, ROUNDS = 1024, 2, 32_768, 4
+LENGTH, END, GROUP = 1024, 2, 32_768
 PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 
 
 class Ids:
-    """Text to ids as an array, specials in the text as their own ids, as the tokenizers library has it."""
+    """Text to ids as an array, specials in the text as their own ids, as the tokenizers library has it.
+
+    A run of white space is one pre-token up to its last character; that one goes with what follows, unless the text or
+    a special token ends the run. Nothing else in the pattern reaches over a run's start.
+    """
+
+    #: Shorter runs are left to the pattern engine.
+    RUN = regex.compile(r"\p{White_Space}{50000,}")
 
     def __init__(self, ranks: str, vocabulary: str, pattern: str) -> None:
         import tiktoken
@@ -53,6 +63,16 @@ class Ids:
         self.specials, self.core = specials, tiktoken.Encoding("pack", pat_str=pattern, mergeable_ranks=merges, special_tokens=specials)
 
     def __call__(self, text: str) -> np.ndarray:
+        if len(text) < 50_000 or not self.RUN.search(text):
+            return self._short(text)
+        out, done = [], 0
+        for m in self.RUN.finditer(text):
+            end = m.end() if m.end() == len(text) or text.startswith(tuple(self.specials), m.end()) else m.end() - 1
+            out += [self._short(text[done : m.start()]), np.array(self.core._encode_single_piece(text[m.start() : end]), np.uint32)]
+            done = end
+        return np.concatenate((*out, self._short(text[done:])))
+
+    def _short(self, text: str) -> np.ndarray:
         return self.core.encode_to_numpy(text, allowed_special="all", disallowed_special=())
 
 
@@ -146,7 +166,7 @@ def _pack(capacity: int, shift: int):
             given[int(fill.argmin())] = fill.min() < capacity
         else:
             given = fill < capacity
-        sequences = (shift << 56) + (group << 24) + bins
+        sequences = (shift << 48) + (group << 20) + bins
         for name, values in (("sequence_id", pa.array(sequences, pa.int64())), ("offset", pa.array(offsets, pa.int64())), ("given", pa.array(given[bins]))):
             rows = rows.append_column(name, values)
         return rows
@@ -169,9 +189,9 @@ def packed(docs: DataFrame, tokenizer_args: tuple[str, str, str], length: int =
     rest = every.where(F.col("length") < length)
     n = rest.count()
     now = _round(rest, n, length, 0, scratch) if n else None
-    for number in range(1, ROUNDS + 1):
-        if now is None:
-            break
+    number = 0
+    while now is not None:
+        number += 1
         before, n = now.where("given").agg(F.countDistinct("sequence_id"), F.count("*")).first()
         if before < 2:
             break

@@ -16,12 +16,13 @@ written so, of any length and with marks, are read as words.
    regression over a document's evidence (``summary``) is fitted with the weights that the other half of
    the sample gave, so that chance features aren't believed. The sample is bounded and documented:
    at most ``SAMPLE`` labelled rows of either label, those of the least hash of doc_id, so it is
-   the same on every run; only that bounded table is broadcast, and the prior is that of all training labels.
+   the same on every run; only that bounded table is broadcast, and the prior is that of all training labels. A model
+   keeps the ``max_features`` features that tell most, a size of the classifier like the sample's.
 3. ``scored``: one pass over all whole texts. Labels, language, source and doc_id are no inputs of a score.
 
-No shuffle carries texts. Null and empty texts get the prior. Labels of held-out documents (crc32 of doc_id
+Words and texts of any length are read whole: the search keeps a few paths and takes time in proportion. No shuffle carries texts. Null and empty texts get the prior. Labels of held-out documents (crc32 of doc_id
 as text, modulo 3, is 1) aren't read. Null doc_ids are not held out and have no labels; labels that repeat a
-doc_id count as toxic if any is. With no labels of one kind there are no weights: all get the prior (1/2 without labels).
+doc_id count as toxic if any is. Repeated rows get one score each. Other columns play no part. With no labels of one kind there are no weights: all get the prior (1/2 without labels).
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callweave.llm.common import Scratch
+
 SAMPLE, MAX_FEATURES, LEAST_RATIO, THRESHOLD, CACHE = 10_000, 50_000, 5.0, 0.7, 250_000
 RIDGE, CAUTION = 1.0, 8
 CLASSES = 64
@@ -48,8 +51,10 @@ MARKS = ".,;:!?\"'()[]{}«»¿¡…|*#%&<>=/\\-_·~`"
 COST = {"leet": 1.0, "mask": 4.0, "separator": 1.5, "repeat": 0.5, "double": 2.0, "edge": 1.0, "mark": 4.0}
 #: What a word's end costs between characters that stand equally far apart: read at each price (a bonus first), as the model knows neither every word nor every join.
 BREAKS = (-2.0, 0.0, 2.0)
-#: The longest word with features.
-LONGEST = 40
+#: Longer words are read with blanks between their characters too.
+LONG = 40
+#: Longer words aren't kept in caches.
+KEPT = 64
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Feature to log odds, and to log odds as if CAUTION more clean documents had it.
@@ -133,7 +138,8 @@ class Restorer:
         return self.HEAD.sub("", self.TAIL.sub("", word.lower()))
 
     def suspicious(self, word: str) -> bool:
-        return not word.isalpha() and len(word) <= 64 and self.ODD.search(word) is not None and any(c in LEET or c in SEPARATORS or c == MASK for c in word) or self.RUN.search(word) is not None
+        stands_in = not word.isalpha() and self.ODD.search(word) is not None and any(c in LEET or c in SEPARATORS or c == MASK for c in word)
+        return stands_in or self.RUN.search(word) is not None
 
     def lattice(self, word: str) -> list[list[tuple[str, float]]]:
         """For each run of equal characters, the strings it may stand for and their costs."""
@@ -220,10 +226,10 @@ class Restorer:
             i = j
 
     def words(self, text: str) -> set[str]:
-        """The text's distinct words as written, what ``spaced`` reads in characters that stand apart and in words too long for features, and each run of four or more single characters joined into one."""
+        """The text's distinct words as written, what ``spaced`` reads in characters that stand apart and in words of more than ``LONG`` characters, and each run of four or more single characters joined into one."""
         tokens = text.split()
         out = set(tokens)
-        odd = [w for w in out if len(w) > 4 and (len(w) > LONGEST or w[1] in SEPARATORS and w[3] in SEPARATORS)]
+        odd = [w for w in out if len(w) > 4 and (len(w) > LONG or w[1] in SEPARATORS and w[3] in SEPARATORS)]
         if sum(len(w) == 1 or len(w.strip(MARKS)) == 1 for w in out) > 1 or len(out) < len(tokens):
             run: list[str] = []
             gaps: list[int] = []
@@ -245,7 +251,7 @@ class Restorer:
         for w in odd:
             bare = w.strip(MARKS)
             spelled = len(bare) > 4 and all(c in SEPARATORS for c in bare[1::2])
-            if sum(c.isalpha() for c in bare) > 1 and (spelled or len(bare) > LONGEST):
+            if sum(c.isalpha() for c in bare) > 1 and (spelled or len(bare) > LONG):
                 chars = bare[::2] if spelled else bare
                 out.update(self.spaced(chars, [1] * (len(chars) - 1)))
         return out
@@ -257,7 +263,7 @@ class Restorer:
 
 def features(word: str) -> tuple[str, ...]:
     n = len(word)
-    if n < 3 or n > LONGEST:
+    if n < 3:
         return ()
     return ("=" + word, *("<" + word[:k] for k in range(3, min(n, 9))), *(">" + word[-k:] for k in (5, 6) if n > k))
 
@@ -271,13 +277,14 @@ class Marked(dict):
         self.most = CACHE // 8 if weights is None else CACHE  # features take more room than a number
 
     def __missing__(self, word: str):
-        if len(self) >= self.most:
-            self.clear()
         found = features(self.restorer.restore(self.restorer.plain(word)))
         if self.weights is not None:
             known = [x for f in found if (x := self.weights.get(f))]
             found = (max(w for w, _ in known), self.weights.get(found[0], (0.0, -math.inf))[1]) if known else ()
-        self[word] = found
+        if len(word) <= KEPT:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = found
         return found
 
     def summary(self, text: str | None) -> list[float]:
@@ -291,7 +298,7 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample: int = SAMPLE) -> tuple[Weights, list[float], float]:
+def fitted(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample: int = SAMPLE, max_features: int = MAX_FEATURES) -> tuple[Weights, list[float], float]:
     """Feature weights, the regression's coefficients (the intercept first) and the prior's log odds, from labelled documents that aren't held out."""
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n = {bool(t): c for t, c in known.groupBy(F.col("toxic") > 0).count().collect()}
@@ -319,15 +326,16 @@ def fitted(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample: int =
                     seen = {}
         yield _counts(seen)
 
-    counts = rows.mapInArrow(count, "f string, t0 long, c0 long, t1 long, c1 long").groupBy("f").agg(*[F.sum(x).alias(x) for x in ("t0", "c0", "t1", "c1")]).persist()
+    scratch = Scratch(docs.sparkSession)
+    counts = scratch.save(rows.mapInArrow(count, "f string, t0 long, c0 long, t1 long, c1 long").groupBy("f").agg(*[F.sum(x).alias(x) for x in ("t0", "c0", "t1", "c1")]))
     every = counts.where("f = ''").first()
     if not every:  # no labelled document is there
-        counts.unpersist()
+        scratch.drop(counts)
         return {}, [prior], prior
     kinds = counts.count()
-    folds = [_weights(counts, F.col(f"t{i}"), F.col(f"c{i}"), every[f"t{i}"], every[f"c{i}"], kinds) for i in (0, 1)]
-    weights = _weights(counts, F.col("t0") + F.col("t1"), F.col("c0") + F.col("c1"), every["t0"] + every["t1"], every["c0"] + every["c1"], kinds)
-    counts.unpersist()
+    folds = [_weights(counts, F.col(f"t{i}"), F.col(f"c{i}"), every[f"t{i}"], every[f"c{i}"], kinds, max_features) for i in (0, 1)]
+    weights = _weights(counts, F.col("t0") + F.col("t1"), F.col("c0") + F.col("c1"), every["t0"] + every["t1"], every["c0"] + every["c1"], kinds, max_features)
+    scratch.drop(counts)
     crossed = context.broadcast(folds)
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,7 +369,7 @@ def regression(x: np.ndarray, y: np.ndarray, steps: int = 30) -> list[float]:
     return w.tolist()
 
 
-def _weights(counts: DataFrame, t: Column, c: Column, toxic: int, clean: int, kinds: int) -> Weights:
+def _weights(counts: DataFrame, t: Column, c: Column, toxic: int, clean: int, kinds: int, max_features: int) -> Weights:
     """Log odds of the features that hold more than chance would among so many kinds."""
     if not toxic or not clean:
         return {}
@@ -370,7 +378,7 @@ def _weights(counts: DataFrame, t: Column, c: Column, toxic: int, clean: int, ki
     # twice the log-likelihood ratio of the feature's own toxic share against the sample's
     g2 = 2 * (t * F.log(t / (t + c) / share) + F.when(c > 0, c * F.log(c / (t + c) / (1 - share))).otherwise(0.0))
     strong = counts.where(t > 0).where("f <> ''").select("f", odds.alias("w"), g2.alias("g"), (F.log((t + 0.5) / (toxic + 1)) - F.log((c + CAUTION) / (clean + CAUTION))).alias("v")).where((F.col("w") >= math.log(LEAST_RATIO)) & (F.col("g") >= 2 * math.log(max(kinds, 2))))
-    return {r["f"]: (r["w"], r["v"]) for r in strong.orderBy(F.desc("g"), "f").limit(MAX_FEATURES).collect()}
+    return {r["f"]: (r["w"], r["v"]) for r in strong.orderBy(F.desc("g"), "f").limit(max_features).collect()}
 
 
 def _counts(seen: dict[str, list[int]]) -> pa.RecordBatch:

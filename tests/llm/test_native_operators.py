@@ -126,6 +126,17 @@ def test_quality_threshold_follows_the_group(spark):
     assert quality.keep(docs).columns == docs.columns and quality.keep(docs).count() == 400
 
 
+def test_quality_fences_are_bounded_by_the_language(spark):
+    """A source of which 40 % repeat their lines doesn't set its own standard; its clean texts stay."""
+    clean = lambda i: "\n".join(f"w{i}a{j} b c{j} d e{j}" for j in range(10))
+    junk = lambda i: "\n".join(f"w{i}a{j % 5} b c{j % 5} d e{j % 5} line{j // 10}" for j in range(10))
+    rows = [(i, clean(i), "en", "a", 1, 1) for i in range(500)] + [(1000 + i, junk(i) if i % 5 < 2 else clean(1000 + i), "en", "b", 1, 1) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, __doc_id int, __h int")
+    judged = {r["doc_id"]: (r["duplicates"], r["base_failed"], r["kept"]) for r in quality.judged(docs, [F.col("doc_id")]).collect()}
+    assert all((r["kept"]) == (not r["base_failed"] and r["duplicates"] <= 250) for r in quality.judged(docs, [F.col("doc_id")]).collect()), judged
+    assert quality.keep(docs).columns == docs.columns and {r["doc_id"] for r in quality.keep(docs).collect()} == {k for k, v in judged.items() if v[2]}
+
+
 def test_quality_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert quality.judged(docs, [F.col("doc_id")]).count() == 0

@@ -67,6 +67,30 @@ def test_last_round_alone_is_exact(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in found} == brute(rows, 3, 90)
 
 
+@pytest.mark.parametrize(("many", "rounds"), [(1, 2), (3, 0)])
+def test_postponed_shingles_keep_the_result(spark, monkeypatch, many, rounds):
+    """With common shingles put last in the order all links are found, by whatever rounds; hot shingles go to many tasks."""
+    monkeypatch.setattr(ngram_join, "MANY", many)
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+    monkeypatch.setattr(ngram_join, "DEAL", 2)
+    rng = random.Random(many)
+    passage = [f"s{i}" for i in range(30)]
+    bases = [[f"w{rng.randrange(300)}" for _ in range(rng.choice([4, 8, 40]))] for _ in range(14)]
+    texts = [" ".join([*passage, *edited(rng, b, 0.02)]) for b in bases for _ in range(3)] + [" ".join(passage), " ".join([*passage, "x"])]
+    rows = [*enumerate(texts), (2, texts[40]), (7, "a b c d")]  # a doc_id of two texts
+    found = ngram_join.joined(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == brute(rows, 3, 80)
+
+
+def test_keep_repeats_clashes_and_long_texts(spark):
+    long = " ".join(f"w{i % 977}" for i in range(150_000))
+    rows = [(1, "a b c d e f", 0), (1, "a b c d e f", 0), (2, "A b c d e f", 1), (None, "a b c d e f", 2), (None, "a b c d e f", 2), (3, long, 3), (4, long + " w", 4), (5, "", 5), (5, "", 5)]
+    docs = spark.createDataFrame([(*r, *r[:1] * 4) for r in rows], "doc_id long, text string, k int, __doc_id long, node long, component_id long, n long")
+    out = ngram_join.keep(docs)
+    assert out.columns == docs.columns
+    assert sorted((repr(r["doc_id"]), r["k"]) for r in out.collect()) == [("1", 0), ("3", 3), ("5", 5), ("None", 2), ("None", 2)]
+
+
 def test_keep_one_of_each(spark):
     long = " ".join(f"w{i}" for i in range(200))
     rows = [(5, long, "en", "a", 1), (3, long, "en", "b", 1), (9, long + " tail", "en", "a", 1), (4, "all else here is different", "de", "a", 1), (7, None, None, None, None), (8, "", "en", "a", 0)]
