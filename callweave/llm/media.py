@@ -2,8 +2,8 @@
 
 ``wrap`` stores a payload as uncompressed 8-bit grey video: each 64 bytes are one 8 x 8 frame, the
 last filled up with zero bytes, every ``GOP``-th frame marked as a sync sample. ``walk`` yields the boxes of any ISO
-file, nested ones too; ``sample_table`` decodes stsd, stts, stsc, stsz, stco or co64 and stss, so that codec,
-duration, and the byte ranges of all samples and of the keyframes are known while no
+file, nested ones too; ``sample_tables`` decodes stsd, stsc, stsz or stz2, stco or co64 and stss, and of fragmented files
+trex, tfhd and trun, so that codec, duration, and the byte ranges of all samples and of the keyframes are known while no
 payload byte is looked at. Files of several tracks give one table per track.
 
 Each row stands alone (no shuffle), so repeats and ties give equal values; null and empty texts
@@ -118,46 +118,122 @@ class Track:
 
 
 def sample_tables(data: memoryview) -> list[Track]:
-    """Each track's codec, times and sample places, from the boxes alone."""
-    tracks: list[Track] = []
+    """Each track's codec, times and sample places, from the boxes alone; samples of fragments follow those of the track's own table."""
+    tracks: dict[int, Track] = {}
     tables: list[dict[bytes, tuple[int, int]]] = []
+    trex: dict[int, tuple[int, ...]] = {}
+    fragments: list[tuple[int, list[tuple[bytes, int]]]] = []  # where the moof starts; the tfhd and trun boxes in it
+    top = 0
     for path, a, b in walk(data):
-        if path[-1] == b"trak":
+        kind = path[-1]
+        if kind == b"trak":
             tables.append({})
+        elif kind == b"moof":
+            fragments.append((top, []))
+        elif kind == b"trex":
+            track, _, *defaults = struct.unpack_from(">5I", data, a + 4)
+            trex[track] = tuple(defaults)
+        elif kind in (b"tfhd", b"trun") and b"moof" in path:
+            fragments[-1][1].append((kind, a))
         elif tables and b"trak" in path:
-            tables[-1][path[-1]] = (a, b)
-    for t in tables:
-        track = Track()
-        tracks.append(track)
-        at = {k: a + 4 for k, (a, _) in t.items()}
-        version = data[t[b"mdhd"][0]]
-        track.timescale, track.duration = struct.unpack_from(">IQ" if version else ">II", data, at[b"mdhd"] + (16 if version else 8))
-        track.handler = bytes(data[at[b"hdlr"] + 4 : at[b"hdlr"] + 8]).decode("latin-1")
-        track.codec = bytes(data[at[b"stsd"] + 8 : at[b"stsd"] + 12]).decode("latin-1")
-        if track.handler == "vide":
-            track.width, track.height = struct.unpack_from(">HH", data, at[b"stsd"] + 4 + 8 + 24)
+            tables[-1][kind] = (a, b)
+        if len(path) == 1:
+            top = b
+    for i, t in enumerate(tables):
+        number = struct.unpack_from(">I", data, t[b"tkhd"][0] + (20 if data[t[b"tkhd"][0]] else 12))[0] if b"tkhd" in t else -i
+        tracks[number] = _track(data, t)
+    for start, boxes in fragments:
+        _fragment(data, start, boxes, tracks, trex)
+    return list(tracks.values())
+
+
+def _track(data: memoryview, t: dict[bytes, tuple[int, int]]) -> Track:
+    track, at = Track(), {k: a + 4 for k, (a, _) in t.items()}
+    version = data[t[b"mdhd"][0]]
+    track.timescale, track.duration = struct.unpack_from(">IQ" if version else ">II", data, at[b"mdhd"] + (16 if version else 8))
+    track.handler = bytes(data[at[b"hdlr"] + 4 : at[b"hdlr"] + 8]).decode("latin-1")
+    track.codec = bytes(data[at[b"stsd"] + 8 : at[b"stsd"] + 12]).decode("latin-1")
+    if track.handler == "vide":
+        track.width, track.height = struct.unpack_from(">HH", data, at[b"stsd"] + 4 + 8 + 24)
+    track.sizes = _sizes(data, at)
+    n = len(track.sizes)
+    where, kind = (at[b"co64"], "Q") if b"co64" in at else (at[b"stco"], "I")
+    (chunks,) = struct.unpack_from(">I", data, where)
+    starts = struct.unpack_from(f">{chunks}{kind}", data, where + 4)
+    (m,) = struct.unpack_from(">I", data, at[b"stsc"])
+    runs = [struct.unpack_from(">III", data, at[b"stsc"] + 4 + 12 * i) for i in range(m)]
+    sample = 0
+    for i, (first, per, _) in enumerate(runs):
+        until = runs[i + 1][0] if i + 1 < m else chunks + 1
+        for chunk in range(first, until):
+            place = starts[chunk - 1]
+            for _ in range(per):
+                track.offsets.append(place)
+                place += track.sizes[sample]
+                sample += 1
+    if b"stss" in at:
+        (k,) = struct.unpack_from(">I", data, at[b"stss"])
+        track.keys = list(struct.unpack_from(f">{k}I", data, at[b"stss"] + 4))
+    else:
+        track.keys = list(range(1, n + 1))
+    return track
+
+
+def _sizes(data: memoryview, at: dict[bytes, int]) -> list[int]:
+    if b"stsz" in at:
         size, n = struct.unpack_from(">II", data, at[b"stsz"])
-        track.sizes = [size] * n if size else list(struct.unpack_from(f">{n}I", data, at[b"stsz"] + 8))
-        where, kind = (at[b"co64"], "Q") if b"co64" in at else (at[b"stco"], "I")
-        (chunks,) = struct.unpack_from(">I", data, where)
-        starts = struct.unpack_from(f">{chunks}{kind}", data, where + 4)
-        (m,) = struct.unpack_from(">I", data, at[b"stsc"])
-        runs = [struct.unpack_from(">III", data, at[b"stsc"] + 4 + 12 * i) for i in range(m)]
-        sample = 0
-        for i, (first, per, _) in enumerate(runs):
-            until = runs[i + 1][0] if i + 1 < m else chunks + 1
-            for chunk in range(first, until):
-                place = starts[chunk - 1]
-                for _ in range(per):
-                    track.offsets.append(place)
-                    place += track.sizes[sample]
-                    sample += 1
-        if b"stss" in at:
-            (k,) = struct.unpack_from(">I", data, at[b"stss"])
-            track.keys = list(struct.unpack_from(f">{k}I", data, at[b"stss"] + 4))
-        else:
-            track.keys = list(range(1, n + 1))
-    return tracks
+        return [size] * n if size else list(struct.unpack_from(f">{n}I", data, at[b"stsz"] + 8))
+    bits, n = struct.unpack_from(">3xBI", data, at[b"stz2"])
+    body = at[b"stz2"] + 8
+    if bits == 4:
+        return [data[body + i // 2] >> (0 if i % 2 else 4) & 15 for i in range(n)]
+    if bits not in (8, 16):
+        raise ValueError(f"sample sizes of {bits} bits")
+    return list(struct.unpack_from(f">{n}{'B' if bits == 8 else 'H'}", data, body))
+
+
+def _fragment(data: memoryview, start: int, boxes: list[tuple[bytes, int]], tracks: dict[int, Track], trex: dict[int, tuple[int, ...]]) -> None:
+    """Adds the samples of one moof. Flags of tfhd: 1 base, 2 description, 8 duration, 16 size, 32 flags, 0x20000 base is the moof; of trun: 1 place, 4 first flags, 0x100 durations, 0x200 sizes, 0x400 flags, 0x800 shifts."""
+    track, place, first_traf = None, start, True
+    base = duration = size = flags = 0
+    for kind, a in boxes:
+        said = struct.unpack_from(">I", data, a)[0] & 0xFFFFFF
+        if kind == b"tfhd":
+            (number,), at = struct.unpack_from(">I", data, a + 4), a + 8
+            if number not in tracks:
+                raise ValueError(f"a fragment of track {number}, which the file doesn't declare")
+            track = tracks[number]
+            duration, size, flags = trex.get(number, (0, 0, 0))
+            base = start if first_traf or said & 0x20000 else place
+            first_traf = False
+            if said & 1:
+                (base,), at = struct.unpack_from(">Q", data, at), at + 8
+            at += 4 if said & 2 else 0
+            values = [duration, size, flags]
+            for i, bit in enumerate((8, 16, 32)):
+                if said & bit:
+                    (values[i],), at = struct.unpack_from(">I", data, at), at + 4
+            duration, size, flags = values
+            place = base
+            continue
+        (n,), at = struct.unpack_from(">I", data, a + 4), a + 8
+        if said & 1:
+            place, at = base + struct.unpack_from(">i", data, at)[0], at + 4
+        first = None
+        if said & 4:
+            (first,), at = struct.unpack_from(">I", data, at), at + 4
+        for i in range(n):
+            values = [duration, size, flags if first is None or i else first]
+            for k, bit in enumerate((0x100, 0x200, 0x400)):
+                if said & bit:
+                    (values[k],), at = struct.unpack_from(">I", data, at), at + 4
+            at += 4 if said & 0x800 else 0
+            track.offsets.append(place)
+            track.sizes.append(values[1])
+            track.duration += values[0]
+            place += values[1]
+            if not values[2] & 0x10000:
+                track.keys.append(len(track.sizes))
 
 
 def read_back(data: memoryview, track: Track) -> bytes:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from callweave.llm import quality, url_filter
+from callweave.llm import chat, quality, url_filter
 
 WS = "\\x20\\x09-\\x0D"
 
@@ -82,25 +82,44 @@ def _path(url: str) -> str:
 
 
 def _node(url: str) -> str:
-    return f"(case when {_host(url)} <> '' then {_host(url)} || regexp_extract({_rest(url)}, '^[^/?#]*([^#]*)', 1) end)"
+    port = f"case lower(split_part({url}, '://', 1)) when 'http' then ':80$' when 'https' then ':443$' else '^$' end"
+    parts = f"string_split({_path(url)}, '/')[2:]"
+    # a path's segments one after the other: . is left out, .. takes the one before
+    walked = f"list_reduce(list_transform({parts}, lambda x: [x]), lambda done, x: case when x[1] = '.' then done when x[1] = '..' then done[:greatest(len(done) - 1, 0)] else done || x end, []::varchar[])"
+    clean = f"case when regexp_matches({_path(url)}, '/[.][.]?(/|$)') then '/' || array_to_string({walked} || case when regexp_matches({_path(url)}, '/[.][.]?$') then [''] else [] end, '/') else {_path(url)} end"
+    return f"(case when {_host(url)} <> '' then regexp_replace({_host(url)}, {port}, '') || {clean} || regexp_extract({_rest(url)}, '^[^?#]*([^#]*)', 1) end)"
 
 
 def url_filter_sql() -> str:
     rules = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in url_filter.RULES)
-    quoted = {k: getattr(url_filter, k).replace("'", "''") for k in ("CANONICAL_TAG", "HREF", "REFRESH_TAG", "REFRESH_URL")}
+    entities = ", ".join("'{}': '{}'".format(k, v.replace("'", "''")) for k, v in url_filter.ENTITIES.items())
     best = lambda source: f"(select arg_max({{'rule': r.rule, 'verdict': r.verdict}}, (length(r.rule), r.verdict = 'allow', r.rule)) from rules r where ({source}.host = r.host or {source}.host like '%.' || r.host) and starts_with({source}.path, r.path))"
+    value = """("[^"]*"|''[^'']*''|[^\\s>]+)"""
+    attribute = lambda tag, name: f"""trim(regexp_extract({tag}, '(?i)\\b{name}\\s*=\\s*{value}', 1), '"''')"""
+    first = lambda text: f"""regexp_extract({text}, '^([^"''\\s>]*)', 1)"""
+    number = "case when starts_with(lower(x), '&#x') then try_cast('0x' || x[4:-2] as bigint) else try_cast(x[3:-2] as bigint) end"
     return f"""
 with recursive rules(verdict, rule, host, path) as (values {rules}),
-links as (
-    select url, unnest([regexp_extract(regexp_extract(html, '{quoted["CANONICAL_TAG"]}', 1), '{quoted["HREF"]}', 1),
-        regexp_extract(regexp_extract(html, '{quoted["REFRESH_TAG"]}', 1), '{quoted["REFRESH_URL"]}', 1)]) as link
-    from pages
+tags as (
+    select url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\b[^>]*>')) as tag from pages
+), links as (
+    select url, case when starts_with(lower(tag), '<link') then
+            case when list_contains(regexp_split_to_array(rtrim(lower({attribute("tag", "rel")}), '/'), '\\s+'), 'canonical') then {first(attribute("tag", "href"))} end
+        when lower({attribute("tag", "http-equiv")}) = 'refresh' then regexp_extract(tag, '(?i)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1) end as written
+    from tags
+), read as (
+    select url, array_to_string(list_transform(regexp_extract_all(written, '(&#?[0-9A-Za-z]+;|[^&]+|&)'), lambda x:
+        case when starts_with(x, '&#') and len(x) > 3 and ({number}) between 1 and 1114111 and ({number}) not between 55296 and 57343 then chr(({number})::int)
+            else coalesce(map {{{entities}}}[regexp_extract(x, '^&([A-Za-z]+);$', 1)], x) end), '') as link
+    from links where written <> ''
 ), absolute as (
-    select url, case when instr(link, '://') > 0 then link
+    select url, case when regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') then link
+        when regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') then null
         when starts_with(link, '//') then regexp_extract(url, '^([^:/?#]*)://', 1) || ':' || link
         when starts_with(link, '/') then regexp_extract(url, '^([^:/?#]*)://', 1) || '://' || {_host("url")} || link
+        when regexp_matches(link, '^[?#]') then regexp_extract(url, '^([^:/?#]*)://', 1) || '://' || {_host("url")} || {_path("url")} || link
         else regexp_extract(url, '^([^:/?#]*)://', 1) || '://' || {_host("url")} || regexp_replace(case when {_path("url")} = '' then '/' else {_path("url")} end, '[^/]*$', '') || link end as target
-    from links where link <> ''
+    from read
 ), edges as (
     select {_node("url")} as a, {_node("target")} as b from absolute
 ), pairs as (
@@ -123,6 +142,10 @@ select j.page_id, j.host, j.path, j.best.rule as rule, coalesce(j.best.verdict,
 from judged j left join said s on j.node = s.node"""
 
 
+def _normal(x: str) -> str:
+    return f"trim(regexp_replace(translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[{WS}]+', ' ', 'g'))"
+
+
 CHAT = f"""
 with recursive base as (
     select row_number() over () as rid, conv_id, turn, role, coalesce("text", '') as tx from conversations
@@ -138,16 +161,28 @@ with recursive base as (
 ), runs as (
     select *, sum(start::int) over (partition by rid order by i) as run from begun
 ), said as (
-    select conv_id, turn, level, passage from (
+    select * from (
         select rid, run, any_value(conv_id) as conv_id, any_value(turn) as turn, any_value(level) as level,
-            trim(regexp_replace(translate(string_agg(line, ' ' order by i), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[{WS}]+', ' ', 'g')) as passage
+            {_normal("string_agg(line, ' ' order by i)")} as passage, list({_normal("line")} order by i) as parts
         from runs where filled group by rid, run
     ) where conv_id is not null and turn is not null
+), pieces as (
+    select distinct rid, run, conv_id, turn, level, piece from (
+        select *, unnest(list_concat(parts, string_split(regexp_replace(passage, '([.!?…]) ', '\\1' || chr(10), 'g'), chr(10)))) as piece from said
+    ) where len(string_split(piece, ' ')) >= {chat.PIECE_WORDS}
 ), firsts as (
     select conv_id, passage, min(turn) as origin from said where level = 0 group by all
+), first_pieces as (
+    select conv_id, piece, min(turn) as origin from pieces where level = 0 group by all
+), whole as (
+    select q.rid, q.run, q.conv_id, q.turn, case when f.origin < q.turn then f.origin end as origin
+    from said q left join firsts f on q.conv_id = f.conv_id and q.passage = f.passage where q.level > 0
+), partly as (
+    select p.rid, p.run, max(f.origin) as origin
+    from pieces p join first_pieces f on p.conv_id = f.conv_id and p.piece = f.piece and f.origin < p.turn where p.level > 0 group by all
 ), replies as (
-    select q.conv_id, q.turn, count(*) as n_quotes, count(case when f.origin < q.turn then 1 end) as n_linked, max(case when f.origin < q.turn then f.origin end) as parent_turn
-    from said q left join firsts f on q.conv_id = f.conv_id and q.passage = f.passage where q.level > 0 group by q.conv_id, q.turn
+    select w.conv_id, w.turn, count(*) as n_quotes, count(coalesce(w.origin, p.origin)) as n_linked, max(coalesce(w.origin, p.origin)) as parent_turn
+    from whole w left join partly p on w.rid = p.rid and w.run = p.run group by w.conv_id, w.turn
 ), ups(conv_id, turn, up, depth) as (
     select conv_id, turn, parent_turn, 1 from replies where parent_turn is not null
     union all

@@ -49,6 +49,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts under the pieces and scores of a model file at hand, which was trained as a BPE one: read as a unigram vocabulary they show the method, and aren't that model's own counts."""
     return token_count.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 

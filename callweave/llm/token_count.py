@@ -8,9 +8,11 @@ greater, and earlier starts come first, so of equal paths the one with the longe
 stands. A character that no entry of its length covers costs the least score less 10; neighbouring unknown
 pieces are fused into one, or, with byte fallback, each run of unknown characters counts its bytes.
 
-Texts are split as ``Metaspace`` does (each blank becomes the meta symbol and begins a word),
+What is counted are the pieces of whatever scored vocabulary is given. The model's own normaliser isn't applied: texts are
+taken as they are. Texts are split as ``Metaspace`` does (each blank becomes the meta symbol and begins a word),
 words seen before come from a dictionary emptied at ``CACHE`` entries. One pass, no shuffle.
-Null and empty texts count 0. A long text without blanks is one word and takes time in proportion.
+Null and empty texts count 0; repeated rows count alike; an empty table gives an empty one; other columns are left out.
+A long text without blanks is one word and takes time and memory in proportion.
 """
 
 from __future__ import annotations

@@ -7,35 +7,36 @@ allow anywhere in the component takes precedence over blocks, which take precede
 default, allow. A rule of a url's own is never overridden.
 
 Every canonical and refresh tag of a page counts; addresses have their character references read.
-A node is a url without scheme, fragment and dot segments, host in lower case, so two pages of one url are one
+A node is a url without scheme, default port, fragment and dot segments, host in lower case, so two pages of one url are one
 node; link targets outside the table are nodes too and are judged by the rules. All of it is
-DataFrame operations. Only rows that carry a link reach the component search; one
-decision per node meets the pages in an equi-join that Spark may broadcast or split by size.
-Rules are configuration (a driver-side list, at most ``MAX_RULES``) and travel as a literal.
+DataFrame operations. Only rows that carry a link reach the component search.
+
+Rules are a list, or a table of any size with columns ``verdict`` and ``rule``. They meet the distinct (host, path) of the
+urls by equality: a host's suffixes with the rules' hosts, then the path's prefixes, of the lengths that such a host's rules have,
+with the rules' paths. What is found meets the pages again in joins whose rows are dealt by a salt, so one url may have
+a third of all rows. Of rules of one length an allow goes before a block, then the greater string.
 
 Null urls and urls without ``://`` have empty host and path, no node and no rule: they are allowed.
-Null html has no links. Repeated rows are judged alike; an empty table gives an empty one.
+Null html has no links; html of any length is searched whole. Repeated rows are judged alike; other columns are left out;
+an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm.common import Scratch, ascii_lower
+from callweave.llm.common import Scratch, ascii_lower, dealt, repeated
 from callweave.llm.components import components
 
-MAX_RULES = 10_000
 #: (verdict, host/path prefix)
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
-#: A canonical link's tag and a redirect's; then the address inside.
-CANONICAL_TAG = r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)"
-HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+#: Redirect tags, link tags, the rel of those that have ``canonical`` among its words, and the addresses inside.
 REFRESH_TAG = r"(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)"
 REFRESH_URL = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
-#: Any link tag, and a rel that has ``canonical`` among its words.
 LINK_TAG = r"(?is)(<link\b[^>]*>)"
 CANONICAL_REL = r"(?is)\brel\s*=\s*(?:\"(?:[^\"]*\s)?canonical(?:\s[^\"]*)?\"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical(?=[\s/>]))"
+HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 #: Character references by name that addresses have; others are numbers or stay.
 ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "sol": "/", "colon": ":", "quest": "?", "num": "#", "equals": "=", "period": ".", "percnt": "%", "commat": "@", "lowbar": "_", "comma": ",", "semi": ";", "plus": "+"}
 
@@ -56,6 +57,8 @@ def path(url: Column) -> Column:
 def node(url: Column) -> Column:
     """The alias key; null without a host."""
     h = host(url)
+    scheme = F.lower(F.substring_index(url, "://", 1))
+    h = F.when(scheme == "http", F.regexp_replace(h, ":80$", "")).when(scheme == "https", F.regexp_replace(h, ":443$", "")).otherwise(h)
     return F.when(h != "", F.concat(h, _undotted(path(url)), F.regexp_extract(_rest(url), "^[^?#]*([^#]*)", 1)))
 
 
@@ -84,13 +87,24 @@ def _unescaped(s: Column) -> Column:
     return F.when(F.instr(s, "&") > 0, F.array_join(F.transform(pieces, read), "")).otherwise(s)
 
 
-def _best(h: Column, p: Column, rules: list[tuple[str, str]]) -> Column:
-    """The first fitting rule of those sorted by length, allow before block in a tie."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES}")
-    ordered = sorted(rules, key=lambda r: (-len(r[1]), r[0], r[1]))
-    items = [F.struct(F.lit(r.partition("/")[0]).alias("host"), F.lit("/" + r.partition("/")[2]).alias("path"), F.lit(r).alias("rule"), F.lit(v).alias("verdict")) for v, r in ordered]
-    return F.try_element_at(F.filter(F.array(*items), lambda r: ((h == r["host"]) | F.endswith(h, F.concat(F.lit("."), r["host"]))) & F.startswith(p, r["path"])), F.lit(1))
+def rule_table(spark: SparkSession, rules: list[tuple[str, str]] | DataFrame) -> DataFrame:
+    """``rule_host, rule_path, rule, verdict``, one row for each host and path."""
+    if not isinstance(rules, DataFrame):
+        items = [F.struct(F.lit(v).alias("verdict"), F.lit(r).alias("rule")) for v, r in rules]
+        rules = spark.range(1).select(F.inline(F.array(*items)) if items else F.inline(F.expr("cast(array() as array<struct<verdict: string, rule: string>>)")))
+    split = rules.select("verdict", "rule", F.substring_index("rule", "/", 1).alias("rule_host"), F.concat(F.lit("/"), F.regexp_extract("rule", "^[^/]*/(.*)$", 1)).alias("rule_path"))
+    return split.groupBy("rule_host", "rule_path").agg(F.max("rule").alias("rule"), F.min("verdict").alias("verdict"))  # allow before block
+
+
+def ruled(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """``host, path, best`` (rule and verdict) of the distinct ``(host, path)`` that a rule fits."""
+    lengths = rules.groupBy("rule_host").agg(F.collect_set(F.length("rule_path")).alias("lengths"))  # no more than the longest rule has characters
+    parts = F.split("host", "\\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    each = urls.select("host", "path").where("host <> ''").distinct().select("host", "path", F.explode(suffixes).alias("rule_host"))
+    tried = each.join(lengths, "rule_host").select("host", "path", "rule_host", F.explode("lengths").alias("n")).where(F.col("n") <= F.length("path"))
+    fits = tried.withColumn("rule_path", F.substring(F.col("path"), F.lit(1), F.col("n"))).join(rules, ["rule_host", "rule_path"])
+    return fits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), F.col("verdict") == "allow", "rule")).alias("best"))
 
 
 def _absolute(link: Column, url: Column) -> Column:
@@ -116,15 +130,16 @@ def link_edges(pages: DataFrame) -> DataFrame:
     return each.select(node(F.col("url")).alias("a"), node(_absolute(F.col("link"), F.col("url"))).alias("b")).where("a is not null and b is not null")
 
 
-def judged(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
+def judged(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, and component_verdict (what the aliases say, if anything)."""
-    scratch = Scratch(pages.sparkSession)
+    spark = pages.sparkSession
+    scratch, rules = Scratch(spark), rule_table(spark, rules)
     pages = pages.select("page_id", "url", "html")
     members = scratch.save(components(scratch.save(link_edges(pages)), scratch))
-    own = members.select("*", _best(F.regexp_extract("node", "^([^/?#]*)", 1), F.regexp_extract("node", "^[^/?#]*([^?#]*)", 1), rules)["verdict"].alias("v"))
-    votes = own.groupBy("component").agg(F.coalesce(F.bool_or(F.col("v") == "allow"), F.lit(False)).alias("allowed"), F.coalesce(F.bool_or(F.col("v") == "block"), F.lit(False)).alias("blocked"))
-    said = members.join(votes, "component").select(F.col("node").alias("n"), F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").alias("component_verdict"))
+    own = members.select("*", F.regexp_extract("node", "^([^/?#]*)", 1).alias("host"), F.regexp_extract("node", "^[^/?#]*([^?#]*)", 1).alias("path"))
+    told = own.join(ruled(own, rules), ["host", "path"], "left").select("node", "component", F.col("best.verdict").alias("v"))
+    votes = told.groupBy("component").agg(F.coalesce(F.bool_or(F.col("v") == "allow"), F.lit(False)).alias("allowed"), F.coalesce(F.bool_or(F.col("v") == "block"), F.lit(False)).alias("blocked"))
+    said = dealt(members, "node").join(repeated(votes), ["component", "salt"]).select("node", F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").alias("component_verdict"))
     plain = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), node(F.col("url")).alias("node"))
-    ruled = plain.withColumn("best", _best(F.col("host"), F.col("path"), rules))
-    joined = ruled.join(said, ruled["node"] == said["n"], "left")
+    joined = dealt(plain, "page_id").join(repeated(ruled(plain, rules)), ["host", "path", "salt"], "left").join(repeated(said), ["node", "salt"], "left")
     return joined.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", "component_verdict", F.lit("allow")).alias("verdict"), "component_verdict")

@@ -110,3 +110,59 @@ def test_archives(spark):
     assert got == sorted(want, key=repr)
     assert {r["record_type"] for r in warc.round_trip(pages, least=100).collect()} == {"response"}
     assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_attempts_do_not_share_archives(spark, tmp_path):
+    """The same rows written twice to one folder, in another order: both indexes still read back what was written."""
+    pages = spark.createDataFrame([(i, f"http://u/{i}", f"body {i % 7} " * (i + 1)) for i in range(40)] + [(40, "u", "x" * 3_000_000)], "page_id long, url string, html string").coalesce(2)
+    folder = str(tmp_path / "w")
+    indexes = []
+    for k, rows in enumerate((pages, pages.sort(warc.F.desc("page_id")).coalesce(2))):
+        warc.archived(rows, folder).write.parquet(path := str(tmp_path / f"i{k}"))
+        indexes.append(spark.read.parquet(path))
+    one, two = (sorted((r["page_id"], r["payload_bytes"], r["payload_digest"]) for r in warc.read_back(i, folder).collect()) for i in indexes)
+    assert one == two and len(one) == 41
+
+
+def test_revisits_are_read_through_their_response(spark):
+    rows = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    records = spark.createDataFrame([(9, 5, "D", "response", None), (3, 5, "D", "revisit", 9), (4, 5, "D", "revisit", 9)], rows)
+    assert sorted(r["payload_bytes"] for r in warc.followed(records).collect()) == [5, 5, 5]
+    for lost in ((4, 6, "D", "revisit", 9), (4, 5, "E", "revisit", 9), (4, 5, "D", "revisit", 8)):
+        with pytest.raises(Exception, match="no response as told for page 4"):
+            warc.followed(records.unionByName(spark.createDataFrame([lost], rows))).collect()
+
+
+def _fragmented(sizes: list[list[int]], bits: int) -> tuple[bytes, list[bytes]]:
+    """A file with two samples in stz2 of its own and one fragment for each list of sizes; its samples."""
+    box, full = media.box, media.full
+    samples = [bytes([65 + i] * n) for i, n in enumerate([3, 7, *(n for part in sizes for n in part)])]
+    packed = {4: b"\x37", 8: b"\3\7", 16: b"\0\3\0\7"}[bits]
+
+    def head(first: int) -> bytes:
+        stbl = box(b"stbl", full(b"stsd", 0, 0, struct.pack(">I", 1), box(b"mp4a", b"\0" * 28)), full(b"stsc", 0, 0, struct.pack(">4I", 1, 1, 2, 1)), full(b"stz2", 0, 0, b"\0\0\0", bytes([bits]), struct.pack(">I", 2), packed), full(b"stco", 0, 0, struct.pack(">2I", 1, first)))
+        mdia = box(b"mdia", full(b"mdhd", 0, 0, struct.pack(">4IHH", 0, 0, 1000, 20, 0, 0)), full(b"hdlr", 0, 0, b"\0" * 4, b"soun", b"\0" * 13), box(b"minf", stbl))
+        tkhd = full(b"tkhd", 0, 7, struct.pack(">3I", 0, 0, 5), b"\0" * 68)
+        return box(b"ftyp", b"isom") + box(b"moov", box(b"trak", tkhd, mdia), box(b"mvex", full(b"trex", 0, 0, struct.pack(">5I", 5, 1, 10, 0, 0x10000))))
+
+    out = head(len(head(0)) + 8) + box(b"mdat", samples[0], samples[1])
+    k = 2
+    for part in sizes:
+        def moof(place: int, part=part) -> bytes:
+            trun = full(b"trun", 0, 0x205, struct.pack(">IiI", len(part), place, 0), *[struct.pack(">I", n) for n in part])
+            return box(b"moof", full(b"mfhd", 0, 0, struct.pack(">I", 1)), box(b"traf", full(b"tfhd", 0, 0x20000, struct.pack(">I", 5)), full(b"tfdt", 0, 0, b"\0" * 4), trun))
+
+        out += moof(len(moof(0)) + 8) + box(b"mdat", *samples[k : k + len(part)])
+        k += len(part)
+    return out, samples
+
+
+@pytest.mark.parametrize("bits", [4, 8, 16])
+def test_fragments_and_compact_sizes(bits):
+    data, samples = _fragmented([[5, 1, 4], [], [9]], bits)
+    (track,) = media.sample_tables(memoryview(data))
+    assert [data[o : o + n] for o, n in zip(track.offsets, track.sizes, strict=True)] == samples
+    assert media.read_back(memoryview(data), track) == b"".join(samples)
+    assert track.codec == "mp4a" and track.duration == 20 + 40 and track.keys == [1, 2, 3, 6]
+    with pytest.raises(ValueError, match="doesn't declare"):
+        media.sample_tables(memoryview(data.replace(struct.pack(">I4sI", 16, b"tfhd", 0x20000) + struct.pack(">I", 5), struct.pack(">I4sI", 16, b"tfhd", 0x20000) + struct.pack(">I", 6))))

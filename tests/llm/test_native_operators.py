@@ -89,6 +89,34 @@ def test_block_reaches_every_alias(spark):
     assert [r["verdict"] for r in got] == ["block", "block"]
 
 
+def test_linked_pages_equal_sql(spark, tmp_path):
+    """Every third page of the test table linked to others, by each kind of address; verdicts as SQL has them."""
+    table = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    kinds = ['<link rel=canonical href="http://a.net/de/{}">', '<meta http-equiv=refresh content="0; url=//sub.example.com:80/en/7/{}">', '<link href="../x/{}" rel="alternate canonical">', '<link rel=canonical href="?a={}&amp;b=1"><link rel="canonical" href="/es/{}/.">']
+    tags = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("page_id") % len(kinds) + 1).cast("int"))
+    linked = table.withColumn("html", F.when(F.col("page_id") % 3 == 0, F.concat("html", F.replace(tags, F.lit("{}"), (F.col("page_id") % 5).cast("string")))).otherwise(F.col("html")))
+    hand = spark.createDataFrame([(1000 + i, f"http://p{i}.x/a/b/page", html) for i, (html, _) in enumerate(LINKS)] + [(2000 + (p[0] or 0), p[1], p[2]) for p in PAGES], table.schema)
+    linked.unionByName(hand).write.parquet(path := str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{path}/*.parquet'")
+    got = url_filter.judged(spark.read.parquet(path))
+    names = ", ".join(f'"{c}"' for c in got.columns)
+    rows = sorted((tuple(r) for r in got.collect()), key=repr)
+    assert rows == sorted(con.execute(f"select {names} from ({ORACLE_SQL['op2_url_filters']})").fetchall(), key=repr)
+    assert sum(r[5] is not None for r in rows) >= 15
+
+
+def test_url_rules_of_one_length_and_many(spark):
+    """Allow before block, then the greater string; a table of very many rules; a very long page."""
+    rules = [("block", "q.com/x"), ("allow", "q.com/x"), ("block", "com/y/z"), ("block", "q.com/y")]
+    pages = spark.createDataFrame([(1, "http://q.com/xa", "z" * 2_000_000 + "<link rel=canonical href='/w'>"), (2, "http://q.com/y/z", ""), (3, "http://q.com/w", "")], "page_id long, url string, html string")
+    want = [(1, "q.com/x", "allow"), (2, "q.com/y", "block"), (3, None, "allow")]
+    assert sorted((r["page_id"], r["rule"], r["verdict"]) for r in url_filter.judged(pages, rules).collect()) == want
+    many = spark.range(50_000).select(F.lit("block").alias("verdict"), F.concat(F.lit("h"), "id", F.lit(".net/p"), "id").alias("rule"))
+    many = many.unionByName(spark.createDataFrame(rules, "verdict string, rule string"))
+    assert sorted((r["page_id"], r["rule"], r["verdict"]) for r in url_filter.judged(pages, many).collect()) == want
+
+
 def test_url_empty(spark):
     assert url_filter.judged(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
@@ -177,6 +205,30 @@ def test_chat_links(spark, tmp_path):
     assert sorted(con.execute(f"select {names} from ({oracles.CHAT})").fetchall(), key=repr) == got
 
 
+def test_chat_pieces_and_the_test_table_with_quotes(spark, tmp_path):
+    """Quotes trimmed to a line or sentence or wrapped anew; turns of the test table quoting earlier ones; all as SQL has it."""
+    hand = [
+        (1, 0, "u", "First line of it\nsecond line of it. And a third sentence here.\n\nyes"),
+        (1, 1, "a", "> second line of it. And a third\n> sentence here.\nok"),  # a part, wrapped anew
+        (1, 2, "u", "> and a third   sentence here.\nfine"),
+        (1, 3, "a", "> line of\nshort pieces link nothing"),
+        (1, 4, "u", "> FIRST line of it\n\n> nobody said this one\nmixed " + "x" * 300_000),
+    ]
+    table = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("conv_id", "turn", "role", "text")
+    earlier = table.select(F.col("conv_id").alias("c"), (F.col("turn") + 1).alias("t"), F.concat(F.lit("> "), F.replace("text", F.lit("\n"), F.lit("\n> ")), F.lit("\n")).alias("quote"))
+    quoting = table.join(earlier, (F.col("conv_id") == F.col("c")) & (F.col("turn") == F.col("t")), "left").select("conv_id", "turn", "role", F.when(F.col("turn") % 2 == 1, F.concat(F.coalesce("quote", F.lit("")), "text")).otherwise(F.col("text")).alias("text"))
+    quoting.unionByName(spark.createDataFrame([(c + 10**6, *t) for c, *t in hand], "conv_id long, turn long, role string, text string")).write.parquet(path := str(tmp_path / "t"))
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{path}/*.parquet'")
+    linked = chat.linked(spark.read.parquet(path))
+    names = ", ".join(f'"{c}"' for c in linked.columns)
+    got = sorted((tuple(r) for r in linked.collect()), key=repr)
+    assert sorted(con.execute(f"select {names} from ({oracles.CHAT})").fetchall(), key=repr) == got
+    found = {r[1]: r[4:] for r in got if r[0] == 10**6 + 1}
+    assert found == {0: (0, 0, None, 0, 0), 1: (1, 1, 0, 0, 1), 2: (1, 1, 0, 0, 1), 3: (1, 0, None, 3, 0), 4: (2, 1, 0, 0, 1)}
+    assert sum(r[5] for r in got if r[0] < 10**6) > 10
+
+
 def test_chat_deep_thread_and_order(spark):
     rows = [(1, 0, "u", "m0")] + [(1, i, "u", f"> m{i - 1}\nm{i}") for i in range(1, 35)]
     got = {r["turn"]: r for r in chat.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
