@@ -192,3 +192,38 @@ def test_packed_empty(spark):
 def test_packed_query_is_near_the_bound(spark):
     out = QUERIES["op3_best_fit_packing"](spark, "/root/testdata/sf0.001").select("sequence_id", "length").collect()
     assert len({r["sequence_id"] for r in out}) <= -(-sum(r["length"] for r in out) // 1024) + 2
+
+
+RUNS = [" " * 2_000_000 + "end", "a" + "\n" * 2_000_000, "x" + " " * 60_000 + "<|endoftext|>" + "\t" * 50_000 + " 's", "#" * 200_000 + "\u3000" * 50_000 + "é", "\x85" * 50_001, "a" * 100_000 + " " * 49_999 + "b" + " " * 50_000 + "\r"]
+
+
+@pytest.mark.parametrize("k", range(len(RUNS)))
+def test_packing_ids_of_long_runs(k):
+    """White space and symbols in runs that a backtracking engine gives up on, against the tokenizers library."""
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(RUNS[k], add_special_tokens=False).ids
+    assert packing.tokenizer(*tokenizer_files())(RUNS[k]).tolist() == want
+
+
+def test_packing_a_table_with_long_runs_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in enumerate([RUNS[0], RUNS[1], None, "", "a b"])], "doc_id int, text string, row int, piece int, length int")
+    rows = packing.packed(docs, tokenizer_files()).collect()
+    ends = {}
+    for r in rows:
+        ends.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert all(sum(n for _, n in v) <= 1024 and all(o == sum(n for p, n in v if p < o) for o, _ in v) for v in ends.values())
+    assert sum(r["length"] for r in rows if r["doc_id"] == 0) == 2_000_001  # the blanks but one, " end", the end
+
+
+def test_any_integer_doc_id(spark):
+    docs = spark.createDataFrame([(1, "a b", 7), (None, "c", 8)], "doc_id int, text string, ids_sha256 int")
+    rows = bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in rows} == {1: 2, None: 1}
+
+
+def test_long_texts_are_counted_whole(spark):
+    docs = spark.createDataFrame([(1, "ab " * 300_000), (2, "q" * 200_000)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_chars"], r["n_tokens"]) for r in token_count.counted(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()}
+    once = token_count.counter(public_tokenizers.path("piece_bpe_32k.model"), True)
+    assert got[1] == (900_000, 300_000 * once["ab"] + once[""]) and got[2] == (200_000, once.count("▁" + "q" * 200_000))

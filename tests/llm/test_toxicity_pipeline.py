@@ -153,7 +153,57 @@ def test_pipeline_stages(spark):
     assert third.columns == docs.columns and 0 < third.count() < docs.count()
 
 
-def test_pipeline_end_to_end(spark):
-    packed = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert packed.count() > 0 and {"doc_id", "piece", "sequence_id", "offset"} <= set(packed.columns)
+def test_words_of_any_length_are_read(model):
+    """A stretched or masked word among hundreds of characters, and one of 100,000."""
+    restorer = toxicity.Restorer(model)
+    long = "1d10t" * 40
+    assert restorer.suspicious(long) and restorer.restore(long).startswith("idiot") and restorer.restore(long).isalpha()
+    assert "idiot" in restorer.words("x" + "theidiotofthe" * 30) or any("idiot" in w for w in restorer.words("theidiotofthe" * 30))
+    assert toxicity.features("a" * 1000) and len(toxicity.features("a" * 1000)) == 9
+    assert len(restorer.restore("a-b" * 30_000)) >= 60_000
+
+
+def test_keep_with_clashing_columns(spark, tables):
+    docs, labels = tables
+    named = docs.selectExpr("*", "1 as k", "2 as toxic", "3 as fold", "4 as score", "5 as n", "6 as top_symbols", "7 as kept", "8 as t_lang")
+    assert toxicity.keep(named.limit(50), labels).columns == named.columns
+    assert quality.keep(named).columns == named.columns
+    assert quality.keep(named).count() == quality.keep(docs).count()
+
+
+def test_pipeline_end_to_end(spark, duck):
+    """Each stage restated: scores of the operator, rules in SQL, all pairs, ids of the tokenizers library; the packing checked for what it must hold."""
+    from tokenizers import Tokenizer
+
+    from callweave.llm import oracles
+    from tests.llm.test_ngram_join import brute
+
+    folder = "/root/testdata/sf0.001"
+    con = duck(folder)
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    clean = [r["doc_id"] for r in toxicity.scored(docs, labels).where("predicted = 0").collect()]
+    con.execute(f"create table clean as select * from documents where doc_id in ({', '.join(map(str, clean))})")
+    good = {r[0]: r[1] for r in con.execute(f"select d.doc_id, d.text from clean d join ({oracles.quality_sql('clean')}) j on d.doc_id = j.doc_id where j.kept").fetchall()}
+    alone = {k for k, c in brute(list(good.items()), 5, 80).items() if k == c}
+    assert 0 < len(alone) < len(good) < len(clean) <= docs.count()
+    encode = Tokenizer.from_file(QUERIES["op3_best_fit_packing"].__globals__["tokenizer_files"]()[1])
+    want = {}
+    for k in alone:
+        ids = [*encode.encode(good[k] or "", add_special_tokens=False).ids, 2]
+        first = len(ids) % 1024 or 1024
+        for i, s in enumerate([0, *range(first, len(ids), 1024)]):
+            part = np.array(ids[s : first if i == 0 else s + 1024], "<u4")
+            want[k, i] = (s, len(part), zlib.crc32(part.tobytes()))
+    rows = corpus_pipeline.run(spark, folder).collect()
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in rows} == want and len(rows) == len(want)
+    places = {}
+    for r in rows:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for inside in places.values():
+        end = 0
+        for offset, length in sorted(inside):
+            assert offset == end
+            end += length
+        assert end <= 1024
+    assert len(places) <= 1 + 1.05 * sum(r["length"] for r in rows) / 1024
     assert corpus_pipeline.ORACLE_SQL is None and "op5_toxicity" in QUERIES
