@@ -24,8 +24,8 @@ The suffix filter bounds the overlap twice: by what the counts in ``PARTS`` hash
 sets, and, after the first matched places, by the rest of both prefixes and the counts of what lies beyond them.
 
 No shingle's rows and no component is gathered in a task: the rows of a shingle are dealt over one task for each
-``DEAL`` sets that have it, and what they are joined with is repeated for each. The sets of all documents that share a prefix
-shingle with another are built once and kept for all verifications.
+``DEAL`` sets that have it, and what they are joined with is repeated for each. Each set that is verified is built once
+and kept for all rounds.
 
 Words are runs without white space, A-Z lower-cased. A text of fewer words than n is one shingle. Null and
 empty texts have no set, no link, and their own id as component. Null doc_ids link with nothing and have no
@@ -189,13 +189,13 @@ class Join:
         self.classes = scratch.save(wide.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node"), *some))
         self.rows = scratch.save(wide.select("doc_id", "n", "d1", "d2"))
         scratch.drop(wide)
-        self.links = self.done = self.sets = None
+        self.links = self.done = None
+        self.built: list[DataFrame] = []
 
     def components(self) -> DataFrame | None:
         """``node, component`` of the classes that link with another."""
         save, drop = self.scratch.save, self.scratch.drop
         rows = self._shared()
-        self.sets = built = save(self._sets(rows.select("node").distinct()))
         labels, stars = None, ROUNDS
         while stars >= 0:
             if not stars:
@@ -212,7 +212,7 @@ class Join:
             if labels is not None:
                 drop(labels)
             labels = save(components(self.links, self.scratch))
-        drop(built)
+        drop(*self.built)
         again = self._repeated()
         return labels if again is None else save(components(again if self.links is None else self.links.unionByName(again), self.scratch))
 
@@ -254,13 +254,11 @@ class Join:
                 return rows
             last = fresh if last is None else save(last.unionByName(fresh))
             holders = save(rows.join(fresh, "token", "left_semi").select("node").distinct())
-            sets = self.sets.join(holders, "node", "left_semi")
+            sets = self._sets(holders).join(holders, "node", "left_semi")
             found = sets.select("node", F.explode("s").alias("token")).join(last, "token").groupBy("node").agg(F.collect_list("token").alias("last"))  # no longer than the set
             chosen = save(self._chosen(sets.join(found, "node")))
             self.classes = save(self.classes.join(chosen, ["d1", "d2"], "left").withColumns({"prefix": F.coalesce("first", "prefix"), "beyond": F.coalesce("rest", "beyond")}).drop("first", "rest"))
             rows = self._shared()
-            more = rows.select("node").distinct().join(self.sets.select("node"), "node", "left_anti")
-            self.sets = self.sets.unionByName(save(self._sets(more)))
 
     def _chosen(self, sets: DataFrame) -> DataFrame:
         """``d1, d2`` of ``sets`` (``s, last``) with their prefix, ``first``, and the ranges of what lies beyond, ``rest``."""
@@ -312,13 +310,27 @@ class Join:
         if new.isEmpty():
             return None
         self.done = new if self.done is None else save(self.done.unionByName(new))
-        one, two = self.sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), self.sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
+        sets = self._sets(new.select(F.col("a").alias("node")).unionByName(new.select(F.col("b").alias("node"))).distinct())
+        one, two = sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
         counted = new.join(one, "a").join(two, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("i"))
         links = save(counted.where(f"100L * i >= {self.percent} * (na + nb - i)").select("a", "b").distinct())
         return None if links.isEmpty() else links
 
     def _sets(self, nodes: DataFrame) -> DataFrame:
-        """``node, s``: the sets of some documents. A filter of fixed size on hash cells keeps most other texts from the join's shuffle."""
+        """``node, s``: the sets of these documents and of others; each is built once and kept."""
+        if self.built:
+            nodes = nodes.join(self._kept().select("node"), "node", "left_anti")
+        self.built.append(self.scratch.save(self._made(self.scratch.save(nodes))))
+        return self._kept()
+
+    def _kept(self) -> DataFrame:
+        out = self.built[0]
+        for df in self.built[1:]:
+            out = out.unionByName(df)
+        return out
+
+    def _made(self, nodes: DataFrame) -> DataFrame:
+        """The sets of some documents. A filter of fixed size on hash cells keeps most other texts from the join's shuffle."""
         cell = F.pmod(F.xxhash64("doc_id"), F.lit(NODE_CELLS))
         wanted = nodes.select(F.pmod(F.xxhash64("node"), F.lit(NODE_CELLS)).alias("cell")).distinct()
         texts = self.docs.join(F.broadcast(wanted), cell == F.col("cell"), "left_semi").join(nodes, F.col("doc_id") == F.col("node"), "left_semi")
