@@ -20,12 +20,9 @@ document, which needs every link between components but not each link within one
    across components that passes the filters, not verified before. Pairs within a component are never made, so a
    large group of near copies, united by the stars, costs no square of its size.
 
-The suffix filter bounds the overlap twice: by what the counts in ``PARTS`` hash ranges have in common over the whole
-sets, and, after the first matched places, by the rest of both prefixes and the counts of what lies beyond them.
-
-No shingle's rows and no component is gathered in a task: the rows of a shingle are dealt over one task for each
-``DEAL`` sets that have it, and what they are joined with is repeated for each. Each set that is verified is built once
-and kept for all rounds.
+The suffix filter bounds the overlap by what the counts in ``PARTS`` hash ranges have in common. No shingle's rows and no
+component is gathered in a task: joins on hot shingles are plain equi-joins that adaptive execution splits (salted
+joins were measured: twice the shuffle, see the README). Each set that is verified is built once and kept for all rounds.
 
 Words are runs without white space, A-Z lower-cased. A text of fewer words than n is one shingle. Null and
 empty texts have no set, no link, and their own id as component. Null doc_ids link with nothing and have no
@@ -44,12 +41,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import Scratch, dealt, repeated
+from callweave.llm.common import Scratch
 from callweave.llm.components import components
 
 CELLS, PARTS, CENTERS, ROUNDS, CACHE = 1 << 18, 64, 3, 2, 150_000
-#: In how many components a prefix shingle may lie before it is put last; how many sets of a shingle go to one task.
-MANY, DEAL = 500, 256
+#: In how many components a prefix shingle may lie before it is put last.
+MANY = 500
 #: Cells of the node filter that spares most texts the verification's shuffle.
 NODE_CELLS = 1 << 18
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -113,26 +110,24 @@ def cells(x: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """``doc_id, n`` (set size), ``d1, d2`` (the set's digest), ``prefix`` (rare first), ``parts`` and ``beyond`` (how many lie in each hash range, of all and of those after the prefix)."""
+    """``doc_id, n`` (set size), ``d1, d2`` (the set's digest), ``prefix`` (rare first), ``parts`` (how many lie in each hash range)."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = Hashes(), shared.value
         for b in batches:
-            sizes, d1, d2, prefixes, parts, beyond = [], [], [], [], [], []
+            sizes, d1, d2, prefixes, parts = [], [], [], [], []
             for t in b.column(1):
                 x = shingles(t.as_py(), n, hashes)
                 sizes.append(len(x))
                 one, two = digest(x)
                 d1.append(one)
                 d2.append(two)
-                first, rest = ordered(x, percent, counts)
-                prefixes.append(first.view(np.int64))
-                parts.append(ranges(x))
-                beyond.append(ranges(rest))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), _lists(prefixes, pa.int64()), _lists(parts, pa.int32()), _lists(beyond, pa.int32())], ["doc_id", "n", "d1", "d2", "prefix", "parts", "beyond"])
+                prefixes.append(prefix(x, percent, counts).view(np.int64))
+                parts.append(np.bincount((x & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), _lists(prefixes, pa.int64()), _lists(parts, pa.int32())], ["doc_id", "n", "d1", "d2", "prefix", "parts"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, prefix array<long>, parts array<int>, beyond array<int>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, prefix array<long>, parts array<int>")
 
 
 def digest(x: np.ndarray) -> tuple[int, int]:
@@ -140,16 +135,11 @@ def digest(x: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(found[:8], "little", signed=True), int.from_bytes(found[8:], "little", signed=True)
 
 
-def ordered(x: np.ndarray, percent: int, counts: np.ndarray, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The prefix of set ``x`` and the rest of it, rare first; those in ``last`` after all others."""
-    keep = len(x) - least_overlap(len(x), percent) + 1 if len(x) else 0
+def prefix(x: np.ndarray, percent: int, counts: np.ndarray, last: np.ndarray | None = None) -> np.ndarray:
+    """The prefix of set ``x``, rare first; those in ``last`` after all others."""
     keys = (x, counts[cells(x)])
-    x = x[np.lexsort(keys if last is None else (*keys, np.isin(x, last)))]
-    return x[:keep], x[keep:]
-
-
-def ranges(x: np.ndarray) -> np.ndarray:
-    return np.bincount((x & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS).astype(np.int32)
+    keep = len(x) - least_overlap(len(x), percent) + 1 if len(x) else 0
+    return x[np.lexsort(keys if last is None else (*keys, np.isin(x, last)))[:keep]]
 
 
 def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -162,22 +152,9 @@ def _passes(percent: int, n: str, pos: str, m: str, other: str) -> Column:
     return F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) and {100 + percent} * (1 + least({n} - {pos} - 1, {m} - {other} - 1)) >= {percent} * ({n} + {m})")
 
 
-def _common(a: str, b: str) -> str:
-    return f"aggregate(zip_with({a}, {b}, (x, y) -> least(x, y)), 0L, (s, x) -> s + x)"
-
-
-def _may_overlap(percent: int, one: dict[str, str], two: dict[str, str]) -> Column:
-    """Suffix filter at matched places ``pos``: names of the columns ``n, pos, parts, beyond`` of both sets."""
-    prefix = lambda x: f"({x['n']} - ({percent} * {x['n']} + 99) div 100 + 1)"
-    after = " + ".join(f"greatest({prefix(x)} - {x['pos']} - 1, 0)" for x in (one, two))
-    bound = f"least({_common(one['parts'], two['parts'])}, 1 + {after} + {_common(one['beyond'], two['beyond'])})"
-    return F.expr(f"{100 + percent} * {bound} >= {percent} * ({one['n']} + {two['n']})")
-
-
-def _met(rows: DataFrame, one: DataFrame, on: Column | str = "token") -> DataFrame:
-    """``rows`` (``token, node, sets``) joined with ``one`` (``token, sets``), rows of a frequent token dealt over tasks."""
-    dealt = rows.withColumn("deal", F.expr(f"cast(pmod(xxhash64(node), sets div {DEAL} + 1) as int)"))
-    return dealt.join(one.withColumn("deal", F.expr(f"explode(sequence(0, cast(sets div {DEAL} as int)))")).drop("sets"), ["token", "deal"]).drop("deal")
+def _may_overlap(percent: int, n: str, parts: str, m: str, other: str) -> Column:
+    """Suffix filter: the overlap is at most what the hash ranges' counts have in common."""
+    return F.expr(f"{100 + percent} * aggregate(zip_with({parts}, {other}, (x, y) -> least(x, y)), 0L, (s, x) -> s + x) >= {percent} * ({n} + {m})")
 
 
 class Join:
@@ -185,8 +162,7 @@ class Join:
         self.docs, self.n, self.percent, self.scratch = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), n, percent, scratch
         self.counts = cell_counts(self.docs, n)
         wide = scratch.save(signatures(self.docs, n, percent, self.counts))
-        some = [F.first(c).alias(c) for c in ("prefix", "parts", "beyond")]
-        self.classes = scratch.save(wide.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node"), *some))
+        self.classes = scratch.save(wide.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts")))
         self.rows = scratch.save(wide.select("doc_id", "n", "d1", "d2"))
         scratch.drop(wide)
         self.links = self.done = None
@@ -240,14 +216,14 @@ class Join:
         if labels is None:
             return self._component(rows, None)
         known = self._component(rows, labels)
-        open_ = known.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("sets").alias("sets")).where("lo <> hi").select("token", "sets")
-        return self.scratch.save(_met(known, open_))
+        open_ = known.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+        return self.scratch.save(known.join(open_, "token"))
 
     def _postponed(self, rows: DataFrame, labels: DataFrame | None) -> DataFrame:
         """``rows`` in an order that has the shingles of more than ``MANY`` components last."""
         save, last = self.scratch.save, None
         while True:
-            lying = self._component(rows, labels).select("token", "component").distinct()
+            lying = self._component(rows.where(f"sets > {MANY}"), labels).select("token", "component").distinct()
             many = lying.groupBy("token").agg(F.count("*").alias("k")).where(f"k > {MANY}").select("token")
             fresh = save(many if last is None else many.join(last, "token", "left_anti"))
             if fresh.isEmpty():
@@ -257,56 +233,51 @@ class Join:
             sets = self._sets(holders).join(holders, "node", "left_semi")
             found = sets.select("node", F.explode("s").alias("token")).join(last, "token").groupBy("node").agg(F.collect_list("token").alias("last"))  # no longer than the set
             chosen = save(self._chosen(sets.join(found, "node")))
-            self.classes = save(self.classes.join(chosen, ["d1", "d2"], "left").withColumns({"prefix": F.coalesce("first", "prefix"), "beyond": F.coalesce("rest", "beyond")}).drop("first", "rest"))
+            self.classes = save(self.classes.join(chosen, ["d1", "d2"], "left").withColumn("prefix", F.coalesce("first", "prefix")).drop("first"))
             rows = self._shared()
 
     def _chosen(self, sets: DataFrame) -> DataFrame:
-        """``d1, d2`` of ``sets`` (``s, last``) with their prefix, ``first``, and the ranges of what lies beyond, ``rest``."""
+        """``d1, d2`` of ``sets`` (``s, last``) with their prefix, ``first``."""
         shared, percent = self.docs.sparkSession.sparkContext.broadcast(self.counts), self.percent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                digests, firsts, rests = [], [], []
+                digests, firsts = [], []
                 for s, last in zip(*b.columns, strict=True):
                     x, last = (np.array(v.as_py(), np.int64).view(np.uint64) for v in (s, last))
                     digests.append(digest(x))
-                    first, rest = ordered(x, percent, shared.value, last)
-                    firsts.append(first.view(np.int64))
-                    rests.append(ranges(rest))
-                yield pa.RecordBatch.from_arrays([*(pa.array([d[i] for d in digests], pa.int64()) for i in (0, 1)), _lists(firsts, pa.int64()), _lists(rests, pa.int32())], ["d1", "d2", "first", "rest"])
+                    firsts.append(prefix(x, percent, shared.value, last).view(np.int64))
+                yield pa.RecordBatch.from_arrays([*(pa.array([d[i] for d in digests], pa.int64()) for i in (0, 1)), _lists(firsts, pa.int64())], ["d1", "d2", "first"])
 
-        return sets.select("s", "last").mapInArrow(run, "d1 long, d2 long, first array<long>, rest array<int>")
+        return sets.select("s", "last").mapInArrow(run, "d1 long, d2 long, first array<long>")
 
     def _stars(self, rows: DataFrame, number: int) -> DataFrame:
         me = F.struct("node", "n", "pos", "component")
         # Few rare shingles before a shared one mean few edits: such sets are near many others. Chance varies the choice by round.
         chance = lambda k: (F.pmod(F.xxhash64(F.lit(number * CENTERS + k), "node"), F.lit(1 << 20)) + (1 << 20)) * (F.col("pos") + 1)
-        centers = rows.groupBy("token").agg(F.max("sets").alias("sets"), *[F.min_by(me, F.struct(chance(k), "node")).alias(f"c{k}") for k in range(CENTERS)])
-        each = _met(rows, centers).select("*", F.explode(F.array_distinct(F.array(*[f"c{k}" for k in range(CENTERS)]))).alias("c"))
+        centers = rows.groupBy("token").agg(*[F.min_by(me, F.struct(chance(k), "node")).alias(f"c{k}") for k in range(CENTERS)])
+        each = rows.join(centers, "token").select("*", F.explode(F.array_distinct(F.array(*[f"c{k}" for k in range(CENTERS)]))).alias("c"))
         near = each.where("component <> c.component").where(_passes(self.percent, "n", "pos", "c.n", "c.pos"))
-        return near.select("node", "pos", F.col("c.node").alias("m_node"), F.col("c.pos").alias("m_pos"))
+        return near.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"))
 
     def _across(self, rows: DataFrame) -> DataFrame:
         """All pairs across components: each set outside its shingle's largest component with every set of another one."""
-        sizes = rows.groupBy("token", "component").agg(F.count("*").alias("size"), F.max("sets").alias("sets"))
-        largest = sizes.groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.max("sets").alias("sets"))
-        rows = self.scratch.save(rows.join(self.classes.select("node", "parts", "beyond"), "node"))
-        minor = _met(rows, largest).where("component <> largest").select("token", "sets", *[F.col(c).alias(f"m_{c}") for c in ("node", "n", "pos", "component", "parts", "beyond")])
-        met = _met(rows, minor).where("m_component <> component").where(_passes(self.percent, "n", "pos", "m_n", "m_pos"))
-        names = ("n", "pos", "parts", "beyond")
-        return met.where(_may_overlap(self.percent, {c: c for c in names}, {c: f"m_{c}" for c in names})).select("node", "pos", "m_node", "m_pos")
-
-    def _verified(self, met: DataFrame) -> DataFrame | None:
-        """Those of the pairs ``met`` that link; None if no new one does. Suffix filter first, then the sets themselves, once a pair."""
+        sizes = rows.groupBy("token", "component").agg(F.count("*").alias("size"))
+        largest = sizes.groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("largest"))
+        rows = self.scratch.save(rows.join(self.classes.select("node", "parts"), "node"))
+        minor = rows.join(largest, "token").where("component <> largest").select("token", *[F.col(c).alias(f"m_{c}") for c in ("node", "n", "pos", "component", "parts")])
+        near = (F.col("m_component") != F.col("component")) & _passes(self.percent, "n", "pos", "m_n", "m_pos") & _may_overlap(self.percent, "n", "parts", "m_n", "m_parts")
+        met = minor.join(rows, (minor["token"] == rows["token"]) & near)
+        return met.select(F.least("node", "m_node").alias("a"), F.greatest("node", "m_node").alias("b"))
+
+    def _verified(self, pairs: DataFrame) -> DataFrame | None:
+        """Those of ``pairs`` that link; None if no new one does. Suffix filter first, then the sets themselves, once a pair."""
         save = self.scratch.save
-        turned = F.col("node") < F.col("m_node")
-        places = [F.when(turned, F.col(x)).otherwise(F.col(y)) for x, y in (("pos", "m_pos"), ("m_pos", "pos"))]
-        pairs = met.select(F.least("node", "m_node").alias("a"), F.greatest("node", "m_node").alias("b"), places[0].alias("ia"), places[1].alias("ib")).groupBy("a", "b").agg(F.min("ia").alias("ia"), F.min("ib").alias("ib"))
+        pairs = pairs.distinct()
         if self.done is not None:
             pairs = pairs.join(self.done, ["a", "b"], "left_anti")
-        side = lambda x: self.classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("parts").alias(f"p{x}"), F.col("beyond").alias(f"r{x}"))
-        columns = lambda x: {"n": f"n{x}", "pos": f"i{x}", "parts": f"p{x}", "beyond": f"r{x}"}
-        new = save(pairs.join(side("a"), "a").join(side("b"), "b").where(_may_overlap(self.percent, columns("a"), columns("b"))).select("a", "b").distinct())
+        side = lambda x: self.classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("parts").alias(f"p{x}"))
+        new = save(pairs.join(side("a"), "a").join(side("b"), "b").where(_may_overlap(self.percent, "na", "pa", "nb", "pb")).select("a", "b").distinct())
         if new.isEmpty():
             return None
         self.done = new if self.done is None else save(self.done.unionByName(new))
@@ -351,7 +322,7 @@ def joined(docs: DataFrame, n: int = 3, percent: int = 90, scratch: Scratch | No
     nodes = join.classes.select("d1", "d2", "node")
     known = nodes.withColumn("component", F.col("node")) if labels is None else nodes.join(labels, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
     rows = join.rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("d1")).alias("d1"), "d2")
-    found = dealt(rows, "doc_id").join(repeated(known), ["d1", "d2", "salt"], "left")
+    found = rows.join(known, ["d1", "d2"], "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 

@@ -69,10 +69,9 @@ def test_last_round_alone_is_exact(spark, monkeypatch):
 
 @pytest.mark.parametrize(("many", "rounds"), [(1, 2), (3, 0)])
 def test_postponed_shingles_keep_the_result(spark, monkeypatch, many, rounds):
-    """With common shingles put last in the order all links are found, by whatever rounds; hot shingles go to many tasks."""
+    """With common shingles put last in the order all links are found, by whatever rounds."""
     monkeypatch.setattr(ngram_join, "MANY", many)
     monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
-    monkeypatch.setattr(ngram_join, "DEAL", 2)
     rng = random.Random(many)
     passage = [f"s{i}" for i in range(30)]
     bases = [[f"w{rng.randrange(300)}" for _ in range(rng.choice([4, 8, 40]))] for _ in range(14)]
