@@ -14,7 +14,7 @@ document, which needs every link between components but not each link within one
    group's size. Pairs that pass the suffix filter are verified once and merged into components.
 4. Where a sketch of fixed size can't tell common shingles from rare ones, real counts do: shingles that, after the stars,
    lie in the prefixes of more than ``MANY`` components are put last in the order and the prefixes of
-   the sets that hold any are chosen anew, until no prefix has one that it could spare. Such a set is in the order known
+   the sets that hold any are chosen anew, with all else that so many of these sets have last too, until no prefix has one that it could spare. Such a set is in the order known
    whole, others keep their prefixes, so one order holds for all.
 5. The last round takes, for shingles whose sets still lie in several components, every pair
    across components that passes the filters, not verified before. Pairs within a component are never made, so a
@@ -46,7 +46,7 @@ from callweave.llm.components import components
 
 CELLS, PARTS, CENTERS, ROUNDS, CACHE = 1 << 18, 64, 3, 2, 150_000
 #: In how many components a prefix shingle may lie before it is put last.
-MANY = 500
+MANY = 10_000
 #: Cells of the node filter that spares most texts the verification's shuffle.
 NODE_CELLS = 1 << 18
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -228,10 +228,14 @@ class Join:
             fresh = save(many if last is None else many.join(last, "token", "left_anti"))
             if fresh.isEmpty():
                 return rows
-            last = fresh if last is None else save(last.unionByName(fresh))
             holders = save(rows.join(fresh, "token", "left_semi").select("node").distinct())
             sets = self._sets(holders).join(holders, "node", "left_semi")
-            found = sets.select("node", F.explode("s").alias("token")).join(last, "token").groupBy("node").agg(F.collect_list("token").alias("last"))  # no longer than the set
+            every = sets.select("node", F.explode("s").alias("token"))
+            # all that as many of these sets have, wherever it stands in them: later prefixes would bring it up one part after the other
+            common = every.groupBy("token").agg(F.count("*").alias("k")).where(f"k > {MANY}").select("token")
+            known = fresh if last is None else last.unionByName(fresh)
+            last = save(known.unionByName(common).distinct())
+            found = every.join(last, "token").groupBy("node").agg(F.collect_list("token").alias("last"))  # no longer than the set
             chosen = save(self._chosen(sets.join(found, "node")))
             self.classes = save(self.classes.join(chosen, ["d1", "d2"], "left").withColumn("prefix", F.coalesce("first", "prefix")).drop("first"))
             rows = self._shared()
