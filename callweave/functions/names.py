@@ -26,6 +26,9 @@ def camelize(c: Column | str) -> Column:
     return F.array_join(F.transform(F.filter(F.split(_str(c), "_"), lambda x: x != ""), capital_first), "")
 
 
+# The endings by which the plural and singular of a table's name are told apart.
+
+
 def singularize(c: Column | str) -> Column:
     c = _str(c)
     return (

@@ -34,7 +34,7 @@ CALLABLE_KINDS = ["method", "class_method", "function"]
 
 def is_test_path(path: Column) -> Column:
     """A test directory or a test file name; the Java suffixes mind case, the others don't."""
-    return path.rlike(r"(?i)(^|/)(tests?|specs?|__tests__)/") | path.rlike(r"(Test|Tests|IT)\.java$") | path.rlike(r"_spec\.rb$|_test\.rb$|(?i)\.(test|spec)\.[cm]?[jt]sx?$")
+    return path.rlike(r"(?i)(^|/)(tests?|specs?|__tests__)/") | path.rlike(r"(Test|Tests|IT)\.java$") | path.rlike(r"(?i)_spec\.rb$|_test\.rb$|\.(test|spec)\.[cm]?[jt]sx?$")
 
 
 def language_family(lang: Column) -> Column:

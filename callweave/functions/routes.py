@@ -13,18 +13,19 @@ def _placeholder(c: Column) -> Column:
     return c.rlike(r"^\$\{.*\}$") | F.contains(c, F.lit("#{"))
 
 
+#: A parameter in any spelling: ``{id}``, ``${id}``, ``<id>``, ``:id``.
+PARAMETER = r"\$?\{[^}]*\}|<[^>]*>|:[A-Za-z_]\w*"
+
+
 def normal_path(raw: Column | str) -> Column:
     """One spelling of a route: no host, query or fragment; every parameter and number is ``{}``."""
-    t = F.trim(_str(raw))
-    url = t.rlike("(?i)^https?://")
-    bare = F.when(url, F.when(F.regexp_replace(t, "^[^/]*//[^/]*", "") == "", "/").otherwise(F.regexp_replace(t, "^[^/]*//[^/]*", ""))).otherwise(t)
-    cut = F.substring_index(F.substring_index(bare, "?", 1), "#", 1)
-    p = F.when(cut.startswith("/"), cut).otherwise(F.concat(F.lit("/"), cut))
-    for pattern in (r"\{[^}]*\}", "<[^>]*>", r":[A-Za-z_]\w*", r"\$\{[^}]*\}"):
-        p = F.regexp_replace(p, pattern, "{}")
-    p = F.regexp_replace(F.regexp_replace(p, r"/\d+(?=/|$)", "/{}"), "/+", "/")
-    p = F.when(F.length(p) > 1, F.regexp_replace(p, "/$", "")).otherwise(p)
-    return F.when(t.isNull() | (t == "") | t.rlike(r"\s") | _placeholder(t), None).otherwise(p)
+    given = F.trim(_str(raw))
+    after = F.regexp_extract(given, "(?i)^https?://(.*)$", 1)
+    local = F.when(given.rlike("(?i)^https?://"), F.substring(after, F.locate("/", F.concat(after, F.lit("/"))), F.lit(1 << 30))).otherwise(given)
+    shown = F.regexp_replace(F.regexp_extract(local, "^([^?#]*)", 1), PARAMETER, "{}")
+    segments = F.transform(F.filter(F.split(shown, "/"), lambda x: x != ""), lambda x: F.when(x.rlike("^[0-9]+$"), "{}").otherwise(x))
+    refused = (given == "") | given.rlike(r"\s") | _placeholder(given)
+    return F.when(~refused, F.concat(F.lit("/"), F.array_join(segments, "/")))
 
 
 def join_paths(prefix: Column, path: Column) -> Column:
@@ -83,42 +84,74 @@ def service_of_base(base: Column, imports: Column) -> Column:
     return F.when(qualified != "", qualified).when((bare != "") & known, bare)
 
 
-NAME = r"""((?:["'`]?\w+["'`]?\.)*["'`]?\w+["'`]?)"""
-TOUCHING = [r"\bCREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?", r"\bALTER\s+TABLE\s+", r"\bDROP\s+TABLE\s+(?:IF\s+EXISTS\s+)?", r"\bINSERT\s+INTO\s+", r"\bUPDATE\s+", r"\bCREATE\s+(?:UNIQUE\s+)?INDEX\s+\S+\s+ON\s+"]
-READING = [r"\bFROM\s+", r"\bJOIN\s+", r"\bINSERT\s+INTO\s+", r"\bUPDATE\s+", r"\bDELETE\s+FROM\s+"]
-
-
-def _tables(sql: Column, starts: list[str]) -> Column:
-    clean = F.regexp_replace(F.regexp_replace(sql, r"--[^\n]*", ""), r"(?s)/\*.*?\*/", "")
-    found = [F.regexp_extract_all(clean, F.lit(f"(?i){s}{NAME}" + (r"\s+SET\b" if "UPDATE" in s else "")), F.lit(1)) for s in starts]
-    return F.array_distinct(F.transform(F.flatten(F.array(*found)), lambda n: F.lower(F.element_at(F.split(F.regexp_replace(n, "[\"'`]", ""), r"\."), -1))))
+#: A word of SQL, quoted and qualified parts included, or a mark.
+SQL_TOKEN = r"((?:[\w$]+|\.|\"[^\"]*\"|'[^']*'|`[^`]*`)+|\S)"
+#: What stands before the name of a table that a statement changes, or reads or writes.
+CHANGES = r"(CREATE|ALTER|DROP) TABLE( IF( NOT)? EXISTS)?$|INSERT INTO$|INDEX \S+ ON$"
+USES = r"(^| )(FROM|JOIN)$|INSERT INTO$"
+
+
+def _tables(sql: Column, before: str) -> Column:
+    """The names that follow ``before``, or stand between UPDATE and SET; unqualified, unquoted, in lower case."""
+    bare = F.regexp_replace(F.regexp_replace(sql, r"(?s)/\*.*?\*/", " "), "--[^\n]*", " ")
+    words = F.regexp_extract_all(bare, F.lit(SQL_TOKEN), F.lit(1))
+    placed = F.transform(
+        words,
+        lambda w, i: F.struct(
+            w.alias("word"),
+            F.upper(F.array_join(F.slice(words, F.greatest(i - 4, F.lit(1)), F.least(i, F.lit(5))), " ")).alias("before"),
+            F.upper(F.coalesce(F.get(words, i + 1), F.lit(""))).alias("after"),
+        ),
+    )
+    named = lambda x: x["word"].rlike(r"^[\w\"'`]") & ~F.upper(x["word"]).isin("IF", "NOT", "EXISTS")
+    updated = lambda x: x["before"].rlike("(^| )UPDATE$") & (x["after"] == "SET")
+    found = F.filter(placed, lambda x: named(x) & (x["before"].rlike(before) | updated(x)))
+    last = lambda x: F.element_at(F.split(F.translate(x["word"], "\"'`", ""), r"\."), -1)
+    return F.array_distinct(F.transform(found, lambda x: F.lower(last(x))))
 
 
 def tables_touched(sql: Column) -> Column:
-    """Tables that a migration's statements change: unqualified, unquoted, in lower case."""
-    return _tables(sql, TOUCHING)
+    """Tables that a migration's statements change."""
+    return _tables(sql, CHANGES)
 
 
 def tables_referenced(sql: Column) -> Column:
     """Tables that a query reads or writes."""
-    return _tables(sql, READING)
+    return _tables(sql, USES)
+
+
+#: A string, a dotted name or a mark of an annotation's arguments.
+ARGUMENT_TOKEN = r'("(?:[^"\\]|\\.)*"|[\w.]+|\S)'
+_ENTRIES = "array<struct<name: string, value: string, quoted: boolean>>"
+
+
+def _arguments(raw: Column) -> Column:
+    """Every string and name in an annotation's arguments with the attribute that it is given to, empty for positional ones: one pass over the tokens."""
+    tokens = F.regexp_extract_all(F.coalesce(raw, F.lit("")), F.lit(ARGUMENT_TOKEN), F.lit(1))
+    start = F.struct(F.lit("").alias("name"), F.lit(0).alias("depth"), F.lit("").alias("last"), F.expr(f"cast(array() as {_ENTRIES})").alias("seen"))
 
+    def step(s: Column, token: Column) -> Column:
+        string = F.startswith(token, F.lit('"'))
+        entry = F.struct(s["name"].alias("name"), F.when(string, F.substring(token, F.lit(2), F.length(token) - 2)).otherwise(token).alias("value"), string.alias("quoted"))
+        ends = (token == ",") & (s["depth"] == 0)
+        return F.struct(
+            F.when(token == "=", s["last"]).when(ends, "").otherwise(s["name"]).alias("name"),
+            (s["depth"] + F.when(token == "{", 1).when(token == "}", -1).otherwise(0)).alias("depth"),
+            token.alias("last"),
+            F.when(string | token.rlike("^[A-Za-z_]"), F.concat(s["seen"], F.array(entry))).otherwise(s["seen"]).alias("seen"),
+        )
 
-STRING = r'"([^"\\]*(?:\\.[^"\\]*)*)"'
+    return F.aggregate(tokens, start, step, lambda s: s["seen"])
 
 
 def attribute_strings(raw: Column, names: list[str]) -> Column:
     """The strings that an annotation gives to the first written one of ``names``, or its positional ones."""
-    text = F.coalesce(raw, F.lit(""))
-    positional = F.when(F.trim(text).rlike(r"^[A-Za-z_]\w*\s*="), F.array().cast("array<string>")).otherwise(F.regexp_extract_all(F.trim(text), F.lit(STRING), F.lit(1)))
-    out = positional
-    for name in reversed(names):
-        value = F.regexp_extract(text, r"(?:^|[,(\s])" + name + r'\s*=\s*(\{[^}]*\}|"(?:[^"\\]|\\.)*")', 1)
-        out = F.when(value != "", F.regexp_extract_all(value, F.lit(STRING), F.lit(1))).otherwise(out)
-    return out
+    seen = _arguments(raw)
+    given = lambda name: F.transform(F.filter(seen, lambda x: (x["name"] == name) & x["quoted"]), lambda x: x["value"])
+    return F.coalesce(*[F.when(F.size(given(n)) > 0, given(n)) for n in names], given(""))
 
 
 def attribute_identifiers(raw: Column, name: str) -> Column:
     """The identifiers given to an attribute: ``method = RequestMethod.POST`` gives both words."""
-    value = F.regexp_extract(F.coalesce(raw, F.lit("")), r"(?:^|[,(\s])" + name + r"\s*=\s*(\{[^}]*\}|[\w.]+)", 1)
-    return F.regexp_extract_all(value, F.lit(r"([A-Za-z_]\w*)"), F.lit(1))
+    given = F.filter(_arguments(raw), lambda x: (x["name"] == name) & ~x["quoted"])
+    return F.flatten(F.transform(given, lambda x: F.split(x["value"], r"\.")))

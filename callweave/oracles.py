@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from callweave.plans.star import prelude
 
-TEST = r"(regexp_matches({0}, '(?i)(^|/)(tests?|specs?|__tests__)/') or regexp_matches({0}, '(Test|Tests|IT)\.java$') or regexp_matches({0}, '_spec\.rb$|_test\.rb$') or regexp_matches({0}, '(?i)\.(test|spec)\.[cm]?[jt]sx?$'))"
+TEST = r"(regexp_matches({0}, '(?i)(^|/)(tests?|specs?|__tests__)/') or regexp_matches({0}, '(Test|Tests|IT)\.java$') or regexp_matches({0}, '(?i)_spec\.rb$|_test\.rb$') or regexp_matches({0}, '(?i)\.(test|spec)\.[cm]?[jt]sx?$'))"
 FAMILY = "case when {0} in ('typescript', 'tsx', 'javascript') then 'js' else {0} end"
 OPEN = f"""open_calls as (
     select r.id as ref_id, r.name, r.receiver, r.arity as call_arity, r.kind as call_kind, r.line, u.reason, f.path as file_path, f.lang, r.from_symbol_id,
@@ -165,7 +165,7 @@ ORACLE_SQL: dict[str, str] = {
     "s8_normal_paths": "with p as (select page_id, regexp_replace(split_part(split_part(url, '?', 1), '#', 1), '^[^/]*//[^/]*', '') as p from pages), q as (select page_id, regexp_replace(regexp_replace(case when p = '' then '/' else p end, '/\\d+(/|$)', '/{}\\1', 'g'), ':[A-Za-z_]\\w*', '{}', 'g') as p from p) select page_id, case when length(p) > 1 then regexp_replace(p, '/$', '') else p end as route from q",
     "s12_phrases": "select doc_id from documents where contains(' ' || array_to_string(regexp_extract_all(lower(\"text\"), '([\\p{L}\\p{N}]+)', 1), ' ') || ' ', ' the and ')",
     "s14_lines": "select doc_id, (length(\"text\") - length(replace(\"text\", chr(10), '')) + 1)::int as n_lines, (length(substr(\"text\", 1, length(\"text\") // 2)) - length(replace(substr(\"text\", 1, length(\"text\") // 2), chr(10), '')) + 1)::int as middle from documents",
-    "src5_admission": "select doc_id, case when strlen(\"text\") > 2000000 then 'too-large' when instr(substr(\"text\", 1, 8000), chr(0)) > 0 then 'binary' when length(\"text\") > 20480 and length(\"text\") / (length(\"text\") - length(replace(\"text\", chr(10), '')) + 1) > 1000 then 'packed' else 'ok' end as admission, sha1(\"text\") as hash from documents",
+    "src5_admission": "select doc_id, case when length(\"text\") > 2097152 then 'too-large' when instr(substr(\"text\", 1, 8000), chr(0)) > 0 then 'binary' when length(\"text\") > 20480 and length(\"text\") / (length(\"text\") - length(replace(\"text\", chr(10), '')) + 1) > 1000 then 'packed' else 'ok' end as admission, sha1(\"text\") as hash from documents",
     "src8_template_words": "select distinct unnest(regexp_extract_all(html, '([A-Za-z_$][\\w$]*)', 1)) as word from pages",
     "st1_sync_status": """with stored as (select c_name as path, sha1(c_mktsegment) as h from customer), listed as (select case when c_custkey % 9 = 0 then c_name || '.new' else c_name end as path, sha1(case when c_custkey % 7 = 0 then 'x' else c_mktsegment end) as h from customer where c_custkey % 10 <> 0)
         select case when s.path is null then 'added' when l.path is null then 'removed' when s.h = l.h then 'unchanged' else 'changed' end as status, count(*) as n from stored s full join listed l on s.path = l.path group by all""",

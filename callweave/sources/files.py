@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from callweave.functions.names import language
 
-MAX_BYTES, PACKED_CHARS, PACKED_PER_LINE, NUL_WITHIN = 2_000_000, 20 * 1024, 1000, 8000
+MAX_CHARS, PACKED_CHARS, PACKED_PER_LINE, NUL_WITHIN = 2 * 1024 * 1024, 20 * 1024, 1000, 8000
 #: Folders that hold dependencies or build output.
 SKIPPED = ["node_modules", "vendor", "target", "dist", "build", "out", "coverage", "tmp", "log", "bin", "obj"]
 
@@ -21,7 +21,7 @@ def admission(text: Column) -> Column:
     n = F.length(text)
     lines = F.regexp_count(text, F.lit("\n")) + 1
     return (
-        F.when(F.octet_length(text) > MAX_BYTES, "too-large")
+        F.when(n > MAX_CHARS, "too-large")
         .when(F.instr(F.substring(text, 1, NUL_WITHIN), "\0") > 0, "binary")
         .when((n > PACKED_CHARS) & (n / lines > PACKED_PER_LINE), "packed")
         .otherwise("ok")
@@ -67,9 +67,14 @@ def read_tree(spark: SparkSession, root: str, rules: list[str] = ()) -> DataFram
     base = F.regexp_replace(F.lit(root.rstrip("/")), "^[a-z]+:/*", "/")
     rel = F.regexp_replace(F.substring(F.regexp_replace("path", "^[a-z]+:/*", "/"), F.length(base) + 2, F.lit(1 << 30)), "^/+", "")
     skip = F.col("path").rlike(r"(^|/)(\.[^/]*|" + "|".join(SKIPPED) + ")/")
-    files = raw.select(rel.alias("path"), "content").where(~skip & language("path").isNotNull() & ~ignored(F.col("path"), list(rules)))
-    text = F.decode("content", "UTF-8")
-    return files.select("path", language("path").alias("lang"), text.alias("text"), F.sha1("content").alias("hash")).select("*", (F.regexp_count("text", F.lit("\n")) + 1).alias("lines"), admission(F.col("text")).alias("admission"))
+    wanted = ~skip & language("path").isNotNull() & ~ignored(F.col("path"), list(rules))
+    # no character takes more than four octets: a longer file is too large without being read
+    files = raw.where(F.col("length") <= 4 * MAX_CHARS).select(rel.alias("path"), "content").where(wanted)
+    text = F.make_valid_utf8(F.col("content").cast("string"))  # octets that are no UTF-8 become replacement characters
+    read = files.select("path", language("path").alias("lang"), text.alias("text"), F.sha1("content").alias("hash")).select("*", (F.regexp_count("text", F.lit("\n")) + 1).alias("lines"), admission(F.col("text")).alias("admission"))
+    left = raw.where(F.col("length") > 4 * MAX_CHARS).select(rel.alias("path")).where(wanted)
+    null = lambda kind: F.lit(None).cast(kind)
+    return read.unionByName(left.select("path", language("path").alias("lang"), null("string").alias("text"), null("string").alias("hash"), null("int").alias("lines"), F.lit("too-large").alias("admission")))
 
 
 def bare_words(texts: DataFrame) -> DataFrame:

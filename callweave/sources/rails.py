@@ -42,122 +42,175 @@ def column_attributes(columns: DataFrame, symbols: DataFrame) -> DataFrame:
 #: The actions that a resource declares, with their verbs and path ends.
 PLURAL = [("index", "GET", ""), ("create", "POST", ""), ("new", "GET", "/new"), ("show", "GET", "/{}"), ("edit", "GET", "/{}/edit"), ("update", "PUT", "/{}"), ("update", "PATCH", "/{}"), ("destroy", "DELETE", "/{}")]
 SINGULAR = [("show", "GET", ""), ("create", "POST", ""), ("new", "GET", "/new"), ("edit", "GET", "/edit"), ("update", "PUT", ""), ("update", "PATCH", ""), ("destroy", "DELETE", "")]
-VALUE = r"(%i\[[^\]]*\]|\[[^\]]*\]|'[^']*'|\"[^\"]*\"|:[A-Za-z_]\w*)"
+
+TOKEN = re.compile(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|%[iIwW]\[[^\]]*\]|\#.*|=>|[A-Za-z_]\w*:(?!:)|:[A-Za-z_]\w*|[A-Za-z_][\w.]*|\S""")
+Value = str | list[str]
+Route = tuple[str, str, str | None, str | None, int]
 
 
 @dataclass
-class Statement:
-    """A line of the file and, if it opens a block, what stands in it."""
+class Call:
+    """A statement: its word, positional arguments, keyword arguments, and the statements of its block."""
 
-    words: str
+    word: str
     line: int
-    inside: list[Statement] = field(default_factory=list)
-
-    def option(self, key: str) -> str | None:
-        found = re.search(rf"\b{key}:\s*{VALUE}", self.words)
-        return found[1].strip("'\":") if found else None
-
-    def listed(self, key: str) -> list[str] | None:
-        value = self.option(key)
-        return None if value is None else [w for w in re.findall(r"[A-Za-z_]\w*", value) if w != "i"]
-
-    def argument(self) -> tuple[str, bool] | None:
-        """The first argument, and whether it is a symbol."""
-        found = re.match(r"\w+\s*\(?\s*(?:'([^']+)'|\"([^\"]+)\"|:(\w+))", self.words)
-        return (found[1] or found[2] or found[3], found[3] is not None) if found else None
+    arguments: list[Value] = field(default_factory=list)
+    named: dict[str, Value] = field(default_factory=dict)
+    block: list[Call] = field(default_factory=list)
+    opens: bool = False
+
+    def first(self) -> str:
+        return self.arguments[0] if self.arguments and isinstance(self.arguments[0], str) else ""
+
+    def text(self, key: str, otherwise: str = "") -> str:
+        value = self.named.get(key, otherwise)
+        return value if isinstance(value, str) else otherwise
+
+    def several(self, key: str) -> list[str]:
+        value = self.named.get(key, [])
+        return [value] if isinstance(value, str) else value
+
+
+def _value(tokens: list[str], i: int) -> tuple[Value | None, int]:
+    """The literal at ``i`` and the place after it; None for what is no literal."""
+    t = tokens[i]
+    if t[0] in "'\"":
+        return t[1:-1], i + 1
+    if t[0] == ":" and len(t) > 1:
+        return t[1:], i + 1
+    if t[0] == "%" and len(t) > 1:
+        return t[3:-1].split(), i + 1
+    if t == "[":
+        inside, i = [], i + 1
+        while i < len(tokens) and tokens[i] != "]":
+            value, i = _value(tokens, i)
+            inside += [value] if isinstance(value, str) else []
+        return inside, i + 1
+    return None, i + 1
+
+
+def call(text: str, line: int) -> Call | None:
+    """The statement on a line, None for an empty one."""
+    tokens = [t for t in TOKEN.findall(text) if not t.startswith("#")]
+    if not tokens:
+        return None
+    made, i, key = Call(tokens[0], line), 1, None
+    if "do" in tokens:
+        tokens, made.opens = tokens[: tokens.index("do")], True
+    while i < len(tokens):
+        if tokens[i].endswith(":") and len(tokens[i]) > 1:
+            key, i = tokens[i][:-1], i + 1
+            continue
+        value, after = _value(tokens, i)
+        if value is not None:
+            if key is not None:
+                made.named[key] = value
+            elif after < len(tokens) and tokens[after] == "=>":  # 'path' => 'target', or :option => value
+                target, end = _value(tokens, after + 1) if after + 1 < len(tokens) else (None, after + 1)
+                if tokens[i].startswith(":") and made.arguments:
+                    made.named[value] = target
+                else:
+                    made.arguments.append(value)
+                    made.named["to"] = target
+                after = end
+            else:
+                made.arguments.append(value)
+        key, i = None, after
+    return made
+
+
+def calls(text: str) -> list[Call]:
+    """The file's statements as a tree of blocks."""
+    path = [Call("", 0)]
+    for number, raw in enumerate(text.split("\n"), 1):
+        found = call(raw, number)
+        if found is None:
+            continue
+        if found.word == "end":
+            del path[max(1, len(path) - 1) :]
+            continue
+        path[-1].block.append(found)
+        if found.opens:
+            path.append(found)
+    return path[0].block
 
 
 @dataclass(frozen=True)
-class Scope:
+class Place:
+    """Where a statement stands: path, modules, the resource's controller, and the path that its collection has."""
+
     path: str = ""
-    module: str = ""
+    modules: tuple[str, ...] = ()
     controller: str | None = None
-    #: The path without the member's parameter, for what a collection adds.
     collection: str = ""
 
+    def under(self, part: str) -> str:
+        return f"{self.path}/{part.strip('/')}" if part.strip("/") else self.path
 
-def code_of(line: str) -> str:
-    """A line without its comment; a ``#`` within quotes is none."""
-    return re.match(r"(?:[^'\"#]|'[^']*(?:'|$)|\"[^\"]*(?:\"|$))*", line)[0].strip()
+    def named(self, controller: str) -> str:
+        camel = ("".join(word[:1].upper() + word[1:] for word in part.split("_")) for part in controller.split("/"))
+        return "::".join((*self.modules, *camel))
 
+    def action(self, spec: str) -> tuple[str | None, str | None]:
+        """``controller#action``, or an action of the resource."""
+        controller, mark, action = spec.partition("#")
+        if mark:
+            return self.named(controller), action
+        return (self.controller, spec) if self.controller and spec else (None, None)
 
-def parsed(text: str) -> list[Statement]:
-    """The statements as a tree of blocks."""
-    top = Statement("", 0)
-    open_ = [top]
-    for number, raw in enumerate(text.split("\n"), 1):
-        words = code_of(raw)
-        if not words:
-            continue
-        if re.match(r"end\b", words):
-            if len(open_) > 1:
-                open_.pop()
-            continue
-        statement = Statement(words, number)
-        open_[-1].inside.append(statement)
-        if re.search(r"\bdo(\s*\|[^|]*\|)?$", words):
-            open_.append(statement)
-    return top.inside
+
+def _namespace(c: Call, at: Place) -> tuple[list[Route], Place]:
+    path = at.under(c.text("path", c.first()))
+    return [], Place(path, (*at.modules, at.named(c.first()).rpartition("::")[2]), None, path)
+
+
+def _scope(c: Call, at: Place) -> tuple[list[Route], Place]:
+    path, module = at.under(c.text("path", c.first())), c.text("module")
+    return [], replace(at, path=path, collection=path, modules=(*at.modules, *Place().named(module).split("::")) if module else at.modules)
+
+
+def _resource(c: Call, at: Place) -> tuple[list[Route], Place]:
+    single = c.word == "resource"
+    controller = at.named(c.text("controller", c.first() + ("s" if single else "")))
+    path = at.under(c.text("path", c.first()))
+    wanted = set(c.several("only")) if "only" in c.named else None
+    made = [(verb, path + end, controller, action, c.line) for action, verb, end in (SINGULAR if single else PLURAL) if (wanted is None or action in wanted) and action not in c.several("except")]
+    return made, Place(path if single else path + "/{}", at.modules, controller, path)
+
+
+def _collection(c: Call, at: Place) -> tuple[list[Route], Place]:
+    return [], replace(at, path=at.collection)
+
+
+def _root(c: Call, at: Place) -> tuple[list[Route], Place]:
+    return [("GET", at.path or "/", *at.action(c.text("to", c.first())), c.line)], at
 
 
-def constant(name: str) -> str:
-    return "::".join("".join(w[:1].upper() + w[1:] for w in part.split("_")) for part in name.split("/"))
+def _verb(c: Call, at: Place) -> tuple[list[Route], Place]:
+    spec = c.text("to")
+    if not spec and c.text("controller") and c.text("action"):
+        spec = f"{c.text('controller')}#{c.text('action')}"
+    if not spec and re.fullmatch(r"\w+", c.first()):
+        spec = c.text("action", c.first())
+    base = replace(at, path=at.collection) if c.text("on") == "collection" else at
+    verbs = [v.upper().replace("ALL", "ANY") for v in c.several("via")] or ["ANY"] if c.word == "match" else [c.word.upper()]
+    return [(verb, base.under(c.first()), *at.action(spec), c.line) for verb in verbs], at
 
 
-def within(module: str, name: str) -> str:
-    return f"{module}::{constant(name)}" if module else constant(name)
+MEANINGS = {"namespace": _namespace, "scope": _scope, "resources": _resource, "resource": _resource, "collection": _collection, "root": _root} | dict.fromkeys(("get", "post", "put", "patch", "delete", "match"), _verb)
 
 
-def rails_routes(text: str) -> list[tuple[str, str, str | None, str | None, int]]:
+def rails_routes(text: str) -> list[Route]:
     """(verb, path, controller, action, line) of every route that the file declares."""
-    return [r for s in parsed(text) for r in _routes(s, Scope())]
-
-
-def _routes(s: Statement, scope: Scope) -> Iterator[tuple]:
-    word = re.match(r"[\w.]*", s.words)[0]
-    given = s.argument()
-    deeper = scope
-    if word == "namespace" and given:
-        path = f"{scope.path}/{s.option('path') or given[0]}"
-        deeper = Scope(path, within(scope.module, given[0]), None, path)
-    elif word == "scope":
-        name = s.option("path") or (given[0] if given else "")
-        path = f"{scope.path}/{name.lstrip('/')}" if name else scope.path
-        module = s.option("module")
-        deeper = replace(scope, path=path, collection=path, module=within(scope.module, module) if module else scope.module)
-    elif word in ("resources", "resource") and given:
-        one = word == "resource"
-        controller = within(scope.module, s.option("controller") or given[0] + "s" * one)
-        own = f"{scope.path}/{s.option('path') or given[0]}"
-        only, never = s.listed("only"), s.listed("except") or []
-        for action, verb, end in SINGULAR if one else PLURAL:
-            if (only is None or action in only) and action not in never:
-                yield verb, own + end, controller, action, s.line
-        deeper = Scope(own if one else f"{own}/{{}}", scope.module, controller, own)
-    elif word == "collection":
-        deeper = replace(scope, path=scope.collection)
-    elif word == "root":
-        spec = s.option("to") or (given[0] if given else None)
-        yield ("GET", scope.path or "/", *_target(spec, scope.module), s.line)
-    elif word in ("get", "post", "put", "patch", "delete", "match") and given:
-        spoken, symbol = given
-        arrow = re.search(r"=>\s*(?:'([^']+)'|\"([^\"]+)\")", s.words)
-        to = _target(s.option("to") or (arrow[1] or arrow[2] if arrow else None), scope.module)
-        if to[1] is None and symbol and scope.controller:
-            to = (scope.controller, spoken)
-        if to[1] is None and s.option("controller") and s.option("action"):
-            to = (within(scope.module, s.option("controller")), s.option("action"))
-        base = scope.collection if s.option("on") == "collection" else scope.path
-        verbs = [v.upper() for v in s.listed("via") or []] or ["ANY"] if word == "match" else [word.upper()]
-        for verb in verbs:
-            yield ("ANY" if verb == "ALL" else verb, f"{base}/{spoken.lstrip('/')}", *to, s.line)
-    for inner in s.inside:
-        yield from _routes(inner, deeper)
-
-
-def _target(spec: str | None, module: str) -> tuple[str | None, str | None]:
-    found = re.fullmatch(r"([\w/]+)#(\w+)", spec or "")
-    return (within(module, found[1]), found[2]) if found else (None, None)
+    out: list[Route] = []
+    open_ = [(c, Place()) for c in reversed(calls(text))]
+    while open_:
+        c, at = open_.pop()
+        if c.word in MEANINGS and (c.arguments or c.word in ("scope", "collection", "root")):
+            made, at = MEANINGS[c.word](c, at)
+            out += made
+        open_ += [(inner, at) for inner in reversed(c.block)]
+    return out
 
 
 def routes(files: DataFrame) -> DataFrame:

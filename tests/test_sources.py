@@ -88,3 +88,15 @@ def test_reexports_with_a_cycle(spark):
     again = spark.createDataFrame([("b", "a", "*", None), ("b", "c", "*", None), ("c", "b", "*", None), ("d", "b", "h", "f"), ("d", "a", "main", "default")], "module string, from_module string, name string, orig string")
     got = {(r["module"], r["name"]): r["origin"] for r in modules.exported(direct, again).collect()}
     assert got == {("a", "f"): "a", ("a", "default"): "a", ("c", "g"): "c", ("b", "f"): "a", ("b", "g"): "c", ("c", "f"): "a", ("d", "h"): "a", ("d", "main"): "a"}
+
+
+def test_a_tree_with_odd_files(spark, tmp_path):
+    """Files that are no UTF-8, binary or too large are listed and refused; the rest are read."""
+    from callweave.sources import files
+
+    for name, content in [("a.java", b"class A {}\n"), ("latin.rb", b"# caf\xe9\nclass B\nend\n"), ("bin.js", b"\x00\x01\xff"), ("big.ts", b"x" * (8 * 1024 * 1024 + 5)), ("node_modules/z.js", b"1"), ("long.rb", b"# \xc3\xa9\n" * 500_000)]:
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    got = {r["path"]: (r["admission"], r["text"]) for r in files.read_tree(spark, str(tmp_path)).collect()}
+    assert {k: v[0] for k, v in got.items()} == {"a.java": "ok", "latin.rb": "ok", "bin.js": "binary", "big.ts": "too-large", "long.rb": "too-large"}
+    assert got["latin.rb"][1] == "# caf\ufffd\nclass B\nend\n"
