@@ -28,7 +28,7 @@ def located(facts: dict[str, DataFrame], name: str) -> int:
 def answer(spark: SparkSession, args: argparse.Namespace) -> tuple[list, list[str], int]:
     """Rows, their columns and the exit code."""
     if args.command == "index":
-        facts = project.index(spark, args.args[0])
+        facts = project.index(spark, args.args[0], repo_id=args.repo)
         project.write(facts, args.store, args.repo)
         return [{"table": n, "rows": project.read(spark, args.store, args.repo)[n].count()} for n in project.NAMES], ["table", "rows"], 0
     f = project.read(spark, args.store, args.repo)

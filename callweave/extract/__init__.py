@@ -54,13 +54,17 @@ def raw_facts(files: DataFrame) -> DataFrame:
     return files.where(F.col("lang").isin(*EXTRACTORS)).select("path", "lang", "text").mapInArrow(run, "path string, record string, " + ", ".join(map(_ddl, _ALL)))
 
 
-def facts(files: DataFrame, raw: DataFrame) -> dict[str, DataFrame]:
-    """Fact tables with ids that path, kind and place give, so that every run and every worker agrees on them.
+def facts(files: DataFrame, raw: DataFrame, repo_id: str = "") -> dict[str, DataFrame]:
+    """Fact tables with ids that repository, path, kind and place give, so that every run and every worker agrees on them.
+
+    An id is 44 bits of a hash of the file and kind before the place in it, so ids of one file ascend as it is read.
 
     ``raw`` should be a stored table: it is read once for each fact table.
     """
-    ref = lambda record, c: F.when(F.col(c).isNotNull(), F.xxhash64(F.col("path"), F.lit(record), F.col(c)))
-    base = {"file_id": F.xxhash64(F.lit("file"), F.col("path"))}
+    place = lambda record: F.call_function("shiftleft", F.call_function("shiftright", F.xxhash64(F.lit(repo_id), F.col("path"), F.lit(record)), F.lit(20)), F.lit(20))
+    ref = lambda record, c: place(record) + F.col(c)
+    file_id = F.xxhash64(F.lit(repo_id), F.lit("file"), F.col("path"))
+    base = {"file_id": file_id}
     out = {}
     for record, columns in COLUMNS.items():
         cols = {**base, "id": ref(record, "seq")}
@@ -70,5 +74,5 @@ def facts(files: DataFrame, raw: DataFrame) -> dict[str, DataFrame]:
                 cols[name] = ref(to, c)
         out[record] = raw.where(F.col("record") == record).select(*[v.alias(k) for k, v in cols.items()])
     packages = raw.where("record = 'file'").select("path", F.col("fqn").alias("pkg"))
-    out["files"] = files.join(packages, "path", "left").select(F.xxhash64(F.lit("file"), F.col("path")).alias("id"), "path", "lang", "hash", "pkg", "lines", F.lit(0).alias("external"), F.lit(None).cast("string").alias("owner"))
+    out["files"] = files.join(packages, "path", "left").select(file_id.alias("id"), "path", "lang", "hash", "pkg", "lines", F.lit(0).alias("external"), F.lit(None).cast("string").alias("owner"))
     return out

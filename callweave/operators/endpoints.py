@@ -67,6 +67,7 @@ def http(facts: Facts) -> DataFrame:
     for name, v in CLIENT_VERBS.items():
         client = F.when(F.col("name") == name, v).otherwise(client)
     calls = refs.where("kind = 'call'").where(F.col("name").isin(*CLIENT_VERBS)).where(~F.col("name").isin(*CLIENT_GENERIC) | F.coalesce("receiver", F.lit("")).rlike("(?i)rest|template|client|http|web|feign|request"))
+    calls = calls.where(_first().rlike("(?i)^(/|https?://)"))  # other strings are no routes
     used = _emit(calls, "consumer", route_key(client, _first()), F.concat_ws(" ", "name", _first()))
     return made.unionByName(used)
 
@@ -94,7 +95,7 @@ def spring_event(facts: Facts) -> DataFrame:
     refs, symbols = facts["refs"], facts["symbols"]
     heard = symbols.where("kind = 'method'").where(F.arrays_overlap(F.transform("annotations", lambda a: F.regexp_replace(a, "^@", "")), F.array(*[F.lit(x) for x in EVENT_LISTENERS])))
     made = heard.select("file_id", F.col("id").alias("symbol_id"), F.lit("provider").alias("role"), event_type(F.try_element_at("params", F.lit(1))).alias("key"), F.col("start_line").alias("line"), F.lit("@EventListener").alias("detail")).where("key is not null")
-    # Ids are hashes; the place in the file orders refs of one line by their sequence where it is known, else by id.
+    # Ids of one file ascend as it is read.
     first = refs.where("kind = 'new' and from_symbol_id is not null").groupBy("from_symbol_id", "line").agg(F.min_by("name", "id").alias("event"))
     published = refs.where("kind = 'call' and name in ('publishEvent', 'publish', 'multicastEvent')").where((F.col("name") != "publish") | F.coalesce("receiver", F.lit("")).rlike("(?i)publisher|event|context"))
     return made.unionByName(_emit(published.join(first, ["from_symbol_id", "line"]), "consumer", event_type("event"), F.col("name")))
@@ -104,7 +105,7 @@ def camel(facts: Facts) -> DataFrame:
     """Routes by their last ``from`` above: a running last value over each method's calls; a send before any is no route's."""
     uri = endpoint_uri(_first())
     calls = facts["refs"].where("kind = 'call' and from_symbol_id is not null").where(F.col("name").isin("from", *ROUTE_SENDERS)).withColumn("uri", uri).where(F.col("uri").rlike(ROUTABLE))
-    above = Window.partitionBy("from_symbol_id").orderBy("line", F.col("name") != "from", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    above = Window.partitionBy("from_symbol_id").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = calls.withColumn("route", F.last(F.when(F.col("name") == "from", F.col("uri")), ignorenulls=True).over(above)).where("route is not null")
     symbol = F.xxhash64("from_symbol_id", F.lit("route"), "route")
     rows = placed.withColumn("from_symbol_id", symbol)

@@ -80,8 +80,8 @@ def path_between(edges: DataFrame, structure: DataFrame, source: int, target: in
     if source == target:
         return []
     tree = paths_from(edges, structure, source, max_depth)
-    goals = [target, *[r["member_id"] for r in structure.where(F.col("type_id") == target).select("member_id").collect()]]
-    end = tree.where(F.col("id").isin(goals) & (F.col("depth") > 0)).orderBy("depth", "id").first()
+    goals = structure.where(F.col("type_id") == target).select(F.col("member_id").alias("id")).unionByName(edges.sparkSession.range(target, target + 1)).distinct()
+    end = tree.where("depth > 0").join(goals, "id", "left_semi").orderBy("depth", "id").first()
     hops: list[dict] = []
     while end is not None and end["depth"] > 0:  # at most max_depth rows of one path
         hops.insert(0, {"id": end["id"], "kind": end["kind"], "via": end["via"]})

@@ -2,14 +2,16 @@
 
 Every rule is a set of candidates with a priority; the first that holds wins (``min_by``). A rule may block: an explicit import
 of a foreign type ends the search with no type. Calls on calls and locals typed by calls are resolved in passes, each over
-all calls still open, until a pass adds nothing (at most ``PASSES``), and every pass is written to the shared folder.
+all calls still open, until a pass adds nothing, and every pass is written to the shared folder.
 
-Outcomes: each call is linked, left for a library (``external``), or missed; ties are reported, never broken.
+Of overloads that take the number of arguments the one whose parameters' types the arguments have wins, the first declared
+of several (``scored``). Outcomes: each call is linked, left for a library (``external``), or missed; names that several types'
+methods have are reported, never guessed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callweave.functions.names import owner_package
@@ -17,9 +19,8 @@ from callweave.functions.predicates import accepts_arity
 from callweave.operators.relations import first_written, types_view
 from callweave.plans.scratch import Scratch
 
-PASSES, CHAIN = 8, 8
 METHODS = ["method", "constructor"]
-#: Types that every source sees without an import.
+#: Types of ``java.lang`` that sources commonly name; no import says whose they are.
 IMPLICIT = ["String", "Object", "Integer", "Long", "Double", "Float", "Boolean", "Character", "Byte", "Short", "Number", "Math", "System", "Thread", "Runnable", "Iterable", "Comparable", "Exception", "RuntimeException", "IllegalArgumentException", "IllegalStateException", "StringBuilder", "Class", "Enum", "Record", "Override"]
 
 
@@ -34,6 +35,26 @@ class Java:
         self.parents = self._parents()
         self.chain = self._chain()
         self.members = save(symbols.where(F.col("kind").isin(*METHODS)).select(F.col("container_fqn").alias("ancestor"), F.col("name").alias("member"), F.col("id").alias("target"), F.col("kind").alias("member_kind"), F.col("arity").alias("member_arity"), "params", F.col("type_name").alias("returns"), F.col("file_id").alias("member_file")))
+        self.arguments = save(self._arguments())
+
+    def _arguments(self) -> DataFrame:
+        """``id, got``: the argument types of calls that overloads may take: of literals, and of locals as declared; null where unknown."""
+        several = self.members.groupBy("ancestor", "member", "member_arity").agg(F.count("*").alias("n")).where("n > 1").select(F.col("member").alias("name")).distinct()
+        called = self.refs.where("size(arg_types) > 0 and kind in ('call', 'new')").select("id", "from_symbol_id", "name", "kind", "arg_types")
+        wanted = called.where("kind = 'new' or name = '<init>'").unionByName(called.where("kind = 'call' and name <> '<init>'").join(several, "name", "left_semi"))
+        each = wanted.select("id", "from_symbol_id", F.posexplode("arg_types").alias("at", "token"))
+        declared = self.locals.where("type_name is not null").groupBy(F.col("scope_symbol_id").alias("from_symbol_id"), F.col("name").alias("token")).agg(F.min_by("type_name", "id").alias("declared"))
+        typed = each.join(declared, ["from_symbol_id", "token"], "left").select("id", "at", F.when(F.col("token").startswith("!"), F.substring("token", 2, 1 << 30)).otherwise(F.col("declared")).alias("type"))
+        return typed.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "type"))), lambda x: x["type"]).alias("got"))  # one entry an argument
+
+    @staticmethod
+    def score() -> Column:
+        """How well ``params`` fit the arguments ``got``: two for each type that is the same, one for the same simple name."""
+        bare = lambda x: F.trim(F.regexp_replace(x, r"<.*$|\[\s*\]", ""))
+        last = lambda x: F.element_at(F.split(x, r"\."), -1)
+        points = lambda want, got: F.coalesce(F.when(bare(want) == bare(got), 2).when(last(bare(want)) == last(bare(got)), 1), F.lit(0))
+        none = F.array().cast("array<string>")
+        return F.aggregate(F.zip_with(F.coalesce("params", none), F.coalesce("got", none), points), F.lit(0), lambda s, x: s + x)
 
     # Names to types
 
@@ -69,21 +90,19 @@ class Java:
         """``fqn, ancestor, path``: each type, then its supertypes depth first; the least path where there are several."""
         now = self.scratch.save(self.types.select("fqn", F.col("fqn").alias("ancestor"), F.array().cast("array<int>").alias("path")))
         every, frontier = now, now
-        for _ in range(CHAIN):
+        while not frontier.isEmpty():  # each pair is taken once, so cycles end
             up = self.parents.select(F.col("fqn").alias("ancestor"), "parent", "at")
             frontier = self.scratch.save(frontier.join(up, "ancestor").where("parent <> fqn").groupBy("fqn", F.col("parent").alias("ancestor")).agg(F.min(F.array_append("path", F.col("at"))).alias("path")).join(every.select("fqn", "ancestor"), ["fqn", "ancestor"], "left_anti"))
-            if frontier.isEmpty():
-                break
             every = every.unionByName(frontier)
         return self.scratch.save(every)
 
     # Calls to members
 
     def found(self, calls: DataFrame) -> DataFrame:
-        """``id`` to the member that ``name`` means on ``type`` with ``arity`` arguments: nearest in the chain, then least id."""
+        """``id`` to the member that ``name`` means on ``type`` with ``arity`` arguments: nearest in the chain, then of the best fitting types, then the first declared."""
         met = calls.join(self.chain.withColumnRenamed("fqn", "type"), "type").join(self.members.withColumnRenamed("member", "name"), ["ancestor", "name"])
-        fits = met.where(accepts_arity(F.col("params"), F.col("member_arity"), F.col("arity")))
-        return fits.groupBy("id").agg(F.min(F.struct("path", "target", "ancestor", "returns", "member_file"))["target"].alias("target"), F.min(F.struct("path", "target", "ancestor", "returns", "member_file")).alias("m")).select("id", "target", F.col("m.ancestor").alias("declared_by"), F.col("m.returns").alias("returns"), F.col("m.member_file").alias("member_file"))
+        fits = met.where(accepts_arity(F.col("params"), F.col("member_arity"), F.col("arity"))).join(self.arguments, "id", "left").withColumn("behind", -self.score())
+        return fits.groupBy("id").agg(F.min(F.struct("path", "behind", "target", "ancestor", "returns", "member_file")).alias("m")).select("id", F.col("m.target").alias("target"), F.col("m.ancestor").alias("declared_by"), F.col("m.returns").alias("returns"), F.col("m.member_file").alias("member_file"))
 
     def _calls(self) -> DataFrame:
         """Calls with the type that encloses them."""
@@ -119,7 +138,7 @@ class Java:
         receivers = save(self.typed_receivers(calls))
         open_ = calls.where("kind = 'call' and name <> '<init>'").select("id", "file_id", "container", "name", "arity", "from_symbol_id", "receiver", "receiver_ref_id")
         targets = save(self.found(self._with_outer(open_.join(receivers, "id"))))
-        for _ in range(PASSES):
+        while True:
             more = self._next(open_, receivers, targets, new_types)
             if more.isEmpty():
                 break
@@ -151,8 +170,8 @@ class Java:
         made = new_types.where("from_symbol_id is not null").join(types, "type")
         instantiates = edge(made, "instantiates", 1.0, "direct", 1)
         constructors = self.members.where("member_kind = 'constructor'").select(F.col("ancestor").alias("type"), F.col("target"), "params", "member_arity")
-        built = new_types.where("from_symbol_id is not null").join(constructors, "type").where(accepts_arity(F.col("params"), F.col("member_arity"), F.col("arity"))).groupBy("id", "from_symbol_id", "line").agg(F.min("target").alias("to_symbol_id"))
-        parents = at.where("name = '<init>'").join(self.parents.where("at = 0").withColumnRenamed("fqn", "container"), "container").join(constructors.withColumnRenamed("type", "parent"), "parent").where(accepts_arity(F.col("params"), F.col("member_arity"), F.col("arity"))).groupBy("id", "from_symbol_id", "line").agg(F.min("target").alias("to_symbol_id"))
+        built = new_types.where("from_symbol_id is not null").join(constructors, "type").where(accepts_arity(F.col("params"), F.col("member_arity"), F.col("arity"))).join(self.arguments, "id", "left").groupBy("id", "from_symbol_id", "line").agg(F.min(F.struct(-self.score(), "target"))["target"].alias("to_symbol_id"))
+        parents = at.where("name = '<init>'").join(self.parents.where("at = 0").withColumnRenamed("fqn", "container"), "container").join(constructors.withColumnRenamed("type", "parent"), "parent").where(accepts_arity(F.col("params"), F.col("member_arity"), F.col("arity"))).join(self.arguments, "id", "left").groupBy("id", "from_symbol_id", "line").agg(F.min(F.struct(-self.score(), "target"))["target"].alias("to_symbol_id"))
         hit = at.join(targets, "id")
         direct = edge(hit.withColumnRenamed("target", "to_symbol_id"), "calls", 1.0, "direct", 3)
         below = self.parents.select(F.col("parent").alias("declared_by"), F.col("fqn").alias("ancestor"))
@@ -212,7 +231,7 @@ class Java:
         return self.scratch.save(out)
 
 
-#: What the language gives every object.
+#: Methods of Ruby's ``Kernel`` and ``Object`` that calls commonly name.
 KERNEL = ["puts", "print", "p", "pp", "raise", "require", "require_relative", "loop", "lambda", "proc", "rand", "sleep", "format", "sprintf", "printf", "catch", "throw", "freeze", "frozen?", "tap", "then", "send", "public_send", "respond_to?", "instance_variable_get", "instance_variable_set", "is_a?", "kind_of?", "nil?", "dup", "clone", "to_s", "inspect", "hash", "object_id", "block_given?", "binding", "exit", "abort", "at_exit", "warn", "gets", "open", "system", "Array", "Integer", "Float", "String"]
 
 
@@ -262,7 +281,7 @@ class Ruby:
         local = local.join(self.named(local.select("key", "container", F.col("declared").alias("name"))), "key").select("id", "name", "type", F.lit("method").alias("wanted"))
         receivers = save(own.unionByName(const).unionByName(local).dropDuplicates(["id"]))
         targets = save(self.found(receivers))
-        for _ in range(PASSES):
+        while True:
             returned = targets.where("returns is not null").select(F.col("id").alias("key"), F.col("declared_by").alias("container"), F.col("returns").alias("name"))
             results = returned.join(self.named(returned), "key").select(F.col("key").alias("receiver_ref_id"), "type").unionByName(new_types.select(F.col("id").alias("receiver_ref_id"), "type"))
             by_reader = open_.where("receiver_ref_id is null and receiver is not null").join(self.members.where("returns is not null").select(F.col("ancestor").alias("container"), F.col("name").alias("receiver"), "returns"), ["container", "receiver"]).withColumn("key", F.col("id"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from callweave.plans.rendered import CLASSES
 from callweave.plans.star import prelude
 
 TEST = r"(regexp_matches({0}, '(?i)(^|/)(tests?|specs?|__tests__)/') or regexp_matches({0}, '(Test|Tests|IT)\.java$') or regexp_matches({0}, '(?i)_spec\.rb$|_test\.rb$') or regexp_matches({0}, '(?i)\.(test|spec)\.[cm]?[jt]sx?$'))"
@@ -130,7 +131,7 @@ ORACLE_SQL: dict[str, str] = {
     "a12_types_view": prelude("symbols") + f""", {TYPES}, said as (select fqn, id, unnest(list_filter(string_split(supertypes_text, '|'), lambda x: x <> '')) as sup, unnest(range(len(list_filter(string_split(supertypes_text, '|'), lambda x: x <> '')))) as pos from own_types),
         firsts as (select fqn, sup, min((id, pos)) as at from said group by all) select t.fqn, t.symbol_id, t.kind, coalesce(string_agg(f.sup, '|' order by f.at), '') as supertypes from types t left join firsts f on f.fqn = t.fqn group by all""",
     "a13_candidate_callers": prelude("files", "symbols", "refs", "unresolved") + f", {OPEN}, {SITES} select id, file_path, is_test, count(*) as sites, array_to_string(list_sort(list(line)), '|') as lines, array_to_string(list_sort(list(distinct coalesce(reason, 'unresolved'))), '|') as reasons from sites group by id, file_path, is_test",
-    "a14_candidate_tests": prelude("files", "symbols", "refs", "unresolved") + f""", {OPEN}, {SITES}, often as (select s.name from symbols s join files f on f.id = s.file_id where f.external = 0 group by s.name having count(*) > 40)
+    "a14_candidate_tests": prelude("files", "symbols", "refs", "unresolved") + f""", {OPEN}, {SITES}, often as (select s.name from symbols s join files f on f.id = s.file_id where f.external = 0 group by s.name having count(*) > 3)
         select c.file_path, array_to_string(list_sort(list(distinct s.name)), '|') as names, array_to_string(list_sort(list(distinct c.line)), '|') as lines from sites c join symbols s on s.id = c.id join files f on f.id = s.file_id
         where c.is_test and not {TEST.format("f.path")} and not {GENERATED} and s.name not in (select name from often) group by c.file_path""",
     "a15_explained": prelude("edges", "refs", "unresolved") + f""", pairs as (select from_symbol_id, to_symbol_id, arg_min(via, (-confidence, via)) as via from edges group by from_symbol_id, to_symbol_id, kind), tiers as (select *, {TIER} as tier from pairs)
@@ -170,3 +171,29 @@ ORACLE_SQL: dict[str, str] = {
     "st1_sync_status": """with stored as (select c_name as path, sha1(c_mktsegment) as h from customer), listed as (select case when c_custkey % 9 = 0 then c_name || '.new' else c_name end as path, sha1(case when c_custkey % 7 = 0 then 'x' else c_mktsegment end) as h from customer where c_custkey % 10 <> 0)
         select case when s.path is null then 'added' when l.path is null then 'removed' when s.h = l.h then 'unchanged' else 'changed' end as status, count(*) as n from stored s full join listed l on s.path = l.path group by all""",
 }
+
+_CLASSES = "with recursive classes as (" + CLASSES.format(part="part") + ")"
+_GO = "go as (select *, fqn || '.go' || k as caller, 1 + (k < m)::int as up, 2 + (k < m)::int + 3 * (k = root)::int as top, 'pkg.n' || root % 5 || '.C' || root as above from classes)"
+ORACLE_SQL |= {
+    "ext_java_symbols": f"""{_CLASSES}, {_GO} select path, 'pkg.n' || k % 5 as pkg, fqn, kind, container_fqn, arity, start_line, params, supertypes from (
+        select path, k, fqn, 'class' as kind, null as container_fqn, null::int as arity, up + 1 as start_line, '' as params, case when k % 4 <> 0 and k < m then 'C' || (k + 1) else '' end as supertypes from go
+        union all select path, k, caller, 'method', fqn, 1, top + 1, 'int', '' from go
+        union all select path, k, fqn || '.size', 'method', fqn, 0, up + 2, '', '' from go where k = root
+        union all select path, k, fqn || '.put', 'method', fqn, 1, up + 3, 'int', '' from go where k = root
+        union all select path, k, fqn || '.put', 'method', fqn, 1, up + 4, 'String', '' from go where k = root) s""",
+    "ext_java_calls": f"""{_CLASSES}, {_GO} select caller as fqn, name, receiver, arity, (top + 1 + below)::int as line, kind, strings from (
+        select caller, top, unnest([
+            {{'name': 'size', 'receiver': null, 'arity': 0, 'below': 1, 'kind': 'call', 'strings': ''}}, {{'name': 'put', 'receiver': null, 'arity': 1, 'below': 3, 'kind': 'call', 'strings': 'x'}},
+            {{'name': 'put', 'receiver': null, 'arity': 1, 'below': 4, 'kind': 'call', 'strings': ''}}, {{'name': 'put', 'receiver': null, 'arity': 1, 'below': 5, 'kind': 'call', 'strings': ''}},
+            {{'name': 'missing' || k % 3, 'receiver': null, 'arity': 0, 'below': 6, 'kind': 'call', 'strings': ''}}, {{'name': 'trim', 'receiver': 't', 'arity': 0, 'below': 7, 'kind': 'call', 'strings': ''}},
+            {{'name': 'C' || (k + 1), 'receiver': null, 'arity': 0, 'below': 8, 'kind': 'new', 'strings': ''}}], recursive := true) from go) c
+        where kind = 'call' or exists (select 1 from go g where g.caller = c.caller and g.k < g.m)""",
+    "r4_java_edges": f"""{_CLASSES}, {_GO} select caller as from_fqn, above || '.size' as to_fqn, '' as to_params, 'calls' as kind, 'direct' as via, 1.0 as confidence, (top + 2)::int as line from go
+        union all select caller, above || '.put', 'String', 'calls', 'direct', 1.0, (top + 4)::int from go
+        union all select caller, above || '.put', 'int', 'calls', 'direct', 1.0, (top + 5)::int from go
+        union all select caller, above || '.put', 'String', 'calls', 'direct', 1.0, (top + 6)::int from go
+        union all select caller, 'pkg.n' || (k + 1) % 5 || '.C' || (k + 1), '', 'instantiates', 'direct', 1.0, (top + 9)::int from go where k < m
+        union all select fqn, 'pkg.n' || (k + 1) % 5 || '.C' || (k + 1), '', 'extends', 'declaration', 1.0, (up + 1)::int from go where k % 4 <> 0 and k < m""",
+    "r17_java_unresolved": f"""{_CLASSES}, {_GO} select caller as fqn, 'missing' || k % 3 as name, (top + 7)::int as line, 'external:not-in-project' as reason, 1 as external, null as owner from go
+        union all select caller, 'trim', (top + 8)::int, 'external:java.lang', 1, 'java.lang' from go""",
+}

@@ -30,11 +30,11 @@ def _empty(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], T.StructType([f for f in TABLES[name].fields if f.name != "repo_id"]))
 
 
-def index(spark: SparkSession, root: str, rules: list[str] = ()) -> dict[str, DataFrame]:
-    """Reads, extracts and resolves every admitted file under ``root``."""
+def index(spark: SparkSession, root: str, rules: list[str] = (), repo_id: str = "") -> dict[str, DataFrame]:
+    """Reads, extracts and resolves every admitted file under ``root``; ids are the repository's own."""
     scratch = Scratch(spark)
     files = scratch.save(read_tree(spark, root, list(rules)).where("admission = 'ok'"))
-    return _resolved(spark, facts(files, scratch.save(raw_facts(files))))
+    return _resolved(spark, facts(files, scratch.save(raw_facts(files)), repo_id))
 
 
 def _resolved(spark: SparkSession, out: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -68,7 +68,7 @@ def sync(spark: SparkSession, root: str, folder: str, repo_id: str, rules: list[
     kept = status.where("status = 'unchanged'").select("path")
     same = scratch.save(stored["files"].join(kept, "path", "left_semi"))
     files = scratch.save(listed.join(status.where("status in ('added', 'changed')").select("path"), "path", "left_semi"))
-    fresh = facts(files, scratch.save(raw_facts(files)))
+    fresh = facts(files, scratch.save(raw_facts(files)), repo_id)
     out = {"files": scratch.save(same.select(fresh["files"].columns).unionByName(fresh["files"]))}
     for name in EXTRACTED:
         old = stored[name].join(same.select(F.col("id").alias("file_id")), "file_id", "left_semi")

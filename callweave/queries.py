@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from callweave.functions import names, predicates, routes
 from callweave.operators import graph, insight, relations, routing, search, stats
+from callweave.plans.rendered import Rendered
 from callweave.plans.star import Facts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -279,7 +280,7 @@ def a13_candidate_callers(f: Facts) -> DataFrame:
 
 @query
 def a14_candidate_tests(f: Facts) -> DataFrame:
-    return insight.candidate_tests(f.symbols, f.symbols, f.files, f.refs, f.unresolved, 40).select("file_path", *_joined("names", "lines"))
+    return insight.candidate_tests(f.symbols, f.symbols, f.files, f.refs, f.unresolved).select("file_path", *_joined("names", "lines"))
 
 
 @query
@@ -473,3 +474,38 @@ def st1_sync_status(f: Facts) -> DataFrame:
     stored = f.star("customer").select(F.col("c_name").alias("path"), F.sha1(F.col("c_mktsegment")).alias("hash"))
     listed = f.star("customer").where("c_custkey % 10 <> 0").select(F.when(F.col("c_custkey") % 9 == 0, F.concat("c_name", F.lit(".new"))).otherwise(F.col("c_name")).alias("path"), F.sha1(F.when(F.col("c_custkey") % 7 == 0, F.lit("x")).otherwise(F.col("c_mktsegment"))).alias("hash"))
     return compared(stored, listed).groupBy("status").agg(F.count("*").alias("n"))
+
+
+# Extraction and resolution, over rendered sources
+
+
+@query
+def ext_java_symbols(f: Facts) -> DataFrame:
+    made = Rendered(f).facts
+    return made["symbols"].join(made["files"].select(F.col("id").alias("file_id"), "path", "pkg"), "file_id").select("path", "pkg", "fqn", "kind", "container_fqn", "arity", "start_line", F.array_join("params", "|").alias("params"), F.array_join("supertypes", "|").alias("supertypes"))
+
+
+@query
+def ext_java_calls(f: Facts) -> DataFrame:
+    made = Rendered(f).facts
+    inside = made["symbols"].select(F.col("id").alias("from_symbol_id"), "fqn")
+    return made["refs"].join(inside, "from_symbol_id").select("fqn", "name", "receiver", "arity", "line", "kind", F.array_join("str_args", "|").alias("strings"))
+
+
+@query
+def r4_java_edges(f: Facts) -> DataFrame:
+    """Inherited members, overloads by argument types, instantiations by import, inheritance."""
+    made = Rendered(f)
+    edges, _ = made.resolved()
+    symbols = made.facts["symbols"]
+    ends = edges.join(symbols.select(F.col("id").alias("from_symbol_id"), F.col("fqn").alias("from_fqn")), "from_symbol_id").join(symbols.select(F.col("id").alias("to_symbol_id"), F.col("fqn").alias("to_fqn"), F.array_join("params", "|").alias("to_params")), "to_symbol_id")
+    return ends.select("from_fqn", "to_fqn", "to_params", "kind", "via", "confidence", "line")
+
+
+@query
+def r17_java_unresolved(f: Facts) -> DataFrame:
+    made = Rendered(f)
+    _, unresolved = made.resolved()
+    refs = made.facts["refs"].select(F.col("id").alias("ref_id"), "from_symbol_id", "name", "line")
+    inside = made.facts["symbols"].select(F.col("id").alias("from_symbol_id"), "fqn")
+    return unresolved.join(refs, "ref_id").join(inside, "from_symbol_id").select("fqn", "name", "line", "reason", "external", "owner")

@@ -91,7 +91,11 @@ def resolved_modules(imports: DataFrame, modules: DataFrame, alias: DataFrame, p
     folder = F.regexp_replace("from_module", "[^/]*$", "")
     relative = asked.where(F.col("specifier").startswith(".")).select("from_module", "specifier", F.lit(0).alias("rule"), _normal(F.concat(folder, "specifier")).alias("path"))
     bare = asked.where(~F.col("specifier").startswith("."))
-    by_alias = bare.join(alias, bare["specifier"].startswith(alias["prefix"]) | (bare["specifier"] == alias["prefix"])).select("from_module", "specifier", (F.lit(100) + F.col("at")).alias("rule"), _normal(F.concat("target", F.expr("substring(specifier, length(prefix) + 1)"))).alias("path"))
+    # every beginning of a specifier against the prefixes, by equality; only lengths that some prefix has
+    lengths = alias.agg(F.collect_set(F.length("prefix")).alias("lengths"))
+    begun = bare.crossJoin(F.broadcast(lengths)).select("from_module", "specifier", F.explode("lengths").alias("n")).where(F.col("n") <= F.length("specifier"))
+    met = begun.withColumn("prefix", F.expr("substring(specifier, 1, n)")).join(alias, "prefix")
+    by_alias = met.select("from_module", "specifier", (F.lit(100) + F.col("at")).alias("rule"), _normal(F.concat("target", F.expr("substring(specifier, length(prefix) + 1)"))).alias("path"))
     name = F.when(F.col("specifier").startswith("@"), F.substring_index("specifier", "/", 2)).otherwise(F.substring_index("specifier", "/", 1))
     by_package = bare.withColumn("name", name).join(packages, "name")
     inside = F.when(F.col("specifier") == F.col("name"), F.col("entry")).otherwise(F.concat(F.regexp_replace("entry", "[^/]*$", ""), F.expr("substring(specifier, length(name) + 2)")))
@@ -103,7 +107,7 @@ def resolved_modules(imports: DataFrame, modules: DataFrame, alias: DataFrame, p
     return each.join(modules.select("module").distinct(), "module").groupBy("from_module", "specifier").agg(F.min(F.struct("rule", "probe", "module"))["module"].alias("module"))
 
 
-def exported(direct: DataFrame, reexports: DataFrame, rounds: int = 8) -> DataFrame:
+def exported(direct: DataFrame, reexports: DataFrame) -> DataFrame:
     """``module, name, origin``: every exported name and the module that declares it, through re-exports and their cycles.
 
     ``direct`` has ``module, name``; ``reexports`` has ``module, from_module, name, orig`` with ``name`` ``*`` for all.
@@ -111,12 +115,10 @@ def exported(direct: DataFrame, reexports: DataFrame, rounds: int = 8) -> DataFr
     """
     scratch = Scratch(direct.sparkSession)
     seen = frontier = scratch.save(direct.select("module", "name", F.col("module").alias("origin")).distinct())
-    for _ in range(rounds):
+    while not frontier.isEmpty():
         star = reexports.where("name = '*'").select(F.col("module").alias("outer"), F.col("from_module").alias("module")).join(frontier, "module").where("name <> 'default'").select(F.col("outer").alias("module"), "name", "origin")
         named = reexports.where("name <> '*'").select(F.col("module").alias("outer"), F.col("from_module").alias("module"), F.col("name").alias("as"), F.col("orig").alias("name")).join(frontier, ["module", "name"]).select(F.col("outer").alias("module"), F.col("as").alias("name"), "origin")
         found = star.unionByName(named).groupBy("module", "name").agg(F.min("origin").alias("origin"))
         frontier = scratch.save(found.join(seen.select("module", "name"), ["module", "name"], "left_anti"))
-        if frontier.isEmpty():
-            break
         seen = seen.unionByName(frontier)
     return seen

@@ -94,7 +94,7 @@ def test_a_tree_with_odd_files(spark, tmp_path):
     """Files that are no UTF-8, binary or too large are listed and refused; the rest are read."""
     from callweave.sources import files
 
-    for name, content in [("a.java", b"class A {}\n"), ("latin.rb", b"# caf\xe9\nclass B\nend\n"), ("bin.js", b"\x00\x01\xff"), ("big.ts", b"x" * (8 * 1024 * 1024 + 5)), ("node_modules/z.js", b"1"), ("long.rb", b"# \xc3\xa9\n" * 500_000)]:
+    for name, content in [("a.java", b"class A {}\n"), ("latin.rb", b"# caf\xe9\nclass B\nend\n"), ("bin.js", b"\x00\x01\xff"), ("big.ts", b"x" * (8 * 1024 * 1024 + 5)), ("node_modules/z.js", b"1"), ("long.rb", b"# \xc3\xa9\n" * 600_000)]:
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(content)
     got = {r["path"]: (r["admission"], r["text"]) for r in files.read_tree(spark, str(tmp_path)).collect()}
