@@ -15,15 +15,16 @@ from pyspark.sql import functions as F
 from callweave.extract.java import extract_java
 from callweave.extract.rows import Found
 from callweave.extract.ruby import extract_ruby
+from callweave.extract.script import extract_script
 
-EXTRACTORS: dict[str, Callable[[str, str], Found]] = {"java": extract_java, "ruby": extract_ruby}
+EXTRACTORS: dict[str, Callable[[str, str], Found]] = {"java": extract_java, "ruby": extract_ruby, "typescript": extract_script, "tsx": extract_script, "javascript": extract_script}
 
 _LISTS = ("params", "modifiers", "annotations", "supertypes", "arg_types", "str_args")
 COLUMNS = {
     "symbols": ["seq", "name", "fqn", "kind", "container_fqn", "type_name", "type_args", "signature", "arity", "params", "start_line", "end_line", "start_byte", "end_byte", "modifiers", "annotations", "supertypes"],
     "refs": ["seq", "from_seq", "name", "receiver", "arity", "arg_types", "str_args", "receiver_seq", "line", "kind"],
     "locals": ["seq", "scope_seq", "name", "type_name", "type_args", "owner_seq", "line", "init_kind", "init_path"],
-    "imports": ["seq", "fqn", "simple", "is_wildcard", "is_static", "kind"],
+    "imports": ["seq", "fqn", "simple", "is_wildcard", "is_static", "kind", "orig"],
 }
 _INTS = {"seq", "from_seq", "receiver_seq", "scope_seq", "owner_seq", "arity", "line", "start_line", "end_line", "start_byte", "end_byte", "is_wildcard", "is_static"}
 

@@ -11,14 +11,17 @@ from pyspark.sql import types as T
 from callweave.extract import facts, raw_facts
 from callweave.operators.relations import types_view
 from callweave.operators.resolve import Java, Ruby
+from callweave.operators.resolve_script import Script
 from callweave.plans.scratch import Scratch
 from callweave.schema import SCHEMA_VERSION, TABLES
 from callweave.sources.files import read_tree
+from callweave.sources.modules import workspace
 from callweave.streaming.sync import compared
 
 RESOLVERS = {
-    "java": lambda f: Java(f["files"], f["symbols"], f["imports"], f["locals"], f["refs"]).resolved(),
-    "ruby": lambda f: Ruby(f["symbols"], f["locals"], f["refs"]).resolved(),
+    ("java",): lambda f, root: Java(f["files"], f["symbols"], f["imports"], f["locals"], f["refs"]).resolved(),
+    ("ruby",): lambda f, root: Ruby(f["symbols"], f["locals"], f["refs"]).resolved(),
+    ("typescript", "tsx", "javascript"): lambda f, root: Script(f["files"], f["symbols"], f["imports"], f["locals"], f["refs"], *workspace(f["files"].sparkSession, root)).resolved(),
 }
 NAMES = ["files", "symbols", "types", "imports", "locals", "refs", "edges", "unresolved"]
 
@@ -34,18 +37,18 @@ def index(spark: SparkSession, root: str, rules: list[str] = (), repo_id: str =
     """Reads, extracts and resolves every admitted file under ``root``; ids are the repository's own."""
     scratch = Scratch(spark)
     files = scratch.save(read_tree(spark, root, list(rules)).where("admission = 'ok'"))
-    return _resolved(spark, facts(files, scratch.save(raw_facts(files)), repo_id))
+    return _resolved(spark, facts(files, scratch.save(raw_facts(files)), repo_id), root)
 
 
-def _resolved(spark: SparkSession, out: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def _resolved(spark: SparkSession, out: dict[str, DataFrame], root: str) -> dict[str, DataFrame]:
     out["types"] = types_view(out["symbols"])
     edges, unresolved = [], []
-    for lang, resolver in RESOLVERS.items():  # languages don't see each other's names
-        own = out["files"].where(F.col("lang") == lang)
+    for langs, resolver in RESOLVERS.items():  # languages don't see each other's names
+        own = out["files"].where(F.col("lang").isin(*langs))
         if own.isEmpty():
             continue
         part = {n: out[n].join(own.select(F.col("id").alias("file_id")), "file_id", "left_semi") for n in EXTRACTED}
-        for rows, made in zip((edges, unresolved), resolver(part | {"files": own}), strict=True):
+        for rows, made in zip((edges, unresolved), resolver(part | {"files": own}, root), strict=True):
             rows.append(made)
     out["edges"] = reduce(DataFrame.unionByName, edges) if edges else _empty(spark, "edges")
     out["unresolved"] = reduce(DataFrame.unionByName, unresolved) if unresolved else _empty(spark, "unresolved")
@@ -73,7 +76,7 @@ def sync(spark: SparkSession, root: str, folder: str, repo_id: str, rules: list[
     for name in EXTRACTED:
         old = stored[name].join(same.select(F.col("id").alias("file_id")), "file_id", "left_semi")
         out[name] = scratch.save(old.select(fresh[name].columns).unionByName(fresh[name]))
-    write({n: scratch.save(df) for n, df in _resolved(spark, out).items()}, folder, repo_id)
+    write({n: scratch.save(df) for n, df in _resolved(spark, out, root).items()}, folder, repo_id)
     return counts
 
 

@@ -6,7 +6,7 @@ import json
 import posixpath
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.plans.scratch import Scratch
@@ -49,6 +49,18 @@ def aliases(options: dict) -> list[tuple[str, str, int]]:
     return [(p.rstrip("*"), t.rstrip("*"), i) for i, (p, t, _) in enumerate(sorted(rows, key=lambda r: (-len(r[0]), r[2])))]
 
 
+def workspace(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """``alias`` and ``packages`` of the configurations and manifests under ``root``; these few small texts are read on the driver."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "{tsconfig,jsconfig,package}*.json").load(root)
+    base = F.regexp_replace(F.lit(root.rstrip("/")), "^[a-z]+:/*", "/")
+    rel = F.substring(F.regexp_replace("path", "^[a-z]+:/*", "/"), F.length(base) + 2, F.lit(1 << 30))
+    own = raw.select(rel.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text")).where(~F.col("path").rlike("(^|/)node_modules/"))
+    texts = {r["path"]: r["text"] for r in own.collect()}
+    rules = sorted({a for p in texts if posixpath.basename(p)[:2] in ("ts", "js") for a in aliases(compiler_options(texts, p))})
+    named = sorted({e for p, t in texts.items() if posixpath.basename(p) == "package.json" and (e := package_entry(t, posixpath.dirname(p)))})
+    return spark.createDataFrame(rules, "prefix string, target string, at int"), spark.createDataFrame(named, "name string, entry string")
+
+
 def export_entry(exports) -> str | None:
     """The file that a package's ``exports`` gives for the package itself."""
     if isinstance(exports, str):
@@ -110,11 +122,11 @@ def resolved_modules(imports: DataFrame, modules: DataFrame, alias: DataFrame, p
 def exported(direct: DataFrame, reexports: DataFrame) -> DataFrame:
     """``module, name, origin``: every exported name and the module that declares it, through re-exports and their cycles.
 
-    ``direct`` has ``module, name``; ``reexports`` has ``module, from_module, name, orig`` with ``name`` ``*`` for all.
+    ``direct`` has ``module, name`` and, if the origin is to be more than the module, ``origin``; ``reexports`` has ``module, from_module, name, orig`` with ``name`` ``*`` for all.
     Each round is one join; a pair is taken once, its least origin in the nearest round.
     """
     scratch = Scratch(direct.sparkSession)
-    seen = frontier = scratch.save(direct.select("module", "name", F.col("module").alias("origin")).distinct())
+    seen = frontier = scratch.save(direct.groupBy("module", "name").agg(F.min("origin" if "origin" in direct.columns else "module").alias("origin")))
     while not frontier.isEmpty():
         star = reexports.where("name = '*'").select(F.col("module").alias("outer"), F.col("from_module").alias("module")).join(frontier, "module").where("name <> 'default'").select(F.col("outer").alias("module"), "name", "origin")
         named = reexports.where("name <> '*'").select(F.col("module").alias("outer"), F.col("from_module").alias("module"), F.col("name").alias("as"), F.col("orig").alias("name")).join(frontier, ["module", "name"]).select(F.col("outer").alias("module"), F.col("as").alias("name"), "origin")
