@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import bpe, chat, media, ngram_join, oracles, packing, quality, token_count, toxicity, url_filter, warc
-from callweave.llm.common import table
+from callweave.llm import bpe, chat, concat_packing, media, ngram_join, oracles, packing, quality, runs, token_count, toxicity, url_filter, warc, whitening
+from callweave.llm.common import SPACE, table
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,40 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.linked(table(spark, sf_dir, "conversations"))
 
 
+def op11_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = concat_packing.packed(table(spark, sf_dir, "documents"), tokenizer_files())
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` where the words of some documents, chosen by a checksum of the id, repeat from a word on."""
+    hashed = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    split = hashed.select("*", F.when(F.col("h") % 10 == 0, F.expr(f"filter(split(text, '[{SPACE}]'), x -> x <> '')".replace("\\", "\\\\"))).alias("ws"))
+    counted = split.select("*", F.size("ws").alias("n"), F.expr("h div 10").alias("g")).withColumn("a", F.expr("cast(if(n > 0, g % n, 0) as int)"))
+    period = counted.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    tail = "slice(flatten(array_repeat(slice(ws, a + 1, p), cast((n - a) div p + 1 as int))), 1, n - a)"
+    return period.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), F.expr(f"array_join(concat(slice(ws, 1, a), {tail}), ' ')")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.detected(with_periods(table(spark, sf_dir, "documents")))
+    longest = F.expr("array_max(transform(runs, r -> struct(r.length as length, -r.start as start, -r.period as period)))")
+    return found.withColumn("top", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("top.start")).alias("start"),
+        F.col("top.length").alias("length"),
+        (-F.col("top.period")).alias("period"),
+        F.expr("(1000 * top.length) div (-top.period)").alias("exponent_milli"),
+        F.sha2(F.expr(r"array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')"), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_url_filters": op2_url_filters,
@@ -68,6 +102,9 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_concatenate_and_cut": op11_concatenate_and_cut,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLE_SQL = {
