@@ -28,11 +28,12 @@ from pyspark.sql import functions as F
 from callweave.llm.common import LOWER, UPPER, Scratch, dealt, repeated
 
 PIECE_WORDS = 3
+BLANKS = " \t\n\x0b\f\r"
 
 
 def _lines() -> Column:
-    """Array of structs: each line's quote level and its text without the marks."""
-    return F.expr(r"transform(split(text, '\n', -1), l -> struct(length(translate(regexp_extract(l, '^((?:[ \\t]*>)*)', 1), ' \t', '')) as level, regexp_replace(l, '^(?:[ \\t]*>)+[ \\t]?', '') as line))")
+    """Array of structs: each line's quote level and its text without the marks. One character class at a time: lines of any number of marks are read without recursion."""
+    return F.expr(r"transform(split(text, '\n', -1), l -> struct(length(translate(regexp_extract(l, '^[ \\t>]*', 0), ' \t', '')) as level, regexp_replace(l, '^[ \\t>]*>[ \\t]?', '') as line))")
 
 
 def _normal(x: Column) -> Column:
@@ -45,13 +46,10 @@ def passages(messages: DataFrame) -> DataFrame:
     # A line starts a run if its level differs from the line's before or that line has no text.
     marked = lines.select("conv_id", "turn", F.expr(r"transform(ls, x -> struct(x.level as level, x.line as line, x.line rlike '[^\\x20\\x09-\\x0D]' as full))").alias("ls"))
     starts = F.expr("filter(sequence(0, size(ls) - 1), i -> ls[i].full and (i = 0 or not ls[greatest(i, 1) - 1].full or ls[greatest(i, 1) - 1].level <> ls[i].level))")
-    runs = marked.select("*", starts.alias("starts")).select("*", F.posexplode("starts").alias("k", "s"))
-    whole = runs.select(
-        "conv_id",
-        "turn",
-        F.expr("ls[s].level").alias("level"),
-        F.expr("transform(filter(slice(ls, s + 1, if(k + 1 < size(starts), starts[least(k + 1, size(starts) - 1)], size(ls)) - s), x -> x.full), x -> x.line)").alias("lines"),
-    )
+    runs = marked.select("*", starts.alias("starts"))
+    # Each run's lines are cut out before the rows part, so no row carries the whole message.
+    cut = F.expr("transform(starts, (s, k) -> struct(ls[s].level as level, transform(filter(slice(ls, s + 1, if(k + 1 < size(starts), starts[least(k + 1, size(starts) - 1)], size(ls)) - s), x -> x.full), x -> x.line) as lines))")
+    whole = runs.select("conv_id", "turn", F.explode(cut).alias("run")).select("conv_id", "turn", "run.level", "run.lines")
     joined = whole.select("conv_id", "turn", "level", _normal(F.array_join("lines", " ")).alias("passage"), F.transform("lines", _normal).alias("lines")).where("passage <> ''")
     sentences = F.split(F.regexp_replace("passage", "([.!?…]) ", "$1\n"), "\n")
     pieces = F.filter(F.array_distinct(F.concat("lines", sentences)), lambda x: F.size(F.split(x, " ")) >= PIECE_WORDS)
@@ -61,7 +59,7 @@ def passages(messages: DataFrame) -> DataFrame:
 def unquoted(text: Column) -> Column:
     """The text's lines of level 0, white space trimmed at both ends."""
     kept = F.filter(F.split(text, "\n", -1), lambda x: ~x.rlike("^[ \\t]*>"))
-    return F.regexp_replace(F.array_join(kept, "\n"), "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$", "")
+    return F.btrim(F.array_join(kept, "\n"), F.lit(BLANKS))
 
 
 def linked(messages: DataFrame) -> DataFrame:

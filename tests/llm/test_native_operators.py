@@ -238,3 +238,10 @@ def test_chat_deep_thread_and_order(spark):
 
 def test_chat_empty(spark):
     assert chat.linked(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_chat_lines_of_very_many_marks(spark):
+    rows = [("c", 1, "user", "said before by me"), ("c", 2, "assistant", ">" * 1_000_000 + " said before by me\n> > \tsaid before by me"), ("c", 3, "user", "> a\nb c d\n" * 3_000)]
+    got = {r["turn"]: r for r in chat.linked(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")).collect()}
+    assert (got[2]["n_quotes"], got[2]["n_linked"], got[2]["parent_turn"], got[2]["text"]) == (2, 2, 1, "")
+    assert got[3]["n_quotes"] == 3_000
