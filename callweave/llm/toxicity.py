@@ -17,7 +17,7 @@ written so, of any length and with marks, are read as words.
    the sample gave, so that chance features aren't believed. The sample is bounded and documented:
    at most ``SAMPLE`` labelled rows of either label, those of the least hash of doc_id, so it is
    the same on every run; only that bounded table is broadcast, and the prior is that of all training labels. A model
-   keeps the ``max_features`` features that tell most, a size of the classifier like the sample's.
+   keeps every feature that passes both tests: a few thousand at most, as each must stand in several of the sample's toxic documents.
 3. ``scored``: one pass over all whole texts. Labels, language, source and doc_id are no inputs of a score.
 
 Words and texts of any length are read whole: the search keeps a few paths and takes time in proportion. No shuffle carries texts. Null and empty texts get the prior. Labels of held-out documents (crc32 of doc_id
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from callweave.llm.common import Scratch
 
-SAMPLE, MAX_FEATURES, LEAST_RATIO, THRESHOLD, CACHE = 10_000, 50_000, 5.0, 0.7, 250_000
+SAMPLE, LEAST_RATIO, THRESHOLD, CACHE = 10_000, 5.0, 0.7, 250_000
 RIDGE, CAUTION = 1.0, 8
 CLASSES = 64
 #: What a written character may stand for besides itself.
@@ -124,18 +124,32 @@ class Restorer:
     """Restores words; ``model`` is that of ``language_model``."""
 
     ODD = re.compile(r"[^\W\d_]")
-    TAIL = re.compile(r"(?:([^\w\s])\1{2,}|[!?.,;:)\]}\"'»…|]+)+$")
+    TAIL = "!?.,;:)]}\"'»…|"
     HEAD = re.compile(r"^[\"'(\[{«¿.,;:*#%&|<>=/\\-]+")
     RUN = re.compile(r"([^\W\d_])\1\1")
     TOKEN = re.compile(r"\S+")
+    #: So many marks in a row part words, as white space does: dot leaders, rules, cheers.
+    RULE = re.compile(r"(?:[^\w\s]|_){8,}")
 
     def __init__(self, model: np.ndarray) -> None:
         self.model = model.tolist()
         self.short: dict[tuple[str, tuple[bool, ...]], set[str]] = {}
 
     def plain(self, word: str) -> str:
-        """Lower case, without marks at its ends."""
-        return self.HEAD.sub("", self.TAIL.sub("", word.lower()))
+        """Lower case, without marks at its ends: at its end those of ``TAIL`` and any three or more equal ones."""
+        word = word.lower()
+        end = len(word)
+        while end:
+            c, start = word[end - 1], end - 1
+            if c not in self.TAIL:
+                if c.isalnum() or c == "_":
+                    break
+                while start and word[start - 1] == c:
+                    start -= 1
+                if end - start < 3:
+                    break
+            end = start
+        return self.HEAD.sub("", word[:end])
 
     def suspicious(self, word: str) -> bool:
         stands_in = not word.isalpha() and self.ODD.search(word) is not None and any(c in LEET or c in SEPARATORS or c == MASK for c in word)
@@ -227,6 +241,7 @@ class Restorer:
 
     def words(self, text: str) -> set[str]:
         """The text's distinct words as written, what ``spaced`` reads in characters that stand apart and in words of more than ``LONG`` characters, and each run of four or more single characters joined into one."""
+        text = self.RULE.sub(" ", text)
         tokens = text.split()
         out = set(tokens)
         odd = [w for w in out if len(w) > 4 and (len(w) > LONG or w[1] in SEPARATORS and w[3] in SEPARATORS)]
@@ -258,7 +273,8 @@ class Restorer:
 
     def text(self, text: str) -> str:
         """The whole text with each suspicious word replaced by its reading."""
-        return re.sub(r"\S+", lambda m: self.restore(p) if self.suspicious(p := self.plain(m[0])) else m[0], text)
+        rules = [*self.RULE.findall(text), ""]
+        return "".join(self.TOKEN.sub(lambda m: self.restore(p) if self.suspicious(p := self.plain(m[0])) else m[0], part) + rule for part, rule in zip(self.RULE.split(text), rules, strict=True))
 
 
 def features(word: str) -> tuple[str, ...]:
@@ -298,7 +314,7 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample: int = SAMPLE, max_features: int = MAX_FEATURES) -> tuple[Weights, list[float], float]:
+def fitted(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample: int = SAMPLE) -> tuple[Weights, list[float], float]:
     """Feature weights, the regression's coefficients (the intercept first) and the prior's log odds, from labelled documents that aren't held out."""
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n = {bool(t): c for t, c in known.groupBy(F.col("toxic") > 0).count().collect()}
@@ -333,8 +349,8 @@ def fitted(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample: int =
         scratch.drop(counts)
         return {}, [prior], prior
     kinds = counts.count()
-    folds = [_weights(counts, F.col(f"t{i}"), F.col(f"c{i}"), every[f"t{i}"], every[f"c{i}"], kinds, max_features) for i in (0, 1)]
-    weights = _weights(counts, F.col("t0") + F.col("t1"), F.col("c0") + F.col("c1"), every["t0"] + every["t1"], every["c0"] + every["c1"], kinds, max_features)
+    folds = [_weights(counts, F.col(f"t{i}"), F.col(f"c{i}"), every[f"t{i}"], every[f"c{i}"], kinds) for i in (0, 1)]
+    weights = _weights(counts, F.col("t0") + F.col("t1"), F.col("c0") + F.col("c1"), every["t0"] + every["t1"], every["c0"] + every["c1"], kinds)
     scratch.drop(counts)
     crossed = context.broadcast(folds)
 
@@ -369,7 +385,7 @@ def regression(x: np.ndarray, y: np.ndarray, steps: int = 30) -> list[float]:
     return w.tolist()
 
 
-def _weights(counts: DataFrame, t: Column, c: Column, toxic: int, clean: int, kinds: int, max_features: int) -> Weights:
+def _weights(counts: DataFrame, t: Column, c: Column, toxic: int, clean: int, kinds: int) -> Weights:
     """Log odds of the features that hold more than chance would among so many kinds."""
     if not toxic or not clean:
         return {}
@@ -378,7 +394,7 @@ def _weights(counts: DataFrame, t: Column, c: Column, toxic: int, clean: int, ki
     # twice the log-likelihood ratio of the feature's own toxic share against the sample's
     g2 = 2 * (t * F.log(t / (t + c) / share) + F.when(c > 0, c * F.log(c / (t + c) / (1 - share))).otherwise(0.0))
     strong = counts.where(t > 0).where("f <> ''").select("f", odds.alias("w"), g2.alias("g"), (F.log((t + 0.5) / (toxic + 1)) - F.log((c + CAUTION) / (clean + CAUTION))).alias("v")).where((F.col("w") >= math.log(LEAST_RATIO)) & (F.col("g") >= 2 * math.log(max(kinds, 2))))
-    return {r["f"]: (r["w"], r["v"]) for r in strong.orderBy(F.desc("g"), "f").limit(max_features).collect()}
+    return {r["f"]: (r["w"], r["v"]) for r in strong.collect()}
 
 
 def _counts(seen: dict[str, list[int]]) -> pa.RecordBatch:

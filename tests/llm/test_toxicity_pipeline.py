@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import re
+import time
 import zlib
 
 import numpy as np
@@ -207,3 +209,17 @@ def test_pipeline_end_to_end(spark, duck):
         assert end <= 1024
     assert len(places) <= 1 + 1.05 * sum(r["length"] for r in rows) / 1024
     assert corpus_pipeline.ORACLE_SQL is None and "op5_toxicity" in QUERIES
+
+
+def test_long_runs_of_marks_take_no_time(spark):
+    restorer = toxicity.Restorer(np.zeros((toxicity.CLASSES,) * 3, np.float32))
+    pattern = re.compile(r"(?:([^\w\s])\1{2,}|[!?.,;:)\]}\"'»…|]+)+$")  # what ``plain`` does, for short words
+    for word in ["a", "", "...", "a...", "a###", "a##", "a#!#!", "a!###!!", "a_ __", "b́---", "###", "a##!", "é»…||", "chapter...12"]:
+        assert restorer.plain(word) == restorer.HEAD.sub("", pattern.sub("", word))
+    start = time.perf_counter()
+    for marks in (".", "!?", "#", "-.", "…|"):
+        for word in ("chapter" + marks * 100_000 + "12", "chapter" + marks * 100_000):
+            restorer.plain(word)
+            marked = toxicity.Marked(restorer, {"=chapter": (1.0, 1.0)})
+            marked.summary(f"some {word} words")
+    assert time.perf_counter() - start < 60
