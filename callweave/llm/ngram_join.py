@@ -13,9 +13,9 @@ document, which needs every link between components but not each link within one
    centers, and every other set of it is paired with these alone: work in proportion to the rows, whatever the
    group's size. Pairs that pass the suffix filter are verified once and merged into components.
 4. Where a sketch of fixed size can't tell common shingles from rare ones, real counts do: shingles that, after the stars,
-   lie in the prefixes of more than ``MANY`` components are put last in the order and the prefixes of
-   the sets that hold any are chosen anew, with all else that so many of these sets have last too, until no prefix has one that it could spare. Such a set is in the order known
-   whole, others keep their prefixes, so one order holds for all.
+   lie in the prefixes of more than ``MANY`` components are put last in the order, with all else that so many of their holders
+   have, and every set whose prefix holds any of them chooses its prefix anew, until no new shingle lies in so many. A prefix that
+   holds none is the same in both orders, so one order holds for all, whatever ``MANY`` is.
 5. The last round takes, for shingles whose sets still lie in several components, every pair
    across components that passes the filters, not verified before. Pairs within a component are never made, so a
    large group of near copies, united by the stars, costs no square of its size.
@@ -220,7 +220,7 @@ class Join:
         return self.scratch.save(known.join(open_, "token"))
 
     def _postponed(self, rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-        """``rows`` in an order that has the shingles of more than ``MANY`` components last."""
+        """``rows`` in one order, for all sets, that has the shingles of more than ``MANY`` components last."""
         save, last = self.scratch.save, None
         while True:
             lying = self._component(rows.where(f"sets > {MANY}"), labels).select("token", "component").distinct()
@@ -229,13 +229,15 @@ class Join:
             if fresh.isEmpty():
                 return rows
             holders = save(rows.join(fresh, "token", "left_semi").select("node").distinct())
-            sets = self._sets(holders).join(holders, "node", "left_semi")
-            every = sets.select("node", F.explode("s").alias("token"))
+            every = self._sets(holders).join(holders, "node", "left_semi").select("node", F.explode("s").alias("token"))
             # all that as many of these sets have, wherever it stands in them: later prefixes would bring it up one part after the other
             common = every.groupBy("token").agg(F.count("*").alias("k")).where(f"k > {MANY}").select("token")
             known = fresh if last is None else last.unionByName(fresh)
             last = save(known.unionByName(common).distinct())
-            found = every.join(last, "token").groupBy("node").agg(F.collect_list("token").alias("last"))  # no longer than the set
+            # Every set whose prefix holds any of ``last``, shared or not, takes the new order. What no prefix holds changes none.
+            touched = save(self.classes.select("node", F.explode("prefix").alias("token")).join(last, "token", "left_semi").select("node").distinct())
+            sets = self._sets(touched).join(touched, "node", "left_semi")
+            found = sets.select("node", F.explode("s").alias("token")).join(last, "token").groupBy("node").agg(F.collect_list("token").alias("last"))  # no longer than the set
             chosen = save(self._chosen(sets.join(found, "node")))
             self.classes = save(self.classes.join(chosen, ["d1", "d2"], "left").withColumn("prefix", F.coalesce("first", "prefix")).drop("first"))
             rows = self._shared()

@@ -121,3 +121,37 @@ def test_components_of_chains_and_stars(spark):
             up[max(ra, rb)] = min(ra, rb)
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}
     assert got == {k: find(k) for k in up}
+
+
+def two_orders() -> list[str]:
+    """Two linked texts whose common words are put last because of other texts' prefixes."""
+    t, fresh = [f"t{i}" for i in range(1, 18)], [f"f{i}" for i in range(250)]
+    own = iter(range(10**6))
+    new = lambda k: [f"o{next(own)}" for _ in range(k)]
+    texts = [["x", "c", "d", *t], ["f", "c", "d", *t]]
+    texts += [[*new(2), "f", "c", "d", *(f"g{i}" for i in range(1, 16))] for _ in range(30)]
+    texts += [[c, *new(19)] for c in "cd" for _ in range(15)]
+    texts += [[*t, *(f"g{i}" for i in range(1, 16)), *new(5), *fresh] for _ in range(100)]
+    return [" ".join(x) for x in texts]
+
+
+@pytest.mark.parametrize("many", [1, 20, 10_000])
+def test_one_order_for_all_sets(spark, monkeypatch, many):
+    monkeypatch.setattr(ngram_join, "MANY", many)
+    rows = list(enumerate(two_orders()))
+    found = ngram_join.joined(spark.createDataFrame(rows, "doc_id long, text string"), 1, 90).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == brute(rows, 1, 90)
+    assert {r["component_id"] for r in found if r["doc_id"] < 2} == {0}
+
+
+@pytest.mark.parametrize(("many", "rounds", "seed"), [(1, 1, 1), (2, 2, 2), (5, 1, 3), (9, 2, 4), (20, 0, 5)])
+def test_postponed_shingles_of_random_texts(spark, monkeypatch, many, rounds, seed):
+    """Words of very different frequencies, so that several rounds put some last."""
+    monkeypatch.setattr(ngram_join, "MANY", many)
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+    rng = random.Random(seed)
+    zipf = lambda k: [f"z{int(40 * rng.random() ** 3)}" for _ in range(k)]
+    bases = [zipf(rng.randint(8, 30)) + [f"b{i}_{j}" for j in range(rng.randint(0, 12))] for i in range(25)]
+    rows = list(enumerate(" ".join(edited(rng, b, rng.choice([0, 0.03, 0.08]))) for b in bases for _ in range(5)))
+    found = ngram_join.joined(spark.createDataFrame(rows, "doc_id long, text string"), 1, 80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == brute(rows, 1, 80)
