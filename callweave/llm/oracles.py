@@ -10,7 +10,7 @@ WS = "\\x20\\x09-\\x0D"
 def quality_sql(docs: str = "documents", keys: str = "doc_id", tail: str = "select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept from judged") -> str:
     """Restates the measures, the bucketed quantiles and the rules over a table or subquery ``docs``."""
     names = ["symbols", "duplicates", "repeats", "capitals"]
-    limits = " ".join(f"when '{n}' then {quality.GAPS[n]}" for n in names)
+    levels, spreads = (" ".join(f"when '{n}' then {v[i]}" for n, v in quality.FENCES.items()) for i in (0, 1))
     pick = ", ".join(f"max(case when g.measure = '{n}' then case when g.total >= {quality.MIN_GROUP} then least(g.top, {quality.ROOF} * l.top) else l.top end end) as top_{n}" for n in names)
     within = " and ".join(f"v.{n} <= t.top_{n}" for n in names)
     return f"""
@@ -51,10 +51,10 @@ with raw as (
         sum(n) over (partition by level, lang, source, measure) as total from levels
 ), fences as (
     select level, lang, source, measure, max(total) as total,
-        min(case when 4 * upto >= total then b end) as q25, min(case when 4 * upto >= 3 * total then b end) as q75
+        min(case when 2 * upto >= total then b end) as q50, min(case when 1000 * upto >= total * case measure {levels} end then b end) as tail
     from ranked group by level, lang, source, measure
 ), tops as (
-    select *, q75 + greatest({quality.SPREAD} * (q75 - q25), case measure {limits} end) as top from fences
+    select *, tail + ((tail - q50) * case measure {spreads} end) // 4 + {quality.STEP} as top from fences
 ), languages as (
     select l.lang, l.measure, case when l.total >= {quality.MIN_GROUP} then least(l.top, {quality.ROOF} * a.top) else a.top end as top
     from tops l join tops a on a.level = 0 and l.measure = a.measure where l.level = 1

@@ -5,10 +5,12 @@ log-linear histogram whose bucket is the number itself below 64 and its six lead
 above, so that any value is known to 1/32 and a sketch has some hundreds of buckets at most.
 Sketches of (language, source) merge into those of a language and of all documents, which
 stand in where a group has fewer than ``min_group`` documents. A document fails the adaptive
-rules when a measure lies beyond the fence of its group: ``q75 + max(spread * (q75 - q25), gap)``, but at most
+rules when a measure lies beyond the fence of its group: ``tail + spread * (tail - q50) + STEP``, where ``tail`` is an upper
+quantile of the group, so that a measure which most of a group hasn't at all is judged too. Symbols and
+capitals take the upper decile, as what has too many is no more than that; repeated lines and windows, which good texts
+have now and then, the last percentile. A fence is at most
 ``ROOF`` times the fence of the group's language, and a language's at most ``ROOF`` times that of all documents,
-so that a source mostly of junk doesn't set its own standard. The gaps are what a measure must differ by
-to matter; they decide where a measure is nearly always 0 in a group, as its quartiles say nothing then.
+so that a source mostly of junk doesn't set its own standard. ``STEP`` is what rounding to thousandths and buckets can make of a difference.
 
 Everything is DataFrame operations. The sketch is a partial aggregate, so a source with a
 third of all rows is merged map-side, and the thresholds (one row a group) meet the measures in
@@ -29,10 +31,10 @@ from callweave.llm.common import SPACE, Scratch
 WORD = f"[^{SPACE}]+"
 BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
-#: Measures in thousandths, and how far beyond its group's upper quartile each may lie at least.
-GAPS = {"symbols": 40, "duplicates": 250, "repeats": 150, "capitals": 15}
-ROOF = 2
-MIN_GROUP, SPREAD, MIN_WORDS, MAX_REPEAT_PERCENT = 50, 3, 20, 30
+#: For each measure, itself in thousandths, the tail quantile in thousandths and the spread in quarters.
+FENCES = {"symbols": (900, 8), "duplicates": (990, 2), "repeats": (990, 2), "capitals": (900, 8)}
+STEP, ROOF = 5, 2
+MIN_GROUP, MIN_WORDS, MAX_REPEAT_PERCENT = 50, 20, 30
 WINDOW = 8
 
 
@@ -75,12 +77,13 @@ def bucket(v: Column) -> Column:
     return F.when(v < 64, v).otherwise(F.call_function("shiftleft", F.call_function("shiftright", v, bits - 6), bits - 6))
 
 
-def thresholds(values: DataFrame, names: list[str], min_group: int, spread: int, gaps: dict[str, int], scratch: Scratch) -> DataFrame:
+def thresholds(values: DataFrame, fences: dict[str, tuple[int, int]], min_group: int, scratch: Scratch) -> DataFrame:
     """One row a (lang, source): the highest value of each measure that passes."""
+    names = list(fences)
     pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("measure"), bucket(F.col(n)).alias("b")) for n in names]))
     cells = values.select("lang", "source", pairs.alias("p")).groupBy("lang", "source", "p.measure", "p.b").agg(F.count("*").alias("n"))
     cells = scratch.save(cells)
-    limits = " ".join(f"when '{n}' then {gaps[n]}" for n in names)
+    levels, spreads = (" ".join(f"when '{n}' then {v[i]}" for n, v in fences.items()) for i in (0, 1))
     sql = f"""
         with levels as (
             select 2 as level, lang, source, measure, b, n from {{cells}}
@@ -92,10 +95,10 @@ def thresholds(values: DataFrame, names: list[str], min_group: int, spread: int,
             from levels
         ), fences as (
             select level, lang, source, measure, max(total) as total,
-                min(case when 4 * upto >= total then b end) as q25, min(case when 4 * upto >= 3 * total then b end) as q75
+                min(case when 2 * upto >= total then b end) as q50, min(case when 1000 * upto >= total * case measure {levels} end then b end) as tail
             from ranked group by level, lang, source, measure
         ), tops as (
-            select *, q75 + greatest({spread} * (q75 - q25), case measure {limits} end) as top from fences
+            select *, tail + ((tail - q50) * case measure {spreads} end) div 4 + {STEP} as top from fences
         )
         , languages as (
             select l.lang, l.measure, case when l.total >= {min_group} then least(l.top, {ROOF} * a.top) else a.top end as top
@@ -107,7 +110,7 @@ def thresholds(values: DataFrame, names: list[str], min_group: int, spread: int,
     return values.sparkSession.sql(sql, cells=cells)
 
 
-def judged(docs: DataFrame, keys: list[Column], min_group: int = MIN_GROUP, spread: int = SPREAD, gaps: dict[str, int] = GAPS) -> DataFrame:
+def judged(docs: DataFrame, keys: list[Column], min_group: int = MIN_GROUP, fences: dict[str, tuple[int, int]] = FENCES) -> DataFrame:
     """The measures of ``docs`` with ``base_failed`` and ``kept``; one row for each of docs."""
     scratch = Scratch(docs.sparkSession)
     base = measured(docs, keys)
@@ -118,7 +121,7 @@ def judged(docs: DataFrame, keys: list[Column], min_group: int = MIN_GROUP, spre
         "capitals": _thousandths("n_capitals", "word_chars"),
     }
     values = scratch.save(base.select("*", *[c.alias(n) for n, c in shares.items()]))
-    tops = thresholds(values, list(shares), min_group, spread, gaps, scratch).select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *[f"top_{n}" for n in shares])
+    tops = thresholds(values, fences, min_group, scratch).select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *[f"top_{n}" for n in shares])
     joined = values.join(tops, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     within = F.lit(True)
