@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave import project, report
-from callweave.operators import endpoints, graph, insight, relations, routing, search, stats
+from callweave.operators import cycles, endpoints, graph, insight, relations, routing, search, stats
 
 LIMIT = 50
 
@@ -63,7 +63,7 @@ def answer(spark: SparkSession, args: argparse.Namespace) -> tuple[list, list[st
         case "dead":
             out = insight.shown_dead_code(insight.dead_code(edges, bindings, symbols, files, f["refs"], f["unresolved"]), LIMIT, not args.public).select("confidence", "fqn", "file_path", "start_line")
         case "cycles":
-            out = graph.rings(relations.file_edges(edges, symbols, files)).orderBy("length", "ring").limit(LIMIT)
+            out = cycles.rings(relations.file_edges(edges, symbols, files)).orderBy("length", "ring").limit(LIMIT)
         case "hotspots":
             out = insight.top_hotspots(edges, symbols, files).select("callers", "caller_files", "fqn", "file_path")
         case "routes":

@@ -86,8 +86,8 @@ EXTENSIONS = {
 
 
 def language(path: Column | str) -> Column:
-    """By extension; null is no source."""
-    ext = F.regexp_extract(_str(path), r"(\.[^./]+)$", 1)
+    """By extension, in any case; null is no source."""
+    ext = F.lower(F.regexp_extract(_str(path), r"(\.[^./]+)$", 1))
     out = F.lit(None).cast("string")
     for lang, known in EXTENSIONS.items():
         out = F.when(ext.isin(*known), lang).otherwise(out)

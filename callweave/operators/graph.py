@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,12 +31,48 @@ def reached(edges: DataFrame, seeds: DataFrame, max_depth: int = 4, backwards: b
     return seen.where("depth > 0")
 
 
+def reached_bits(edges: DataFrame, seeds: DataFrame, max_depth: int = 4, backwards: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The reach of very many seeds at once: ``(number, hits)``, number giving each ``seed`` its ``block`` and ``bit``.
+
+    ``hits`` has ``block, id, depth, bits``: the seeds of the block that reach ``id`` at that least depth, one bit each. A level joins the
+    frontier with the edges, merges what arrives by ``bit_or``, within the tasks first, and takes out what was there: 64 seeds cost the rows of one.
+    """
+    scratch = Scratch(edges.sparkSession)
+    near, far = ("to_symbol_id", "from_symbol_id") if backwards else ("from_symbol_id", "to_symbol_id")
+    steps = scratch.save(edges.select(F.col(near).alias("id"), F.col(far).alias("next")).where("id <> next").distinct())
+    number = scratch.save(scratch.save(seeds.select("seed").distinct()).select("seed", F.monotonically_increasing_id().alias("at")).select("seed", F.expr("at div 64").alias("block"), F.expr("cast(at % 64 as int)").alias("bit")))
+    started = seeds.select("seed", "id").join(number, "seed").groupBy("block", "id").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+    seen = frontier = scratch.save(started)
+    levels = []
+    for depth in range(1, max_depth + 1):
+        arrived = frontier.join(steps, "id").groupBy("block", F.col("next").alias("id")).agg(F.bit_or("bits").alias("bits"))
+        before = seen.select("block", "id", F.col("bits").alias("old"))
+        fresh = arrived.join(before, ["block", "id"], "left").select("block", "id", F.expr("bits & ~coalesce(old, 0L)").alias("bits")).where("bits <> 0")
+        frontier = scratch.save(fresh)
+        if frontier.isEmpty():
+            break
+        levels.append(frontier.withColumn("depth", F.lit(depth)))
+        if depth < max_depth:
+            merged = scratch.save(seen.unionByName(frontier).groupBy("block", "id").agg(F.bit_or("bits").alias("bits")))
+            scratch.drop(seen)
+            seen = merged
+    none = frontier.withColumn("depth", F.lit(0)).limit(0)
+    return number, reduce(DataFrame.unionByName, levels, none)
+
+
+def _each_bit(hits: DataFrame) -> DataFrame:
+    return hits.withColumn("bit", F.explode(F.expr("filter(sequence(0, 63), i -> (bits & shiftleft(1L, i)) <> 0)")))
+
+
 def impact(edges: DataFrame, symbols: DataFrame, files: DataFrame, seeds: DataFrame, max_depth: int = 4) -> DataFrame:
-    """For every seed: symbols and files reached, and symbols a level."""
+    """For every seed: symbols and files reached, and symbols a level. Bits part only within the tasks that count them."""
     places = symbols.select("id", "file_id").join(files.select(F.col("id").alias("file_id"), "path"), "file_id").select("id", "path")
-    hits = reached(edges, seeds, max_depth).join(places, "id")
+    number, hits = reached_bits(edges, seeds, max_depth)
+    placed = Scratch(edges.sparkSession).save(hits.join(places, "id"))
     levels = [F.count(F.when(F.col("depth") == d, 1)).alias(f"level_{d}") for d in range(1, max_depth + 1)]
-    return hits.groupBy("seed").agg(F.count("*").alias("total_symbols"), F.countDistinct("path").alias("total_files"), *levels)
+    by_symbol = _each_bit(placed).groupBy("block", "bit").agg(F.count("*").alias("total_symbols"), *levels)
+    by_file = _each_bit(placed.groupBy("block", "path").agg(F.bit_or("bits").alias("bits"))).groupBy("block", "bit").agg(F.count("*").alias("total_files"))
+    return number.join(by_symbol, ["block", "bit"]).join(by_file, ["block", "bit"]).select("seed", "total_symbols", "total_files", *[f"level_{d}" for d in range(1, max_depth + 1)])
 
 
 def affected(edges: DataFrame, symbols: DataFrame, files: DataFrame, paths: DataFrame, max_depth: int = 4) -> DataFrame:
@@ -123,32 +161,6 @@ def around(edges: DataFrame, structure: DataFrame, seeds: DataFrame, depth: int
     return nodes, every.join(ends("from_symbol_id"), "from_symbol_id", "left_semi").join(ends("to_symbol_id"), "to_symbol_id", "left_semi"), truncated
 
 
-def rings(links: DataFrame, max_length: int = 6) -> DataFrame:
-    """``ring, length``: each simple cycle of at most ``max_length`` + 1 nodes once, from its least node.
-
-    Paths grow from their least node alone, so every ring is found once; nodes without a way in or out are dropped first.
-    """
-    scratch = Scratch(links.sparkSession)
-    live = links.select("src", "dst").where("src <> dst").distinct()
-    live = live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-    live = scratch.save(live.select("src", "dst"))
-    paths = live.where("src < dst").select(F.col("src").alias("start"), F.array("src", "dst").alias("ring"), F.col("dst").alias("at"))
-    found = []
-    for _ in range(max_length):
-        paths = scratch.save(paths)
-        closing = live.select(F.col("src").alias("at"), F.col("dst").alias("start"))
-        found.append(paths.join(closing, ["at", "start"], "left_semi").select("ring"))
-        if paths.isEmpty():
-            break
-        steps = live.select(F.col("src").alias("at"), F.col("dst").alias("next"))
-        grown = paths.join(steps, "at").where("next > start").where(~F.array_contains("ring", F.col("next")))
-        paths = grown.select("start", F.array_append("ring", F.col("next")).alias("ring"), F.col("next").alias("at"))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.select("ring", F.size("ring").alias("length"))
-
-
 def rotated(ring: Column) -> Column:
     """An array turned so that its least element comes first."""
     at = F.array_position(ring, F.array_min(ring)).cast("int")

@@ -24,6 +24,22 @@ METHODS = ["method", "constructor"]
 IMPLICIT = ["String", "Object", "Integer", "Long", "Double", "Float", "Boolean", "Character", "Byte", "Short", "Number", "Math", "System", "Thread", "Runnable", "Iterable", "Comparable", "Exception", "RuntimeException", "IllegalArgumentException", "IllegalStateException", "StringBuilder", "Class", "Enum", "Record", "Override"]
 
 
+def preorder(types: DataFrame, parents: DataFrame, scratch: Scratch) -> DataFrame:
+    """``fqn, ancestor, path`` of ``types(fqn)`` under ``parents(fqn, parent, at)``: sorted by ``path``, a type's ancestors stand in depth-first preorder.
+
+    A path is the ordinals of the supertypes that lead to an ancestor; the least of all paths is kept. A pair whose path falls is
+    sent on again, so an ancestor met first over a short path takes a lesser long one later. A label is never less than that of the
+    ancestor it came over, so rounds end on cycles too. Each round joins only the labels that fell with the declarations.
+    """
+    up = parents.select(F.col("fqn").alias("ancestor"), "parent", "at")
+    now = fell = scratch.save(types.select("fqn", F.col("fqn").alias("ancestor"), F.array().cast("array<int>").alias("path")))
+    while not fell.isEmpty():
+        sent = fell.join(up, "ancestor").where("parent <> fqn").groupBy("fqn", F.col("parent").alias("ancestor")).agg(F.min(F.array_append("path", F.col("at"))).alias("new"))
+        after = scratch.save(now.join(sent, ["fqn", "ancestor"], "full").select("fqn", "ancestor", F.least("path", "new").alias("path"), F.expr("new is not null and (path is null or new < path)").alias("fell")))
+        fell, now = after.where("fell").drop("fell"), after.drop("fell")
+    return now
+
+
 class Java:
     """The tables of one project and what is known of them; ``resolved`` gives edges and unresolved calls."""
 
@@ -87,14 +103,8 @@ class Java:
         return self.scratch.save(met.where("type <> child").groupBy(F.col("child").alias("fqn"), F.col("type").alias("parent")).agg(F.min("at").alias("at")))
 
     def _chain(self) -> DataFrame:
-        """``fqn, ancestor, path``: each type, then its supertypes depth first; the least path where there are several."""
-        now = self.scratch.save(self.types.select("fqn", F.col("fqn").alias("ancestor"), F.array().cast("array<int>").alias("path")))
-        every, frontier = now, now
-        while not frontier.isEmpty():  # each pair is taken once, so cycles end
-            up = self.parents.select(F.col("fqn").alias("ancestor"), "parent", "at")
-            frontier = self.scratch.save(frontier.join(up, "ancestor").where("parent <> fqn").groupBy("fqn", F.col("parent").alias("ancestor")).agg(F.min(F.array_append("path", F.col("at"))).alias("path")).join(every.select("fqn", "ancestor"), ["fqn", "ancestor"], "left_anti"))
-            every = every.unionByName(frontier)
-        return self.scratch.save(every)
+        """``fqn, ancestor, path``: each type, then its supertypes in depth-first preorder, as declared (not Java's most specific)."""
+        return preorder(self.types.select("fqn"), self.parents, self.scratch)
 
     # Calls to members
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from callweave.plans.rendered import CLASSES
+from callweave.plans.rendered import CLASSES, EXTENDS
 from callweave.plans.star import prelude
 
 TEST = r"(regexp_matches({0}, '(?i)(^|/)(tests?|specs?|__tests__)/') or regexp_matches({0}, '(Test|Tests|IT)\.java$') or regexp_matches({0}, '(?i)_spec\.rb$|_test\.rb$') or regexp_matches({0}, '(?i)\.(test|spec)\.[cm]?[jt]sx?$'))"
@@ -50,7 +50,7 @@ listed as (select s.*, (select count(*) from open_calls o where o.name = s.name
     and not list_has_any(list_transform(string_split(s.annotations_text, '|'), lambda a: string_split(ltrim(a, '@'), '(')[1]), ['Bean', 'Scheduled']))"""
 CONFIDENCE = "case when unlinked_same_name = 0 and not (regexp_matches(modifiers_text, '(^|[|])(export|default)($|[|])') or not (regexp_matches(name, '^_|^private') or regexp_matches(modifiers_text, '(^|[|])private($|[|])'))) then 'high' else 'medium' end"
 REACH = """reach(seed, id, depth) as (
-    select id, id, 0 from symbols union
+    select id, id, 0 from symbols where id % 100 = 0 union
     select r.seed, e.from_symbol_id, r.depth + 1 from reach r join edges e on e.to_symbol_id = r.id where r.depth < 4),
 nearest as (select seed, id, min(depth) as depth from reach group by seed, id having min(depth) > 0)"""
 
@@ -157,6 +157,13 @@ ORACLE_SQL: dict[str, str] = {
     "g6_shortest_paths": prelude("symbols", "edges").replace("with ", "with recursive ", 1) + """, hops as (select distinct from_symbol_id as a, to_symbol_id as b from edges union select t.id, m.id from symbols m join symbols t on m.container_fqn = t.fqn where t.kind in ('class', 'interface', 'enum', 'record', 'module') and m.kind in ('method', 'constructor', 'class_method', 'field')),
         reach(id, depth) as (select 0::bigint, 0 union select h.b, r.depth + 1 from reach r join hops h on h.a = r.id where r.depth < 12) select id, min(depth)::int as depth from reach group by id""",
     "g8_file_rings": prelude("files", "symbols", "edges") + f", {FILE_EDGES} select a.src || ' -> ' || a.dst as ring, 2 as length from file_edges a join file_edges b on a.dst = b.src and b.dst = a.src where a.src < a.dst union all select a.src || ' -> ' || a.dst || ' -> ' || b.dst, 3 from file_edges a join file_edges b on a.dst = b.src join file_edges c on b.dst = c.src and c.dst = a.src where a.src < a.dst and a.src < b.dst and a.dst <> b.dst",
+    "g8_module_rings": """with recursive n as (select count(*) as n from customer), links as (select distinct src, dst from (select c_custkey as src, (c_custkey + 1 + c_nationkey % 5) % n as dst from customer, n union all select c_custkey, (c_custkey * 7 + c_nationkey) % n from customer, n) where src <> dst),
+        walk(a, z, ring) as (select src, dst, [src, dst] from links where src < dst union all select w.a, l.dst, list_append(w.ring, l.dst) from walk w join links l on l.src = w.z where l.dst > w.a and not list_contains(w.ring, l.dst) and len(w.ring) < 7)
+        select array_to_string(w.ring, ' -> ') as ring, len(w.ring)::int as length from walk w join links l on l.src = w.z and l.dst = w.a""",
+    "g8_strong_components": """with recursive links as (select distinct src, dst from (select o_custkey as src, o_custkey // 32 * 32 + (o_orderkey * 5 + o_custkey * 3) % 32 as dst from orders where o_orderkey % 7 = 0) where src <> dst),
+        reach(a, b) as (select src, dst from links union select r.a, l.dst from reach r join links l on l.src = r.b),
+        mutual as (select x.a as id, x.b as other from reach x join reach y on x.a = y.b and x.b = y.a), named as (select id, min(other) as component from mutual group by id)
+        select id, component, count(*) over (partition by component) as size from named""",
     "g9_dead_code": prelude("files", "symbols", "edges", "bindings", "refs", "unresolved") + f", {OPEN}, {DEAD}, words as (select distinct unnest(regexp_extract_all(\"text\", '([A-Za-z_$][\\w$]*)', 1)) as w from documents) select id, name, fqn, kind, file_path, start_line, unlinked_same_name, {CONFIDENCE} as confidence from listed where name not in (select w from words)",
     "g9_held_back": prelude("files", "symbols", "edges", "bindings", "refs", "unresolved") + f", {OPEN}, {DEAD}, rated as (select *, {CONFIDENCE} as confidence from listed) select count(*) filter (confidence = 'high') as certain, count(*) filter (confidence = 'medium' and unlinked_same_name = 0) as public_held_back, count(*) filter (confidence = 'medium' and unlinked_same_name > 0) as name_held_back from rated",
     "g17_diagnosis": prelude("files", "symbols", "imports") + ", wanted as (select distinct f.lang, i.fqn from imports i join files f on f.id = i.file_id), c as (select lang, count(*) as imported, count(*) filter (fqn not in (select fqn from symbols where fqn is not null)) as unread from wanted group by lang) select lang, imported, unread, case when unread * 100 > 20 * imported then 'blocking' when unread > 0 then 'minor' else 'good' end as verdict from c",
@@ -174,6 +181,9 @@ ORACLE_SQL: dict[str, str] = {
 
 _CLASSES = "with recursive classes as (" + CLASSES.format(part="part") + ")"
 _GO = "go as (select *, fqn || '.go' || k as caller, 1 + (k < m)::int as up, 2 + (k < m)::int + 3 * (k = root)::int as top, 'pkg.n' || root % 5 || '.C' || root as above from classes)"
+_DIAMONDS = "with recursive links as (" + EXTENDS.replace(" div ", " // ").format(customer="customer") + """), up as (select k, j, row_number() over (partition by k order by turn, j) - 1 as at from links),
+    walk(k, j, path) as (select c_custkey, c_custkey, []::bigint[] from customer union all select w.k, u.j, list_append(w.path, u.at) from walk w join up u on u.k = w.j),
+    least_path as (select 'dia.D' || k as fqn, 'dia.D' || j as ancestor, min(path) as path from walk group by all)"""
 ORACLE_SQL |= {
     "ext_java_symbols": f"""{_CLASSES}, {_GO} select path, 'pkg.n' || k % 5 as pkg, fqn, kind, container_fqn, arity, start_line, params, supertypes from (
         select path, k, fqn, 'class' as kind, null as container_fqn, null::int as arity, up + 1 as start_line, '' as params, case when k % 4 <> 0 and k < m then 'C' || (k + 1) else '' end as supertypes from go
@@ -194,6 +204,8 @@ ORACLE_SQL |= {
         union all select caller, above || '.put', 'String', 'calls', 'direct', 1.0, (top + 6)::int from go
         union all select caller, 'pkg.n' || (k + 1) % 5 || '.C' || (k + 1), '', 'instantiates', 'direct', 1.0, (top + 9)::int from go where k < m
         union all select fqn, 'pkg.n' || (k + 1) % 5 || '.C' || (k + 1), '', 'extends', 'declaration', 1.0, (up + 1)::int from go where k % 4 <> 0 and k < m""",
+    "r2_ancestor_order": f"""{_DIAMONDS} select fqn, ancestor, row_number() over (partition by fqn order by path) - 1 as place from least_path""",
+    "r4_diamond_calls": f"""{_DIAMONDS} select fqn || '.go' || k as from_fqn, arg_min(ancestor, path) || '.m' || m as to_fqn, 'direct' as via, (6 + m)::int as line from (select l.*, regexp_extract(l.ancestor, '[0-9]+')::bigint % 4 as m, regexp_extract(l.fqn, '[0-9]+')::bigint as k from least_path l) group by fqn, k, m""",
     "r17_java_unresolved": f"""{_CLASSES}, {_GO} select caller as fqn, 'missing' || k % 3 as name, (top + 7)::int as line, 'external:not-in-project' as reason, 1 as external, null as owner from go
         union all select caller, 'trim', (top + 8)::int, 'external:java.lang', 1, 'java.lang' from go""",
 }

@@ -27,15 +27,35 @@ TEXT = f"""
     from ({CLASSES}) c"""
 
 
+#: Interfaces of blocks of eight customers: ``k`` extends the ``j`` after it in its block that a rule picks, in an order that isn't theirs.
+EXTENDS = """
+    select a.c_custkey as k, b.c_custkey as j, (b.c_custkey * 5 + a.c_custkey) % 7 as turn
+    from {customer} a join {customer} b on a.c_custkey div 8 = b.c_custkey div 8 and b.c_custkey > a.c_custkey
+    where (a.c_custkey * 3 + b.c_custkey * 5 + a.c_nationkey) % 3 > 0"""
+#: Every interface declares one default method of four and calls all four.
+DIAMONDS = f"""
+    select concat('dia/D', k, '.java') as path, 'java' as lang, concat('package dia;\n\ninterface D', k, coalesce(concat(' extends ', above), ''), ' {{\n  default void m', k % 4, '() {{ }}\n  default void go', k, '() {{\n    m0();\n    m1();\n    m2();\n    m3();\n  }}\n}}\n') as text
+    from (select cast(c_custkey as bigint) as k from {{customer}}) c
+    left join (select k, array_join(transform(array_sort(collect_list(struct(turn, j))), x -> concat('D', x.j)), ', ') as above from ({EXTENDS}) e group by k) using (k)"""
+
+
 class Rendered:
     """The facts of the rendered files, their edges and calls without one."""
 
+    TEXT = TEXT
+
     def __init__(self, f: Facts) -> None:
         scratch = Scratch(f.spark)
-        text = f.spark.sql(TEXT.replace("{part}", f"parquet.`{f.sf_dir}/part.parquet`"))
+        text = f.spark.sql(self.TEXT.replace("{part}", f"parquet.`{f.sf_dir}/part.parquet`").replace("{customer}", f"parquet.`{f.sf_dir}/customer.parquet`"))
         files = scratch.save(text.selectExpr("*", "sha1(text) as hash", "size(split(text, '\\n', -1)) as lines"))
         self.facts = facts(files, scratch.save(raw_facts(files)))
         self.java = Java(*[self.facts[n] for n in ("files", "symbols", "imports", "locals", "refs")])
 
     def resolved(self) -> tuple[DataFrame, DataFrame]:
         return self.java.resolved()
+
+
+class Diamonds(Rendered):
+    """Interfaces that reach an ancestor over several paths."""
+
+    TEXT = DIAMONDS

@@ -1,7 +1,8 @@
 """Star-schema tables read as fact tables, so that every operator runs on plain tables too.
 
 The mappings are SQL that any engine reads: ``{part}`` and the like stand for the tables. Lists are
-``|``-separated there; ``Facts`` splits them.
+``|``-separated there; ``Facts`` splits them. No edge and no binding names the symbols whose id is 5 modulo 15, and a
+third of those have names of their own, so unreached code and rare names occur.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ VIEWS = {
             case when s_nationkey % 6 = 5 then 1 else 0 end as external, case when s_nationkey % 6 = 5 then concat('dep', cast(s_nationkey as string)) end as owner
         from {supplier}""",
     "symbols": """
-        select cast(p_partkey as bigint) as id, cast(p_partkey % (select count(*) from {supplier}) as bigint) as file_id, replace(p_name, ' ', '_') as name,
+        select cast(p_partkey as bigint) as id, cast(p_partkey % (select count(*) from {supplier}) as bigint) as file_id, concat(replace(p_name, ' ', '_'), case when p_partkey % 45 = 5 then cast(p_partkey as string) else '' end) as name,
             case when p_partkey % 4 = 0 then concat(p_brand, '.T', cast(p_size % 10 as string)) when p_partkey % 97 = 0 then null else concat(p_brand, '.T', cast(p_size % 10 as string), '.', replace(p_name, ' ', '_')) end as fqn,
             case p_partkey % 8 when 0 then 'class' when 4 then 'interface' when 1 then 'method' when 2 then 'function' when 3 then 'class_method' when 5 then 'method' when 6 then 'field' else 'constructor' end as kind,
             case when p_partkey % 4 = 0 then null else concat(p_brand, '.T', cast(p_size % 10 as string)) end as container_fqn,
@@ -34,7 +35,7 @@ VIEWS = {
             case when p_partkey % 4 = 0 then concat(p_brand, '.T', cast((p_size + 1) % 10 as string), '|', p_type) else '' end as supertypes_text
         from {part}""",
     "raw_edges": """
-        select cast(l_orderkey * 7 % (select count(*) from {part}) as bigint) as from_symbol_id, cast(l_partkey as bigint) as to_symbol_id,
+        select cast(l_orderkey * 7 % (select count(*) from {part}) as bigint) as from_symbol_id, cast(l_partkey - case when l_partkey % 15 = 5 then 1 else 0 end as bigint) as to_symbol_id,
             case l_returnflag when 'A' then 'calls' when 'R' then 'instantiates' else case l_linestatus when 'O' then 'implements' else 'extends' end end as kind,
             round(1 - l_discount, 2) as confidence,
             case l_linenumber when 1 then 'direct' when 2 then 'constructor' when 3 then 'unique-name' when 4 then 'interface->impl' when 5 then 'binding:http' when 6 then 'name-convention' else 'declaration' end as via,
@@ -43,7 +44,7 @@ VIEWS = {
         from {lineitem}""",
     "refs": """
         select e.event_id as id, cast(e.user_id % (select count(*) from {supplier}) as bigint) as file_id, case when e.event_id % 17 = 0 then null else cast(e.event_id * 13 % (select count(*) from {part}) as bigint) end as from_symbol_id,
-            replace(p.p_name, ' ', '_') as name, case when e.k % 3 = 0 then null else concat('r', cast(e.k % 5 as string)) end as receiver, cast(e.k % 5 as int) as arity,
+            concat(replace(p.p_name, ' ', '_'), case when p.p_partkey % 45 = 5 then cast(p.p_partkey as string) else '' end) as name, case when e.k % 3 = 0 then null else concat('r', cast(e.k % 5 as string)) end as receiver, cast(e.k % 5 as int) as arity,
             case when e.event_id % 4 = 3 then e.event_id - 1 when e.event_id % 4 = 2 then e.event_id - 1 end as receiver_ref_id, cast(e.event_id % 300 as int) as line,
             case e.event_type when 'signup' then 'new' when 'error' then 'annotation' else 'call' end as kind
         from (select *, cast(regexp_extract(props, '[0-9]+', 0) as int) as k from {events}) e join {part} p on p.p_partkey = e.k""",
@@ -54,11 +55,11 @@ VIEWS = {
             case when k % 8 = 6 then 'jdk-runtime' when k % 8 = 7 and user_id % 2 = 0 then concat('lib', cast(user_id % 7 as string)) end as owner
         from (select *, cast(regexp_extract(props, '[0-9]+', 0) as int) as k from {events}) e""",
     "bindings": """
-        select event_id as id, cast(user_id % (select count(*) from {supplier}) as bigint) as file_id, case when event_id % 13 = 0 then null else cast(event_id * 11 % (select count(*) from {part}) as bigint) end as symbol_id,
+        select event_id as id, cast(user_id % (select count(*) from {supplier}) as bigint) as file_id, case when event_id % 13 = 0 then null else cast(n - case when n % 15 = 5 then 1 else 0 end as bigint) end as symbol_id,
             case user_id % 3 when 0 then 'http' when 1 then 'kafka' else 'sqs' end as plugin, case when event_type in ('purchase', 'signup') then 'provider' else 'consumer' end as role,
             case when user_id % 3 = 0 then concat(case k % 4 when 0 then 'ANY' when 1 then 'POST' else 'GET' end, ' /p/', cast(k - k % 2 as string)) else concat('topic-', cast(k as string)) end as key,
             cast(event_id % 300 as int) as line, props as detail, concat('repo', cast(user_id % 4 as string)) as repo_id
-        from (select *, cast(regexp_extract(props, '[0-9]+', 0) as int) as k from {events}) e""",
+        from (select *, cast(regexp_extract(props, '[0-9]+', 0) as int) as k, event_id * 11 % (select count(*) from {part}) as n from {events}) e""",
     "imports": """
         select cast(c_custkey as bigint) as id, cast(c_custkey % (select count(*) from {supplier}) as bigint) as file_id,
             concat(case when c_nationkey % 2 = 0 then concat('Brand#', cast(1 + c_custkey % 25 as string), '.T', cast(c_nationkey % 10 as string)) else concat('org.', lower(c_mktsegment), '.n', cast(c_nationkey as string), '.X') end) as fqn,

@@ -33,8 +33,8 @@ def _empty(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], T.StructType([f for f in TABLES[name].fields if f.name != "repo_id"]))
 
 
-def index(spark: SparkSession, root: str, rules: list[str] = (), repo_id: str = "") -> dict[str, DataFrame]:
-    """Reads, extracts and resolves every admitted file under ``root``; ids are the repository's own."""
+def index(spark: SparkSession, root: str, repo_id: str, rules: list[str] = ()) -> dict[str, DataFrame]:
+    """Reads, extracts and resolves every admitted file under ``root``; ids follow from ``repo_id``, which ``write`` and ``sync`` must be given too."""
     scratch = Scratch(spark)
     files = scratch.save(read_tree(spark, root, list(rules)).where("admission = 'ok'"))
     return _resolved(spark, facts(files, scratch.save(raw_facts(files)), repo_id), root)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callweave.functions import names, predicates, routes
-from callweave.operators import graph, insight, relations, routing, search, stats
-from callweave.plans.rendered import Rendered
+from callweave.operators import cycles, graph, insight, relations, routing, search, stats
+from callweave.plans.rendered import Diamonds, Rendered
 from callweave.plans.star import Facts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -375,7 +375,8 @@ def u8_kept_edges(f: Facts) -> DataFrame:
 
 @query
 def g2_impact(f: Facts) -> DataFrame:
-    seeds = f.symbols.select(F.col("id").alias("seed"), "id")
+    """Of every symbol whose id is divisible by 100, over all edges."""
+    seeds = f.symbols.where("id % 100 = 0").select(F.col("id").alias("seed"), "id")
     return graph.impact(f.edges, f.symbols, f.files, seeds)
 
 
@@ -393,10 +394,33 @@ def g6_shortest_paths(f: Facts) -> DataFrame:
 @query
 def g8_file_rings(f: Facts) -> DataFrame:
     """Rings of at most three files."""
-    found = graph.rings(relations.file_edges(f.edges, f.symbols, f.files), 2)
+    found = cycles.rings(relations.file_edges(f.edges, f.symbols, f.files), 2)
     return found.select(F.array_join("ring", " -> ").alias("ring"), "length")
 
 
+def _module_links(f: Facts) -> DataFrame:
+    """Customers as modules of a sparse graph: each needs one near it and one far off."""
+    n = f.star("customer").count()
+    near = f.star("customer").select(F.col("c_custkey").alias("src"), ((F.col("c_custkey") + 1 + F.col("c_nationkey") % 5) % n).cast("long").alias("dst"))
+    far = f.star("customer").select(F.col("c_custkey").alias("src"), ((F.col("c_custkey") * 7 + F.col("c_nationkey")) % n).cast("long").alias("dst"))
+    return near.unionByName(far)
+
+
+@query
+def g8_module_rings(f: Facts) -> DataFrame:
+    """Rings of up to seven modules."""
+    found = cycles.rings(_module_links(f))
+    return found.select(F.array_join(F.transform("ring", lambda x: x.cast("string")), " -> ").alias("ring"), "length")
+
+
+@query
+def g8_strong_components(f: Facts) -> DataFrame:
+    """Orders as links between the customers of a block: which lie on a common ring."""
+    orders = f.star("orders").where("o_orderkey % 7 = 0")
+    links = orders.select(F.col("o_custkey").alias("src"), F.expr("o_custkey div 32 * 32 + (o_orderkey * 5 + o_custkey * 3) % 32").alias("dst"))
+    return cycles.strong_components(links)
+
+
 @query
 def g9_dead_code(f: Facts) -> DataFrame:
     words = f.star("documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"([A-Za-z_$][\w$]*)"), F.lit(1))).alias("word"))
@@ -502,6 +526,23 @@ def r4_java_edges(f: Facts) -> DataFrame:
     return ends.select("from_fqn", "to_fqn", "to_params", "kind", "via", "confidence", "line")
 
 
+@query
+def r2_ancestor_order(f: Facts) -> DataFrame:
+    """Rendered interfaces with diamonds: each one's ancestors by place in depth-first preorder."""
+    made = Diamonds(f)
+    place = F.row_number().over(Window.partitionBy("fqn").orderBy("path")) - 1  # as many rows a type as it has ancestors
+    return made.java.chain.select("fqn", "ancestor", place.alias("place"))
+
+
+@query
+def r4_diamond_calls(f: Facts) -> DataFrame:
+    """Calls of inherited default methods there: the first ancestor in that order that declares the method is meant."""
+    made = Diamonds(f)
+    edges, _ = made.resolved()
+    fqn = lambda end: made.facts["symbols"].select(F.col("id").alias(f"{end}_symbol_id"), F.col("fqn").alias(f"{end}_fqn"))
+    return edges.where("kind = 'calls' and via = 'direct'").join(fqn("from"), "from_symbol_id").join(fqn("to"), "to_symbol_id").select("from_fqn", "to_fqn", "via", "line")
+
+
 @query
 def r17_java_unresolved(f: Facts) -> DataFrame:
     made = Rendered(f)

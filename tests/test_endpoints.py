@@ -49,7 +49,7 @@ def facts(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("tree")
     for name, text in TREE.items():
         (root / name).write_text(text)
-    return project.index(spark, str(root))
+    return project.index(spark, str(root), "r")
 
 
 def test_endpoints_and_edges(facts):

@@ -44,7 +44,7 @@ def indexed(spark, tmp_path_factory):
     for name, text in TREE.items():
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_text(text)
-    return project.index(spark, str(root))
+    return project.index(spark, str(root), "r")
 
 
 @pytest.fixture(scope="module")

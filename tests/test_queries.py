@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from callweave.operators import graph, insight, relations, search
+from callweave.operators import cycles, graph, insight, relations, search
 from callweave.oracles import ORACLE_SQL
 from callweave.queries import QUERIES
 
@@ -99,7 +99,7 @@ def test_rings_on_random_graphs(spark, seed):
 
     for n in names:
         walk([n])
-    got = graph.rings(spark.createDataFrame(pairs, "src string, dst string"), 6)
+    got = cycles.rings(spark.createDataFrame(pairs, "src string, dst string"), 6)
     rows = [tuple(r["ring"]) for r in got.collect()]
     assert set(rows) == want and len(rows) == len(want)
 
