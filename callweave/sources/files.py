@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.functions.names import language
+from callweave.sources.ignores import contents, listed, tracked, trees
+from callweave.sources.ignores import rules as ignore_rules
 
 MAX_CHARS, PACKED_CHARS, PACKED_PER_LINE, NUL_WITHIN = 2 * 1024 * 1024, 20 * 1024, 1000, 8000
-#: Folders that hold dependencies or build output.
-SKIPPED = ["node_modules", "vendor", "target", "dist", "build", "out", "coverage", "tmp", "log", "bin", "obj"]
 
 
 def admission(text: Column) -> Column:
@@ -61,18 +61,28 @@ def ignored(path: Column, rules: list[str]) -> Column:
     return out
 
 
+def _relative(path: Column, root: str) -> Column:
+    bare = F.regexp_replace(path, "^[a-z0-9]+:/*", "/")
+    base = F.regexp_replace(F.lit(root.rstrip("/")), "^[a-z0-9]+:/*", "/")
+    return F.regexp_replace(F.substring(bare, F.length(base) + 2, F.lit(1 << 30)), "^/+", "")
+
+
 def read_tree(spark: SparkSession, root: str, rules: list[str] = ()) -> DataFrame:
-    """``path, lang, text, hash, lines, admission`` of every source file under ``root``; dot folders and ``SKIPPED`` ones are passed over."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = F.regexp_replace(F.lit(root.rstrip("/")), "^[a-z]+:/*", "/")
-    rel = F.regexp_replace(F.substring(F.regexp_replace("path", "^[a-z]+:/*", "/"), F.length(base) + 2, F.lit(1 << 30)), "^/+", "")
-    skip = F.col("path").rlike(r"(^|/)(\.[^/]*|" + "|".join(SKIPPED) + ")/")
-    wanted = ~skip & language("path").isNotNull() & ~ignored(F.col("path"), list(rules))
+    """``path, lang, text, hash, lines, admission`` of every source file under ``root``, as git would list them.
+
+    Ignore files of every folder and git's index decide (``sources.ignores``); ``rules`` are further ones of the root. Dot folders are passed over.
+    """
+    raw, ignore_files = trees(spark, root)
+    named = raw.select(_relative(F.col("path"), root).alias("path"), "length", "content").where(language("path").isNotNull() & ~ignored(F.col("path"), list(rules)))
+    index = tracked(spark, root)
+    texts = contents(spark, ignore_files).withColumn("path", _relative(F.col("path"), root)) if ignore_files else spark.createDataFrame([], "path string, content binary")
+    source = listed(named.select("path"), ignore_rules(spark, root, texts), index).where("source").select("path")
+    wanted = named.join(source, "path", "left_semi")
     # no character takes more than four octets: a longer file is too large without being read
-    files = raw.where(F.col("length") <= 4 * MAX_CHARS).select(rel.alias("path"), "content").where(wanted)
+    files = wanted.where(F.col("length") <= 4 * MAX_CHARS).select("path", "content")
     text = F.make_valid_utf8(F.col("content").cast("string"))  # octets that are no UTF-8 become replacement characters
     read = files.select("path", language("path").alias("lang"), text.alias("text"), F.sha1("content").alias("hash")).select("*", (F.regexp_count("text", F.lit("\n")) + 1).alias("lines"), admission(F.col("text")).alias("admission"))
-    left = raw.where(F.col("length") > 4 * MAX_CHARS).select(rel.alias("path")).where(wanted)
+    left = wanted.where(F.col("length") > 4 * MAX_CHARS).select("path")
     null = lambda kind: F.lit(None).cast(kind)
     return read.unionByName(left.select("path", language("path").alias("lang"), null("string").alias("text"), null("string").alias("hash"), null("int").alias("lines"), F.lit("too-large").alias("admission")))
 
