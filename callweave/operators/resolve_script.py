@@ -139,13 +139,30 @@ class Script:
                 break
             receivers = save(receivers.unionByName(more))
             targets = save(targets.unionByName(self.found(open_.join(more, "id").join(targets.select("id"), "id", "left_anti").select("id", "name", "type"))))
-        return self._outcome(calls, new_types, receivers, targets)
+        # What a library's declaration answers is proven to be the library's, and so is what is called on its results.
+        library = self.files.where("external = 1").select(F.col("id").alias("member_file"), "owner")
+        answered = save(targets.join(library, "member_file").select("id", "owner").unionByName(new_types.join(self._library_types(), "type").select("id", "owner")))
+        own = lambda rows: rows.join(answered.select("id"), "id", "left_anti")
+        return self._outcome(calls, own(new_types), receivers, own(targets), answered)
+
+    def _library_types(self) -> DataFrame:
+        library = self.files.where("external = 1").select(F.col("id").alias("file_id"), "owner")
+        return self.symbols.where(F.col("kind").isin(*TYPES)).join(library, "file_id").groupBy(F.col("fqn").alias("type")).agg(F.min("owner").alias("owner"))
+
+    def _called_on(self, calls: DataFrame, foreign: DataFrame) -> DataFrame:
+        """``foreign`` with the open calls on its results, link after link."""
+        links = self.scratch.save(calls.where("receiver_ref_id is not null and kind = 'call'").select("id", "receiver_ref_id"))
+        every = frontier = self.scratch.save(foreign)
+        while not frontier.isEmpty():
+            frontier = self.scratch.save(links.join(frontier.select(F.col("id").alias("receiver_ref_id"), "owner"), "receiver_ref_id").select("id", "owner").join(every.select("id"), "id", "left_anti"))
+            every = every.unionByName(frontier)
+        return every
 
     def _results(self, returned: DataFrame) -> DataFrame:
         asked = returned.select(F.col("ref").alias("key"), F.col("member_file").alias("file_id"), "name")
         return self.named(asked).withColumnRenamed("key", "ref")
 
-    def _outcome(self, calls: DataFrame, new_types: DataFrame, receivers: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def _outcome(self, calls: DataFrame, new_types: DataFrame, receivers: DataFrame, targets: DataFrame, answered: DataFrame) -> tuple[DataFrame, DataFrame]:
         columns = lambda rows, kind, confidence, via, seq: rows.select("from_symbol_id", "to_symbol_id", (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), F.lit(confidence).alias("confidence"), F.lit(via).alias("via"), "line", F.lit(seq).alias("seq"))
         at = calls.where("from_symbol_id is not null").select("id", "from_symbol_id", "line", "name", "container")
         types = self.types.select(F.col("fqn").alias("type"), F.col("symbol_id").alias("to_symbol_id"), F.col("kind").alias("type_kind"))
@@ -160,17 +177,23 @@ class Script:
         direct = columns(hit.withColumnRenamed("target", "to_symbol_id"), "calls", 1.0, "direct", 3)
         below = self.parents.select(F.col("parent").alias("declared_by"), F.col("fqn").alias("ancestor"))
         fan = columns(hit.select("from_symbol_id", "line", "name", "declared_by").join(below, "declared_by").join(self.members.select("ancestor", "name", F.col("target").alias("to_symbol_id")), ["ancestor", "name"]), "calls", 0.9, "interface->impl", 4)
-        foreign = self.scratch.save(self._foreign(calls))
+        linked = targets.select("id").unionByName(new_types.select("id"))
+        by_name = self._foreign(calls).join(answered.select("id"), "id", "left_anti")
+        foreign = self.scratch.save(self._called_on(calls, answered.unionByName(by_name)).join(linked, "id", "left_anti"))
         rest = calls.where("kind = 'call' and from_symbol_id is not null and name <> '<init>' and receiver is not null and receiver not in ('this', 'super', '!String')")
         for known in (targets, receivers, foreign):
             rest = rest.join(known.select("id"), "id", "left_anti")
-        once = self.members.where("name <> 'constructor'").groupBy("name").agg(F.count("*").alias("n"), F.min("target").alias("to_symbol_id"))
+        own_files = self.files.where("external = 0").select(F.col("id").alias("member_file"))
+        once = self.members.join(own_files, "member_file", "left_semi").where("name <> 'constructor'").groupBy("name").agg(F.count("*").alias("n"), F.min("target").alias("to_symbol_id"))
         pool = self.scratch.save(rest.select("id", "from_symbol_id", "line", "name").join(once, "name"))
         unique = columns(pool.where("n = 1"), "calls", 0.5, "unique-name", 5)
         every = inherits.unionByName(made).unionByName(constructed).unionByName(direct).unionByName(fan).unionByName(unique)
-        edges = self.scratch.save(first_written(every, ["from_symbol_id", "to_symbol_id", "kind", "line"], "seq").drop("seq"))
+        ends = self.symbols.join(own_files.withColumnRenamed("member_file", "file_id"), "file_id", "left_semi").select("id")
+        for end in ("from_symbol_id", "to_symbol_id"):  # no edge leads into or out of a library
+            every = every.join(ends.withColumnRenamed("id", end), end, "left_semi")
+        edges = self.scratch.save(first_written(every.select("from_symbol_id", "to_symbol_id", "kind", "confidence", "via", "line", "seq"), ["from_symbol_id", "to_symbol_id", "kind", "line"], "seq").drop("seq"))
         linked = targets.select("id").unionByName(new_types.select("id")).unionByName(above.select("id")).unionByName(pool.where("n = 1").select("id")).distinct()
-        names = self.symbols.select("name").distinct().withColumn("declared", F.lit(True))
+        names = self.symbols.join(own_files.withColumnRenamed("member_file", "file_id"), "file_id", "left_semi").select("name").distinct().withColumn("declared", F.lit(True))
         known = calls.join(linked, "id", "left_anti").join(names, "name", "left").join(receivers, "id", "left").join(pool.select("id", "n"), "id", "left").join(foreign, "id", "left")
         reason = (
             F.when(F.col("from_symbol_id").isNull(), "no-enclosing-symbol")

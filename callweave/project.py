@@ -14,6 +14,7 @@ from callweave.operators.resolve import Java, Ruby
 from callweave.operators.resolve_script import Script
 from callweave.plans.scratch import Scratch
 from callweave.schema import SCHEMA_VERSION, TABLES
+from callweave.sources import ambient
 from callweave.sources.files import read_tree
 from callweave.sources.modules import workspace
 from callweave.streaming.sync import compared
@@ -21,7 +22,7 @@ from callweave.streaming.sync import compared
 RESOLVERS = {
     ("java",): lambda f, root: Java(f["files"], f["symbols"], f["imports"], f["locals"], f["refs"]).resolved(),
     ("ruby",): lambda f, root: Ruby(f["symbols"], f["locals"], f["refs"]).resolved(),
-    ("typescript", "tsx", "javascript"): lambda f, root: Script(f["files"], f["symbols"], f["imports"], f["locals"], f["refs"], *workspace(f["files"].sparkSession, root)).resolved(),
+    ("typescript", "tsx", "javascript"): lambda f, root: Script(f["files"], f["symbols"], f["imports"], f["locals"], f["refs"], *_workspace(f, root)).resolved(),
 }
 NAMES = ["files", "symbols", "types", "imports", "locals", "refs", "edges", "unresolved"]
 
@@ -29,6 +30,27 @@ NAMES = ["files", "symbols", "types", "imports", "locals", "refs", "edges", "unr
 EXTRACTED = ["symbols", "imports", "locals", "refs"]
 
 
+def _workspace(f: dict[str, DataFrame], root: str) -> tuple[DataFrame, DataFrame]:
+    """Aliases and packages; a package of the workspace comes before a dependency of its name."""
+    alias, packages = workspace(f["files"].sparkSession, root)
+    if "entries" in f:
+        packages = packages.unionByName(f["entries"].join(packages.select("name"), "name", "left_anti"))
+    return alias, packages
+
+
+def _with_libraries(spark: SparkSession, out: dict[str, DataFrame], root: str, repo_id: str) -> dict[str, DataFrame]:
+    """The facts with those of the declarations that scripts import; a path that the project has stays its own."""
+    scripts = out["files"].where(F.col("lang").isin("typescript", "tsx", "javascript")).select(F.col("id").alias("file_id"))
+    known = ambient.read(spark, root, out["imports"].join(scripts, "file_id", "left_semi"), repo_id)
+    if known is None:
+        return out
+    library, entries = known
+    new = library["files"].join(out["files"].select("path"), "path", "left_anti")
+    kept = new.select(F.col("id").alias("file_id"))
+    more = {"files": new} | {n: library[n].join(kept, "file_id", "left_semi") for n in ambient.KEPT}
+    return out | {n: out[n].unionByName(df.select(out[n].columns)) for n, df in more.items()} | {"entries": entries}
+
+
 def _empty(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], T.StructType([f for f in TABLES[name].fields if f.name != "repo_id"]))
 
@@ -37,7 +59,7 @@ def index(spark: SparkSession, root: str, repo_id: str, rules: list[str] = ()) -
     """Reads, extracts and resolves every admitted file under ``root``; ids follow from ``repo_id``, which ``write`` and ``sync`` must be given too."""
     scratch = Scratch(spark)
     files = scratch.save(read_tree(spark, root, list(rules)).where("admission = 'ok'"))
-    return _resolved(spark, facts(files, scratch.save(raw_facts(files)), repo_id), root)
+    return _resolved(spark, _with_libraries(spark, facts(files, scratch.save(raw_facts(files)), repo_id), root, repo_id), root)
 
 
 def _resolved(spark: SparkSession, out: dict[str, DataFrame], root: str) -> dict[str, DataFrame]:
@@ -48,11 +70,11 @@ def _resolved(spark: SparkSession, out: dict[str, DataFrame], root: str) -> dict
         if own.isEmpty():
             continue
         part = {n: out[n].join(own.select(F.col("id").alias("file_id")), "file_id", "left_semi") for n in EXTRACTED}
-        for rows, made in zip((edges, unresolved), resolver(part | {"files": own}, root), strict=True):
+        for rows, made in zip((edges, unresolved), resolver(part | {"files": own} | ({"entries": out["entries"]} if "entries" in out else {}), root), strict=True):
             rows.append(made)
     out["edges"] = reduce(DataFrame.unionByName, edges) if edges else _empty(spark, "edges")
     out["unresolved"] = reduce(DataFrame.unionByName, unresolved) if unresolved else _empty(spark, "unresolved")
-    return out
+    return {n: out[n] for n in NAMES}
 
 
 def sync(spark: SparkSession, root: str, folder: str, repo_id: str, rules: list[str] = ()) -> dict[str, int]:
@@ -64,6 +86,7 @@ def sync(spark: SparkSession, root: str, folder: str, repo_id: str, rules: list[
     scratch = Scratch(spark)
     listed = read_tree(spark, root, list(rules)).where("admission = 'ok'")
     stored = read(spark, folder, repo_id)
+    stored["files"] = stored["files"].where("external = 0")  # libraries are read anew, by what is imported
     status = scratch.save(compared(stored["files"], listed))
     counts = {r["status"]: r["n"] for r in status.groupBy("status").agg(F.count("*").alias("n")).collect()}
     if set(counts) <= {"unchanged"}:
@@ -76,7 +99,7 @@ def sync(spark: SparkSession, root: str, folder: str, repo_id: str, rules: list[
     for name in EXTRACTED:
         old = stored[name].join(same.select(F.col("id").alias("file_id")), "file_id", "left_semi")
         out[name] = scratch.save(old.select(fresh[name].columns).unionByName(fresh[name]))
-    write({n: scratch.save(df) for n, df in _resolved(spark, out, root).items()}, folder, repo_id)
+    write({n: scratch.save(df) for n, df in _resolved(spark, _with_libraries(spark, out, root, repo_id), root).items()}, folder, repo_id)
     return counts
 
 

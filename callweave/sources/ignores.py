@@ -178,8 +178,8 @@ def _folder(spark: SparkSession, path: str) -> bool:
     return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory())
 
 
-def contents(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``path, length, content`` of named files, read in tasks."""
+def contents(spark: SparkSession, paths: list[str] | DataFrame) -> DataFrame:
+    """``path, length, content`` of named files (of a list, or of a table's only column), read in tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -192,8 +192,8 @@ def contents(spark: SparkSession, paths: list[str]) -> DataFrame:
                     data = f.read()
                 yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([len(data)], pa.int64()), pa.array([data], pa.binary())], ["path", "length", "content"])
 
-    names = spark.createDataFrame([(p,) for p in paths], "path string")
-    return names.repartition(max(1, min(len(paths), 64))).mapInArrow(run, "path string, length long, content binary")
+    names = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths), 64))) if isinstance(paths, list) else paths
+    return names.mapInArrow(run, "path string, length long, content binary")
 
 
 def trees(spark: SparkSession, root: str) -> tuple[DataFrame, list[str]]:
