@@ -48,6 +48,10 @@ class Java:
         self.files, self.symbols, self.imports, self.locals, self.refs = files, symbols, imports, locals_, refs
         save = self.scratch.save
         self.types = save(types_view(symbols))
+        self.own_files = files.where("external = 0").select(F.col("id").alias("file_id"))
+        library = files.where("external = 1").select(F.col("id").alias("file_id"), "owner")
+        self.library_types = save(symbols.where("container_fqn is null or kind in ('class', 'interface')").join(library, "file_id").groupBy(F.col("fqn").alias("type")).agg(F.min("owner").alias("owner")))
+        self.library_files = library.withColumnRenamed("file_id", "member_file")
         self.parents = self._parents()
         self.chain = self._chain()
         self.members = save(symbols.where(F.col("kind").isin(*METHODS)).select(F.col("container_fqn").alias("ancestor"), F.col("name").alias("member"), F.col("id").alias("target"), F.col("kind").alias("member_kind"), F.col("arity").alias("member_arity"), "params", F.col("type_name").alias("returns"), F.col("file_id").alias("member_file")))
@@ -78,7 +82,7 @@ class Java:
         """``key, type``: the project's type that ``name`` means at ``file_id`` within ``container``; absent where there is none."""
         asked = wanted.where("name is not null").select("key", "file_id", "container", "name").distinct()
         own = self.types.select("fqn")
-        simple = own.groupBy(F.element_at(F.split("fqn", r"\."), -1).alias("name")).agg(F.count("*").alias("n"), F.min("fqn").alias("fqn")).where("n = 1").select("name", "fqn")
+        simple = own.join(self.library_types.select(F.col("type").alias("fqn")), "fqn", "left_anti").groupBy(F.element_at(F.split("fqn", r"\."), -1).alias("name")).agg(F.count("*").alias("n"), F.min("fqn").alias("fqn")).where("n = 1").select("name", "fqn")
         head = F.substring_index("name", ".", 1)
         tail = F.when(F.contains("name", F.lit(".")), F.regexp_replace("name", r"^[^.]*", "")).otherwise("")
         scopes = asked.where("container is not null").select("*", F.split("container", r"\.").alias("parts"))
@@ -88,10 +92,11 @@ class Java:
         package = asked.join(self.files.select(F.col("id").alias("file_id"), "pkg"), "file_id").select("key", F.concat_ws(".", "pkg", "name").alias("fqn"), F.lit(400).alias("priority")).join(own, "fqn")
         wild = asked.join(self.imports.where("is_wildcard = 1 and is_static = 0").select("file_id", F.col("fqn").alias("imported")), "file_id").select("key", F.concat_ws(".", "imported", "name").alias("fqn"), F.lit(500).alias("priority")).join(own, "fqn")
         implicit = asked.where(F.col("name").isin(*IMPLICIT)).select("key", F.lit(None).cast("string").alias("fqn"), F.lit(600).alias("priority"))
+        lang = asked.withColumn("fqn", F.concat(F.lit("java.lang."), "name")).join(own, "fqn").select("key", "fqn", F.lit(590).alias("priority"))
         unique = asked.where(F.length("name") > 1).join(simple, "name").select("key", "fqn", F.lit(700).alias("priority"))
         exact = asked.join(own.withColumnRenamed("fqn", "name"), "name").select("key", F.col("name").alias("fqn"), F.lit(100).alias("priority"))
         every = exact
-        for rule in (nested, explicit, package, wild, implicit, unique):
+        for rule in (nested, explicit, package, wild, lang, implicit, unique):
             every = every.unionByName(rule.select("key", "fqn", F.col("priority").cast("int").alias("priority")))
         return every.groupBy("key").agg(F.min(F.struct("priority", "fqn"))["fqn"].alias("type")).where("type is not null")
 
@@ -154,7 +159,24 @@ class Java:
                 break
             receivers = save(receivers.unionByName(more))
             targets = save(self.found(self._with_outer(open_.join(receivers, "id"))))
-        return self._edges(calls, new_types, targets), self._unresolved(calls, new_types, receivers, targets)
+        # What a library's type answers is the library's, and so is what is called on its results.
+        answered = targets.join(self.library_files, "member_file").select("id", "owner").unionByName(new_types.join(self.library_types, "type").select("id", "owner"))
+        answered = self._called_on(calls, save(answered))
+        own = lambda rows: rows.join(answered.select("id"), "id", "left_anti")
+        calls_left = own(calls)
+        edges = self._edges(calls_left, own(new_types), own(targets))
+        unresolved = self._unresolved(calls_left, own(new_types), receivers, own(targets))
+        proven = answered.select(F.col("id").alias("ref_id"), F.concat(F.lit("external:"), "owner").alias("reason"), F.lit(1).alias("external"), "owner")
+        return edges, unresolved.unionByName(proven)
+
+    def _called_on(self, calls: DataFrame, answered: DataFrame) -> DataFrame:
+        """``answered`` with the open calls on its results, link after link."""
+        links = self.scratch.save(calls.where("receiver_ref_id is not null and kind = 'call'").select("id", "receiver_ref_id"))
+        every = frontier = answered
+        while not frontier.isEmpty():
+            frontier = self.scratch.save(links.join(frontier.select(F.col("id").alias("receiver_ref_id"), "owner"), "receiver_ref_id").select("id", "owner").join(every.select("id"), "id", "left_anti"))
+            every = every.unionByName(frontier)
+        return self.scratch.save(every)
 
     @staticmethod
     def _with_outer(calls: DataFrame) -> DataFrame:
@@ -188,14 +210,18 @@ class Java:
         impl = hit.select("id", "from_symbol_id", "line", "name", "arity", "declared_by").join(below, "declared_by").join(self.members.where("member_kind = 'method'").withColumnRenamed("member", "name"), ["ancestor", "name"]).where(accepts_arity(F.col("params"), F.col("member_arity"), F.col("arity")))
         fan = edge(impl.withColumnRenamed("target", "to_symbol_id"), "calls", 0.9, "interface->impl", 4)
         unique = edge(self._by_name(calls, targets).where("n = 1").withColumnRenamed("target", "to_symbol_id"), "calls", 0.5, "unique-name", 5)
+        ends = self.symbols.join(self.own_files, "file_id", "left_semi").select("id")
         every = inherits.unionByName(instantiates).unionByName(edge(built, "calls", 1.0, "constructor", 2)).unionByName(edge(parents, "calls", 1.0, "constructor", 2)).unionByName(direct).unionByName(fan).unionByName(unique)
+        for end in ("from_symbol_id", "to_symbol_id"):  # no edge leads into or out of a library
+            every = every.join(ends.withColumnRenamed("id", end), end, "left_semi")
+        every = every.select("from_symbol_id", "to_symbol_id", "kind", "confidence", "via", "line", "seq")
         return self.scratch.save(first_written(every, ["from_symbol_id", "to_symbol_id", "kind", "line"], "seq").drop("seq"))
 
     def _by_name(self, calls: DataFrame, targets: DataFrame) -> DataFrame:
         """Calls on receivers of unknown type, with how many methods have their name (those that take the arguments, if any do)."""
         rest = calls.where("kind = 'call' and name <> '<init>' and receiver is not null and receiver not in ('this', 'super', '!String', '(...)') and receiver_ref_id is null and from_symbol_id is not null").join(targets.select("id"), "id", "left_anti")
         rest = rest.join(self.typed_receivers(calls).select("id"), "id", "left_anti").join(self._foreign(rest).select("id"), "id", "left_anti")
-        pool = rest.join(self.members.where("member_kind = 'method'").withColumnRenamed("member", "name"), "name")
+        pool = rest.join(self.members.where("member_kind = 'method'").withColumnRenamed("member", "name").join(self.own_files.withColumnRenamed("file_id", "member_file"), "member_file", "left_semi"), "name")
         fits = accepts_arity(F.col("params"), F.col("member_arity"), F.col("arity"))
         counts = pool.groupBy("id", "from_symbol_id", "line").agg(F.count(F.when(fits, 1)).alias("fit"), F.count("*").alias("every"), F.min(F.when(fits, F.col("target"))).alias("best"), F.min("target").alias("any"))
         return counts.select("id", "from_symbol_id", "line", F.when(F.col("fit") > 0, F.col("fit")).otherwise(F.col("every")).alias("n"), F.coalesce("best", "any").alias("target"))
@@ -220,7 +246,7 @@ class Java:
         linked = targets.select("id").unionByName(new_types.select("id")).unionByName(named.where("n = 1").select("id"))
         supers = calls.where("name = '<init>'").join(self.parents.select(F.col("fqn").alias("container")), "container", "left_semi").select("id")
         rest = calls.join(linked.unionByName(supers).distinct(), "id", "left_anti")
-        declared = self.symbols.where(F.col("kind").isin("method", "constructor", "class", "interface", "enum", "record")).select("name").distinct().withColumn("declared", F.lit(True))
+        declared = self.symbols.join(self.own_files, "file_id", "left_semi").where(F.col("kind").isin("method", "constructor", "class", "interface", "enum", "record")).select("name").distinct().withColumn("declared", F.lit(True))
         statics = self.imports.where("is_static = 1 and is_wildcard = 0").select("file_id", F.col("simple").alias("name"), owner_package("fqn").alias("static_owner")).dropDuplicates(["file_id", "name"])
         known = rest.join(declared, "name", "left").join(self._foreign(rest), "id", "left").join(statics, ["file_id", "name"], "left").join(receivers, "id", "left").join(named.select("id", "n"), "id", "left")
         bare = F.col("receiver").isNull()

@@ -14,7 +14,7 @@ from callweave.operators.resolve import Java, Ruby
 from callweave.operators.resolve_script import Script
 from callweave.plans.scratch import Scratch
 from callweave.schema import SCHEMA_VERSION, TABLES
-from callweave.sources import ambient
+from callweave.sources import ambient, classfiles
 from callweave.sources.files import read_tree
 from callweave.sources.modules import workspace
 from callweave.streaming.sync import compared
@@ -38,8 +38,11 @@ def _workspace(f: dict[str, DataFrame], root: str) -> tuple[DataFrame, DataFrame
     return alias, packages
 
 
-def _with_libraries(spark: SparkSession, out: dict[str, DataFrame], root: str, repo_id: str) -> dict[str, DataFrame]:
-    """The facts with those of the declarations that scripts import; a path that the project has stays its own."""
+def _with_libraries(spark: SparkSession, out: dict[str, DataFrame], root: str, repo_id: str, archives: list[str] = ()) -> dict[str, DataFrame]:
+    """The facts with those of the declarations that scripts import, and of the types in ``archives`` that Java files name; a path that the project has stays its own."""
+    if archives:
+        known = classfiles.read(spark, list(archives), out, repo_id)
+        out = out | {n: out[n].unionByName(df) for n, df in known.items()}
     scripts = out["files"].where(F.col("lang").isin("typescript", "tsx", "javascript")).select(F.col("id").alias("file_id"))
     known = ambient.read(spark, root, out["imports"].join(scripts, "file_id", "left_semi"), repo_id)
     if known is None:
@@ -55,11 +58,14 @@ def _empty(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], T.StructType([f for f in TABLES[name].fields if f.name != "repo_id"]))
 
 
-def index(spark: SparkSession, root: str, repo_id: str, rules: list[str] = ()) -> dict[str, DataFrame]:
-    """Reads, extracts and resolves every admitted file under ``root``; ids follow from ``repo_id``, which ``write`` and ``sync`` must be given too."""
+def index(spark: SparkSession, root: str, repo_id: str, rules: list[str] = (), archives: list[str] = ()) -> dict[str, DataFrame]:
+    """Reads, extracts and resolves every admitted file under ``root``; ids follow from ``repo_id``, which ``write`` and ``sync`` must be given too.
+
+    ``archives`` are the class path: jars or module archives whose types the sources name.
+    """
     scratch = Scratch(spark)
     files = scratch.save(read_tree(spark, root, list(rules)).where("admission = 'ok'"))
-    return _resolved(spark, _with_libraries(spark, facts(files, scratch.save(raw_facts(files)), repo_id), root, repo_id), root)
+    return _resolved(spark, _with_libraries(spark, facts(files, scratch.save(raw_facts(files)), repo_id), root, repo_id, archives), root)
 
 
 def _resolved(spark: SparkSession, out: dict[str, DataFrame], root: str) -> dict[str, DataFrame]:
@@ -77,7 +83,7 @@ def _resolved(spark: SparkSession, out: dict[str, DataFrame], root: str) -> dict
     return {n: out[n] for n in NAMES}
 
 
-def sync(spark: SparkSession, root: str, folder: str, repo_id: str, rules: list[str] = ()) -> dict[str, int]:
+def sync(spark: SparkSession, root: str, folder: str, repo_id: str, rules: list[str] = (), archives: list[str] = ()) -> dict[str, int]:
     """Brings a stored repository in step with its tree: only new and changed files are read again, gone ones lose their facts.
 
     Ids follow from path and place, so facts of unchanged files stay as stored. Resolution runs anew over all facts, since a new
@@ -99,7 +105,7 @@ def sync(spark: SparkSession, root: str, folder: str, repo_id: str, rules: list[
     for name in EXTRACTED:
         old = stored[name].join(same.select(F.col("id").alias("file_id")), "file_id", "left_semi")
         out[name] = scratch.save(old.select(fresh[name].columns).unionByName(fresh[name]))
-    write({n: scratch.save(df) for n, df in _resolved(spark, _with_libraries(spark, out, root, repo_id), root).items()}, folder, repo_id)
+    write({n: scratch.save(df) for n, df in _resolved(spark, _with_libraries(spark, out, root, repo_id, archives), root).items()}, folder, repo_id)
     return counts
 
 
