@@ -77,6 +77,13 @@ def _camel(w: str) -> str:
     return f"array_to_string(list_transform(list_filter(string_split({w}, '_'), lambda x: x <> ''), lambda x: upper(x[1]) || substr(x, 2)), '')"
 
 
+_LANDING = prelude("files", "symbols", "edges", "bindings") + """, owned as (select *, 'repo' || file_id % 4 as repo_id from symbols), touched as (select id, count(*) as degree from (select from_symbol_id as id from edges union all select to_symbol_id from edges where to_symbol_id <> from_symbol_id) t group by id),
+    ranked as (select o.repo_id, o.id, o.name, coalesce(degree, 0) as degree, case when o.kind in ('class', 'interface', 'module', 'record') then case when degree > 0 then 0 else 2 end when degree > 0 then 1 end as tier from owned o left join touched t using (id)
+        where fqn is not null and kind in ('class', 'interface', 'module', 'record', 'method', 'class_method', 'function')),
+    hubs as (select repo_id, id from ranked r where tier = (select min(tier) from ranked x where x.repo_id = r.repo_id) qualify row_number() over (partition by repo_id order by degree desc, name, id) <= 10),
+    bound as (select distinct o.repo_id, o.id from bindings b join owned o on o.id = b.symbol_id), shown as (select * from bound qualify row_number() over (partition by repo_id order by id) <= 60), seeds as (select repo_id, id from hubs union select repo_id, id from shown),
+    pairs as (select distinct co.repo_id as from_repo, c.symbol_id as from_symbol_id, po.repo_id as to_repo, p.symbol_id as to_symbol_id from bindings c join owned co on co.id = c.symbol_id join bindings p on c.plugin = p.plugin and c.key = p.key join owned po on po.id = p.symbol_id where c.role = 'consumer' and p.role = 'provider' and co.repo_id <> po.repo_id),
+    ours as (select * from pairs where from_symbol_id in (select id from seeds) or to_symbol_id in (select id from seeds))"""
 ORACLE_SQL: dict[str, str] = {
     "j1_located_symbols": prelude("files", "symbols") + " select s.id, s.name, s.fqn, s.kind, s.start_line, f.path as file_path, f.lang, s.modifiers_text as modifiers from symbols s join files f on f.id = s.file_id",
     "j2_callers": prelude("files", "symbols", "edges") + f", {GROUPED} select g.to_symbol_id as of_id, g.from_symbol_id as id, g.edge_kind, g.confidence, g.via, g.lines, s.fqn, f.path as file_path from grouped g join symbols s on s.id = g.from_symbol_id join files f on f.id = s.file_id",
@@ -145,6 +152,19 @@ ORACLE_SQL: dict[str, str] = {
     "o3_top_hotspots": prelude("files", "symbols", "edges") + f", {HOT} select * from hot where callers > 0 order by callers desc, caller_files desc, name, id limit 20",
     "o4_hubs": prelude("files", "symbols", "edges") + " select s.id, s.name, s.fqn, s.kind, f.path as file_path, (select count(*) from edges e where e.to_symbol_id = s.id or e.from_symbol_id = s.id) as degree from symbols s join files f on f.id = s.file_id where s.kind in ('class', 'interface', 'module', 'record') and s.fqn is not null order by degree desc, s.name, s.id limit 12",
     "o7_ties": prelude("files", "symbols") + f", top as (select id, score, fqn from ({_search('red_widget', 'red_widget')}) where score is not null order by score desc, coalesce(fqn, name), id limit 10) select * from top where score = (select max(score) from top)",
+    "o9_merged_search": prelude("files", "symbols") + f", hits as (select 'repo' || s.file_id % 4 as repo_id, h.id, h.score, coalesce(h.fqn, s.name) as fqn from ({_search('red', 'red')}) h join symbols s on s.id = h.id where score is not null) select * from (select * from hits qualify row_number() over (partition by repo_id order by score desc, fqn, id) <= 25) order by score desc, fqn, repo_id, id limit 25",
+    "g15_landing_nodes": _LANDING + " select node, any_value(repo_id) as repo_id, ['repo', 'hub', 'endpoint', 'linked'][min(rank) + 1] as kind from (select 'repo:' || repo_id as node, repo_id, 0 as rank from owned group by all union all select repo_id || ':' || id, repo_id, 1 from hubs union all select repo_id || ':' || id, repo_id, 2 from shown union all select from_repo || ':' || from_symbol_id, from_repo, 3 from ours union all select to_repo || ':' || to_symbol_id, to_repo, 3 from ours) n group by node",
+    "g15_landing_links": _LANDING + """ select kind, count(*) as n, count(distinct a) as sources, count(distinct b) as targets from (select 'contains' as kind, repo_id as a, repo_id || ':' || id as b from seeds
+        union all select distinct e.kind, x.repo_id || ':' || e.from_symbol_id, x.repo_id || ':' || e.to_symbol_id from edges e join hubs x on x.id = e.from_symbol_id join hubs y on y.id = e.to_symbol_id and y.repo_id = x.repo_id where e.from_symbol_id <> e.to_symbol_id
+        union all select 'binds', from_repo || ':' || from_symbol_id, to_repo || ':' || to_symbol_id from ours) l group by kind""",
+    "g15_landing_left_out": _LANDING + " select repo_id, count(*) as endpoints, greatest(count(*) - 60, 0) as left_out from bound group by repo_id",
+    "g19_symbol_details": prelude("files", "symbols", "edges").replace("with ", "with recursive ", 1) + f""", {REACH}, grouped as (select to_symbol_id as id, from_symbol_id as other, kind, arg_min(via, (-confidence, via)) as via, 'in' as way from edges group by to_symbol_id, from_symbol_id, kind union all select from_symbol_id, to_symbol_id, kind, arg_min(via, (-confidence, via)), 'out' from edges group by from_symbol_id, to_symbol_id, kind),
+        blast as (select n.seed as id, count(*) as symbols, count(distinct f.path) as files from nearest n join symbols s on s.id = n.id join files f on f.id = s.file_id group by n.seed)
+        select s.id, case when s.kind in ('class', 'interface', 'enum', 'record', 'module') then (select count(*) from symbols m where m.container_fqn = s.fqn and m.kind in ('method', 'constructor', 'class_method', 'field')) else 0 end as members,
+            (select count(*) from grouped g where g.id = s.id and way = 'in' and g.kind in ('calls', 'instantiates')) as callers, (select count(*) from grouped g where g.id = s.id and way = 'out' and g.kind in ('calls', 'instantiates')) as callees,
+            (select count(*) from grouped g where g.id = s.id and way = 'in' and starts_with(via, 'binding:')) as wired_in, (select count(*) from grouped g where g.id = s.id and way = 'out' and starts_with(via, 'binding:')) as wired_out,
+            (select count(*) from grouped g where g.id = s.id and g.kind in ('extends', 'implements', 'includes')) as related, coalesce(b.symbols, 0) as blast_symbols, coalesce(b.files, 0) as blast_files
+        from symbols s left join blast b on b.id = s.id where s.id % 100 = 0""",
     "o10_clamped": "select event_id, case when event_id % 5 = 0 then 20 else least(greatest(event_id - 300, 1), 200) end::bigint as limited from events",
     "s13_search_tiers": prelude("files", "symbols") + f", found as (select 'T1#red_widget' as query, id, score from ({_search('T1#red_widget', 'T1', 'red_widget')}) union all select 'Blue_Bolt', id, score from ({_search('Blue_Bolt', 'Blue_Bolt')}) union all select 'red widget', id, score from ({_search('red widget', 'red widget')})) select * from found where score is not null",
     "u3_unread_imports": prelude("imports", "symbols") + " select fqn from imports except select fqn from symbols where fqn is not null",

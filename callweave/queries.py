@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callweave.functions import names, predicates, routes
-from callweave.operators import cycles, graph, insight, relations, routing, search, stats
+from callweave.operators import cycles, graph, insight, relations, routing, search, stats, views
 from callweave.plans.rendered import Diamonds, Rendered
 from callweave.plans.star import Facts
 
@@ -333,6 +333,43 @@ def o7_ties(f: Facts) -> DataFrame:
     return search.best_match(relations.located(f.symbols, f.files, own_only=True), "red_widget").select("id", "score", "fqn")
 
 
+def _of_repositories(f: Facts, rows: DataFrame, file: str = "file_id") -> DataFrame:
+    """Files as dealt over four repositories."""
+    return rows.withColumn("repo_id", F.concat(F.lit("repo"), (F.col(file) % 4).cast("string")))
+
+
+@query
+def o9_merged_search(f: Facts) -> DataFrame:
+    hits = search.scored(relations.located(f.symbols, f.files, own_only=True), "red").where("score is not null")
+    placed = _of_repositories(f, hits.select("id", "score", F.coalesce("fqn", "name").alias("fqn")).join(f.symbols.select("id", "file_id"), "id"))
+    return views.merged_search(placed.select("repo_id", "id", "score", "fqn"), 25)
+
+
+def _landing(f: Facts) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return views.landing(_of_repositories(f, f.symbols), f.edges, f.bindings)
+
+
+@query
+def g15_landing_nodes(f: Facts) -> DataFrame:
+    return _landing(f)[0]
+
+
+@query
+def g15_landing_links(f: Facts) -> DataFrame:
+    return _landing(f)[1].groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("from_node").alias("sources"), F.countDistinct("to_node").alias("targets"))
+
+
+@query
+def g15_landing_left_out(f: Facts) -> DataFrame:
+    return _landing(f)[2]
+
+
+@query
+def g19_symbol_details(f: Facts) -> DataFrame:
+    """Of every symbol whose id is divisible by 100."""
+    return views.details(f.symbols.where("id % 100 = 0").select("id"), f.symbols, f.files, f.edges)
+
+
 @query
 def o10_clamped(f: Facts) -> DataFrame:
     return f.star("events").select("event_id", names.clamp(F.when(F.col("event_id") % 5 == 0, F.col("event_type")).otherwise((F.col("event_id") - 300).cast("string")), 20, 1, 200).alias("limited"))
