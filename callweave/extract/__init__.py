@@ -46,8 +46,11 @@ def raw_facts(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, lang, text in zip(*b.columns, strict=True):
-                found = EXTRACTORS[lang.as_py()](text.as_py(), path.as_py())
-                rows = [(path.as_py(), "file", {"fqn": found.package})] + [(path.as_py(), name, row) for name in COLUMNS for row in getattr(found, name)]
+                try:
+                    found, kind = EXTRACTORS[lang.as_py()](text.as_py(), path.as_py()), None
+                except Exception as e:  # one file that an extractor can't read (nested too deep, say) doesn't end the job
+                    found, kind = Found(), f"unparsable: {type(e).__name__}"
+                rows = [(path.as_py(), "file", {"fqn": found.package, "kind": kind})] + [(path.as_py(), name, row) for name in COLUMNS for row in getattr(found, name)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), *[pa.array([r[2].get(c) for r in rows], _type(c)) for c in _ALL]], ["path", "record", *_ALL]
                 )
@@ -55,6 +58,11 @@ def raw_facts(files: DataFrame) -> DataFrame:
     return files.where(F.col("lang").isin(*EXTRACTORS)).select("path", "lang", "text").mapInArrow(run, "path string, record string, " + ", ".join(map(_ddl, _ALL)))
 
 
+def unparsable(raw: DataFrame) -> DataFrame:
+    """``path, reason`` of the files that their extractor couldn't read; they have no facts but the file's own."""
+    return raw.where("record = 'file' and kind is not null").select("path", F.col("kind").alias("reason"))
+
+
 def facts(files: DataFrame, raw: DataFrame, repo_id: str = "") -> dict[str, DataFrame]:
     """Fact tables with ids that repository, path, kind and place give, so that every run and every worker agrees on them.
 

@@ -135,12 +135,16 @@ PLUGINS = {
 }
 
 
-def collected(facts: Facts, plugins: dict[str, Plugin] = PLUGINS) -> DataFrame:
-    """All plugins' endpoints."""
-    out = None
+def collected(facts: Facts, plugins: dict[str, Plugin] = PLUGINS, failures: dict[str, str] | None = None) -> DataFrame:
+    """All plugins' endpoints. A plugin whose plan can't be built is left out, and its error is put into ``failures``; without one it is raised."""
+    out = facts["refs"].sparkSession.createDataFrame([], "plugin string, file_id long, symbol_id long, role string, key string, line int, detail string")
     for name, plugin in plugins.items():
-        rows = plugin.endpoints(facts).select(F.lit(name).alias("plugin"), *OUT)
-        out = rows if out is None else out.unionByName(rows)
+        try:
+            out = out.unionByName(plugin.endpoints(facts).select(F.lit(name).alias("plugin"), *OUT))
+        except Exception as e:
+            if failures is None:
+                raise
+            failures[name] = f"{type(e).__name__}: {e}"
     return out
 
 

@@ -77,6 +77,7 @@ def _camel(w: str) -> str:
     return f"array_to_string(list_transform(list_filter(string_split({w}, '_'), lambda x: x <> ''), lambda x: upper(x[1]) || substr(x, 2)), '')"
 
 
+_MAPPERS = prelude("symbols") + """, named as (select container_fqn, name, row_number() over (partition by container_fqn order by name || '">') as i from (select distinct container_fqn, name from symbols where kind = 'method' and container_fqn is not null and length(name) % 3 <> 2) m)"""
 _LANDING = prelude("files", "symbols", "edges", "bindings") + """, owned as (select *, 'repo' || file_id % 4 as repo_id from symbols), touched as (select id, count(*) as degree from (select from_symbol_id as id from edges union all select to_symbol_id from edges where to_symbol_id <> from_symbol_id) t group by id),
     ranked as (select o.repo_id, o.id, o.name, coalesce(degree, 0) as degree, case when o.kind in ('class', 'interface', 'module', 'record') then case when degree > 0 then 0 else 2 end when degree > 0 then 1 end as tier from owned o left join touched t using (id)
         where fqn is not null and kind in ('class', 'interface', 'module', 'record', 'method', 'class_method', 'function')),
@@ -152,6 +153,9 @@ ORACLE_SQL: dict[str, str] = {
     "o3_top_hotspots": prelude("files", "symbols", "edges") + f", {HOT} select * from hot where callers > 0 order by callers desc, caller_files desc, name, id limit 20",
     "o4_hubs": prelude("files", "symbols", "edges") + " select s.id, s.name, s.fqn, s.kind, f.path as file_path, (select count(*) from edges e where e.to_symbol_id = s.id or e.from_symbol_id = s.id) as degree from symbols s join files f on f.id = s.file_id where s.kind in ('class', 'interface', 'module', 'record') and s.fqn is not null order by degree desc, s.name, s.id limit 12",
     "o7_ties": prelude("files", "symbols") + f", top as (select id, score, fqn from ({_search('red_widget', 'red_widget')}) where score is not null order by score desc, coalesce(fqn, name), id limit 10) select * from top where score = (select max(score) from top)",
+    "b1_mapper_statements": _MAPPERS + """ select 'sql:' || container_fqn || '#' || name as fqn, '<select id="' || name || '">' as signature, (1 + 3 * i)::int as start_line, (3 + 3 * i)::int as end_line, container_fqn from named
+        union all select 'sql:' || container_fqn || '#stray', '<update id="stray">', (4 + 3 * max(i))::int, (4 + 3 * max(i))::int, container_fqn from named group by container_fqn""",
+    "b1_mapper_edges": _MAPPERS + " select s.id as from_symbol_id, 'sql:' || n.container_fqn || '#' || n.name as to_fqn, 'implemented-by' as kind, 0.95 as confidence, 'binding:mybatis' as via, s.start_line as line from symbols s join named n on n.container_fqn = s.container_fqn and n.name = s.name where s.kind = 'method'",
     "o9_merged_search": prelude("files", "symbols") + f", hits as (select 'repo' || s.file_id % 4 as repo_id, h.id, h.score, coalesce(h.fqn, s.name) as fqn from ({_search('red', 'red')}) h join symbols s on s.id = h.id where score is not null) select * from (select * from hits qualify row_number() over (partition by repo_id order by score desc, fqn, id) <= 25) order by score desc, fqn, repo_id, id limit 25",
     "g15_landing_nodes": _LANDING + " select node, any_value(repo_id) as repo_id, ['repo', 'hub', 'endpoint', 'linked'][min(rank) + 1] as kind from (select 'repo:' || repo_id as node, repo_id, 0 as rank from owned group by all union all select repo_id || ':' || id, repo_id, 1 from hubs union all select repo_id || ':' || id, repo_id, 2 from shown union all select from_repo || ':' || from_symbol_id, from_repo, 3 from ours union all select to_repo || ':' || to_symbol_id, to_repo, 3 from ours) n group by node",
     "g15_landing_links": _LANDING + """ select kind, count(*) as n, count(distinct a) as sources, count(distinct b) as targets from (select 'contains' as kind, repo_id as a, repo_id || ':' || id as b from seeds

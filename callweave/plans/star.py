@@ -67,6 +67,11 @@ VIEWS = {
         from {customer}""",
 }
 
+#: A mapper file for each container: a comment, then three lines for each of its methods' names whose length isn't 2 modulo 3, in order, and an update without end.
+MAPPERS = """
+    select container_fqn, min(id) as id, concat('<mapper namespace="', container_fqn, '">\n<!-- <select id="retired">\n -->\n', array_join(array_sort(collect_set(concat('<select id="', name, '">\n  select 1\n</select>\n'))), ''), '<update id="stray">\n</mapper>\n') as text
+    from symbols where kind = 'method' and container_fqn is not null and length(name) % 3 <> 2 group by container_fqn"""
+
 #: First writer wins among edges of one key; null lines are one value.
 VIEWS["edges"] = f"""
         select from_symbol_id, to_symbol_id, kind, confidence, via, line from (
@@ -102,6 +107,10 @@ class Facts:
     bindings = cached_property(lambda self: self._view("bindings"))
     imports = cached_property(lambda self: self._view("imports"))
 
+    @cached_property
+    def mappers(self) -> DataFrame:
+        return self.spark.sql(MAPPERS.replace("symbols", "{symbols}"), symbols=self.symbols)
+
     @cached_property
     def symbols(self) -> DataFrame:
         lists = {x: F.filter(F.split(f"{x}_text", "\\|"), lambda y: y != "") for x in ("modifiers", "annotations", "supertypes")}

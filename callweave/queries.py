@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callweave.functions import names, predicates, routes
-from callweave.operators import cycles, graph, insight, relations, routing, search, stats, views
+from callweave.operators import cycles, graph, insight, mappers, relations, routing, search, stats, views
 from callweave.plans.rendered import Diamonds, Rendered
 from callweave.plans.star import Facts
 
@@ -195,6 +195,18 @@ def f13_edge_groups(f: Facts) -> DataFrame:
     return f.edges.groupBy(group.alias("relation")).agg(F.count("*").alias("n"))
 
 
+@query
+def b1_mapper_statements(f: Facts) -> DataFrame:
+    return mappers.statement_symbols(mappers.statements(f.mappers)).select("fqn", "signature", "start_line", "end_line", "container_fqn")
+
+
+@query
+def b1_mapper_edges(f: Facts) -> DataFrame:
+    found = mappers.statements(f.mappers)
+    names = mappers.statement_symbols(found).select(F.col("id").alias("to_symbol_id"), F.col("fqn").alias("to_fqn"))
+    return mappers.mapped(found, f.symbols)[1].join(names, "to_symbol_id").select("from_symbol_id", "to_fqn", "kind", "confidence", "via", "line")
+
+
 # Aggregates
 
 

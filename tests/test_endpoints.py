@@ -73,3 +73,15 @@ def test_migrations(spark):
     scripts = spark.createDataFrame([("db/V1__init.sql", "create table line_items (id int); create table other (x int)"), ("db/readme.sql", "create table orders (id int)")], "path string, text string")
     symbols = spark.createDataFrame([(1, "LineItem", "class"), (2, "Order", "class"), (3, "other", "method")], "id long, name string, kind string")
     assert [tuple(r) for r in endpoints.migrations(scripts, symbols).collect()] == [("db/V1__init.sql", "line_items", 1)]
+
+
+def test_a_failing_plugin_is_left_out(facts):
+    def broken(_):
+        raise ValueError("no such table")
+
+    plugins = endpoints.PLUGINS | {"broken": endpoints.Plugin(broken, "binds", 0.9), "unknown": endpoints.Plugin(lambda f: f["refs"].select("nothing"), "binds", 0.9)}
+    failures = {}
+    assert endpoints.collected(facts, plugins, failures).count() == endpoints.collected(facts).count()
+    assert failures["broken"] == "ValueError: no such table" and failures["unknown"].startswith("AnalysisException")
+    with pytest.raises(ValueError):
+        endpoints.collected(facts, plugins)

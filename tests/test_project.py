@@ -116,3 +116,14 @@ def test_extractor_on_odd_sources():
 def test_mermaid():
     text = project.mermaid([(1, 'A "x"', "class"), (2, "f", "method")], [(1, 2, "declares")], True)
     assert text.splitlines()[1:] == ['  n1(["A #quot;x#quot;"])', '  n2["f"]', "  n1 -->|declares| n2", "  %% more nodes were left out"]
+
+
+def test_a_file_nested_too_deep_ends_nothing(spark):
+    from callweave.extract import facts, raw_facts, unparsable
+
+    deep = "class A { void a() { " + "f(" * 5_000 + ")" * 5_000 + "; } }"
+    files = spark.createDataFrame([("a/A.java", "java", deep, "x", 1), ("a/B.java", "java", "class B { void b() { b(); } }", "y", 1)], "path string, lang string, text string, hash string, lines int")
+    raw = raw_facts(files).cache()
+    assert [r["path"] for r in unparsable(raw).collect()] == ["a/A.java"]
+    made = facts(files, raw, "r")
+    assert made["files"].count() == 2 and {r["name"] for r in made["symbols"].collect()} == {"B", "b"}
