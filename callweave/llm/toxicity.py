@@ -129,7 +129,7 @@ class Restorer:
     RUN = re.compile(r"([^\W\d_])\1\1")
     TOKEN = re.compile(r"\S+")
     #: So many marks in a row part words, as white space does: dot leaders, rules, cheers.
-    RULE = re.compile(r"(?:[^\w\s]|_){8,}")
+    RULE = re.compile(r"[^\w\s]{8,}")
 
     def __init__(self, model: np.ndarray) -> None:
         self.model = model.tolist()
@@ -241,7 +241,7 @@ class Restorer:
 
     def words(self, text: str) -> set[str]:
         """The text's distinct words as written, what ``spaced`` reads in characters that stand apart and in words of more than ``LONG`` characters, and each run of four or more single characters joined into one."""
-        text = self.RULE.sub(" ", text)
+        text = " ".join(part for part, _ in self.ruled(text))
         tokens = text.split()
         out = set(tokens)
         odd = [w for w in out if len(w) > 4 and (len(w) > LONG or w[1] in SEPARATORS and w[3] in SEPARATORS)]
@@ -273,8 +273,15 @@ class Restorer:
 
     def text(self, text: str) -> str:
         """The whole text with each suspicious word replaced by its reading."""
-        rules = [*self.RULE.findall(text), ""]
-        return "".join(self.TOKEN.sub(lambda m: self.restore(p) if self.suspicious(p := self.plain(m[0])) else m[0], part) + rule for part, rule in zip(self.RULE.split(text), rules, strict=True))
+        return "".join(self.TOKEN.sub(lambda m: self.restore(p) if self.suspicious(p := self.plain(m[0])) else m[0], part) + rule for part, rule in self.ruled(text))
+
+    def ruled(self, text: str) -> list[tuple[str, str]]:
+        """The text's parts between rules of marks, each with the rule after it; an underscore is a mark here."""
+        out, done = [], 0
+        for m in self.RULE.finditer(text.replace("_", ".") if "_" in text else text):
+            out.append((text[done : m.start()], m[0] if "_" not in text else text[m.start() : m.end()]))
+            done = m.end()
+        return [*out, (text[done:], "")]
 
 
 def features(word: str) -> tuple[str, ...]:
