@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from callweave.extract.java import extract_java
 from callweave.extract.rows import Found
 from callweave.extract.ruby import extract_ruby
+from callweave.extract.schema import extract_graphql, extract_mapper, extract_proto
 from callweave.extract.script import extract_script
 
 EXTRACTORS: dict[str, Callable[[str, str], Found]] = {"java": extract_java, "ruby": extract_ruby, "typescript": extract_script, "tsx": extract_script, "javascript": extract_script}
+EXTRACTORS |= {"graphql": extract_graphql, "proto": extract_proto, "xml": extract_mapper}
 
 _LISTS = ("params", "modifiers", "annotations", "supertypes", "arg_types", "str_args")
 COLUMNS = {

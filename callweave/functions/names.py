@@ -94,6 +94,19 @@ def language(path: Column | str) -> Column:
     return out
 
 
+#: Files that declare what sources implement.
+DECLARING = {"graphql": (".graphql", ".graphqls", ".gql"), "proto": (".proto",), "xml": (".xml",)}
+
+
+def declaring(path: Column | str) -> Column:
+    """The kind of schema file that a path names; null is none."""
+    ext = F.lower(F.regexp_extract(_str(path), r"(\.[^./]+)$", 1))
+    out = F.lit(None).cast("string")
+    for kind, known in DECLARING.items():
+        out = F.when(ext.isin(*known), kind).otherwise(out)
+    return out
+
+
 def like_escaped(c: Column | str) -> Column:
     """Text with LIKE's wildcards made literal."""
     return F.regexp_replace(_str(c), r"([\\%_])", r"\\$1")

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callweave.functions.names import class_names
-from callweave.functions.routes import attribute_identifiers, attribute_strings, endpoint_uri, event_type, join_paths, queue_name, route_key, tables_touched, topic_name
-from callweave.operators.relations import endpoint_pairs
+from callweave.functions.routes import attribute_identifiers, attribute_strings, endpoint_uri, event_type, join_paths, queue_name, route_key, rpc_coordinate, schema_coordinate, service_of_base, tables_touched, topic_name
+from callweave.operators.relations import endpoint_pairs, types_view
 
 Facts = dict[str, DataFrame]
 
@@ -29,6 +29,8 @@ TOPIC_LISTENERS = ["@KafkaListener", "@StreamListener", "@KafkaHandler"]
 EVENT_LISTENERS = ["EventListener", "TransactionalEventListener"]
 ROUTE_SENDERS = ["to", "toD", "toF", "wireTap", "enrich", "pollEnrich", "recipientList", "inOut", "inOnly"]
 ROUTABLE = "^(direct|seda|vm|direct-vm|activemq|jms|rabbitmq|kafka|sqs|aws2-sqs|stream):"
+GRAPHQL_ROOTS = {"QueryMapping": "Query", "MutationMapping": "Mutation", "SubscriptionMapping": "Subscription"}
+DECORATOR_ROOTS = ["Query", "Mutation", "Subscription"]
 
 OUT = ["file_id", "symbol_id", "role", "key", "line", "detail"]
 
@@ -112,6 +114,64 @@ def camel(facts: Facts) -> DataFrame:
     return _emit(rows.where("name = 'from'"), "provider", F.col("uri"), F.col("uri")).unionByName(_emit(rows.where("name <> 'from'"), "consumer", F.col("uri"), F.concat("route", F.lit(" -> "), "uri")))
 
 
+def _declared(symbols: DataFrame, kind: str, role: str) -> DataFrame:
+    """Symbols of schema files; their full names are the keys behind a prefix."""
+    return symbols.where(F.col("kind") == kind).select("file_id", F.col("id").alias("symbol_id"), F.lit(role).alias("role"), F.regexp_replace("fqn", "^[a-z]+:", "").alias("key"), F.col("start_line").alias("line"), F.col("signature").alias("detail"))
+
+
+def _answering(methods: DataFrame, key: Column, detail: Column) -> DataFrame:
+    return methods.select("file_id", F.col("id").alias("symbol_id"), F.lit("provider").alias("role"), key.alias("key"), F.col("start_line").alias("line"), detail.alias("detail")).where("key is not null")
+
+
+def graphql(facts: Facts) -> DataFrame:
+    """Schema fields, and the methods that answer them: by mapping annotations, or decorators that may name the field in their options.
+
+    A decorator of one field without its type names no coordinate and is left out.
+    """
+    refs, symbols = facts["refs"], facts["symbols"]
+    bare = lambda a: F.regexp_extract(a, r"^@?([\w.$]+)", 1)
+    said = symbols.where("kind = 'method'").select("id", "file_id", "name", "start_line", F.explode("annotations").alias("text")).withColumn("mark", bare("text"))
+    wanted = said.where(F.col("mark").isin(*GRAPHQL_ROOTS, *DECORATOR_ROOTS, "SchemaMapping"))
+    given = refs.where("kind = 'annotation'").withColumn("mark", bare("name")).where(F.col("mark").isin(*GRAPHQL_ROOTS, "SchemaMapping"))
+    given = given.groupBy(F.col("from_symbol_id").alias("id"), "mark").agg(F.max_by(F.struct("arg_types", "str_args"), "id").alias("args")).select("id", "mark", "args.*")
+    rows = wanted.join(given, ["id", "mark"], "left")
+    named = lambda names, at: F.when(_raw().isNotNull(), F.try_element_at(attribute_strings(_raw(), names), F.lit(1))).otherwise(F.try_element_at("str_args", F.lit(at)))
+    option = F.nullif(F.regexp_extract("text", r"\bname\s*:\s*['\"`]([^'\"`]+)['\"`]", 1), F.lit(""))
+    key = F.when(F.col("mark") == "SchemaMapping", schema_coordinate(named(["typeName"], 1), named(["field", "value"], 2)))
+    for mark, root in GRAPHQL_ROOTS.items():
+        key = F.when(F.col("mark") == mark, schema_coordinate(F.lit(root), F.coalesce(named(["value", "name", "field"], 1), F.col("name")))).otherwise(key)
+    key = F.when(F.col("mark").isin(*DECORATOR_ROOTS), schema_coordinate(F.col("mark"), F.coalesce(option, F.col("name")))).otherwise(key)
+    return _declared(symbols, "graphql-field", "consumer").unionByName(_answering(rows, key, F.concat(F.lit("@"), "mark", F.lit(" -> "), key)))
+
+
+def grpc(facts: Facts) -> DataFrame:
+    """Methods of services, and those of types that extend a service's generated base; these spell the first letter small.
+
+    A server's method takes the declared spelling, or its own where no service is declared, so servers alone have endpoints too.
+    """
+    symbols = facts["symbols"]
+    declared = _declared(symbols, "rpc-method", "consumer")
+    generated = facts["imports"].where(F.col("fqn").endswith("ImplBase")).groupBy("file_id").agg(F.collect_set("fqn").alias("imported"))  # of one file
+    types = types_view(symbols).where("size(supertypes) > 0").join(symbols.select(F.col("id").alias("symbol_id"), "file_id"), "symbol_id").join(generated, "file_id", "left")
+    imported = F.coalesce("imported", F.array().cast("array<string>"))
+    service = F.try_element_at(F.filter(F.transform("supertypes", lambda s: service_of_base(s, imported)), lambda s: s.isNotNull()), F.lit(1))
+    served = types.select(F.col("fqn").alias("container_fqn"), service.alias("service")).where("service is not null")
+    methods = symbols.where("kind = 'method'").join(served, "container_fqn")
+    lowered = F.concat(F.lower(F.substring("name", 1, 1)), F.substring("name", 2, 1 << 30))
+    spelled = symbols.where("kind = 'rpc-method'").groupBy(F.col("container_fqn").alias("service"), lowered.alias("name")).agg(F.min("name").alias("spelled"))
+    rows = methods.join(spelled, ["service", "name"], "left")
+    return declared.unionByName(_answering(rows, rpc_coordinate(F.col("service"), F.coalesce("spelled", "name")), F.concat("service", F.lit("ImplBase#"), "name")))
+
+
+def mybatis(facts: Facts) -> DataFrame:
+    """Statements of mapper files, and the methods of the types that these name."""
+    symbols = facts["symbols"]
+    made = _declared(symbols, "sql-statement", "provider")
+    mapped = symbols.where("kind = 'sql-statement'").select("container_fqn").distinct()
+    methods = symbols.where("kind = 'method'").join(mapped, "container_fqn", "left_semi")
+    return made.unionByName(_answering(methods, F.concat("container_fqn", F.lit("#"), "name"), F.col("signature")).withColumn("role", F.lit("consumer")))
+
+
 def migrations(scripts: DataFrame, symbols: DataFrame) -> DataFrame:
     """``path, table, symbol_id``: tables that migration scripts (``path, text``) touch and the types whose names they give."""
     touched = scripts.where(F.col("path").rlike(r"(^|/)[VR][^/]*__[^/]*\.sql$|(^|/)U[^/]*__[^/]*\.sql$")).select("path", F.explode(tables_touched(F.col("text"))).alias("table"))
@@ -132,6 +192,9 @@ PLUGINS = {
     "kafka": Plugin(kafka, "sends-to", 0.85),
     "spring-event": Plugin(spring_event, "publishes-to", 0.8),
     "camel": Plugin(camel, "routes-to", 0.9),
+    "graphql": Plugin(graphql, "implemented-by", 0.9),
+    "grpc": Plugin(grpc, "implemented-by", 0.9),
+    "mybatis": Plugin(mybatis, "implemented-by", 0.95),
 }
 
 

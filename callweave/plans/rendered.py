@@ -5,9 +5,11 @@ Parts of one block of four form an inheritance chain up to the block's last, whi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from callweave.extract import facts, raw_facts
+from callweave.operators import endpoints
 from callweave.operators.resolve import Java
 from callweave.plans.scratch import Scratch
 from callweave.plans.star import Facts
@@ -59,3 +61,46 @@ class Diamonds(Rendered):
     """Interfaces that reach an ancestor over several paths."""
 
     TEXT = DIAMONDS
+
+
+def _word(container: str) -> Column:
+    return F.regexp_replace(container, r"\W", "")
+
+
+class Schemas:
+    """A GraphQL and a service file for each container, and the tables' symbols as what answers them.
+
+    A schema declares its container's methods whose names' length isn't 2 modulo 3, in order. A GraphQL file has a description, a type with a
+    comment, then an extended root type whose fields take two lines each; a service file a service in a comment, then rpcs of three
+    lines each, with options in braces. Methods answer by annotation or decorator; types extend generated bases in both spellings.
+    """
+
+    def __init__(self, f: Facts) -> None:
+        scratch = Scratch(f.spark)
+        own = f.symbols.where("kind = 'method' and container_fqn is not null and length(name) % 3 <> 2").groupBy(_word("container_fqn").alias("word")).agg(F.array_sort(F.collect_set("name")).alias("names"))  # the tables hold few names
+        each = lambda make: F.array_join(F.transform("names", make), "")
+        field = lambda x: F.concat(F.lit("  "), x, F.lit("(first: Int = 5,\n    after: String): ["), F.col("word"), F.lit('!]! @auth(role: "x: y")\n'))
+        rpc = lambda x: F.concat(F.lit("  rpc "), F.upper(F.substring(x, 1, 1)), F.substring(x, 2, F.lit(1 << 30)), F.lit(' (Q) returns (R) {\n    option (google.api.http) = { get: "/v1" };\n  }\n'))
+        graphql = F.concat(F.lit('"""\nText: no field\n"""\ntype '), "word", F.lit(" implements Node { # none: here\n  id: ID!\n}\nextend type Query {\n"), each(field), F.lit("}\n"))
+        proto = F.concat(F.lit("// service Old { rpc Gone (A) returns (B); }\nservice "), "word", F.lit(" {\n"), each(rpc), F.lit("}\n"))
+        texts = [own.select(F.concat("word", F.lit(end)).alias("path"), F.lit(lang).alias("lang"), text.alias("text")) for end, lang, text in ((".graphqls", "graphql", graphql), (".proto", "proto", proto))]
+        files = scratch.save(texts[0].unionByName(texts[1]).selectExpr("*", "sha1(text) as hash", "size(split(text, '\\n', -1)) as lines"))
+        self.schema = facts(files, scratch.save(raw_facts(files)))["symbols"]
+        option = F.concat(F.lit("@Query(() => [X], { name: '"), "name", F.when(F.expr("id % 2 = 0 or id % 7 = 0"), "_all").otherwise(""), F.lit("' })"))
+        none = F.array().cast("array<string>")
+        notes = F.when(F.col("kind") != "method", none).when(F.expr("id % 3 = 0"), F.array(F.lit("@QueryMapping"))).when(F.expr("id % 3 = 1"), F.array(F.lit("@Deprecated"), F.lit("@SchemaMapping"))).otherwise(F.array(option))
+        base = F.concat(_word("fqn"), F.lit("ImplBase"))
+        supers = F.when(F.expr("id % 8 = 0"), F.array(F.concat(_word("fqn"), F.lit("Grpc."), base))).when(F.expr("id % 8 = 4"), F.array(F.lit("Object"), base)).otherwise(none)
+        answering = f.symbols.withColumns({"annotations": notes, "supertypes": supers})
+        shared = ["id", "file_id", "name", "fqn", "kind", "container_fqn", "signature", "start_line", "annotations", "supertypes"]
+        mapped = answering.where("kind = 'method' and id % 3 = 1")
+        raw = F.concat(F.lit('field = "id", typeName = "'), _word("container_fqn"), F.lit('"'))
+        refs = mapped.select("id", F.col("id").alias("from_symbol_id"), F.lit("@SchemaMapping").alias("name"), F.lit("annotation").alias("kind"), F.array(raw).alias("arg_types"), none.alias("str_args"))
+        imports = answering.where("id % 12 = 4").select("file_id", F.concat(F.lit("gen."), _word("fqn"), F.lit("Grpc."), base).alias("fqn"))
+        self.facts = {"symbols": self.schema.select(shared).unionByName(answering.select(shared)), "refs": refs, "imports": imports}
+
+    def edges(self, plugin: str) -> DataFrame:
+        """The plugin's edges, with the full names of their schema ends."""
+        bound = endpoints.collected(self.facts, {plugin: endpoints.PLUGINS[plugin]})
+        names = self.schema.select(F.col("id").alias("from_symbol_id"), F.col("fqn").alias("from_fqn"), "container_fqn")
+        return endpoints.wired(bound).join(names, "from_symbol_id").select("from_fqn", "container_fqn", "to_symbol_id", "kind", "confidence", "via", "line")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from callweave.functions import names, predicates, routes
 from callweave.operators import cycles, graph, insight, mappers, relations, routing, search, stats, views
-from callweave.plans.rendered import Diamonds, Rendered
+from callweave.plans.rendered import Diamonds, Rendered, Schemas
 from callweave.plans.star import Facts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -599,3 +599,25 @@ def r17_java_unresolved(f: Facts) -> DataFrame:
     refs = made.facts["refs"].select(F.col("id").alias("ref_id"), "from_symbol_id", "name", "line")
     inside = made.facts["symbols"].select(F.col("id").alias("from_symbol_id"), "fqn")
     return unresolved.join(refs, "ref_id").join(inside, "from_symbol_id").select("fqn", "name", "line", "reason", "external", "owner")
+
+
+@query
+def b8_schema_fields(f: Facts) -> DataFrame:
+    return Schemas(f).schema.where("kind = 'graphql-field'").select("fqn", "name", "container_fqn", "signature", "start_line", "end_line")
+
+
+@query
+def b8_schema_edges(f: Facts) -> DataFrame:
+    """Fields to the methods that annotations and decorators bind to them."""
+    return Schemas(f).edges("graphql").drop("container_fqn")
+
+
+@query
+def b9_rpc_methods(f: Facts) -> DataFrame:
+    return Schemas(f).schema.where("kind = 'rpc-method'").select("fqn", "name", "container_fqn", "signature", "start_line", "end_line")
+
+
+@query
+def b9_rpc_edges(f: Facts) -> DataFrame:
+    """Rpcs to the methods of the types that extend their service's generated base."""
+    return Schemas(f).edges("grpc").drop("container_fqn")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.functions.names import language
+from callweave.functions.names import declaring, language
 from callweave.sources.ignores import contents, listed, tracked, trees
 from callweave.sources.ignores import rules as ignore_rules
 
@@ -68,12 +68,13 @@ def _relative(path: Column, root: str) -> Column:
 
 
 def read_tree(spark: SparkSession, root: str, rules: list[str] = ()) -> DataFrame:
-    """``path, lang, text, hash, lines, admission`` of every source file under ``root``, as git would list them.
+    """``path, lang, text, hash, lines, admission`` of every source and schema file under ``root``, as git would list them; of XML only mappers.
 
     Ignore files of every folder and git's index decide (``sources.ignores``); ``rules`` are further ones of the root. Dot folders are passed over.
     """
     raw, ignore_files = trees(spark, root)
-    named = raw.select(_relative(F.col("path"), root).alias("path"), "length", "content").where(language("path").isNotNull() & ~ignored(F.col("path"), list(rules)))
+    kind = F.coalesce(language("path"), declaring("path"))
+    named = raw.select(_relative(F.col("path"), root).alias("path"), "length", "content").where(kind.isNotNull() & ~ignored(F.col("path"), list(rules)))
     index = tracked(spark, root)
     texts = contents(spark, ignore_files).withColumn("path", _relative(F.col("path"), root)) if ignore_files else spark.createDataFrame([], "path string, content binary")
     source = listed(named.select("path"), ignore_rules(spark, root, texts), index).where("source").select("path")
@@ -81,10 +82,10 @@ def read_tree(spark: SparkSession, root: str, rules: list[str] = ()) -> DataFram
     # no character takes more than four octets: a longer file is too large without being read
     files = wanted.where(F.col("length") <= 4 * MAX_CHARS).select("path", "content")
     text = F.make_valid_utf8(F.col("content").cast("string"))  # octets that are no UTF-8 become replacement characters
-    read = files.select("path", language("path").alias("lang"), text.alias("text"), F.sha1("content").alias("hash")).select("*", (F.regexp_count("text", F.lit("\n")) + 1).alias("lines"), admission(F.col("text")).alias("admission"))
-    left = wanted.where(F.col("length") > 4 * MAX_CHARS).select("path")
+    read = files.select("path", kind.alias("lang"), text.alias("text"), F.sha1("content").alias("hash")).select("*", (F.regexp_count("text", F.lit("\n")) + 1).alias("lines"), admission(F.col("text")).alias("admission")).where(r"lang <> 'xml' or text rlike '(?i)<\\s*mapper\\b'")
+    left = wanted.where((F.col("length") > 4 * MAX_CHARS) & (kind != "xml")).select("path")
     null = lambda kind: F.lit(None).cast(kind)
-    return read.unionByName(left.select("path", language("path").alias("lang"), null("string").alias("text"), null("string").alias("hash"), null("int").alias("lines"), F.lit("too-large").alias("admission")))
+    return read.unionByName(left.select("path", kind.alias("lang"), null("string").alias("text"), null("string").alias("hash"), null("int").alias("lines"), F.lit("too-large").alias("admission")))
 
 
 def bare_words(texts: DataFrame) -> DataFrame:
