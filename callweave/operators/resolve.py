@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callweave.functions.names import owner_package
+from callweave.functions.names import classify, owner_package
 from callweave.functions.predicates import accepts_arity
 from callweave.operators.relations import first_written, types_view
 from callweave.plans.scratch import Scratch
@@ -272,7 +272,16 @@ KERNEL = ["puts", "print", "p", "pp", "raise", "require", "require_relative", "l
 
 
 class Ruby:
-    """Ruby call resolution: constants and typed receivers first, then names declared once. Bare words that name nothing are dropped, not missed."""
+    """Ruby call resolution: constants and typed receivers first, then conventions, then names declared once. Bare words that name nothing are dropped, not missed.
+
+    What types a receiver gives an edge its reason and confidence (``CONFIDENCE``). A receiver that nothing types has the model it is
+    named after, if that is a record and has the member. A type without the member, all of whose ancestors are known, answers by its
+    ``method_missing``; with an ancestor from outside the call is that one's. Bare calls reach a method outside all classes last.
+    """
+
+    #: Confidence by what types the receiver, and the ancestors that make a record.
+    CONFIDENCE = {"direct": 1.0, "rails-association": 0.8, "self-chain": 0.7, "name-convention": 0.5}
+    RECORDS = "ApplicationRecord|ActiveRecord::Base|ActiveModel"
 
     def __init__(self, symbols: DataFrame, locals_: DataFrame, refs: DataFrame) -> None:
         self.scratch = Scratch(symbols.sparkSession)
@@ -282,7 +291,12 @@ class Ruby:
         said = self.types.select("fqn", F.posexplode("supertypes").alias("at", "name")).withColumn("key", F.xxhash64("fqn", "name"))
         self.parents = save(said.join(self.named(said.select("key", F.col("fqn").alias("container"), "name")), "key").where("type <> fqn").groupBy("fqn", F.col("type").alias("parent")).agg(F.min("at").alias("at")))
         self.chain = Java._chain(self)
-        self.members = save(symbols.where(F.col("kind").isin("method", "class_method")).select(F.col("container_fqn").alias("ancestor"), F.col("name"), F.col("id").alias("target"), F.col("kind").alias("member_kind"), F.col("type_name").alias("returns")))
+        self.members = save(symbols.where(F.col("kind").isin("method", "class_method")).select(F.col("container_fqn").alias("ancestor"), F.col("name"), F.col("id").alias("target"), F.col("kind").alias("member_kind"), F.col("type_name").alias("returns"), F.array_contains("modifiers", "generated").alias("generated")))
+        supers = self.types.select(F.col("fqn").alias("ancestor"), "supertypes")
+        named_so = F.exists("supertypes", lambda x: x.rlike(self.RECORDS)) | (F.col("ancestor") == "ApplicationRecord")
+        self.records = save(self.chain.join(supers, "ancestor").where(named_so).select(F.col("fqn").alias("type")).distinct())
+        unknown = said.join(self.named(said.select("key", F.col("fqn").alias("container"), "name")), "key", "left_anti").select(F.col("fqn").alias("ancestor"), "at", "name")
+        self.outside = save(self.chain.join(unknown, "ancestor").groupBy(F.col("fqn").alias("type")).agg(F.min(F.struct("path", "at", "name"))["name"].alias("outside")))
 
     def named(self, wanted: DataFrame) -> DataFrame:
         """``key, type``: a constant as its scopes see it, the innermost first, then a simple name declared once."""
@@ -309,27 +323,53 @@ class Ruby:
         made = calls.where("kind = 'new'").withColumn("key", F.col("id"))
         new_types = save(made.join(self.named(made.select("key", "container", "name")), "key").select("id", "from_symbol_id", "line", "type"))
         open_ = calls.where("kind <> 'new'").select("id", "from_symbol_id", "container", "own_kind", "name", "receiver", "receiver_ref_id")
-        own = open_.where("(receiver is null or receiver = 'self') and container is not null").select("id", "name", F.col("container").alias("type"), F.when(F.col("own_kind").isin("class_method", "class", "module"), "class_method").otherwise("method").alias("wanted"))
+        own = open_.where("(receiver is null or receiver = 'self') and receiver_ref_id is null and container is not null").select("id", "name", F.col("container").alias("type"), F.when(F.col("own_kind").isin("class_method", "class", "module"), "class_method").otherwise("method").alias("wanted"), F.lit("self-chain").alias("via"))
         const = open_.where(F.col("receiver").rlike("^[A-Z]")).withColumn("key", F.col("id"))
-        const = const.join(self.named(const.select("key", "container", F.col("receiver").alias("name"))), "key").select("id", "name", "type", F.lit("class_method").alias("wanted"))
-        typed = self.locals.where("type_name is not null").groupBy("scope_symbol_id", "name").agg(F.min("type_name").alias("declared"))
-        local = open_.join(typed.select(F.col("scope_symbol_id").alias("from_symbol_id"), F.col("name").alias("receiver"), "declared"), ["from_symbol_id", "receiver"]).withColumn("key", F.col("id"))
-        local = local.join(self.named(local.select("key", "container", F.col("declared").alias("name"))), "key").select("id", "name", "type", F.lit("method").alias("wanted"))
-        receivers = save(own.unionByName(const).unionByName(local).dropDuplicates(["id"]))
+        const = const.join(self.named(const.select("key", "container", F.col("receiver").alias("name"))), "key").select("id", "name", "type", F.lit("class_method").alias("wanted"), F.lit("direct").alias("via"))
+        receivers = save(own.unionByName(const).unionByName(self._by_local(open_)).groupBy("id", "name").agg(F.min(F.struct("type", "wanted", "via")).alias("m")).select("id", "name", "m.*"))
         targets = save(self.found(receivers))
+        readers = self.chain.join(self.members.where("returns is not null and member_kind = 'method'").withColumnRenamed("name", "receiver"), "ancestor").groupBy(F.col("fqn").alias("container"), "receiver").agg(F.min(F.struct("path", "target", "ancestor", "returns", "generated")).alias("m")).select("container", "receiver", "m.ancestor", "m.returns", "m.generated")
+        by_reader = open_.where("receiver_ref_id is null and receiver is not null").join(readers, ["container", "receiver"]).withColumn("key", F.col("id"))
+        by_reader = save(by_reader.join(self.named(by_reader.select("key", F.col("ancestor").alias("container"), F.col("returns").alias("name"))), "key").select("id", "name", "type", F.when(F.col("generated"), "rails-association").otherwise("direct").alias("via")))
+        by_name = self._by_convention(open_)
+        built = new_types.select(F.col("id").alias("receiver_ref_id"), "type", F.lit("direct").alias("via"))
         while True:
             returned = targets.where("returns is not null").select(F.col("id").alias("key"), F.col("declared_by").alias("container"), F.col("returns").alias("name"))
-            results = returned.join(self.named(returned), "key").select(F.col("key").alias("receiver_ref_id"), "type").unionByName(new_types.select(F.col("id").alias("receiver_ref_id"), "type"))
-            by_reader = open_.where("receiver_ref_id is null and receiver is not null").join(self.members.where("returns is not null").select(F.col("ancestor").alias("container"), F.col("name").alias("receiver"), "returns"), ["container", "receiver"]).withColumn("key", F.col("id"))
-            by_reader = by_reader.join(self.named(by_reader.select("key", "container", F.col("returns").alias("name"))), "key").select("id", "name", "type")
-            more = open_.join(results, "receiver_ref_id").select("id", "name", "type").unionByName(by_reader).withColumn("wanted", F.lit("method")).join(receivers.select("id"), "id", "left_anti").dropDuplicates(["id"])
-            more = save(more)
-            if more.isEmpty():
-                break
+            results = returned.join(self.named(returned), "key").select(F.col("key").alias("receiver_ref_id"), "type", F.lit("rails-association").alias("via")).unionByName(built)
+            fresh = lambda rows: save(rows.withColumn("wanted", F.lit("method")).join(receivers.select("id"), "id", "left_anti").dropDuplicates(["id"]))  # noqa: E731, B023
+            more = fresh(open_.join(results, "receiver_ref_id").select("id", "name", "type", "via").unionByName(by_reader))
+            if more.isEmpty():  # conventions come after all that is declared, and may type more calls in turn
+                more = fresh(by_name)
+                if more.isEmpty():
+                    break
             receivers = save(receivers.unionByName(more))
             targets = save(self.found(receivers))
         return self._outcome(calls, new_types, receivers, targets)
 
+    def _by_local(self, open_: DataFrame) -> DataFrame:
+        """Receivers that are locals of the scope, or instance variables that any method of the class types; a finder's result counts if its class is a record."""
+        scopes = self.symbols.select(F.col("id").alias("scope_symbol_id"), F.when(F.col("kind").isin("class", "module"), F.col("fqn")).otherwise(F.col("container_fqn")).alias("container"))
+        typed = self.locals.where("type_name is not null").select("scope_symbol_id", "name", F.struct("id", F.col("type_name").alias("declared"), F.coalesce("init_kind", F.lit("")).alias("kind")).alias("l"))
+        calls = open_.where("receiver is not null")
+        local = calls.join(typed.groupBy(F.col("scope_symbol_id").alias("from_symbol_id"), F.col("name").alias("receiver")).agg(F.min("l").alias("l")), ["from_symbol_id", "receiver"]).withColumn("far", F.lit(0))
+        held = typed.where("name like '@%'").join(scopes, "scope_symbol_id").groupBy("container", F.col("name").alias("receiver")).agg(F.min("l").alias("l"))
+        both = local.unionByName(calls.join(held, ["container", "receiver"]).withColumn("far", F.lit(1)))
+        rows = both.groupBy("id", "name", "container").agg(F.min_by("l", "far").alias("l")).select(F.col("id").alias("key"), "id", "name", "container", "l.declared", "l.kind")
+        met = rows.join(self.named(rows.select("key", "container", F.col("declared").alias("name"))), "key")
+        finder = F.col("kind") == "finder"
+        met = met.join(self.records.withColumn("record", F.lit(True)), "type", "left").where(~finder | F.coalesce("record", F.lit(False)))
+        return met.select("id", "name", "type", F.lit("method").alias("wanted"), F.when(finder, "rails-association").otherwise("direct").alias("via"))
+
+    def _by_convention(self, open_: DataFrame) -> DataFrame:
+        """Receivers named after a record of the project that has the called member."""
+        words = open_.where("own_kind is not null").select(F.col("id").alias("receiver_ref_id"), F.col("name").alias("word")).join(self.refs.where("kind = 'ident_call' and receiver is null").select(F.col("id").alias("receiver_ref_id")), "receiver_ref_id", "left_semi")
+        said = open_.join(words, "receiver_ref_id", "left").select(F.col("id").alias("key"), "id", "name", "container", F.coalesce("word", F.when(F.col("receiver_ref_id").isNull(), F.col("receiver"))).alias("word"))
+        said = said.where(F.col("word").rlike("^@?[a-z_][A-Za-z0-9_]*$") & (F.col("word") != "self"))
+        met = said.join(self.named(said.select("key", "container", classify(F.regexp_replace("word", "^@", "")).alias("name"))), "key").join(self.records, "type", "left_semi")
+        met = met.select("id", "name", "type", F.lit("method").alias("wanted"))
+        has = self.found(met).join(self.members.where("member_kind = 'method'").select("target"), "target", "left_semi").select("id")
+        return self.scratch.save(met.join(has, "id", "left_semi").withColumn("via", F.lit("name-convention")))
+
     def _outcome(self, calls: DataFrame, new_types: DataFrame, receivers: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
         at = calls.where("from_symbol_id is not null").select("id", "from_symbol_id", "line", "name", "kind", "receiver", "receiver_ref_id")
         columns = lambda rows, kind, confidence, via, seq: rows.select("from_symbol_id", "to_symbol_id", F.lit(kind).alias("kind"), F.lit(confidence).alias("confidence"), F.lit(via).alias("via"), "line", F.lit(seq).alias("seq"))
@@ -340,22 +380,35 @@ class Ruby:
         built = self.found(new_types.withColumn("name", F.lit("initialize")).withColumn("wanted", F.lit("method")).select("id", "name", "type", "wanted"))
         constructed = columns(at.join(built, "id").withColumnRenamed("target", "to_symbol_id"), "calls", 1.0, "constructor", 2)
         hit = at.join(targets, "id")
-        direct = columns(hit.withColumnRenamed("target", "to_symbol_id"), "calls", 1.0, "direct", 3)
+        sure = F.lit(None).cast("double")
+        for via, confidence in self.CONFIDENCE.items():
+            sure = F.when(F.col("via") == via, confidence).otherwise(sure)
+        direct = hit.join(receivers.select("id", "via"), "id").select("from_symbol_id", F.col("target").alias("to_symbol_id"), F.lit("calls").alias("kind"), sure.alias("confidence"), "via", "line", F.lit(3).alias("seq"))
+        open_at = at.join(targets.select("id"), "id", "left_anti").join(new_types.select("id"), "id", "left_anti")
+        outer = self.members.where("ancestor = 'Object' and member_kind = 'method'").groupBy("name").agg(F.min("target").alias("target"))
+        bare = self.scratch.save(open_at.where("receiver is null and kind <> 'new'").join(outer, "name"))
+        top = columns(bare.withColumnRenamed("target", "to_symbol_id"), "calls", self.CONFIDENCE["self-chain"], "self-chain", 5)
+        absent = open_at.where("kind = 'call'").join(bare.select("id"), "id", "left_anti").join(receivers.select("id", "type"), "id")
+        inherited = self.scratch.save(absent.join(self.outside, "type").select("id", "outside"))
+        caught = absent.join(self.outside, "type", "left_anti").withColumn("name", F.lit("method_missing")).withColumn("wanted", F.lit("method"))
+        caught = self.scratch.save(caught.join(self.found(caught.select("id", "name", "type", "wanted")).join(self.members.where("member_kind = 'method'").select("target"), "target", "left_semi"), "id"))
+        missing = columns(caught.withColumnRenamed("target", "to_symbol_id"), "calls", 0.4, "method-missing", 6)
         below = self.parents.join(self.types.where("kind = 'module'").select(F.col("fqn").alias("parent")), "parent").select(F.col("parent").alias("declared_by"), F.col("fqn").alias("ancestor"))
         fan = columns(hit.select("from_symbol_id", "line", "name", "declared_by").join(below, "declared_by").join(self.members.select("ancestor", "name", F.col("target").alias("to_symbol_id")), ["ancestor", "name"]), "calls", 0.7, "module->includer", 4)
         rest = at.where("kind = 'call' and receiver is not null and receiver <> 'self'").join(targets.select("id"), "id", "left_anti").join(receivers.select("id"), "id", "left_anti").where(~F.col("receiver").rlike("^[A-Z]"))
         pool = rest.join(self.members.where("member_kind = 'method'").select("name", "target"), "name").groupBy("id", "from_symbol_id", "line").agg(F.count("*").alias("n"), F.min("target").alias("to_symbol_id"))
-        unique = columns(pool.where("n = 1"), "calls", 0.4, "unique-name", 5)
-        every = inherits.unionByName(made).unionByName(constructed).unionByName(direct).unionByName(fan).unionByName(unique)
+        unique = columns(pool.where("n = 1"), "calls", 0.4, "unique-name", 7)
+        every = inherits.unionByName(made).unionByName(constructed).unionByName(direct).unionByName(fan).unionByName(top).unionByName(missing).unionByName(unique)
         edges = self.scratch.save(first_written(every, ["from_symbol_id", "to_symbol_id", "kind", "line"], "seq").drop("seq"))
-        linked = targets.select("id").unionByName(new_types.select("id")).unionByName(pool.where("n = 1").select("id")).distinct()
+        linked = targets.select("id").unionByName(new_types.select("id")).unionByName(pool.where("n = 1").select("id")).unionByName(bare.select("id")).unionByName(caught.select("id")).distinct()
         open_ = calls.where("kind <> 'ident_call'").join(linked, "id", "left_anti")  # a bare word without a declaration is a variable
         names = self.symbols.select("name").distinct().withColumn("declared", F.lit(True))
-        known = open_.join(names, "name", "left").join(receivers.select("id", "type"), "id", "left").join(pool.select("id", "n"), "id", "left")
+        known = open_.join(names, "name", "left").join(receivers.select("id", "type"), "id", "left").join(pool.select("id", "n"), "id", "left").join(inherited, "id", "left")
         constant = F.coalesce(F.regexp_extract("receiver", "^([A-Z]\\w*)", 1), F.when(F.col("kind") == "new", F.col("name")), F.lit(""))
         reason = (
             F.when(F.col("from_symbol_id").isNull(), "no-enclosing-symbol")
             .when((constant != "") & F.col("type").isNull(), F.concat(F.lit("external:"), constant))
+            .when(F.col("outside").isNotNull(), F.concat(F.lit("external:"), "outside"))
             .when(F.col("name").isin(*KERNEL), "external:Kernel")
             .when(F.col("declared").isNull(), "external:not-in-project")
             .when(F.col("receiver") == "(...)", "complex-receiver-chain")

@@ -158,14 +158,20 @@ ORACLE_SQL: dict[str, str] = {
     "o7_ties": prelude("files", "symbols") + f", top as (select id, score, fqn from ({_search('red_widget', 'red_widget')}) where score is not null order by score desc, coalesce(fqn, name), id limit 10) select * from top where score = (select max(score) from top)",
     "b1_mapper_statements": _MAPPERS + """ select 'sql:' || container_fqn || '#' || name as fqn, '<select id="' || name || '">' as signature, (1 + 3 * i)::int as start_line, (3 + 3 * i)::int as end_line, container_fqn from named
         union all select 'sql:' || container_fqn || '#stray', '<update id="stray">', (4 + 3 * max(i))::int, (4 + 3 * max(i))::int, container_fqn from named group by container_fqn""",
-    "b1_mapper_edges": _MAPPERS + " select s.id as from_symbol_id, 'sql:' || n.container_fqn || '#' || n.name as to_fqn, 'implemented-by' as kind, 0.95 as confidence, 'binding:mybatis' as via, s.start_line as line from symbols s join named n on n.container_fqn = s.container_fqn and n.name = s.name where s.kind = 'method'",
+    "b1_mapper_edges": _MAPPERS + " select s.id as from_symbol_id, 'sql:' || n.container_fqn || '#' || n.name as to_fqn, 'implemented-by' as kind, 0.95::double as confidence, 'binding:mybatis' as via, s.start_line as line from symbols s join named n on n.container_fqn = s.container_fqn and n.name = s.name where s.kind = 'method'",
     "b8_schema_fields": _SCHEMAS + """ select 'graphql:' || w || '.id' as fqn, 'id' as name, w as container_fqn, 'id: ID!' as signature, 5 as start_line, 5 as end_line from named group by w
         union all select 'graphql:Query.' || name, name, 'Query', name || '(first: Int = 5, after: String): [' || w || '!]! @auth(role: "x: y")', (6 + 2 * i)::int, (7 + 2 * i)::int from named""",
     "b8_schema_edges": _SCHEMAS + """, fields as (select 'Query.' || name as key, (6 + 2 * i)::int as line from named union all select w || '.id', 5 from named group by w),
         answers as (select id, case id % 3 when 0 then 'Query.' || name when 1 then w || '.id' else 'Query.' || name || case when id % 2 = 0 or id % 7 = 0 then '_all' else '' end end as key from methods)
-        select 'graphql:' || key as from_fqn, a.id as to_symbol_id, 'implemented-by' as kind, 0.9 as confidence, 'binding:graphql' as via, line from fields join answers a using (key)""",
+        select 'graphql:' || key as from_fqn, a.id as to_symbol_id, 'implemented-by' as kind, 0.9::double as confidence, 'binding:graphql' as via, line from fields join answers a using (key)""",
     "b9_rpc_methods": _SCHEMAS + " select 'rpc:' || w || '/' || upper(name[1]) || name[2:] as fqn, upper(name[1]) || name[2:] as name, w as container_fqn, 'rpc ' || upper(name[1]) || name[2:] as signature, (3 * i)::int as start_line, (3 * i)::int as end_line from named",
-    "b9_rpc_edges": _SCHEMAS + " select 'rpc:' || n.w || '/' || upper(n.name[1]) || n.name[2:] as from_fqn, m.id as to_symbol_id, 'implemented-by' as kind, 0.9 as confidence, 'binding:grpc' as via, (3 * i)::int as line from named n join served s on s.w = n.w join methods m on m.container_fqn = s.fqn and m.name = n.name",
+    "b9_rpc_edges": _SCHEMAS + " select 'rpc:' || n.w || '/' || upper(n.name[1]) || n.name[2:] as from_fqn, m.id as to_symbol_id, 'implemented-by' as kind, 0.9::double as confidence, 'binding:grpc' as via, (3 * i)::int as line from named n join served s on s.w = n.w join methods m on m.container_fqn = s.fqn and m.name = n.name",
+    "r15_ruby_fallbacks": """with c as (select *, k * 7 % m + 1 as j from (select p_partkey::bigint as k, max(p_partkey::bigint) over () as m from part) p), calls as (
+        select k, 'C' || k || '#name' || k as to_fqn, 'self-chain' as via, 0.7::double as confidence, 8 as line from c union all select k, 'Object#top' || k % 3, 'self-chain', 0.7, 11 from c
+        union all select k, 'C' || k || '#c' || k + 1, 'self-chain', 0.7, 9 from c where k < m union all select k, 'C' || k + 1 || '#name' || k + 1, 'rails-association', 0.8, 9 from c where k < m
+        union all select k, 'C' || j || '#name' || j, case when j % 3 = 0 then 'name-convention' else 'unique-name' end, case when j % 3 = 0 then 0.5 else 0.4 end, 10 from c where j <> k + 1
+        union all select k, 'C' || j || '#method_missing', 'method-missing', 0.4, 13 from c where j % 3 <> 0 and j % 4 = 0)
+        select 'C' || k || '#go' || k as from_fqn, to_fqn, via, confidence::double as confidence, line from calls""",
     "o9_merged_search": prelude("files", "symbols") + f", hits as (select 'repo' || s.file_id % 4 as repo_id, h.id, h.score, coalesce(h.fqn, s.name) as fqn from ({_search('red', 'red')}) h join symbols s on s.id = h.id where score is not null) select * from (select * from hits qualify row_number() over (partition by repo_id order by score desc, fqn, id) <= 25) order by score desc, fqn, repo_id, id limit 25",
     "g15_landing_nodes": _LANDING + " select node, any_value(repo_id) as repo_id, ['repo', 'hub', 'endpoint', 'linked'][min(rank) + 1] as kind from (select 'repo:' || repo_id as node, repo_id, 0 as rank from owned group by all union all select repo_id || ':' || id, repo_id, 1 from hubs union all select repo_id || ':' || id, repo_id, 2 from shown union all select from_repo || ':' || from_symbol_id, from_repo, 3 from ours union all select to_repo || ':' || to_symbol_id, to_repo, 3 from ours) n group by node",
     "g15_landing_links": _LANDING + """ select kind, count(*) as n, count(distinct a) as sources, count(distinct b) as targets from (select 'contains' as kind, repo_id as a, repo_id || ':' || id as b from seeds

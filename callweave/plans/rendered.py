@@ -5,12 +5,14 @@ Parts of one block of four form an inheritance chain up to the block's last, whi
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callweave.extract import facts, raw_facts
 from callweave.operators import endpoints
-from callweave.operators.resolve import Java
+from callweave.operators.resolve import Java, Ruby
 from callweave.plans.scratch import Scratch
 from callweave.plans.star import Facts
 
@@ -40,6 +42,14 @@ DIAMONDS = f"""
     from (select cast(c_custkey as bigint) as k from {{customer}}) c
     left join (select k, array_join(transform(array_sort(collect_list(struct(turn, j))), x -> concat('D', x.j)), ', ') as above from ({EXTENDS}) e group by k) using (k)"""
 
+#: A Ruby class for each part ``k``, every third a record: an association with the next, and a method that calls on it, on a parameter named after ``j``, and on a new ``j``.
+RUBY = """
+    select concat('app/c', k, '.rb') as path, 'ruby' as lang, concat('class C', k, case when k % 3 = 0 then ' < ApplicationRecord' else '' end, '\n',
+        case when k < m then concat('  has_one :c', k + 1) else '' end, '\n  def name', k, '\n  end\n', case when k % 4 = 0 then '  def method_missing(name)\n  end\n' else '\n\n' end,
+        '  def go', k, case when j <> k + 1 then concat('(c', j, ')') else '' end, '\n    name', k, '\n', case when k < m then concat('    c', k + 1, '.name', k + 1) else '' end, '\n', case when j <> k + 1 then concat('    c', j, '.name', j) else '' end,
+        '\n    top', k % 3, '\n    x = C', j, '.new\n    x.lost', k, '(1)\n  end\nend\n', case when k <= 3 then concat('def top', k % 3, '\nend\n') else '' end) as text
+    from (select *, k * 7 % m + 1 as j from (select cast(p_partkey as bigint) as k, max(cast(p_partkey as bigint)) over () as m from {part}) p) q"""
+
 
 class Rendered:
     """The facts of the rendered files, their edges and calls without one."""
@@ -51,7 +61,10 @@ class Rendered:
         text = f.spark.sql(self.TEXT.replace("{part}", f"parquet.`{f.sf_dir}/part.parquet`").replace("{customer}", f"parquet.`{f.sf_dir}/customer.parquet`"))
         files = scratch.save(text.selectExpr("*", "sha1(text) as hash", "size(split(text, '\\n', -1)) as lines"))
         self.facts = facts(files, scratch.save(raw_facts(files)))
-        self.java = Java(*[self.facts[n] for n in ("files", "symbols", "imports", "locals", "refs")])
+
+    @cached_property
+    def java(self) -> Java:
+        return Java(*[self.facts[n] for n in ("files", "symbols", "imports", "locals", "refs")])
 
     def resolved(self) -> tuple[DataFrame, DataFrame]:
         return self.java.resolved()
@@ -63,6 +76,15 @@ class Diamonds(Rendered):
     TEXT = DIAMONDS
 
 
+class RenderedRuby(Rendered):
+    """Ruby classes whose calls take every fallback."""
+
+    TEXT = RUBY
+
+    def resolved(self) -> tuple[DataFrame, DataFrame]:
+        return Ruby(*[self.facts[n] for n in ("symbols", "locals", "refs")]).resolved()
+
+
 def _word(container: str) -> Column:
     return F.regexp_replace(container, r"\W", "")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from callweave.functions import names, predicates, routes
 from callweave.operators import cycles, graph, insight, mappers, relations, routing, search, stats, views
-from callweave.plans.rendered import Diamonds, Rendered, Schemas
+from callweave.plans.rendered import Diamonds, Rendered, RenderedRuby, Schemas
 from callweave.plans.star import Facts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -621,3 +621,12 @@ def b9_rpc_methods(f: Facts) -> DataFrame:
 def b9_rpc_edges(f: Facts) -> DataFrame:
     """Rpcs to the methods of the types that extend their service's generated base."""
     return Schemas(f).edges("grpc").drop("container_fqn")
+
+
+@query
+def r15_ruby_fallbacks(f: Facts) -> DataFrame:
+    """Rendered Ruby: calls by what typed their receivers, down to conventions, ``method_missing`` and unique names."""
+    made = RenderedRuby(f)
+    edges, _ = made.resolved()
+    fqn = lambda end: made.facts["symbols"].select(F.col("id").alias(f"{end}_symbol_id"), F.col("fqn").alias(f"{end}_fqn"))
+    return edges.where("kind = 'calls'").join(fqn("from"), "from_symbol_id").join(fqn("to"), "to_symbol_id").select("from_fqn", "to_fqn", "via", "confidence", "line")

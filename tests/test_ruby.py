@@ -56,8 +56,8 @@ def test_edges(indexed):
     got = {(r["a"], r["b"], r["kind"], r["confidence"]) for r in indexed["edges"].join(names.select(F.col("id").alias("from_symbol_id"), F.col("fqn").alias("a")), "from_symbol_id").join(names.select(F.col("id").alias("to_symbol_id"), F.col("fqn").alias("b")), "to_symbol_id").collect()}
     for want in [
         ("Shop::Order", "Shop::Base", "extends", 1.0), ("Shop::Order", "Shop::Stampable", "includes", 1.0), ("Shop::Order.build", "Shop::Order", "instantiates", 1.0), ("Shop::Order.build", "Shop::Order#initialize", "calls", 1.0),
-        ("Shop::Order.build", "Shop::Order#pay", "calls", 1.0), ("Shop::Order#pay", "Shop::Stampable#stamp", "calls", 1.0), ("Shop::Order#pay", "Shop::Order#user", "calls", 1.0), ("Shop::Order#pay", "Shop::User#notify", "calls", 1.0),
-        ("Shop::Order#email", "Shop::User#email", "calls", 1.0), ("Shop::User#notify", "Shop::Base#only_here", "calls", 0.4), ("A.pay", "A.pay", "calls", 1.0),
+        ("Shop::Order.build", "Shop::Order#pay", "calls", 1.0), ("Shop::Order#pay", "Shop::Stampable#stamp", "calls", 0.7), ("Shop::Order#pay", "Shop::Order#user", "calls", 0.7), ("Shop::Order#pay", "Shop::User#notify", "calls", 0.8),
+        ("Shop::Order#email", "Shop::User#email", "calls", 0.8), ("Shop::User#notify", "Shop::Base#only_here", "calls", 0.4), ("A.pay", "A.pay", "calls", 1.0),
     ]:
         assert want in got, want
     assert not any(a.startswith("Shop") and b == "A.pay" for a, b, _, _ in got)
@@ -77,3 +77,65 @@ def test_extractor_shapes():
     assert [r["name"] for r in found.refs] == ["g", "real"]
     for odd in ("end", "class", "def", "def f(", "a.b.", "x = ", "%w[a b]", "'", '"#{'):
         extract_ruby(odd, "x.rb")
+
+
+FALLBACKS = {
+    "user.rb": """class User < ApplicationRecord
+  has_one :account
+  def plain
+    top_help
+    find_by_sql(1)
+  end
+end
+class Account < ApplicationRecord
+  def close
+  end
+end
+class Plain
+  def close_it
+  end
+  def method_missing(name)
+  end
+end
+class Mailer
+  def setup
+    @plain = Plain.new
+    @found = User.find(1)
+    @odd = Plain.find(1)
+  end
+  def run(user, plain, nobody)
+    user.plain
+    user.nothing_there(1)
+    plain.close_it
+    @plain.whatever(2)
+    @found.plain
+    @found.account.close
+    account.close
+  end
+end
+def top_help
+end
+""",
+}
+
+
+def test_fallbacks(spark, tmp_path):
+    for name, text in FALLBACKS.items():
+        (tmp_path / name).write_text(text)
+    out = project.index(spark, str(tmp_path), "r")
+    names = out["symbols"].select("id", "fqn")
+    got = {(r["a"], r["b"], r["via"], r["confidence"], r["line"]) for r in out["edges"].where("kind = 'calls'").join(names.select(F.col("id").alias("from_symbol_id"), F.col("fqn").alias("a")), "from_symbol_id").join(names.select(F.col("id").alias("to_symbol_id"), F.col("fqn").alias("b")), "to_symbol_id").collect()}
+    assert got == {
+        ("User#plain", "Object#top_help", "self-chain", 0.7, 4),  # the last ancestor of all
+        ("Mailer#setup", "Plain#method_missing", "method-missing", 0.4, 22),  # no class method of that name either
+        ("Mailer#run", "User#plain", "name-convention", 0.5, 25),  # a record that has the member
+        ("Mailer#run", "Plain#close_it", "unique-name", 0.4, 27),  # no record: its name says nothing
+        ("Mailer#run", "Plain#method_missing", "method-missing", 0.4, 28),
+        ("Mailer#run", "User#plain", "rails-association", 0.8, 29),  # a finder of a record
+        ("Mailer#run", "User#account", "rails-association", 0.8, 30),
+        ("Mailer#run", "Account#close", "rails-association", 0.8, 30),
+        ("Mailer#run", "Account#close", "name-convention", 0.5, 31),
+    }
+    refs = out["refs"].select(F.col("id").alias("ref_id"), "name")
+    reasons = {r["name"]: r["reason"] for r in out["unresolved"].join(refs, "ref_id").collect()}
+    assert reasons["find_by_sql"] == "external:ApplicationRecord" and reasons["nothing_there"] == "external:not-in-project"
