@@ -21,6 +21,8 @@ from callweave.extract.script import extract_script
 EXTRACTORS: dict[str, Callable[[str, str], Found]] = {"java": extract_java, "ruby": extract_ruby, "typescript": extract_script, "tsx": extract_script, "javascript": extract_script}
 EXTRACTORS |= {"graphql": extract_graphql, "proto": extract_proto, "xml": extract_mapper}
 
+#: A batch ends with the file that brings it to so many rows: one batch a file takes several times as long as the file's extraction.
+BATCH = 4096
 _LISTS = ("params", "modifiers", "annotations", "supertypes", "arg_types", "str_args")
 COLUMNS = {
     "symbols": ["seq", "name", "fqn", "kind", "container_fqn", "type_name", "type_args", "signature", "arity", "params", "start_line", "end_line", "start_byte", "end_byte", "modifiers", "annotations", "supertypes"],
@@ -42,20 +44,28 @@ def _ddl(column: str) -> str:
     return f"{column} " + ("array<string>" if column in _LISTS else "int" if column in _INTS else "string")
 
 
+def _batch(rows: list[tuple[str, str, dict]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), *[pa.array([r[2].get(c) for r in rows], _type(c)) for c in _ALL]], ["path", "record", *_ALL])
+
+
 def raw_facts(files: DataFrame) -> DataFrame:
     """``path, record`` and every fact column, one row a fact, from admitted files of known languages (``path, lang, text``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[str, str, dict]] = []
         for b in batches:
             for path, lang, text in zip(*b.columns, strict=True):
                 try:
                     found, kind = EXTRACTORS[lang.as_py()](text.as_py(), path.as_py()), None
                 except Exception as e:  # one file that an extractor can't read (nested too deep, say) doesn't end the job
                     found, kind = Found(), f"unparsable: {type(e).__name__}"
-                rows = [(path.as_py(), "file", {"fqn": found.package, "kind": kind})] + [(path.as_py(), name, row) for name in COLUMNS for row in getattr(found, name)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), *[pa.array([r[2].get(c) for r in rows], _type(c)) for c in _ALL]], ["path", "record", *_ALL]
-                )
+                rows.append((path.as_py(), "file", {"fqn": found.package, "kind": kind}))
+                rows += [(path.as_py(), name, row) for name in COLUMNS for row in getattr(found, name)]
+                if len(rows) >= BATCH:
+                    yield _batch(rows)
+                    rows = []
+        if rows:
+            yield _batch(rows)
 
     return files.where(F.col("lang").isin(*EXTRACTORS)).select("path", "lang", "text").mapInArrow(run, "path string, record string, " + ", ".join(map(_ddl, _ALL)))
 

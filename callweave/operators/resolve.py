@@ -52,6 +52,7 @@ class Java:
         library = files.where("external = 1").select(F.col("id").alias("file_id"), "owner")
         self.library_types = save(symbols.where("container_fqn is null or kind in ('class', 'interface')").join(library, "file_id").groupBy(F.col("fqn").alias("type")).agg(F.min("owner").alias("owner")))
         self.library_files = library.withColumnRenamed("file_id", "member_file")
+        self.simple = save(self._simple())
         self.parents = self._parents()
         self.chain = self._chain()
         self.members = save(symbols.where(F.col("kind").isin(*METHODS)).select(F.col("container_fqn").alias("ancestor"), F.col("name").alias("member"), F.col("id").alias("target"), F.col("kind").alias("member_kind"), F.col("arity").alias("member_arity"), "params", F.col("type_name").alias("returns"), F.col("file_id").alias("member_file")))
@@ -78,11 +79,14 @@ class Java:
 
     # Names to types
 
+    def _simple(self) -> DataFrame:
+        """``name, fqn`` of the project's types whose simple name no other has."""
+        return self.types.select("fqn").join(self.library_types.select(F.col("type").alias("fqn")), "fqn", "left_anti").groupBy(F.element_at(F.split("fqn", r"\."), -1).alias("name")).agg(F.count("*").alias("n"), F.min("fqn").alias("fqn")).where("n = 1").select("name", "fqn")
+
     def named(self, wanted: DataFrame) -> DataFrame:
         """``key, type``: the project's type that ``name`` means at ``file_id`` within ``container``; absent where there is none."""
-        asked = wanted.where("name is not null").select("key", "file_id", "container", "name").distinct()
+        asked = self.scratch.save(wanted.where("name is not null").select("key", "file_id", "container", "name").distinct())  # every rule reads it
         own = self.types.select("fqn")
-        simple = own.join(self.library_types.select(F.col("type").alias("fqn")), "fqn", "left_anti").groupBy(F.element_at(F.split("fqn", r"\."), -1).alias("name")).agg(F.count("*").alias("n"), F.min("fqn").alias("fqn")).where("n = 1").select("name", "fqn")
         head = F.substring_index("name", ".", 1)
         tail = F.when(F.contains("name", F.lit(".")), F.regexp_replace("name", r"^[^.]*", "")).otherwise("")
         scopes = asked.where("container is not null").select("*", F.split("container", r"\.").alias("parts"))
@@ -93,7 +97,7 @@ class Java:
         wild = asked.join(self.imports.where("is_wildcard = 1 and is_static = 0").select("file_id", F.col("fqn").alias("imported")), "file_id").select("key", F.concat_ws(".", "imported", "name").alias("fqn"), F.lit(500).alias("priority")).join(own, "fqn")
         implicit = asked.where(F.col("name").isin(*IMPLICIT)).select("key", F.lit(None).cast("string").alias("fqn"), F.lit(600).alias("priority"))
         lang = asked.withColumn("fqn", F.concat(F.lit("java.lang."), "name")).join(own, "fqn").select("key", "fqn", F.lit(590).alias("priority"))
-        unique = asked.where(F.length("name") > 1).join(simple, "name").select("key", "fqn", F.lit(700).alias("priority"))
+        unique = asked.where(F.length("name") > 1).join(self.simple, "name").select("key", "fqn", F.lit(700).alias("priority"))
         exact = asked.join(own.withColumnRenamed("fqn", "name"), "name").select("key", F.col("name").alias("fqn"), F.lit(100).alias("priority"))
         every = exact
         for rule in (nested, explicit, package, wild, lang, implicit, unique):
@@ -137,7 +141,7 @@ class Java:
         field = lexical.join(self.chain, "fqn").join(fields, ["ancestor", "bare"]).groupBy("id").agg(F.min(F.struct((-F.length("fqn")).alias("far"), "path", "declared", "field_file", "ancestor")).alias("m"))
         field = field.select("id", F.col("m.field_file").alias("file_id"), F.col("m.ancestor").alias("container"), F.col("m.declared").alias("declared"), F.lit(2).alias("priority"))
         static = word.where("receiver = bare").select("id", "file_id", "container", F.col("bare").alias("declared"), F.lit(3).alias("priority"))
-        texts = local.unionByName(field).unionByName(static).withColumn("key", F.xxhash64("id", "priority"))
+        texts = self.scratch.save(local.unionByName(field).unionByName(static).withColumn("key", F.xxhash64("id", "priority")))
         names = self.named(texts.select("key", "file_id", "container", F.col("declared").alias("name")))
         # A local or field whose type isn't ours blocks the later rules: its name is no static type.
         by_name = texts.join(names, "key", "left").select("id", "type", "priority")
@@ -150,7 +154,7 @@ class Java:
         calls = save(self._calls())
         made = calls.where("kind = 'new'").withColumn("key", F.col("id"))
         new_types = save(made.join(self.named(made.select("key", "file_id", "container", "name")), "key").select("id", "from_symbol_id", "line", "arity", "type"))
-        receivers = save(self.typed_receivers(calls))
+        receivers = typed = save(self.typed_receivers(calls))
         open_ = calls.where("kind = 'call' and name <> '<init>'").select("id", "file_id", "container", "name", "arity", "from_symbol_id", "receiver", "receiver_ref_id")
         targets = save(self.found(self._with_outer(open_.join(receivers, "id"))))
         while True:
@@ -164,8 +168,9 @@ class Java:
         answered = self._called_on(calls, save(answered))
         own = lambda rows: rows.join(answered.select("id"), "id", "left_anti")
         calls_left = own(calls)
-        edges = self._edges(calls_left, own(new_types), own(targets))
-        unresolved = self._unresolved(calls_left, own(new_types), receivers, own(targets))
+        by_name = save(self._by_name(calls_left, own(targets), typed))
+        edges = self._edges(calls_left, own(new_types), own(targets), by_name)
+        unresolved = self._unresolved(calls_left, own(new_types), receivers, own(targets), by_name)
         proven = answered.select(F.col("id").alias("ref_id"), F.concat(F.lit("external:"), "owner").alias("reason"), F.lit(1).alias("external"), "owner")
         return edges, unresolved.unionByName(proven)
 
@@ -191,7 +196,7 @@ class Java:
         on_locals = open_.where("receiver_ref_id is null").join(by_call, ["from_symbol_id", "receiver"]).groupBy("id").agg(F.min("type").alias("type"))
         return self.scratch.save(on_calls.unionByName(on_locals).join(receivers.select("id"), "id", "left_anti").dropDuplicates(["id"]))
 
-    def _edges(self, calls: DataFrame, new_types: DataFrame, targets: DataFrame) -> DataFrame:
+    def _edges(self, calls: DataFrame, new_types: DataFrame, targets: DataFrame, by_name: DataFrame) -> DataFrame:
         def edge(rows: DataFrame, kind, confidence: float, via: str, seq: int) -> DataFrame:
             return rows.select("from_symbol_id", "to_symbol_id", (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), F.lit(confidence).alias("confidence"), F.lit(via).alias("via"), "line", F.lit(seq).alias("seq"))
 
@@ -209,7 +214,7 @@ class Java:
         below = self.parents.select(F.col("parent").alias("declared_by"), F.col("fqn").alias("ancestor"))
         impl = hit.select("id", "from_symbol_id", "line", "name", "arity", "declared_by").join(below, "declared_by").join(self.members.where("member_kind = 'method'").withColumnRenamed("member", "name"), ["ancestor", "name"]).where(accepts_arity(F.col("params"), F.col("member_arity"), F.col("arity")))
         fan = edge(impl.withColumnRenamed("target", "to_symbol_id"), "calls", 0.9, "interface->impl", 4)
-        unique = edge(self._by_name(calls, targets).where("n = 1").withColumnRenamed("target", "to_symbol_id"), "calls", 0.5, "unique-name", 5)
+        unique = edge(by_name.where("n = 1").withColumnRenamed("target", "to_symbol_id"), "calls", 0.5, "unique-name", 5)
         ends = self.symbols.join(self.own_files, "file_id", "left_semi").select("id")
         every = inherits.unionByName(instantiates).unionByName(edge(built, "calls", 1.0, "constructor", 2)).unionByName(edge(parents, "calls", 1.0, "constructor", 2)).unionByName(direct).unionByName(fan).unionByName(unique)
         for end in ("from_symbol_id", "to_symbol_id"):  # no edge leads into or out of a library
@@ -217,10 +222,10 @@ class Java:
         every = every.select("from_symbol_id", "to_symbol_id", "kind", "confidence", "via", "line", "seq")
         return self.scratch.save(first_written(every, ["from_symbol_id", "to_symbol_id", "kind", "line"], "seq").drop("seq"))
 
-    def _by_name(self, calls: DataFrame, targets: DataFrame) -> DataFrame:
+    def _by_name(self, calls: DataFrame, targets: DataFrame, typed: DataFrame) -> DataFrame:
         """Calls on receivers of unknown type, with how many methods have their name (those that take the arguments, if any do)."""
         rest = calls.where("kind = 'call' and name <> '<init>' and receiver is not null and receiver not in ('this', 'super', '!String', '(...)') and receiver_ref_id is null and from_symbol_id is not null").join(targets.select("id"), "id", "left_anti")
-        rest = rest.join(self.typed_receivers(calls).select("id"), "id", "left_anti").join(self._foreign(rest).select("id"), "id", "left_anti")
+        rest = rest.join(typed.select("id"), "id", "left_anti").join(self._foreign(rest).select("id"), "id", "left_anti")
         pool = rest.join(self.members.where("member_kind = 'method'").withColumnRenamed("member", "name").join(self.own_files.withColumnRenamed("file_id", "member_file"), "member_file", "left_semi"), "name")
         fits = accepts_arity(F.col("params"), F.col("member_arity"), F.col("arity"))
         counts = pool.groupBy("id", "from_symbol_id", "line").agg(F.count(F.when(fits, 1)).alias("fit"), F.count("*").alias("every"), F.min(F.when(fits, F.col("target"))).alias("best"), F.min("target").alias("any"))
@@ -240,9 +245,8 @@ class Java:
         implicit = every.where(F.col("declared").isin(*IMPLICIT)).select("id", F.lit("java.lang").alias("owner"))
         return every.join(foreign, ["file_id", "declared"]).select("id", owner_package("imported").alias("owner")).unionByName(implicit).groupBy("id").agg(F.min("owner").alias("owner"))
 
-    def _unresolved(self, calls: DataFrame, new_types: DataFrame, receivers: DataFrame, targets: DataFrame) -> DataFrame:
+    def _unresolved(self, calls: DataFrame, new_types: DataFrame, receivers: DataFrame, targets: DataFrame, named: DataFrame) -> DataFrame:
         """One row for each call without an edge: the reason, whether it left the project, and whose it is."""
-        named = self._by_name(calls, targets)
         linked = targets.select("id").unionByName(new_types.select("id")).unionByName(named.where("n = 1").select("id"))
         supers = calls.where("name = '<init>'").join(self.parents.select(F.col("fqn").alias("container")), "container", "left_semi").select("id")
         rest = calls.join(linked.unionByName(supers).distinct(), "id", "left_anti")

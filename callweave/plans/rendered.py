@@ -51,6 +51,11 @@ RUBY = """
     from (select *, k * 7 % m + 1 as j from (select cast(p_partkey as bigint) as k, max(cast(p_partkey as bigint)) over () as m from {part}) p) q"""
 
 
+def spread(sql: str) -> str:
+    """``sql`` with the last part as a value of its own: a window over the whole table would put every part into one task."""
+    return sql.replace("max(cast(p_partkey as bigint)) over ()", "(select max(cast(p_partkey as bigint)) from {part})")
+
+
 class Rendered:
     """The facts of the rendered files, their edges and calls without one."""
 
@@ -58,7 +63,9 @@ class Rendered:
 
     def __init__(self, f: Facts) -> None:
         scratch = Scratch(f.spark)
-        text = f.spark.sql(self.TEXT.replace("{part}", f"parquet.`{f.sf_dir}/part.parquet`").replace("{customer}", f"parquet.`{f.sf_dir}/customer.parquet`"))
+        text = f.spark.sql(spread(self.TEXT).replace("{part}", f"parquet.`{f.sf_dir}/part.parquet`").replace("{customer}", f"parquet.`{f.sf_dir}/customer.parquet`"))
+        # a small table is read by few tasks, and its extraction takes far longer than reading it
+        text = text.repartition(4 * f.spark.sparkContext.defaultParallelism, "path")
         files = scratch.save(text.selectExpr("*", "sha1(text) as hash", "size(split(text, '\\n', -1)) as lines"))
         self.facts = facts(files, scratch.save(raw_facts(files)))
 
