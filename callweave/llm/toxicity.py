@@ -30,6 +30,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterable, Iterator
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -245,7 +246,9 @@ class Restorer:
         tokens = text.split()
         out = set(tokens)
         odd = [w for w in out if len(w) > 4 and (len(w) > LONG or w[1] in SEPARATORS and w[3] in SEPARATORS)]
-        if sum(len(w) == 1 or len(w.strip(MARKS)) == 1 for w in out) > 1 or len(out) < len(tokens):
+        alone = {w for w in out if len(w) == 1 or not w.isalpha() and len(w.strip(MARKS)) == 1}
+        apart = [w in alone for w in tokens] if alone else []
+        if any(map(and_, apart, apart[1:])):  # a single character between words is no run
             run: list[str] = []
             gaps: list[int] = []
             end = 0
@@ -298,12 +301,21 @@ class Marked(dict):
         super().__init__()
         self.restorer, self.weights = restorer, weights
         self.most = CACHE // 8 if weights is None else CACHE  # features take more room than a number
+        #: What the features with weights begin and end with: most words need no features made.
+        self.heads = {f[1:4] for f in weights or () if f[0] in "=<"}
+        self.tails = {f[-5:] for f in weights or () if f[0] == ">"}
 
     def __missing__(self, word: str):
-        found = features(self.restorer.restore(self.restorer.plain(word)))
-        if self.weights is not None:
+        low = word.lower()
+        read = self.restorer.restore(low if low.isalpha() else self.restorer.plain(word))
+        if self.weights is None:
+            found = features(read)
+        elif read[:3] in self.heads or read[-5:] in self.tails:
+            found = features(read)
             known = [x for f in found if (x := self.weights.get(f))]
             found = (max(w for w, _ in known), self.weights.get(found[0], (0.0, -math.inf))[1]) if known else ()
+        else:
+            found = ()
         if len(word) <= KEPT:
             if len(self) >= self.most:
                 self.clear()

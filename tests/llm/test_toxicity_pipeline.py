@@ -223,3 +223,16 @@ def test_long_runs_of_marks_take_no_time(spark):
             marked = toxicity.Marked(restorer, {"=chapter": (1.0, 1.0)})
             marked.summary(f"some {word} words")
     assert time.perf_counter() - start < 60
+
+
+def test_words_that_no_weight_begins_make_no_features(monkeypatch):
+    import numpy as np
+
+    from callweave.llm import toxicity
+
+    made = []
+    original = toxicity.features
+    monkeypatch.setattr(toxicity, "features", lambda w: made.append(w) or original(w))
+    marked = toxicity.Marked(toxicity.Restorer(np.zeros((64, 64, 64), np.float32)), {"=idiot": (3.0, 2.0), ">tupid": (2.0, 1.0)})
+    assert marked.summary("plain words stand here, idiot and stupid")[:2] == [3.0, 2.0]
+    assert sorted(made) == ["idiot", "stupid"]
