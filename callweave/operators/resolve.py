@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from callweave.functions.names import classify, owner_package
 from callweave.functions.predicates import accepts_arity
 from callweave.operators.relations import first_written, types_view
-from callweave.plans.scratch import Scratch
+from callweave.plans.scratch import Scratch, merged
 
 METHODS = ["method", "constructor"]
 #: Types of ``java.lang`` that sources commonly name; no import says whose they are.
@@ -44,8 +44,8 @@ class Java:
     """The tables of one project and what is known of them; ``resolved`` gives edges and unresolved calls."""
 
     def __init__(self, files: DataFrame, symbols: DataFrame, imports: DataFrame, locals_: DataFrame, refs: DataFrame) -> None:
-        self.scratch = Scratch(files.sparkSession)
-        self.files, self.symbols, self.imports, self.locals, self.refs = files, symbols, imports, locals_, refs
+        self.scratch = Scratch(files.sparkSession, merge=True)
+        self.files, self.symbols, self.imports, self.locals, self.refs = map(merged, (files, symbols, imports, locals_, refs))
         save = self.scratch.save
         self.types = save(types_view(symbols))
         self.own_files = files.where("external = 0").select(F.col("id").alias("file_id"))
@@ -166,7 +166,7 @@ class Java:
         # What a library's type answers is the library's, and so is what is called on its results.
         answered = targets.join(self.library_files, "member_file").select("id", "owner").unionByName(new_types.join(self.library_types, "type").select("id", "owner"))
         answered = self._called_on(calls, save(answered))
-        own = lambda rows: rows.join(answered.select("id"), "id", "left_anti")
+        own = lambda rows: merged(rows.join(answered.select("id"), "id", "left_anti"))
         calls_left = own(calls)
         by_name = save(self._by_name(calls_left, own(targets), typed))
         edges = self._edges(calls_left, own(new_types), own(targets), by_name)
@@ -215,7 +215,7 @@ class Java:
         impl = hit.select("id", "from_symbol_id", "line", "name", "arity", "declared_by").join(below, "declared_by").join(self.members.where("member_kind = 'method'").withColumnRenamed("member", "name"), ["ancestor", "name"]).where(accepts_arity(F.col("params"), F.col("member_arity"), F.col("arity")))
         fan = edge(impl.withColumnRenamed("target", "to_symbol_id"), "calls", 0.9, "interface->impl", 4)
         unique = edge(by_name.where("n = 1").withColumnRenamed("target", "to_symbol_id"), "calls", 0.5, "unique-name", 5)
-        ends = self.symbols.join(self.own_files, "file_id", "left_semi").select("id")
+        ends = merged(self.symbols.join(self.own_files, "file_id", "left_semi").select("id"))
         every = inherits.unionByName(instantiates).unionByName(edge(built, "calls", 1.0, "constructor", 2)).unionByName(edge(parents, "calls", 1.0, "constructor", 2)).unionByName(direct).unionByName(fan).unionByName(unique)
         for end in ("from_symbol_id", "to_symbol_id"):  # no edge leads into or out of a library
             every = every.join(ends.withColumnRenamed("id", end), end, "left_semi")
@@ -226,7 +226,7 @@ class Java:
         """Calls on receivers of unknown type, with how many methods have their name (those that take the arguments, if any do)."""
         rest = calls.where("kind = 'call' and name <> '<init>' and receiver is not null and receiver not in ('this', 'super', '!String', '(...)') and receiver_ref_id is null and from_symbol_id is not null").join(targets.select("id"), "id", "left_anti")
         rest = rest.join(typed.select("id"), "id", "left_anti").join(self._foreign(rest).select("id"), "id", "left_anti")
-        pool = rest.join(self.members.where("member_kind = 'method'").withColumnRenamed("member", "name").join(self.own_files.withColumnRenamed("file_id", "member_file"), "member_file", "left_semi"), "name")
+        pool = rest.join(merged(self.members.where("member_kind = 'method'").withColumnRenamed("member", "name").join(self.own_files.withColumnRenamed("file_id", "member_file"), "member_file", "left_semi")), "name")
         fits = accepts_arity(F.col("params"), F.col("member_arity"), F.col("arity"))
         counts = pool.groupBy("id", "from_symbol_id", "line").agg(F.count(F.when(fits, 1)).alias("fit"), F.count("*").alias("every"), F.min(F.when(fits, F.col("target"))).alias("best"), F.min("target").alias("any"))
         return counts.select("id", "from_symbol_id", "line", F.when(F.col("fit") > 0, F.col("fit")).otherwise(F.col("every")).alias("n"), F.coalesce("best", "any").alias("target"))
@@ -241,16 +241,17 @@ class Java:
         made = calls.where("kind = 'new'").select("id", "file_id", F.substring_index("name", ".", 1).alias("declared"))
         own = self.types.select(F.col("fqn").alias("imported"))
         foreign = self.imports.where("is_wildcard = 0 and is_static = 0").select("file_id", F.col("simple").alias("declared"), F.col("fqn").alias("imported")).join(own, "imported", "left_anti")
+        foreign = merged(foreign)
         every = local.unionByName(field).unionByName(static).unionByName(made)
         implicit = every.where(F.col("declared").isin(*IMPLICIT)).select("id", F.lit("java.lang").alias("owner"))
-        return every.join(foreign, ["file_id", "declared"]).select("id", owner_package("imported").alias("owner")).unionByName(implicit).groupBy("id").agg(F.min("owner").alias("owner"))
+        return merged(every.join(foreign, ["file_id", "declared"]).select("id", owner_package("imported").alias("owner")).unionByName(implicit).groupBy("id").agg(F.min("owner").alias("owner")))
 
     def _unresolved(self, calls: DataFrame, new_types: DataFrame, receivers: DataFrame, targets: DataFrame, named: DataFrame) -> DataFrame:
         """One row for each call without an edge: the reason, whether it left the project, and whose it is."""
         linked = targets.select("id").unionByName(new_types.select("id")).unionByName(named.where("n = 1").select("id"))
         supers = calls.where("name = '<init>'").join(self.parents.select(F.col("fqn").alias("container")), "container", "left_semi").select("id")
         rest = calls.join(linked.unionByName(supers).distinct(), "id", "left_anti")
-        declared = self.symbols.join(self.own_files, "file_id", "left_semi").where(F.col("kind").isin("method", "constructor", "class", "interface", "enum", "record")).select("name").distinct().withColumn("declared", F.lit(True))
+        declared = merged(self.symbols.join(self.own_files, "file_id", "left_semi").where(F.col("kind").isin("method", "constructor", "class", "interface", "enum", "record")).select("name").distinct().withColumn("declared", F.lit(True)))
         statics = self.imports.where("is_static = 1 and is_wildcard = 0").select("file_id", F.col("simple").alias("name"), owner_package("fqn").alias("static_owner")).dropDuplicates(["file_id", "name"])
         known = rest.join(declared, "name", "left").join(self._foreign(rest), "id", "left").join(statics, ["file_id", "name"], "left").join(receivers, "id", "left").join(named.select("id", "n"), "id", "left")
         bare = F.col("receiver").isNull()
@@ -288,8 +289,8 @@ class Ruby:
     RECORDS = "ApplicationRecord|ActiveRecord::Base|ActiveModel"
 
     def __init__(self, symbols: DataFrame, locals_: DataFrame, refs: DataFrame) -> None:
-        self.scratch = Scratch(symbols.sparkSession)
-        self.symbols, self.locals, self.refs = symbols, locals_, refs
+        self.scratch = Scratch(symbols.sparkSession, merge=True)
+        self.symbols, self.locals, self.refs = map(merged, (symbols, locals_, refs))
         save = self.scratch.save
         self.types = save(types_view(symbols))
         said = self.types.select("fqn", F.posexplode("supertypes").alias("at", "name")).withColumn("key", F.xxhash64("fqn", "name"))
@@ -312,13 +313,13 @@ class Ruby:
         exact = asked.join(own.withColumnRenamed("fqn", "name"), "name").select("key", F.col("name").alias("fqn"), F.lit(300).alias("priority"))
         simple = asked.join(unique, "name").select("key", "fqn", F.lit(400).alias("priority"))
         every = exact.unionByName(scoped.select("key", "fqn", "priority")).unionByName(simple)
-        return every.groupBy("key").agg(F.min(F.struct("priority", "fqn"))["fqn"].alias("type"))
+        return merged(every.groupBy("key").agg(F.min(F.struct("priority", "fqn"))["fqn"].alias("type")))
 
     def found(self, calls: DataFrame) -> DataFrame:
         """``id`` to the nearest member of the type; methods of the wanted kind before others."""
         met = calls.join(self.chain.withColumnRenamed("fqn", "type"), "type").join(self.members, ["ancestor", "name"])
         rank = F.when(F.col("member_kind") == F.col("wanted"), 0).otherwise(1)
-        return met.groupBy("id").agg(F.min(F.struct(rank.alias("r"), "path", "target", "returns", "ancestor")).alias("m")).select("id", "m.target", "m.returns", F.col("m.ancestor").alias("declared_by"))
+        return merged(met.groupBy("id").agg(F.min(F.struct(rank.alias("r"), "path", "target", "returns", "ancestor")).alias("m")).select("id", "m.target", "m.returns", F.col("m.ancestor").alias("declared_by")))
 
     def resolved(self) -> tuple[DataFrame, DataFrame]:
         save = self.scratch.save
@@ -395,12 +396,13 @@ class Ruby:
         absent = open_at.where("kind = 'call'").join(bare.select("id"), "id", "left_anti").join(receivers.select("id", "type"), "id")
         inherited = self.scratch.save(absent.join(self.outside, "type").select("id", "outside"))
         caught = absent.join(self.outside, "type", "left_anti").withColumn("name", F.lit("method_missing")).withColumn("wanted", F.lit("method"))
-        caught = self.scratch.save(caught.join(self.found(caught.select("id", "name", "type", "wanted")).join(self.members.where("member_kind = 'method'").select("target"), "target", "left_semi"), "id"))
+        caught = self.scratch.save(caught.join(merged(self.found(caught.select("id", "name", "type", "wanted")).join(self.members.where("member_kind = 'method'").select("target"), "target", "left_semi")), "id"))
         missing = columns(caught.withColumnRenamed("target", "to_symbol_id"), "calls", 0.4, "method-missing", 6)
-        below = self.parents.join(self.types.where("kind = 'module'").select(F.col("fqn").alias("parent")), "parent").select(F.col("parent").alias("declared_by"), F.col("fqn").alias("ancestor"))
+        below = merged(self.parents.join(self.types.where("kind = 'module'").select(F.col("fqn").alias("parent")), "parent").select(F.col("parent").alias("declared_by"), F.col("fqn").alias("ancestor")))
         fan = columns(hit.select("from_symbol_id", "line", "name", "declared_by").join(below, "declared_by").join(self.members.select("ancestor", "name", F.col("target").alias("to_symbol_id")), ["ancestor", "name"]), "calls", 0.7, "module->includer", 4)
         rest = at.where("kind = 'call' and receiver is not null and receiver <> 'self'").join(targets.select("id"), "id", "left_anti").join(receivers.select("id"), "id", "left_anti").where(~F.col("receiver").rlike("^[A-Z]"))
         pool = rest.join(self.members.where("member_kind = 'method'").select("name", "target"), "name").groupBy("id", "from_symbol_id", "line").agg(F.count("*").alias("n"), F.min("target").alias("to_symbol_id"))
+        pool = merged(pool)
         unique = columns(pool.where("n = 1"), "calls", 0.4, "unique-name", 7)
         every = inherits.unionByName(made).unionByName(constructed).unionByName(direct).unionByName(fan).unionByName(top).unionByName(missing).unionByName(unique)
         edges = self.scratch.save(first_written(every, ["from_symbol_id", "to_symbol_id", "kind", "line"], "seq").drop("seq"))

@@ -62,8 +62,9 @@ class Rendered:
     TEXT = TEXT
 
     def __init__(self, f: Facts) -> None:
-        scratch = Scratch(f.spark)
-        text = f.spark.sql(spread(self.TEXT).replace("{part}", f"parquet.`{f.sf_dir}/part.parquet`").replace("{customer}", f"parquet.`{f.sf_dir}/customer.parquet`"))
+        scratch = Scratch(f.spark, merge=True)
+        table = lambda name: f"(select /*+ merge(t) */ * from parquet.`{f.sf_dir}/{name}.parquet` t)"
+        text = f.spark.sql(spread(self.TEXT).replace("{part}", table("part")).replace("{customer}", table("customer")))
         # a small table is read by few tasks, and its extraction takes far longer than reading it
         text = text.repartition(4 * f.spark.sparkContext.defaultParallelism, "path")
         files = scratch.save(text.selectExpr("*", "sha1(text) as hash", "size(split(text, '\\n', -1)) as lines"))

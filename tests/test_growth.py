@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from callweave.extract import raw_facts
 from callweave.operators import graph, relations
 from callweave.plans.rendered import RUBY, TEXT
+from callweave.plans.scratch import Scratch
 from callweave.plans.star import Facts
 from callweave.queries import QUERIES
 from tests.conftest import SMALL
@@ -67,3 +68,19 @@ def test_impact_in_rounds(spark, monkeypatch):
 
 def test_every_symbol_is_asked_for_its_impact(spark):
     assert QUERIES["g2_impact"](spark, SMALL).where("seed % 100 <> 0").count() > 0
+
+
+def test_no_stored_table_is_broadcast_by_its_files_size(spark, monkeypatch):
+    """The driver ran out of memory on tables whose files are small and whose rows are not; here every table would be small enough."""
+    joins: list[str] = []
+    seen = lambda df: joins.extend(x for x in df._jdf.queryExecution().sparkPlan().toString().split("\n") if "Join" in x)
+    save = Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df: (seen(df), save(self, df))[1])
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(1 << 40))
+    try:
+        seen(QUERIES["r4_diamond_calls"](spark, SMALL))
+    finally:
+        spark.conf.set(name, before)
+    assert len(joins) > 50 and not [x for x in joins if "Broadcast" in x]
