@@ -122,12 +122,16 @@ def _absolute(link: Column, url: Column) -> Column:
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """``(a, b)``: the nodes of each page and of all its canonical and redirect targets."""
+    """``(a, b)``: the nodes of each page and of all its canonical and redirect targets.
+
+    Each step on a link is a ``transform`` of its own: put into one another, the steps repeat what they read until the plan holds
+    millions of characters, and the driver's memory goes to planning, whatever the input."""
+    url = F.col("url")
     canonical = F.transform(F.filter(F.regexp_extract_all("html", F.lit(LINK_TAG), F.lit(1)), lambda t: t.rlike(CANONICAL_REL)), lambda t: F.regexp_extract(t, HREF, 1))
     refresh = F.transform(F.regexp_extract_all("html", F.lit(REFRESH_TAG), F.lit(1)), lambda t: F.regexp_extract(t, REFRESH_URL, 1))
-    found = pages.select("url", F.filter(F.concat(canonical, refresh), lambda x: x != "").alias("links")).where("size(links) > 0")
-    each = found.select("url", F.explode("links").alias("link")).select("url", _unescaped(F.col("link")).alias("link"))
-    return each.select(node(F.col("url")).alias("a"), node(_absolute(F.col("link"), F.col("url"))).alias("b")).where("a is not null and b is not null")
+    read = F.transform(F.filter(F.concat(canonical, refresh), lambda x: x != ""), _unescaped)
+    targets = F.transform(F.transform(read, lambda x: _absolute(x, url)), node)
+    return pages.select(node(url).alias("a"), F.explode(targets).alias("b")).where("a is not null and b is not null")
 
 
 def judged(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame = RULES) -> DataFrame:
