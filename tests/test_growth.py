@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from callweave.extract import raw_facts
-from callweave.operators import graph, relations
+from callweave.operators import blocks, graph, relations
 from callweave.plans.rendered import RUBY, TEXT
 from callweave.plans.scratch import Scratch
 from callweave.plans.star import Facts
@@ -84,3 +85,47 @@ def test_no_stored_table_is_broadcast_by_its_files_size(spark, monkeypatch):
     finally:
         spark.conf.set(name, before)
     assert len(joins) > 50 and not [x for x in joins if "Broadcast" in x]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_impact_shuffles_no_level(spark, monkeypatch, seed):
+    """Every level of every block was joined and shuffled; now only graphs too large for a task's matrix are, with the same rows."""
+    rng = np.random.default_rng(seed)
+    pairs = sorted({tuple(x) for x in rng.integers(0, 60, (110, 2)).tolist()})
+    edges = edges_of(spark, pairs)
+    symbols = spark.createDataFrame([(i, i % 9) for i in range(50)], "id long, file_id int")  # some ends are no symbols, some symbols have no file
+    files = spark.createDataFrame([(i, f"f{i // 2}") for i in range(8)], "id int, path string")
+    starts = {i: [i] for i in range(60)} | {500: [1, 2, 3]}
+    seeds = spark.createDataFrame([(s, i) for s, ids in starts.items() for i in ids], "seed long, id long")
+    want = set()
+    for s, ids in starts.items():
+        seen, now, levels = set(ids), set(ids), []
+        for _ in range(4):
+            now = {a for a, b in pairs if b in now} - seen
+            seen |= now
+            levels.append([x for x in now if x < 50 and x % 9 < 8])
+        if any(levels):
+            want.add((s, sum(map(len, levels)), len({x % 9 // 2 for level in levels for x in level}), *map(len, levels)))
+    rows = lambda df: {tuple(r) for r in df.select("seed", "total_symbols", "total_files", "level_1", "level_2", "level_3", "level_4").collect()}
+    joined, reach = [], graph._reach
+    monkeypatch.setattr(graph, "_reach", lambda *a: (joined.append(1), reach(*a))[1])
+    assert rows(graph.impact(edges, symbols, files, seeds)) == want and not joined
+    monkeypatch.setattr(blocks, "BYTES", 8)
+    assert rows(graph.impact(edges, symbols, files, seeds)) == want and joined
+
+
+def test_a_level_over_hot_targets(monkeypatch):
+    monkeypatch.setattr(blocks, "STEP", 16)
+    monkeypatch.setattr(blocks, "LONG", 40)
+    rng = np.random.default_rng(3)
+    dst = np.sort(np.concatenate([rng.integers(0, 200, 900), [7] * 300, [8] * 41])).astype(np.int32)
+    src = rng.integers(0, 200, len(dst)).astype(np.int32)
+    for live in (200, 3):  # also with few nodes that have bits
+        now, new, want = np.zeros((200, 2), np.uint64), np.zeros((200, 2), np.uint64), np.zeros((200, 2), np.uint64)
+        now[:live] = rng.integers(0, 1 << 62, (live, 2), dtype=np.uint64)
+        for s, d in zip(src, dst, strict=True):
+            want[d] |= now[s]
+        blocks._level(now, new, iter([(src[:500], dst[:500]), (src[500:], dst[500:])]))
+        assert (new == want).all()
+        bits = np.unpackbits(want.view(np.uint8), axis=1, bitorder="little").sum(axis=0)
+        assert (blocks.column_counts(want) == bits).all()
