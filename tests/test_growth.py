@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from callweave.extract import raw_facts
-from callweave.operators import blocks, graph, relations
+from callweave.operators import blocks, cycles, graph, relations
 from callweave.plans.rendered import RUBY, TEXT
 from callweave.plans.scratch import Scratch
 from callweave.plans.star import Facts
@@ -129,3 +129,32 @@ def test_a_level_over_hot_targets(monkeypatch):
         assert (new == want).all()
         bits = np.unpackbits(want.view(np.uint8), axis=1, bitorder="little").sum(axis=0)
         assert (blocks.column_counts(want) == bits).all()
+
+
+def dense(seed):
+    rng = np.random.default_rng(seed)
+    pairs = {tuple(x) for x in rng.integers(10, 50, (260, 2)).tolist()} | {(i, 49) for i in range(10, 50)} | {(49, i) for i in range(10, 50, 3)}
+    pairs = sorted((a, b) for a, b in pairs if a != b)
+    return pairs, [(a, b, c) for a, b in pairs if a < b for x, c in pairs if x == b and c > a and (c, a) in pairs]
+
+
+@pytest.mark.parametrize("tile", [1 << 19, 40])
+def test_short_rings_store_no_ways(spark, monkeypatch, tile):
+    """A dense graph's ways of two links filled the disk; here hubs and a dense core, in one part and in many."""
+    monkeypatch.setattr(cycles, "TILE", tile)
+    monkeypatch.setattr(cycles, "_halves", None)
+    pairs, want = dense(tile)
+    links = spark.createDataFrame([(f"f{a}", f"f{b}") for a, b in [*pairs, (11, 11)]], "src string, dst string")
+    want += [(a, b) for a, b in pairs if a < b and (b, a) in pairs]
+    assert sorted(r["ring"] for r in cycles.rings(links, 2).collect()) == sorted([f"f{x}" for x in ring] for ring in want)
+    assert cycles.rings(links, 1).count() == sum(len(ring) == 2 for ring in want)
+
+
+@pytest.mark.parametrize("room", [1 << 26, 0])
+def test_ways_back_by_bits_and_by_search(monkeypatch, room):
+    monkeypatch.setattr(cycles, "BITS", room)
+    monkeypatch.setattr(cycles, "WAYS", 7)
+    pairs, want = dense(5)
+    a, b = np.array(pairs, np.int32).T
+    got = [tuple(x) for ends in cycles._thirds(a[a < b], b[a < b], [a, b], [a, b], (0, 0)) for x in np.array(ends).T.tolist()]
+    assert sorted(got) == sorted(want)
