@@ -158,3 +158,29 @@ def test_ways_back_by_bits_and_by_search(monkeypatch, room):
     a, b = np.array(pairs, np.int32).T
     got = [tuple(x) for ends in cycles._thirds(a[a < b], b[a < b], [a, b], [a, b], (0, 0)) for x in np.array(ends).T.tolist()]
     assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["j10_endpoint_pairs", "j11_cross_repo_pairs", "j21_members", "a13_candidate_callers"])
+def test_pairs_come_of_all_tasks(spark, name):
+    """A small side was broadcast and the other read by one or two tasks, whatever the number of pairs."""
+    assert QUERIES[name](spark, SMALL).select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize("most", [1, 3, 1024])
+def test_pairs_by_lists(spark, monkeypatch, most):
+    monkeypatch.setattr(relations, "LIST", most)
+    many = spark.createDataFrame([(i, "ab"[i % 2] if i % 7 else None, i % 3) for i in range(40)], "x long, k string, r int")
+    few = spark.createDataFrame([(i, "ab"[i % 2] if i % 5 else None, i % 3 if i % 4 else None, [i] if i % 3 else None) for i in range(30)], "y long, k string, s int, l array<int>")
+    got = relations.met_by_lists(many, few, ["k"], "s", F.col("r") != F.col("s"))
+    rows = lambda df: sorted(map(tuple, df.select("x", "k", "r", "y", "s", "l").collect()), key=repr)
+    assert rows(got) == rows(many.join(few, "k").where("r <> s")) != []
+    assert rows(relations.met_by_lists(many, few, ["k"])) == rows(many.join(few, "k"))
+
+
+def test_pairs_of_many_shared_keys(spark):
+    """More keys than the bits that stand for them."""
+    rng = np.random.default_rng(8)
+    rows = {(int(s), "p", "provider" if s % 2 else "consumer", f"k{k}", 1) for s, k in zip(rng.integers(0, 16, 900), rng.integers(0, 150, 900), strict=True)} | {(1, "p", "consumer", "k1", 1)}
+    bindings = spark.createDataFrame(sorted(rows), "symbol_id long, plugin string, role string, key string, line int")
+    want = sorted({(c[0], m[0]) for c in rows for m in rows if c[2] != m[2] == "provider" and c[3] == m[3] and c[0] != m[0]})
+    assert sorted((r["from_symbol_id"], r["to_symbol_id"]) for r in relations.endpoint_pairs(bindings, F.lit("binds"), F.lit(0.9)).collect()) == want
