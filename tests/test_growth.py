@@ -184,3 +184,9 @@ def test_pairs_of_many_shared_keys(spark):
     bindings = spark.createDataFrame(sorted(rows), "symbol_id long, plugin string, role string, key string, line int")
     want = sorted({(c[0], m[0]) for c in rows for m in rows if c[2] != m[2] == "provider" and c[3] == m[3] and c[0] != m[0]})
     assert sorted((r["from_symbol_id"], r["to_symbol_id"]) for r in relations.endpoint_pairs(bindings, F.lit("binds"), F.lit(0.9)).collect()) == want
+
+
+def test_candidates_are_written_once_for_all_symbols_alike(spark):
+    """Their lines and reasons were made text at each row of the answer, above the join."""
+    text = plan(QUERIES["a13_candidate_callers"](spark, SMALL))
+    assert text.index("Generate posexplode(id") < text.index("array_join")
