@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from callweave.extract import raw_facts
 from callweave.operators import blocks, cycles, graph, relations
+from callweave.oracles import ORACLE_SQL
 from callweave.plans.rendered import RUBY, TEXT
 from callweave.plans.scratch import Scratch
 from callweave.plans.star import Facts
@@ -190,3 +191,9 @@ def test_candidates_are_written_once_for_all_symbols_alike(spark):
     """Their lines and reasons were made text at each row of the answer, above the join."""
     text = plan(QUERIES["a13_candidate_callers"](spark, SMALL))
     assert text.index("Generate posexplode(id") < text.index("array_join")
+
+
+def test_details_make_no_pairs_of_members(spark, same, monkeypatch):
+    """Members were counted in pairs with each type of their container's name."""
+    monkeypatch.setattr(relations, "met_evenly", None)
+    same(QUERIES["g19_symbol_details"], ORACLE_SQL["g19_symbol_details"])
